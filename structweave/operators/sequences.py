@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,21 @@ from ..session import materialize
 from .segments import SEGMENT, own_tokens, segments
 
 PIECE = "rank int, score double, entry bigint, path array<bigint>"
+SLICE_ITEMS = 200_000  # tokens, candidates or vectors a kernel works on at a time
+
+
+def slices(batches: Iterator[pa.RecordBatch], weigh: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Non-empty batches cut so that the lengths of array column ``weigh`` add up to about SLICE_ITEMS."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if weigh is None:
+            yield batch
+            continue
+        ends = np.cumsum(np.asarray(pc.list_value_length(batch.column(weigh)), dtype=np.int64))
+        cuts = np.flatnonzero(np.diff(ends // SLICE_ITEMS)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            yield batch.slice(a, b - a)
 
 
 @dataclass(frozen=True)
@@ -59,32 +75,27 @@ class SequenceTable:
         return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.df.select(*self.keys).schema)
 
 
-def map_arrow(df: DataFrame, schema: str | T.StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
-    """Apply ``fn`` to every non-empty Arrow batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None:
-                    yield out
-
-    return df.mapInArrow(run, schema)
+def map_arrow(
+    df: DataFrame, schema: str | T.StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch], weigh: str | None = None
+) -> DataFrame:
+    """Apply ``fn`` to every Arrow batch, in slices when ``weigh`` names an array column."""
+    return df.mapInArrow(lambda batches: map(fn, slices(batches, weigh)), schema)
 
 
-def sum_vectors(df: DataFrame, dim: int, fn: Callable[[pa.RecordBatch], np.ndarray], scale: float = 1.0) -> DataFrame:
+def sum_vectors(
+    df: DataFrame, dim: int, fn: Callable[[pa.RecordBatch], np.ndarray], weigh: str | None = None
+) -> DataFrame:
     """Add up vectors of length ``dim`` over all rows: one partial vector per task, then by index: (idx, value)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         total = np.zeros(dim)
-        for batch in batches:
-            if batch.num_rows:
-                total += fn(batch)
+        for batch in slices(batches, weigh):
+            total += fn(batch)
         index = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(total[index])], ["idx", "value"])
 
     partial = df.mapInArrow(run, "idx bigint, value double")
-    return partial.groupBy("idx").agg((F.sum("value") * F.lit(scale)).alias("value"))
+    return partial.groupBy("idx").agg(F.sum("value").alias("value"))
 
 
 def _record(batch: pa.RecordBatch, keys: Sequence[str], rows: np.ndarray | None, **columns) -> pa.RecordBatch:
@@ -125,7 +136,7 @@ def edge_scores(table: SequenceTable, w: np.ndarray, use_loss: bool = False) ->
             y=np.tile(np.arange(n_tags, dtype=np.int64), len(token)), score=out.ravel(),
         )
 
-    return map_arrow(table.df, f"{table.key_fields()}, pos bigint, y1 bigint, y bigint, score double", run)
+    return map_arrow(table.df, f"{table.key_fields()}, pos bigint, y1 bigint, y bigint, score double", run, "words")
 
 
 def decode(table: SequenceTable, w: np.ndarray, k: int = 1, use_loss: bool = False) -> DataFrame:
@@ -149,7 +160,7 @@ def decode(table: SequenceTable, w: np.ndarray, k: int = 1, use_loss: bool = Fal
             entry=np.full(len(rows), -1, dtype=np.int64), path=_ragged(flat, tb.size[rows]),
         )
 
-    whole = map_arrow(table.whole, f"{table.key_fields()}, seg bigint, {PIECE}", run)
+    whole = map_arrow(table.whole, f"{table.key_fields()}, seg bigint, {PIECE}", run, "words")
     if not table.has_long:
         return whole
     from .long_sequences import decode_long
@@ -191,7 +202,7 @@ def decode_rows(df: DataFrame, keys: Sequence[str], key_fields: str, n_tags: int
         own, owner = tb.own, tb.owner
         return _record(batch, keys, owner, pos=own - tb.first[owner], tag=tb.tags[own], predicted=flat)
 
-    return map_arrow(df, f"{key_fields}, pos bigint, tag bigint, predicted bigint", run)
+    return map_arrow(df, f"{key_fields}, pos bigint, tag bigint, predicted bigint", run, "words")
 
 
 def _predict_narrow(table: SequenceTable, w: np.ndarray) -> DataFrame:
@@ -216,7 +227,7 @@ def sequence_values(table: SequenceTable, w: np.ndarray, mu: float | None = None
         hinge, smooth = _values(tb, w, n_tags, mu, best)
         return _record(batch, keys, None, hinge=hinge, smooth=smooth)
 
-    whole = map_arrow(table.whole, f"{table.key_fields()}, hinge double, smooth double", run)
+    whole = map_arrow(table.whole, f"{table.key_fields()}, hinge double, smooth double", run, "words")
     if not table.has_long:
         return whole
     from .long_sequences import long_values
@@ -259,7 +270,7 @@ def gradient_sum(table: SequenceTable, w: np.ndarray, mu: float | None = None, k
     n_tags, dim = table.n_tags, len(w)
     best = k if mu is not None else 1
     whole = sum_vectors(
-        table.whole, dim, lambda batch: batch_gradient(kernel.token_batch(batch), w, n_tags, mu, best)
+        table.whole, dim, lambda batch: batch_gradient(kernel.token_batch(batch), w, n_tags, mu, best), "words"
     )
     if not table.has_long:
         return whole
@@ -269,6 +280,28 @@ def gradient_sum(table: SequenceTable, w: np.ndarray, mu: float | None = None, k
     return both.groupBy("idx").agg(F.sum("value").alias("value"))
 
 
+def gradient_rows(
+    tb: kernel.TokenBatch, w: np.ndarray, n_tags: int, mu: float | None, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The gradients of ``batch_gradient`` kept apart, as (row, idx, value) triples sorted by row."""
+    dim = len(w)
+    lattice = kernel.forward(tb, w, n_tags, k, True, np.full(len(tb.size), -1))
+    scores, tags, ranks = kernel.best_ends(lattice, k)
+    weights = np.ones((len(scores), 1)) if mu is None else kernel.simplex_weights(scores, mu)
+    gold = kernel.gold_indices(tb, dim)
+    cells, values = [(tb.owner[:, None] * dim + gold).ravel()], [np.full(gold.size, -1.0)]
+    for rank in range(weights.shape[1]):
+        rows = np.flatnonzero(weights[:, rank] > 0)
+        flat = lattice.paths(rows, tags[rows, rank], ranks[rows, rank])
+        part = kernel.TokenBatch(tb.context, tb.tags, tb.first[rows], tb.size[rows])
+        indices = kernel.path_indices(part, flat, np.full(len(rows), -1), dim)
+        owner = rows[part.owner]
+        cells.append((owner[:, None] * dim + indices).ravel())
+        values.append(np.repeat(weights[owner, rank], indices.shape[1]))
+    found, where = np.unique(np.concatenate(cells), return_inverse=True)
+    return found // dim, found % dim, np.bincount(where, weights=np.concatenate(values), minlength=len(found))
+
+
 def batch_minimizers(tb: kernel.TokenBatch, w: np.ndarray, n_tags: int):
     """Φ(x, y) - Φ(x, ŷ) of each sequence as (row, idx, value) triples, and the Hamming losses."""
     dim = len(w)
@@ -307,7 +340,7 @@ def linear_minimizers(table: SequenceTable, w: np.ndarray) -> DataFrame:
         )
 
     schema = f"{table.key_fields()}, seg bigint, idx array<bigint>, val array<double>, loss double"
-    whole = map_arrow(table.whole, schema, run)
+    whole = map_arrow(table.whole, schema, run, "words")
     if not table.has_long:
         return whole
     from .long_sequences import long_minimizers

@@ -26,6 +26,7 @@ class Kernel:
     """
 
     dim: int
+    weigh: str | None = None  # array column whose lengths tell how much a row weighs
 
     def load(self, batch: pa.RecordBatch):
         raise NotImplementedError
@@ -85,6 +86,8 @@ class LogisticKernel(Kernel):
 class CandidateKernel(Kernel):
     """Structural hinge on packed groups (ious, flat feats)."""
 
+    weigh = "feats"
+
     def __init__(self, dim: int, k: int):
         self.dim, self.k = dim, k
 
@@ -146,6 +149,8 @@ class CandidateKernel(Kernel):
 class SequenceKernel(Kernel):
     """Structural hinge with Hamming loss on one-segment sequences."""
 
+    weigh = "words"
+
     def __init__(self, dim: int, n_tags: int, k: int):
         self.dim, self.n_tags, self.k = dim, n_tags, k
 
@@ -169,6 +174,18 @@ class SequenceKernel(Kernel):
     def gradient_sum(self, examples, w, mu):
         return sequences.batch_gradient(examples, w, self.n_tags, mu, self._k(mu))
 
+    def support(self, examples, w, mu):
+        row, idx, value = sequences.gradient_rows(examples, w, self.n_tags, mu, self._k(mu))
+        bounds = np.searchsorted(row, np.arange(len(examples.size) + 1))
+
+        def at(i):
+            out = np.zeros(self.dim)
+            part = slice(bounds[i], bounds[i + 1])
+            out[idx[part]] = value[part]
+            return out
+
+        return at
+
 
 class TableLoss:
     """A loss over a persisted table, cut into buckets by an arithmetic hash of the example key.
@@ -220,7 +237,7 @@ class TableLoss:
             parts = [kernel.gradient_sum(examples, w, mu) for w, mu in points]
             return np.concatenate([*parts, [kernel.size(examples)]])
 
-        return self._means(sequences.sum_vectors(self.rows(bucket), m * dim + 1, partial), m, dim)
+        return self._means(sequences.sum_vectors(self.rows(bucket), m * dim + 1, partial, kernel.weigh), m, dim)
 
     @staticmethod
     def _means(sums: DataFrame, m: int, dim: int) -> np.ndarray:
@@ -238,7 +255,7 @@ class TableLoss:
             sums = [kernel.values(examples, w, None)[0].sum() for w in points]
             return np.array([*sums, kernel.size(examples)])
 
-        return self._means(sequences.sum_vectors(self.rows(), m + 1, partial), m, 1)[:, 0]
+        return self._means(sequences.sum_vectors(self.rows(), m + 1, partial, kernel.weigh), m, 1)[:, 0]
 
     def metrics(self, w: np.ndarray) -> dict[str, float]:
         """Evaluation metrics; a loss may have none."""
@@ -290,7 +307,7 @@ class CandidateLoss(TableLoss):
             columns = [group, pa.array(ious), pa.array(scores), pa.array(best)]
             return pa.RecordBatch.from_arrays(columns, ["group_id", "iou", "score", "best"])
 
-        return sequences.map_arrow(self.rows(), "group_id bigint, iou double, score double, best boolean", run)
+        return sequences.map_arrow(self.rows(), "group_id bigint, iou double, score double, best boolean", run, "feats")
 
     def metrics(self, w):
         cells = self.cells(w)
@@ -321,7 +338,7 @@ class CandidateLoss(TableLoss):
             return pa.RecordBatch.from_arrays(columns, ["group_id", "idx", "val", "loss"])
 
         schema = "group_id bigint, idx array<bigint>, val array<double>, loss double"
-        return sequences.map_arrow(self.rows(bucket), schema, run)
+        return sequences.map_arrow(self.rows(bucket), schema, run, "feats")
 
 
 class SequenceLoss(TableLoss):

@@ -395,4 +395,192 @@ select l.user_id, l.d, coalesce(text.psi, '') as psi, l.loss
 from losses l left join text on text.user_id = l.user_id and text.d = l.d""",
 }
 
-ORACLES: dict[str, str] = {**CORPUS, **CANDIDATES, **BINARY, **SEQUENCES}
+# Training -------------------------------------------------------------------------------------------
+
+SMALL = """small as materialized (
+  select d.doc_id as id, ln(1e0 + d.n_chars) / 10e0 as x0, case when d.lang = 'en' then 1e0 else 0e0 end as x1,
+    cast(l.toxic as double) as x2, 1e0 as x3, cast(l.quality as double) as y
+  from documents d join labels l on d.doc_id = l.doc_id)"""
+
+
+def _mix(key: str, seed: int) -> str:
+    """Two multiplicative steps modulo 2^31 - 1 with the upper half folded in between."""
+    m = 2147483647
+    one = f"((({key} % {m} + {seed} * 7919) % {m}) * 48271) % {m}"
+    return f"((({one}) + ({one}) // 65536) % {m} * 69621) % {m}"
+
+
+class _Steps:
+    """Unrolled solver steps as CTEs; a vector is a one-row CTE with columns v0..v3."""
+
+    def __init__(self, buckets: int):
+        self.parts = [SMALL, f"ex as materialized (select *, ({_mix('id', 0)}) % {buckets} as bucket from small)"]
+        self.fresh = 0
+
+    def vector(self, columns: str, source: str) -> str:
+        self.fresh += 1
+        name = f"t{self.fresh}"
+        self.parts.append(f"{name} as materialized (select {columns} {source})")
+        return name
+
+    def gradient(self, w: str, bucket: int | None) -> str:
+        z = " + ".join(f"x{j} * {w}.v{j}" for j in range(4))
+        residual = f"(1e0 / (1e0 + exp(-({z}))) - y)"
+        chosen = "" if bucket is None else f" where bucket = {bucket}"
+        return self.vector(", ".join(f"avg({residual} * x{j}) as v{j}" for j in range(4)), f"from ex, {w}{chosen}")
+
+    def combine(self, terms: list[tuple[str, str]]) -> str:
+        """Linear combination of vectors."""
+        columns = ", ".join(" + ".join(f"({c}) * {v}.v{j}" for c, v in terms) + f" as v{j}" for j in range(4))
+        return self.vector(columns, "from " + ", ".join(dict.fromkeys(v for _, v in terms)))
+
+    def zero(self) -> str:
+        return self.vector("0e0 as v0, 0e0 as v1, 0e0 as v2, 0e0 as v3", "")
+
+    def finish(self, w: str) -> str:
+        rows = " union all ".join(f"select {j} as idx, round(v{j}, 9) + 0e0 as w from {w}" for j in range(4))
+        return _ctes(*self.parts) + rows
+
+
+def _sgd() -> str:
+    s = _Steps(4)
+    w = mean = s.zero()
+    for t, bucket in enumerate([0, 1, 2, 3, 1, 2, 3, 0]):
+        g = s.gradient(w, bucket)
+        rate = f"(0.5e0 / (1e0 + {t} / 10e0))"
+        w = s.combine([(f"1e0 - {rate} * 0.01e0", w), (f"-{rate}", g)])
+        mean = s.combine([(f"{t}e0 / {t + 2}e0", mean), (f"2e0 / {t + 2}e0", w)])
+    return s.finish(mean)
+
+
+def _reduced_epoch(s: _Steps, start: str, order: list[int], rate: str, kappa: str, centre: str) -> str:
+    """Inner epoch from ``start``; penalty 0.01/2 |w|^2 + kappa/2 |w - centre|^2; returns the mean iterate."""
+    full = s.gradient(start, None)
+    w = start
+    seen = []
+    for bucket in order:
+        here, there = s.gradient(w, bucket), s.gradient(start, bucket)
+        w = s.combine(
+            [(f"1e0 - {rate} * (0.01e0 + {kappa})", w), (f"{rate} * {kappa}", centre), (f"-{rate}", here),
+             (rate, there), (f"-{rate}", full)]
+        )
+        seen.append(w)
+    return s.combine([(f"1e0 / {len(order)}e0", v) for v in seen])
+
+
+def _svrg() -> str:
+    s = _Steps(3)
+    w = s.zero()
+    for order in ([0, 1, 2], [1, 2, 0]):
+        w = _reduced_epoch(s, w, order, "0.5e0", "0e0", w)
+    return s.finish(w)
+
+
+def _accelerated() -> str:
+    s = _Steps(2)
+    lam = "0.01e0"
+    alpha = f"sqrt({lam} / ({lam} + 0.05e0))"
+    mean = before = centre = centre_before = s.zero()
+    for epoch, order in enumerate([[0, 1], [1, 0], [0, 1]]):
+        kappa = f"({epoch + 1} * 0.05e0)"
+        r, r1 = f"({kappa} + {lam})", f"({epoch + 2} * 0.05e0 + {lam})"
+        pull = f"({kappa} / {r})"
+        start = s.combine([("1e0", mean), (pull, centre), (f"-{pull}", centre_before)])
+        mean = _reduced_epoch(s, start, order, f"(1e0 / (1e0 + {r}))", kappa, centre)
+        scalar = s.vector(f"{alpha} as a", "")
+        a = f"(select a from {scalar})"
+        following = s.vector(
+            f"({lam} - {a} * {a} * {r} + sqrt(power({a} * {a} * {r} - {lam}, 2) + 4e0 * {r} * {r1} * {a} * {a}))"
+            f" / (2e0 * {r1}) as a",
+            "",
+        )
+        alpha = f"(select a from {following})"
+        beta = f"({a} * (1e0 - {a}) * {r} / ({a} * {a} * {r} + {alpha} * {r1}))"
+        factor = s.vector(f"{beta} as b", "")
+        centre_before = centre
+        centre = s.combine([(f"1e0 + (select b from {factor})", mean), (f"-(select b from {factor})", before)])
+        before = mean
+    return s.finish(mean)
+
+
+def _bcfw() -> str:
+    """Two passes of two rounds. ``n`` is the number of groups; blocks of a bucket are a CTE of their own."""
+    lam = "0.1e0"
+    parts = [
+        CANDS.replace("cands as (", "cands as materialized (").replace("golds as (", "golds as materialized ("),
+        "num as materialized (select count(*) * 1e0 as n from golds)",
+        f"bucketed as materialized (select *, ({_mix('group_id', 0)}) % 2 as bucket from cands)",
+        "w0 as materialized (select 0e0 as v0, 0e0 as v1, 0e0 as v2, 0e0 as v3)",
+        "m0 as materialized (select 0e0 as v0, 0e0 as v1, 0e0 as v2, 0e0 as v3)",
+    ]
+    blocks: dict[int, str] = {}
+    four = range(4)
+    for t, bucket in enumerate([0, 1, 1, 0]):
+        z = " + ".join(f"c.x{j} * w.v{j}" for j in four)
+        parts.append(f"""pick{t} as materialized (select * from (
+  select c.*, row_number() over (partition by group_id order by ({z}) + (1e0 - iou) desc, cand) as p
+  from bucketed c, w{t} w where bucket = {bucket}) where p = 1)""")
+        corner = ", ".join(f"(g.x{j} - k.x{j}) / ({lam} * n) as s{j}" for j in four)
+        old = "0e0 as b0, 0e0 as b1, 0e0 as b2, 0e0 as b3, 0e0 as bl"
+        join = ""
+        if bucket in blocks:
+            old = ", ".join(f"o.b{j}" for j in four) + ", o.bl"
+            join = f" join {blocks[bucket]} o on o.group_id = k.group_id"
+        parts.append(f"""pair{t} as materialized (
+  select k.group_id, {corner}, (1e0 - k.iou) / n as sl, {old}
+  from pick{t} k join golds g on g.group_id = k.group_id{join}, num)""")
+        sums = ", ".join(f"sum(b{j} - s{j}) as d{j}" for j in four)
+        parts.append(f"dir{t} as materialized (select {sums}, sum(bl - sl) as dl from pair{t})")
+        inner = " + ".join(f"v{j} * d{j}" for j in four)
+        square = " + ".join(f"d{j} * d{j}" for j in four)
+        parts.append(f"""gam{t} as materialized (
+  select least(1e0, greatest(0e0, ({lam} * ({inner}) - dl) / ({lam} * ({square})))) as g from dir{t}, w{t})""")
+        moved = ", ".join(f"v{j} - g * d{j} as v{j}" for j in four)
+        parts.append(f"w{t + 1} as materialized (select {moved} from w{t}, dir{t}, gam{t})")
+        blended = ", ".join(f"(1e0 - g) * b{j} + g * s{j} as b{j}" for j in four)
+        parts.append(
+            f"blk{t} as materialized (select group_id, {blended}, (1e0 - g) * bl + g * sl as bl from pair{t}, gam{t})"
+        )
+        blocks[bucket] = f"blk{t}"
+        mean = ", ".join(f"({t}e0 * m{t}.v{j} + 2e0 * w{t + 1}.v{j}) / {t + 2}e0 as v{j}" for j in four)
+        parts.append(f"m{t + 1} as materialized (select {mean} from m{t}, w{t + 1})")
+    rows = " union all ".join(f"select {j} as idx, round(v{j}, 9) + 0e0 as w from m4" for j in four)
+    return _ctes(*parts) + rows
+
+
+TRAINING = {
+    "sample_draws": _ctes(
+        SMALL,
+        f"shuffled as (select id, row_number() over (order by {_mix('id', 1)}, id) - 1 as r, count(*) over () as n from small)",
+        f"draws as (select ({_mix('r', 5)}) % n as drawn, count(*) as c from shuffled group by 1)",
+    )
+    + "select id, coalesce(c, 0) as n_draws from shuffled left join draws on drawn = r",
+    "sgd_steps": _sgd(),
+    "svrg_steps": _svrg(),
+    "accelerated_svrg_steps": _accelerated(),
+    "bcfw_steps": _bcfw(),
+}
+
+# Runs -----------------------------------------------------------------------------------------------
+
+RUNS = """classes as (select source, count(*) as n from documents group by source),
+runs as (
+  select source, n, algorithm, l2reg, seed
+  from classes, (select unnest(['sgd', 'sgd_const', 'csvrg', 'csvrg_lr', 'svrg', 'pegasos', 'bcfw']) as algorithm) a,
+    (select unnest([1e0, 1e-1, 1e-2]) as l2reg) b, (select unnest([0, 1, 2]) as seed) c)"""
+
+RUN_TABLES = {
+    "run_grid": _ctes(RUNS)
+    + "select source, algorithm, l2reg, seed, n, round(l2reg / n, 12) as penalty from runs",
+    "run_key": _ctes(RUNS)
+    + """select source, case algorithm
+  when 'sgd' then 'sgd_' || l2reg || '_0.02_150000.0__' || seed
+  when 'sgd_const' then 'sgd_const_' || l2reg || '_0.02__' || seed
+  when 'svrg' then 'svrg_const_' || l2reg || '_0.02__' || seed || '_2.0_5'
+  when 'csvrg' then 'csvrg_const_' || l2reg || '_32.0__' || seed || '_2.0_5_option3'
+  when 'csvrg_lr' then 'csvrg_lr_expo_' || l2reg || '_0.02__' || seed || '_2.0_5_option2'
+  else algorithm || '_' || l2reg || '_32.0__' || seed end as run_id
+from runs""",
+}
+
+ORACLES: dict[str, str] = {**CORPUS, **CANDIDATES, **BINARY, **SEQUENCES, **TRAINING, **RUN_TABLES}

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import round9
+from ..functions.columns import mix_hash, round9
 from ..operators import binary, candidates, dictionaries, features, metrics, ranking, segments, sequences
 from ..session import materialize, scratch_path
 from ..sources import corpus
-from . import surrogates as s
+from . import experiments, surrogates as s
+from .frank_wolfe import fit_frank_wolfe
+from .losses import CandidateLoss, LogisticLoss, SequenceLoss
+from .schedules import L2Penalty
+from .solvers import Run
+from .train import BATCH, LOCAL, MINIBATCH, fit, gradient_norm_below, train_log as log_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -467,6 +472,167 @@ def sequence_lmo(spark, sf_dir):
     return _day(minima, F.array_join(pairs, ",").alias("psi"), F.col("loss").cast("bigint").alias("loss"))
 
 
+# Training -------------------------------------------------------------------------------------------
+
+STEP_PENALTY = 0.01
+BLOCK_PENALTY = 0.1
+
+
+def _weights(spark, result):
+    return result.weights(spark).select("idx", round9(F.col("w")).alias("w"))
+
+
+def sample_draws(spark, sf_dir):
+    """Draws with replacement, one per row, counted per row."""
+    rows = ranking.hash_rank(s.small_examples(spark, sf_dir).select("id"), "id", SPLIT_SEED, "row")
+    n = rows.count()
+    draws = rows.select(F.pmod(mix_hash(F.col("row"), 5), F.lit(n)).alias("drawn")).groupBy("drawn").count()
+    hits = rows.join(draws, F.col("row") == F.col("drawn"), "left")
+    return hits.select("id", F.coalesce("count", F.lit(0)).cast("bigint").alias("n_draws"))
+
+
+def _small_steps(spark, sf_dir, algorithm, passes, n_buckets, **options):
+    loss = LogisticLoss(s.small_examples(spark, sf_dir), 4)
+    run = Run(algorithm, [L2Penalty(STEP_PENALTY)], options)
+    mode = MINIBATCH if n_buckets > 1 else BATCH
+    result = fit(loss, run, num_passes=passes, mode=mode, n_buckets=n_buckets, logging=False)
+    loss.release()
+    return _weights(spark, result)
+
+
+def sgd_steps(spark, sf_dir):
+    """Two passes of four minibatches, decaying rate, weighted average."""
+    return _small_steps(
+        spark, sf_dir, "sgd", 2, 4,
+        learning_rate_scheme="linear", initial_learning_rate=0.5, learning_rate_time_factor=10.0,
+    )
+
+
+def svrg_steps(spark, sf_dir):
+    """T4: two passes of three minibatches."""
+    return _small_steps(spark, sf_dir, "svrg", 2, 3, learning_rate=0.5)
+
+
+def accelerated_svrg_steps(spark, sf_dir):
+    """T5: three passes of two minibatches, growing proximal weight, extrapolated start."""
+    return _small_steps(
+        spark, sf_dir, "csvrg", 3, 2,
+        lipschitz=1.0, initial_moreau=0.05, moreau_rule="linear", warm_start="extrapolation",
+    )
+
+
+def bcfw_steps(spark, sf_dir):
+    """Two passes of two rounds over all candidate groups."""
+    loss = CandidateLoss(s.candidates(spark, sf_dir), 4)
+    result = fit_frank_wolfe(
+        loss, Run("bcfw", [L2Penalty(BLOCK_PENALTY)]), num_passes=2, n_buckets=2, logging=False
+    )
+    loss.release()
+    return _weights(spark, result)
+
+
+def fit_logistic(spark, sf_dir):
+    """Accelerated SVRG, inner epochs next to the rows."""
+    loss = LogisticLoss(s.examples(spark, sf_dir), 64)
+    run = Run("csvrg", [L2Penalty(1e-3)], {"lipschitz": 0.25, "warm_start": "extrapolation"})
+    result = fit(loss, run, num_passes=5, mode=LOCAL, logging=False)
+    loss.release()
+    return _weights(spark, result)
+
+
+def _split_candidates(spark, sf_dir):
+    df = s.candidates(spark, sf_dir)
+    split = ranking.hash_split(df.select("group_id").distinct(), "group_id", SPLIT_SEED)
+    joined = df.join(split, "group_id")
+    parts = (joined.where(F.col("split") == name).drop("split") for name in ("train", "val"))
+    return [CandidateLoss(part, 4, k=TOP) for part in parts]
+
+
+def fit_candidates(spark, sf_dir):
+    """T4 with smoothing on three quarters of the groups; the log has dev objective and metrics."""
+    train, dev = _split_candidates(spark, sf_dir)
+    run = Run("svrg", [L2Penalty(1e-3)], {"learning_rate": 0.05, "smoothing_coefficient": MU}, run_id="svrg")
+    result = fit(train, run, num_passes=1, mode=LOCAL, dev=dev)
+    train.release()
+    dev.release()
+    return log_table(spark, [result]).drop("seconds")
+
+
+def fit_sequences(spark, sf_dir):
+    """T5 with a decaying smoothing coefficient on all tagged sequences."""
+    loss = SequenceLoss(_event_table(spark, sf_dir), s.SEQUENCE_DIM, k=SEQUENCE_TOP)
+    options = {"learning_rate": 0.02, "initial_moreau": 1e-3, "initial_smoothing": 2.0, "smoothing_rule": "expo"}
+    result = fit(loss, Run("csvrg_lr", [L2Penalty(1e-3)], options), num_passes=1, mode=LOCAL, logging=False)
+    loss.release()
+    return _weights(spark, result)
+
+
+def fit_sequence_blocks(spark, sf_dir):
+    """T6 on all tagged sequences."""
+    loss = SequenceLoss(_event_table(spark, sf_dir), s.SEQUENCE_DIM)
+    result = fit_frank_wolfe(loss, Run("bcfw", [L2Penalty(1e-2)]), num_passes=1, n_buckets=4, logging=False)
+    loss.release()
+    return _weights(spark, result)
+
+
+def train_log(spark, sf_dir):
+    """Objective per epoch with a stop rule on the gradient norm."""
+    loss = LogisticLoss(s.small_examples(spark, sf_dir), 4)
+    run = Run("svrg", [L2Penalty(STEP_PENALTY)], {"learning_rate": 0.5}, run_id="svrg")
+    result = fit(loss, run, num_passes=3, mode=MINIBATCH, n_buckets=4, stop=gradient_norm_below(1e-5))
+    loss.release()
+    return log_table(spark, [result]).select("epoch", "split", "metric", round9(F.col("value")).alias("value"))
+
+
+# Runs -----------------------------------------------------------------------------------------------
+
+
+def _runs(spark, sf_dir):
+    """One class per document source, with its number of documents, times the option grid."""
+    classes = s.table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    runs = experiments.grid(
+        classes, {"algorithm": experiments.ALGORITHMS, "l2reg": (1.0, 0.1, 0.01), "seed": (0, 1, 2)}
+    )
+    accelerated = F.col("algorithm").isin("csvrg", "csvrg_lr", "svrg")
+    return (
+        runs.withColumn("lr", F.lit(0.02))
+        .withColumn("lr_t", F.lit(150000.0))
+        .withColumn("L", F.lit(32.0))
+        .withColumn("smoother", F.when(accelerated, F.lit(2.0)))
+        .withColumn("decay_smoother", F.when(F.col("algorithm") == "csvrg_lr", "expo").otherwise("const"))
+        .withColumn("K", F.lit(5))
+        .withColumn("warm_start", F.when(F.col("algorithm") == "csvrg_lr", 2).otherwise(3))
+    )
+
+
+def run_grid(spark, sf_dir):
+    """The grid with the penalty each run trains with."""
+    runs = _runs(spark, sf_dir)
+    return runs.select(
+        "source", "algorithm", "l2reg", F.col("seed").cast("bigint").alias("seed"), "n",
+        F.round(F.col("l2reg") / F.col("n"), 12).alias("penalty"),
+    )
+
+
+def run_key(spark, sf_dir):
+    """S9."""
+    return experiments.run_key(_runs(spark, sf_dir)).select("source", "run_id")
+
+
+def sweep(spark, sf_dir):
+    """Six runs share every pass over one persisted table; last objective per run."""
+    loss = LogisticLoss(s.small_examples(spark, sf_dir), 4)
+    rows = [
+        {"algorithm": a, "l2reg": reg, "lr": 0.5, "lr_t": 100.0, "run_id": f"{a}_{reg}"}
+        for a in ("sgd", "svrg", "csvrg")
+        for reg in (1.0, 0.1)
+    ]
+    fits = experiments.sweep(loss, rows, num_passes=2, mode=MINIBATCH, n_buckets=4)
+    loss.release()
+    log = log_table(spark, fits)
+    return log.groupBy("run_id").agg(round9(F.max_by("value", "epoch")).alias("objective"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -481,5 +647,7 @@ QUERIES: dict[str, Query] = {
         context_window, hashed_features, sequence_feature_counts, edge_scores, sequence_score,
         viterbi_path, viterbi_topk, predict_tags, hamming, weighted_f1,
         sequence_hinge, sequence_smoothed_hinge, sequence_subgradient, sequence_smoothed_gradient, sequence_lmo,
+        sample_draws, sgd_steps, svrg_steps, accelerated_svrg_steps, bcfw_steps,
+        fit_logistic, fit_candidates, fit_sequences, fit_sequence_blocks, train_log, run_grid, run_key, sweep,
     )
 }

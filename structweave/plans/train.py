@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sequences import slices
 from .losses import TableLoss
 from .schedules import penalty_value
 from .solvers import Run, Solver, make_solver
@@ -137,7 +138,8 @@ def _shared_steps(loss: TableLoss, steps, buckets):
 def _inner_epochs(loss: TableLoss, steps, seeds, epoch: int):
     """Sequential inner epochs next to the rows, for all runs, averaged by row count.
 
-    Rows are drawn uniformly with replacement within each Arrow batch, as many draws as rows. The
+    Rows are drawn uniformly with replacement within each slice of the
+    partition (SLICE_ITEMS tokens or feature values), as many draws as rows. The
     generator is seeded by (seed, epoch, partition), so a task that runs again repeats itself.
     """
     kernel, dim, m = loss.kernel, loss.kernel.dim, len(steps)
@@ -146,9 +148,7 @@ def _inner_epochs(loss: TableLoss, steps, seeds, epoch: int):
         where = TaskContext.get().partitionId()
         chains = [(s, np.random.default_rng([seed, epoch, where])) for s, seed in zip(steps, seeds)]
         rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, kernel.weigh):
             examples = kernel.load(batch)
             n = kernel.size(examples)
             rows += n
