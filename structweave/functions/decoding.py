@@ -94,6 +94,18 @@ def path_scores(batch: TokenBatch, indices: np.ndarray, w: np.ndarray) -> np.nda
     return np.bincount(batch.owner, weights=w[indices].sum(axis=1), minlength=len(batch.size))
 
 
+def sparse_difference(
+    batch: TokenBatch, plus: np.ndarray, minus: np.ndarray, dim: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of ``plus`` minus counts of ``minus`` per segment, as (row, idx, value) triples without zeros."""
+    row = np.repeat(batch.owner, plus.shape[1]) * dim
+    cells, where = np.unique(np.concatenate([row + plus.ravel(), row + minus.ravel()]), return_inverse=True)
+    sign = np.concatenate([np.ones(plus.size), -np.ones(minus.size)])
+    value = np.bincount(where, weights=sign, minlength=len(cells))
+    kept = value != 0
+    return cells[kept] // dim, cells[kept] % dim, value[kept]
+
+
 @dataclass
 class Lattice:
     """Result of the forward pass: final K-best table per segment and the back-pointers per step."""

@@ -310,15 +310,9 @@ def batch_minimizers(tb: kernel.TokenBatch, w: np.ndarray, n_tags: int):
     flat = lattice.paths(np.arange(len(tb.size)), tags[:, 0], ranks[:, 0])
     gold = kernel.gold_indices(tb, dim)
     other = kernel.path_indices(tb, flat, np.full(len(tb.size), -1), dim)
-    row = np.repeat(tb.owner, gold.shape[1]) * dim
-    cell = np.concatenate([row + gold.ravel(), row + other.ravel()])
-    sign = np.concatenate([np.ones(gold.size), -np.ones(other.size)])
-    cells, where = np.unique(cell, return_inverse=True)
-    value = np.bincount(where, weights=sign, minlength=len(cells))
-    kept = value != 0
-    cells, value = cells[kept], value[kept]
+    row, idx, value = kernel.sparse_difference(tb, gold, other, dim)
     loss = np.bincount(tb.owner, weights=tb.tags[tb.own] != flat, minlength=len(tb.size))
-    return cells // dim, cells % dim, value, loss
+    return row, idx, value, loss
 
 
 def linear_minimizers(table: SequenceTable, w: np.ndarray) -> DataFrame:

@@ -74,7 +74,7 @@ select kind, tag, count(*) as n from stacked
 where (kind, tag) not in (select (kind, tag) from stacked where doc_id in (select doc_id from labels))
 group by kind, tag""",
     "encoded_sequences": _ctes(LINES, TOKENS, VOCAB, TAGS)
-    + """select doc_id, line_no, 0 as seg, any_value(t.len) as len,
+    + """select doc_id, line_no, pos // 4096 as seg, any_value(t.len) as len,
   string_agg(cast(coalesce(v.id, 0) as varchar), ',' order by pos) as words,
   string_agg(cast(p.id as varchar), ',' order by pos) as pos_tags,
   string_agg(cast(c.id as varchar), ',' order by pos) as chunks,
@@ -83,7 +83,7 @@ from tokens t left join vocab v using (word)
 join tag_ids p on p.kind = 'pos' and p.tag = t.pos_tag
 join tag_ids c on c.kind = 'chunk' and c.tag = t.chunk_tag
 join tag_ids g on g.kind = 'tag' and g.tag = t.tag
-group by doc_id, line_no""",
+group by doc_id, line_no, pos // 4096""",
     "shared_dictionary_load": _ctes(LINES, TOKENS)
     + """, train_words as (
   select word, count(*) as n, min({'a': doc_id, 'b': line_no, 'c': pos}) as first from tokens

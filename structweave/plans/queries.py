@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import mix_hash, round9
 from ..operators import binary, candidates, dictionaries, features, metrics, ranking, segments, sequences
-from ..session import materialize, scratch_path
+from ..session import scratch_path
 from ..sources import corpus
 from . import experiments, surrogates as s
 from .frank_wolfe import fit_frank_wolfe
@@ -55,7 +55,7 @@ def _column_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "corpus")
     _column_format(spark, sf_dir).write.text(path)
-    return materialize(corpus.number_sentences(corpus.scan_lines(spark, path)))
+    return corpus.number_sentences(corpus.scan_lines(spark, path))
 
 
 def corpus_scan(spark, sf_dir):

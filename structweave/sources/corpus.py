@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Fixed value: the line prefix that opens a document.
 DOCUMENT_MARKER = "-DOCSTART-"
 
@@ -29,52 +31,88 @@ def _blank(line: Column) -> Column:
 
 
 def number_sentences(lines: DataFrame, marker: str = DOCUMENT_MARKER) -> DataFrame:
-    """Mark every line of (file, block, line_no, line) as token, break or skipped and number the sentences.
+    """Mark every line of (file, block, line_no, line) as token or break and number the sentences.
 
     A line that starts with ``marker`` and the single line after it are skipped. Any other
-    whitespace line closes a sentence. State crosses block borders through one summary row per block:
-    whether the block ends on a marker, how many breaks and tokens it holds, and how many tokens precede
-    its last break.
+    whitespace line closes a sentence. Lines are counted inside their block, as if no marker ended the
+    block before; that result is written once. One summary row per block then carries counts forward, and
+    a block whose predecessor did end on a marker takes its first line back.
     """
     by_line = Window.partitionBy("file", "block").orderBy("line_no")
     upto = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_marker = F.col("line").startswith(marker)
+    after = F.lag(is_marker).over(by_line)
+    flagged = lines.select(
+        "*", is_marker.alias("_marker"), F.coalesce(after, F.lit(False)).alias("_after"), after.isNull().alias("_first")
+    ).select(
+        "*",
+        (~F.col("_marker") & ~F.col("_after") & _blank(F.col("line"))).alias("_break"),
+        (~F.col("_marker") & ~F.col("_after") & ~_blank(F.col("line"))).alias("_token"),
+    )
+    counted = flagged.select(
+        "*",
+        F.sum(F.col("_break").cast("bigint")).over(upto).alias("_breaks"),
+        F.sum(F.col("_token").cast("bigint")).over(upto).alias("_tokens"),
+    )
+    local = counted.withColumn("_at", F.max(F.when(F.col("_break"), F.col("_tokens"))).over(upto)).drop("_after")
+    local = materialize(local)
+    return _place(local, _block_offsets(local))
+
+
+def _block_offsets(local: DataFrame) -> DataFrame:
+    """One row per block: whether its first line falls to a marker before it, and what precedes it."""
     blocks = Window.partitionBy("file").orderBy("block")
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
-
-    flagged = lines.withColumn("_doc", F.col("line").startswith(marker)).withColumn("_blank", _blank(F.col("line")))
-    block_end = flagged.groupBy("file", "block").agg(F.max_by("_doc", "line_no").alias("_ends_on_marker"))
-    carried = block_end.select(
-        "file", "block", F.lag("_ends_on_marker", 1, False).over(blocks).alias("_carried_marker")
+    summary = local.groupBy("file", "block").agg(
+        F.max("_breaks").alias("_nb"),
+        F.max("_tokens").alias("_nt"),
+        F.max("_at").alias("_last"),
+        F.max_by("_marker", "line_no").alias("_ends"),
+        F.bool_or(F.col("_first") & F.col("_break")).alias("_fb"),
+        F.bool_or(F.col("_first") & F.col("_token")).alias("_ft"),
     )
-    kinds = (
-        flagged.join(carried, ["file", "block"])
-        .withColumn("_after", F.coalesce(F.lag("_doc").over(by_line), F.col("_carried_marker")))
-        .withColumn("_skip", F.col("_doc") | F.col("_after"))
-        .withColumn("is_break", ~F.col("_skip") & F.col("_blank"))
-        .withColumn("is_token", ~F.col("_skip") & ~F.col("_blank"))
-        .withColumn("_breaks", F.sum(F.col("is_break").cast("bigint")).over(upto))
-        .withColumn("_tokens", F.sum(F.col("is_token").cast("bigint")).over(upto))
-        .withColumn("_at_break", F.max(F.when(F.col("is_break"), F.col("_tokens"))).over(upto))
+    # A block of one marker-swallowed line ends on no marker, so the carry never has to chain.
+    carried = summary.withColumn("_carry", F.lag("_ends", 1, False).over(blocks)).select(
+        "file",
+        "block",
+        "_carry",
+        (F.col("_carry") & F.col("_fb")).cast("bigint").alias("_lost_b"),
+        (F.col("_carry") & F.col("_ft")).cast("bigint").alias("_lost_t"),
+        "_nb",
+        "_nt",
+        "_last",
+    )
+    net = carried.select(
+        "*",
+        (F.col("_nb") - F.col("_lost_b")).alias("_net_b"),
+        (F.col("_nt") - F.col("_lost_t")).alias("_net_t"),
+        F.when(F.col("_nb") > F.col("_lost_b"), F.col("_last") - F.col("_lost_t")).alias("_net_at"),
     )
-    summary = kinds.groupBy("file", "block").agg(
-        F.max("_breaks").alias("_nb"), F.max("_tokens").alias("_nt"), F.max("_at_break").alias("_last")
+    before = net.select(
+        "*",
+        F.coalesce(F.sum("_net_b").over(earlier), F.lit(0)).alias("_b0"),
+        F.coalesce(F.sum("_net_t").over(earlier), F.lit(0)).alias("_t0"),
+        F.sum("_net_b").over(Window.partitionBy("file")).alias("n_breaks"),
     )
-    tokens_before = F.coalesce(F.sum("_nt").over(earlier), F.lit(0))
-    placed = summary.select(
+    start = F.coalesce(F.max(F.col("_t0") + F.col("_net_at")).over(earlier), F.lit(0))
+    return before.select("file", "block", "_carry", "_lost_b", "_lost_t", "_b0", "_t0", "n_breaks", start.alias("_s0"))
+
+
+def _place(local: DataFrame, offsets: DataFrame) -> DataFrame:
+    taken = F.col("_carry") & F.col("_first")
+    is_break, is_token = F.col("_break") & ~taken, F.col("_token") & ~taken
+    breaks, tokens = F.col("_breaks") - F.col("_lost_b"), F.col("_tokens") - F.col("_lost_t")
+    start = F.when(breaks > 0, F.col("_t0") + F.col("_at") - F.col("_lost_t")).otherwise(F.col("_s0"))
+    return local.join(offsets, ["file", "block"]).select(
         "file",
         "block",
-        F.coalesce(F.sum("_nb").over(earlier), F.lit(0)).alias("_b0"),
-        tokens_before.alias("_t0"),
-        (tokens_before + F.col("_last")).alias("_break_at"),
-        F.sum("_nb").over(Window.partitionBy("file")).alias("n_breaks"),
-    )
-    offsets = placed.withColumn("_s0", F.coalesce(F.max("_break_at").over(earlier), F.lit(0))).drop("_break_at")
-    return (
-        kinds.join(offsets, ["file", "block"])
-        .withColumn("sent", F.col("_b0") + F.col("_breaks") - F.col("is_break").cast("bigint"))
-        .withColumn("_start", F.coalesce(F.col("_t0") + F.col("_at_break"), F.col("_s0")))
-        .withColumn("pos", F.col("_t0") + F.col("_tokens") - F.col("_start") - 1)
-        .select("file", "block", "line_no", "line", "is_break", "is_token", "sent", "pos", "n_breaks")
+        "line_no",
+        "line",
+        is_break.alias("is_break"),
+        is_token.alias("is_token"),
+        (F.col("_b0") + breaks - is_break.cast("bigint")).alias("sent"),
+        (F.col("_t0") + tokens - start - 1).alias("pos"),
+        "n_breaks",
     )
 
 
