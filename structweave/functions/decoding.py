@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from __future__ import annotations
+
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .templates import AFTER, BEFORE, potentials, template_indices
+from .templates import AFTER, BEFORE, CONTEXT, potentials, template_indices
 
 MISSING = -np.inf
 
@@ -17,11 +19,23 @@ MISSING = -np.inf
 class TokenBatch:
     """The tokens of a batch of segments, flattened, with the context columns of the templates."""
 
-    context: dict[str, np.ndarray]
+    context: np.ndarray  # (tokens, CONTEXT columns)
+    has: np.ndarray  # (tokens, OPTIONAL columns)
+    previous: np.ndarray  # recorded tag before each token
     tags: np.ndarray
     first: np.ndarray  # flat index of each segment's first own token
     size: np.ndarray  # own tokens of each segment
 
+    def pick(self, rows: np.ndarray) -> TokenBatch:
+        """Some of the segments, over the same tokens."""
+        return replace(self, first=self.first[rows], size=self.size[rows])
+
+    def one(self, i: int) -> TokenBatch:
+        """A segment on its own, without neighbours; for sequences of one segment."""
+        part = slice(self.first[i], self.first[i] + self.size[i])
+        columns = (x[part] for x in (self.context, self.has, self.previous, self.tags))
+        return TokenBatch(*columns, np.zeros(1, dtype=np.int64), self.size[i : i + 1])
+
     @property
     def own(self) -> np.ndarray:
         """Flat indices of all own tokens, segment after segment."""
@@ -60,24 +74,20 @@ def token_batch(batch: pa.RecordBatch) -> TokenBatch:
     def near(values, offset):
         return _shift(values, place, row_width, offset, BEFORE if offset < 0 else AFTER)
 
-    context = {"w": words, "p": pos_tags, "c": chunks}
+    near_by = {"w": words, "p": pos_tags, "c": chunks}
     for name in ("w", "p", "c"):
-        context[f"{name}_m1"] = near(context[name], -1)
-        context[f"{name}_n1"] = near(context[name], 1)
-    context["w_m2"], context["w_n2"] = near(words, -2), near(words, 2)
-    context["has_w_m2"], context["has_w_n2"] = place >= 2, place < row_width - 2
-    context["y1"] = near(tags, -1)
-    return TokenBatch(context, tags, begin + left, size)
-
-
-def take_context(batch: TokenBatch, tokens: np.ndarray) -> dict[str, np.ndarray]:
-    return {name: values[tokens] for name, values in batch.context.items() if name != "y1"}
+        near_by[f"{name}_m1"] = near(near_by[name], -1)
+        near_by[f"{name}_n1"] = near(near_by[name], 1)
+    near_by["w_m2"], near_by["w_n2"] = near(words, -2), near(words, 2)
+    context = np.stack([near_by[name] for name in CONTEXT], axis=1)
+    has = np.stack([place >= 2, place < row_width - 2], axis=1)
+    return TokenBatch(context, has, near(tags, -1), tags, begin + left, size)
 
 
 def gold_indices(batch: TokenBatch, dim: int) -> np.ndarray:
     """Feature indices (own tokens, 27) of the recorded tagging."""
     own = batch.own
-    return template_indices(take_context(batch, own), batch.tags[own], batch.context["y1"][own], dim)
+    return template_indices(batch.context[own], batch.has[own], batch.tags[own], batch.previous[own], dim)
 
 
 def path_indices(batch: TokenBatch, path: np.ndarray, entry: np.ndarray, dim: int) -> np.ndarray:
@@ -87,7 +97,7 @@ def path_indices(batch: TokenBatch, path: np.ndarray, entry: np.ndarray, dim: in
     previous[1:] = path[:-1]
     starts = np.cumsum(batch.size) - batch.size
     previous[starts] = entry
-    return template_indices(take_context(batch, own), path, previous, dim)
+    return template_indices(batch.context[own], batch.has[own], path, previous, dim)
 
 
 def path_scores(batch: TokenBatch, indices: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -140,7 +150,7 @@ def forward(batch: TokenBatch, w: np.ndarray, n_tags: int, k: int, use_loss: boo
     Ties go to the path that is smaller when read backwards: among equal scores the lower previous tag
     and then the lower rank win, which a stable descending sort keeps.
     """
-    node, arrive, link = potentials(batch.context, w, n_tags)
+    node, arrive, link = potentials(batch.context, batch.has, w, n_tags)
     if use_loss:
         node = node + (np.arange(n_tags)[None, :] != batch.tags[:, None])
     order = np.argsort(-batch.size, kind="stable")

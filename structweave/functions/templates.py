@@ -54,57 +54,75 @@ def template_columns(dim: int, tag: str = "y", previous: str = "y1") -> Column:
     return F.array(*slots)
 
 
-def _depends(slot: tuple[str, str]) -> frozenset[str]:
-    return frozenset(name for name in slot if name in ("y", "y1"))
+def _code_parts(free: tuple[str, ...]):
+    """Slots whose tags are exactly ``free``: numbers, context columns with factors, and tag factors."""
+    found = []
+    for slot, pair in enumerate(SLOTS):
+        if tuple(sorted({x for x in pair if x in ("y", "y1")})) != free:
+            continue
+        factor = {pair[0]: HASH_SECOND, pair[1]: 1}
+        context = [(CONTEXT.index(x), factor[x]) for x in pair if x in CONTEXT]
+        found.append((slot, context, [factor[x] for x in free]))
+    return found
 
 
-def template_indices(context: dict[str, np.ndarray], tag: np.ndarray, previous: np.ndarray, dim: int) -> np.ndarray:
-    """Indices of shape (tokens, 27) along a given tagging."""
-    values = {**context, "y": tag, "y1": previous}
-    out = np.empty((len(tag), len(SLOTS)), dtype=np.int64)
-    for slot, (second, third) in enumerate(SLOTS):
-        hashed = (HASH_BASE + HASH_SLOT * slot + HASH_SECOND * values[second] + values[third]) % dim
-        if second in OPTIONAL:
-            hashed = np.where(context[f"has_{second}"], hashed, 0)
-        out[:, slot] = hashed
-    return out
+def _one_tag(name: str):
+    """(slot bases, context columns, context factors, tag factors) of the slots that read one tag only."""
+    parts = _code_parts((name,))
+    base = np.array([HASH_BASE + HASH_SLOT * slot for slot, _, _ in parts])
+    column = np.array([context[0][0] for _, context, _ in parts])
+    return base, column, np.array([context[0][1] for _, context, _ in parts]), np.array([f[0] for _, _, f in parts])
 
 
-def potentials(context: dict[str, np.ndarray], w: np.ndarray, n_tags: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_NODE, _ARRIVE = _one_tag("y"), _one_tag("y1")
+_FIXED = _code_parts(())
+_LINK = _code_parts(("y", "y1"))
+_ALL = (*CONTEXT, "y", "y1")
+_SECOND = np.array([_ALL.index(a) for a, _ in SLOTS])
+_THIRD = np.array([_ALL.index(b) for _, b in SLOTS])
+_BASE = HASH_BASE + HASH_SLOT * np.arange(len(SLOTS))
+_OPTIONAL_COLUMNS = [CONTEXT.index(name) for name in OPTIONAL]
+_OPTIONAL_SLOTS = [[i for i, (a, _) in enumerate(SLOTS) if a == name] for name in OPTIONAL]
+
+
+def template_indices(
+    context: np.ndarray, has: np.ndarray, tag: np.ndarray, previous: np.ndarray, dim: int
+) -> np.ndarray:
+    """Indices of shape (tokens, 27) along a given tagging.
+
+    ``context`` holds the CONTEXT columns of each token and ``has`` whether the OPTIONAL ones exist.
+    """
+    values = np.concatenate([context, tag[:, None], previous[:, None]], axis=1)
+    index = (_BASE + HASH_SECOND * values[:, _SECOND] + values[:, _THIRD]) % dim
+    for column, slots in enumerate(_OPTIONAL_SLOTS):
+        index[:, slots] *= has[:, column, None]
+    return index
+
+
+def _tag_scores(parts, context, has, w, tags):
+    base, column, factor, tag_factor = parts
+    codes = (base + factor * context[:, column])[:, :, None] + tag_factor[None, :, None] * tags[None, None, :]
+    index = codes % len(w)
+    for i, c in enumerate(_OPTIONAL_COLUMNS):
+        index[:, column == c] *= has[:, i, None, None]
+    return w[index].sum(axis=1)
+
+
+def potentials(
+    context: np.ndarray, has: np.ndarray, w: np.ndarray, n_tags: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edge scores in factored form: score(y1, y) at token i is node[i, y] + arrive[i, y1] + link[y1, y].
 
     Previous tags have n_tags + 1 rows, row 0 being the start sentinel. Slots are evaluated once per
     dependency (tag only, previous tag only, both, neither) instead of once per tag pair.
     """
-    dim = len(w)
-    n = len(context["w"])
-    tags = np.arange(n_tags, dtype=np.int64)
-    previous = np.arange(-1, n_tags, dtype=np.int64)
-    node = np.zeros((n, n_tags))
-    arrive = np.zeros((n, n_tags + 1))
+    tags, previous = np.arange(n_tags), np.arange(-1, n_tags)
+    node = _tag_scores(_NODE, context, has, w, tags)
+    arrive = _tag_scores(_ARRIVE, context, has, w, previous)
     link = np.zeros((n_tags + 1, n_tags))
-    fixed = np.zeros(n)
-    for slot, pair in enumerate(SLOTS):
-        base = HASH_BASE + HASH_SLOT * slot
-        depends = _depends(pair)
-        if depends == {"y", "y1"}:
-            link += w[(base + HASH_SECOND * previous[:, None] + tags[None, :]) % dim]
-            continue
-        if not depends:
-            fixed += w[(base + HASH_SECOND * context[pair[0]] + context[pair[1]]) % dim]
-            continue
-        (name,) = depends
-        values = tags if name == "y" else previous
-        if pair[0] == name:
-            codes = base + HASH_SECOND * values[None, :] + context[pair[1]][:, None]
-        else:
-            codes = base + HASH_SECOND * context[pair[0]][:, None] + values[None, :]
-        index = codes % dim
-        if pair[0] in OPTIONAL:
-            index = np.where(context[f"has_{pair[0]}"][:, None], index, 0)
-        if name == "y":
-            node += w[index]
-        else:
-            arrive += w[index]
-    node += fixed[:, None]
+    for slot, _, (of_tag, of_previous) in _LINK:
+        code = HASH_BASE + HASH_SLOT * slot + of_previous * previous[:, None] + of_tag * tags[None, :]
+        link += w[code % len(w)]
+    for slot, ((a, fa), (b, fb)), _ in _FIXED:
+        node += w[(HASH_BASE + HASH_SLOT * slot + fa * context[:, a] + fb * context[:, b]) % len(w)][:, None]
     return node, arrive, link

@@ -66,9 +66,8 @@ def tag_dictionary(tokens: DataFrame, order: Column) -> DataFrame:
 
     One row per distinct tag leaves the aggregate, so the ranking is over the closed tag set.
     """
-    stacked = tokens.withColumn("_order", order).selectExpr(
-        "stack(3, 'pos', pos_tag, 'chunk', chunk_tag, 'tag', tag) as (kind, tag)", "_order"
-    )
+    combined = tokens.groupBy("pos_tag", "chunk_tag", "tag").agg(F.min(order).alias("_order"))
+    stacked = combined.selectExpr("stack(3, 'pos', pos_tag, 'chunk', chunk_tag, 'tag', tag) as (kind, tag)", "_order")
     firsts = stacked.groupBy("kind", "tag").agg(F.min("_order").alias("_first"))
     rank = Window.partitionBy("kind").orderBy("_first", "tag")
     return firsts.select("kind", "tag", (F.row_number().over(rank) - 1).cast("bigint").alias("id"))
@@ -111,11 +110,9 @@ def _encode_two_tier(tokens: DataFrame, entries: DataFrame, key: Column, out: st
 
 def unknown_tags(tokens: DataFrame, tags: DataFrame) -> DataFrame:
     """Tags of ``tokens`` that the dictionary lacks, with their counts: (kind, tag, n)."""
-    seen = (
-        tokens.selectExpr("stack(3, 'pos', pos_tag, 'chunk', chunk_tag, 'tag', tag) as (kind, tag)")
-        .groupBy("kind", "tag")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    combined = tokens.groupBy("pos_tag", "chunk_tag", "tag").agg(F.count(F.lit(1)).alias("_n"))
+    stacked = combined.selectExpr("stack(3, 'pos', pos_tag, 'chunk', chunk_tag, 'tag', tag) as (kind, tag)", "_n")
+    seen = stacked.groupBy("kind", "tag").agg(F.sum("_n").alias("n"))
     return seen.join(tags.select("kind", "tag"), ["kind", "tag"], "left_anti")
 
 

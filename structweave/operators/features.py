@@ -1,42 +1,18 @@
-"""Sequence feature maps on token rows."""
+"""Sequence feature maps as column expressions on token rows.
+
+Counts and scores of whole sequences are narrow passes over segment rows, see ``sequences``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.templates import template_columns
 from .segments import context_window
 
-# Largest weight vector that may be broadcast as a table; the feature hash keeps dimensions below it.
-MAX_DIM = 1 << 20
-
 
 def hashed_features(tokens: DataFrame, keys: Sequence[str], dim: int) -> DataFrame:
     """Array of the 27 hashed indices at each position of the given tagging: (keys, pos, idx)."""
     return context_window(tokens, keys).select(*keys, "pos", template_columns(dim).alias("idx"))
-
-
-def feature_counts(tokens: DataFrame, keys: Sequence[str], dim: int) -> DataFrame:
-    """Feature vector of each sequence in sparse rows (keys, idx, n)."""
-    exploded = hashed_features(tokens, keys, dim).select(*keys, F.explode("idx").alias("idx"))
-    return exploded.groupBy(*keys, "idx").agg(F.count(F.lit(1)).alias("n"))
-
-
-def weight_table(spark, w) -> DataFrame:
-    """The model as rows (idx, w)."""
-    if len(w) > MAX_DIM:
-        raise ValueError(f"weight vector has {len(w)} entries, more than {MAX_DIM}")
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "idx bigint, w double")
-
-
-def sequence_score(tokens: DataFrame, keys: Sequence[str], w) -> DataFrame:
-    """Score of each sequence under its own tagging: (keys, score).
-
-    The weight table has len(w) rows, checked against MAX_DIM, and is broadcast; scores are summed map-side.
-    """
-    weights = weight_table(tokens.sparkSession, w)
-    indexed = hashed_features(tokens, keys, len(w)).select(*keys, F.explode("idx").alias("idx"))
-    return indexed.join(F.broadcast(weights), "idx").groupBy(*keys).agg(F.sum("w").alias("score"))

@@ -75,7 +75,7 @@ def _forward(batch: pa.RecordBatch, w, n_tags, k, use_loss):
     """Forward pass of one segment from every possible tag before it; rows of the lattice are entries."""
     tb = kernel.token_batch(batch)
     entries = np.arange(-1, n_tags)
-    many = kernel.TokenBatch(tb.context, tb.tags, np.repeat(tb.first, len(entries)), np.repeat(tb.size, len(entries)))
+    many = tb.pick(np.zeros(len(entries), dtype=np.int64))
     return kernel.forward(many, w, n_tags, k, use_loss, entries)
 
 

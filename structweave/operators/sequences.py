@@ -118,7 +118,7 @@ def edge_scores(table: SequenceTable, w: np.ndarray, use_loss: bool = False) ->
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tb = kernel.token_batch(batch)
-        node, arrive, link = kernel.potentials(tb.context, w, n_tags)
+        node, arrive, link = kernel.potentials(tb.context, tb.has, w, n_tags)
         if use_loss:
             node = node + (np.arange(n_tags)[None, :] != tb.tags[:, None])
         own, owner = tb.own, tb.owner
@@ -139,6 +139,32 @@ def edge_scores(table: SequenceTable, w: np.ndarray, use_loss: bool = False) ->
     return map_arrow(table.df, f"{table.key_fields()}, pos bigint, y1 bigint, y bigint, score double", run, "words")
 
 
+def feature_counts(table: SequenceTable, dim: int) -> DataFrame:
+    """Feature vector of each sequence under its own tagging, in sparse rows (keys, idx, n)."""
+    keys = table.keys
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tb = kernel.token_batch(batch)
+        cell = (tb.owner[:, None] * dim + kernel.gold_indices(tb, dim)).ravel()
+        cells, n = np.unique(cell, return_counts=True)
+        return _record(batch, keys, cells // dim, idx=cells % dim, n=n)
+
+    counts = map_arrow(table.df, f"{table.key_fields()}, idx bigint, n bigint", run, "words")
+    return counts.groupBy(*keys, "idx").agg(F.sum("n").alias("n")) if table.has_long else counts
+
+
+def sequence_score(table: SequenceTable, w: np.ndarray) -> DataFrame:
+    """Score of each sequence under its own tagging: (keys, score)."""
+    keys = table.keys
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tb = kernel.token_batch(batch)
+        return _record(batch, keys, None, score=kernel.path_scores(tb, kernel.gold_indices(tb, len(w)), w))
+
+    scores = map_arrow(table.df, f"{table.key_fields()}, score double", run, "words")
+    return scores.groupBy(*keys).agg(F.sum("score").alias("score")) if table.has_long else scores
+
+
 def decode(table: SequenceTable, w: np.ndarray, k: int = 1, use_loss: bool = False) -> DataFrame:
     """K best taggings of every sequence: (keys, seg, rank, score, entry, path).
 
@@ -258,7 +284,7 @@ def batch_gradient(tb: kernel.TokenBatch, w: np.ndarray, n_tags: int, mu: float
         if not len(rows):
             continue
         flat = lattice.paths(rows, tags[rows, rank], ranks[rows, rank])
-        part = kernel.TokenBatch(tb.context, tb.tags, tb.first[rows], tb.size[rows])
+        part = tb.pick(rows)
         indices = kernel.path_indices(part, flat, np.full(len(rows), -1), dim)
         spread = np.repeat(weights[rows, rank][part.owner], indices.shape[1])
         total += np.bincount(indices.ravel(), weights=spread, minlength=dim)
@@ -293,7 +319,7 @@ def gradient_rows(
     for rank in range(weights.shape[1]):
         rows = np.flatnonzero(weights[:, rank] > 0)
         flat = lattice.paths(rows, tags[rows, rank], ranks[rows, rank])
-        part = kernel.TokenBatch(tb.context, tb.tags, tb.first[rows], tb.size[rows])
+        part = tb.pick(rows)
         indices = kernel.path_indices(part, flat, np.full(len(rows), -1), dim)
         owner = rows[part.owner]
         cells.append((owner[:, None] * dim + indices).ravel())

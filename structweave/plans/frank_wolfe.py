@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,30 +98,30 @@ def _round(loss: TableLoss, blocks: dict[int, DataFrame], bucket: int, w: np.nda
         gamma = 0.0
     else:
         gamma = min(1.0, max(0.0, (strength * float(w @ direction) - loss_gap) / (strength * length)))
-    blocks[bucket] = _move(pair, keys, gamma)
+    blocks[bucket] = _move(pair, keys, gamma, dim)
     return w - gamma * direction
 
 
-def _move(pair: DataFrame, keys: list[str], gamma: float) -> DataFrame:
+def _move(pair: DataFrame, keys: list[str], gamma: float, dim: int) -> DataFrame:
     """(1 - γ) block + γ corner for every row, as sparse rows."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pair.select(*keys).schema)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        index, values, sizes = [], [], []
-        parts = [batch.column(c) for c in ("idx", "val", "_si", "_sv")]
-        for bi, bv, si, sv in zip(*[p.to_numpy(zero_copy_only=False) for p in parts]):
-            merged, where = np.unique(np.concatenate([bi, si]), return_inverse=True)
-            weights = np.concatenate([(1 - gamma) * bv, gamma * sv])
-            value = np.bincount(where, weights=weights, minlength=len(merged))
-            kept = value != 0
-            index.append(merged[kept])
-            values.append(value[kept])
-            sizes.append(int(kept.sum()))
+        cells, values = [], []
+        for index, value, factor in (("idx", "val", 1 - gamma), ("_si", "_sv", gamma)):
+            size = np.asarray(pc.list_value_length(batch.column(index)), dtype=np.int64)
+            owner = np.repeat(np.arange(batch.num_rows), size)
+            cells.append(owner * dim + np.asarray(batch.column(index).flatten(), dtype=np.int64))
+            values.append(factor * np.asarray(batch.column(value).flatten(), dtype=np.float64))
+        merged, where = np.unique(np.concatenate(cells), return_inverse=True)
+        total = np.bincount(where, weights=np.concatenate(values), minlength=len(merged))
+        merged, total = merged[total != 0], total[total != 0]
+        sizes = np.bincount(merged // dim, minlength=batch.num_rows)
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
         old = np.asarray(batch.column("loss"))
         columns = [batch.column(k) for k in keys] + [
-            pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(index).astype(np.int64))),
-            pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values).astype(np.float64))),
+            pa.ListArray.from_arrays(offsets, pa.array(merged % dim)),
+            pa.ListArray.from_arrays(offsets, pa.array(total)),
             pa.array((1 - gamma) * old + gamma * np.asarray(batch.column("_sl"))),
         ]
         return pa.RecordBatch.from_arrays(columns, [*keys, "idx", "val", "loss"])

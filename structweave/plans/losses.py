@@ -15,6 +15,10 @@ from pyspark.storagelevel import StorageLevel
 from ..functions import decoding
 from ..functions.columns import mix_hash
 from ..operators import binary, candidates, metrics, sequences
+from ..session import materialize
+
+
+MIN_ROWS, MAX_ROWS = 1_000, 1_000_000  # rows per training partition
 
 
 class Kernel:
@@ -104,46 +108,48 @@ class CandidateKernel(Kernel):
         a, b = bounds[i], bounds[i + 1]
         return feats[a:b], ious[a:b], np.array([0, b - a])
 
+    @staticmethod
+    def firsts(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Index of the highest value of each group, first on ties."""
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        top = np.flatnonzero(values == np.maximum.reduceat(values, bounds[:-1])[owner])
+        return top[np.unique(owner[top], return_index=True)[1]]
+
     def _choose(self, examples, w, mu):
-        """Per group (indices, weights, scores) of the top candidates and the gold index."""
+        """Per group the top candidates (groups, K) with weights and scores, and the gold candidate."""
         feats, ious, bounds = examples
         aug = feats @ w + (1 - ious)
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            part = aug[a:b]
-            gold = a + int(np.argmax(ious[a:b]))
-            if mu is None:
-                best = a + np.array([int(np.argmax(part))])
-                yield best, np.ones(1), aug[best], gold, aug[gold]
-                continue
-            best = a + np.argsort(-part, kind="stable")[: self.k]
-            weights = decoding.simplex_weights(aug[best][None, :], mu)[0]
-            yield best, weights, aug[best], gold, aug[gold]
+        gold = self.firsts(ious, bounds)
+        if mu is None:
+            best = self.firsts(aug, bounds)[:, None]
+            return best, np.ones(best.shape), aug[best], gold, aug[gold]
+        size = np.diff(bounds)
+        owner = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((-aug, owner))
+        rank = np.arange(len(aug)) - bounds[owner]
+        kept = rank < self.k
+        best = np.zeros((len(size), self.k), dtype=np.int64)
+        scores = np.full(best.shape, decoding.MISSING)
+        best[owner[kept], rank[kept]] = order[kept]
+        scores[owner[kept], rank[kept]] = aug[order[kept]]
+        return best, decoding.simplex_weights(scores, mu), scores, gold, aug[gold]
 
     def values(self, examples, w, mu):
-        pairs = [
-            (scores[0] - reference, weights @ scores - reference)
-            for _, weights, scores, _, reference in self._choose(examples, w, mu)
-        ]
-        plain, smooth = np.array(pairs).reshape(-1, 2).T
-        return plain, smooth
+        _, weights, scores, _, reference = self._choose(examples, w, mu)
+        smooth = (weights * np.where(np.isfinite(scores), scores, 0.0)).sum(axis=1)
+        return scores[:, 0] - reference, smooth - reference
 
     def gradient_sum(self, examples, w, mu):
+        best, weights, _, gold, _ = self._choose(examples, w, mu)
         feats = examples[0]
-        spread = np.zeros(len(feats))
-        for best, weights, _, gold, _ in self._choose(examples, w, mu):
-            spread[best] += weights
-            spread[gold] -= 1
+        spread = np.bincount(best.ravel(), weights=weights.ravel(), minlength=len(feats))
+        spread[gold] -= 1
         return spread @ feats
 
     def support(self, examples, w, mu):
         feats = examples[0]
-        chosen = [(best, weights, gold) for best, weights, _, gold, _ in self._choose(examples, w, mu)]
-
-        def at(i):
-            best, weights, gold = chosen[i]
-            return weights @ feats[best] - feats[gold]
-
-        return at
+        best, weights, _, gold, _ = self._choose(examples, w, mu)
+        return lambda i: weights[i] @ feats[best[i]] - feats[gold[i]]
 
 
 class SequenceKernel(Kernel):
@@ -161,9 +167,7 @@ class SequenceKernel(Kernel):
         return len(examples.size)
 
     def take(self, examples, i):
-        a, b = examples.first[i], examples.first[i] + examples.size[i]
-        context = {name: values[a:b] for name, values in examples.context.items()}
-        return decoding.TokenBatch(context, examples.tags[a:b], np.array([0]), examples.size[i : i + 1])
+        return examples.one(i)
 
     def _k(self, mu):
         return 1 if mu is None else self.k
@@ -205,13 +209,16 @@ class TableLoss:
         self.n_buckets = 1
         self.partitions = 0
 
-    def prepare(self, partitions: int | None = None, n_buckets: int = 1, rows_per_partition: int = 20_000):
-        """Place, order and persist the rows. Partitions are chosen by rows unless given."""
+    def prepare(self, partitions: int | None = None, n_buckets: int = 1):
+        """Place, order and persist the rows. Partitions are chosen by rows unless given: enough rows in each
+        for an inner epoch to be worth averaging, as many as there are cores, and none too large."""
         if self.df is not None and self.n_buckets == n_buckets and partitions in (None, self.partitions):
             return self
         self.release()
         self.n = self.n or self.source.count()
-        self.partitions = partitions or max(1, math.ceil(self.n / rows_per_partition))
+        cores = self.source.sparkSession.sparkContext.defaultParallelism
+        wanted = max(min(self.n // MIN_ROWS, cores), math.ceil(self.n / MAX_ROWS), 1)
+        self.partitions = partitions or wanted
         self.n_buckets = n_buckets
         bucketed = self.source.withColumn("_bucket", F.pmod(self._key_hash, F.lit(n_buckets)).cast("int"))
         placed = bucketed.repartition(self.partitions, *self.keys).sortWithinPartitions("_bucket", *self.keys)
@@ -291,7 +298,8 @@ class CandidateLoss(TableLoss):
         grouped = kept.groupBy("group_id").agg(F.array_sort(F.collect_list(item)).alias("_c"))
         packed = grouped.select("group_id", F.col("_c.iou").alias("ious"), F.flatten("_c.feats").alias("feats"))
         self.pad_to = limit
-        super().__init__(packed, ("group_id",), CandidateKernel(dim, k), mix_hash(F.col("group_id")))
+        # Packing is the expensive part of loading, so it is written once and read by every later pass.
+        super().__init__(materialize(packed), ("group_id",), CandidateKernel(dim, k), mix_hash(F.col("group_id")))
 
     def cells(self, w: np.ndarray) -> DataFrame:
         """Scored candidates (group_id, iou, score, best): ``best`` marks the first with the highest score."""
@@ -301,7 +309,7 @@ class CandidateLoss(TableLoss):
             feats, ious, bounds = kernel.load(batch)
             scores = feats @ w
             best = np.zeros(len(scores), dtype=bool)
-            best[[a + int(np.argmax(scores[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]] = True
+            best[kernel.firsts(scores, bounds)] = True
             owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             group = batch.column("group_id").take(pa.array(owner))
             columns = [group, pa.array(ious), pa.array(scores), pa.array(best)]
@@ -324,8 +332,8 @@ class CandidateLoss(TableLoss):
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             examples = kernel.load(batch)
             feats, ious, _ = examples
-            chosen = [(best[0], gold) for best, _, _, gold, _ in kernel._choose(examples, w, None)]
-            best, gold = np.array(chosen).T
+            best, _, _, gold, _ = kernel._choose(examples, w, None)
+            best = best[:, 0]
             psi = feats[gold] - feats[best]
             offsets = pa.array(np.arange(len(best) + 1) * dim, pa.int32())
             index = pa.array(np.tile(np.arange(dim), len(best)))

@@ -49,7 +49,7 @@ def _column_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.split("text", "\n"), lambda line: F.when(line.startswith(MARKER_LINES), marker).otherwise(block(line))
     )
     closing = F.when(F.element_at(lines, -1) == marker, F.lit("\n")).otherwise(F.lit(""))
-    return s.table(spark, sf_dir, "documents").select(F.concat(F.array_join(lines, "\n"), closing).alias("value"))
+    return s.documents(spark, sf_dir).select(F.concat(F.array_join(lines, "\n"), closing).alias("value"))
 
 
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,7 +388,7 @@ def hashed_features(spark, sf_dir):
 
 def sequence_feature_counts(spark, sf_dir):
     """F4."""
-    return _day(features.feature_counts(s.event_tokens(spark, sf_dir), s.SEQUENCE_KEYS, s.SEQUENCE_DIM), "idx", "n")
+    return _day(sequences.feature_counts(_event_table(spark, sf_dir), s.SEQUENCE_DIM), "idx", "n")
 
 
 def edge_scores(spark, sf_dir):
@@ -399,7 +399,7 @@ def edge_scores(spark, sf_dir):
 
 def sequence_score(spark, sf_dir):
     """F6."""
-    return _day(features.sequence_score(s.event_tokens(spark, sf_dir), s.SEQUENCE_KEYS, s.SEQUENCE_W), "score")
+    return _day(sequences.sequence_score(_event_table(spark, sf_dir), s.SEQUENCE_W), "score")
 
 
 def _path(column="path"):

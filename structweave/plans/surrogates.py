@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import number_within
+from ..session import spread
 
 # Test weights of the registered queries.
 CANDIDATE_W = (0.7, 0.3, -0.2, 0.1)
@@ -89,9 +90,14 @@ def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.drop("ts", "event_id")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts, spread over the cores when the file is small."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document: (doc_id, line_no, line)."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
 

@@ -39,3 +39,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and cut its lineage there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a table with fewer splits than cores one partition per core; larger tables stay as they are.
+
+    ``keys`` must identify rows, so that placement is even and the same on every attempt.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

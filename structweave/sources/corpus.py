@@ -71,7 +71,7 @@ def _block_offsets(local: DataFrame) -> DataFrame:
         F.bool_or(F.col("_first") & F.col("_break")).alias("_fb"),
         F.bool_or(F.col("_first") & F.col("_token")).alias("_ft"),
     )
-    # A block of one marker-swallowed line ends on no marker, so the carry never has to chain.
+    # Whether a line is a marker does not depend on what comes before it, so the carry never chains.
     carried = summary.withColumn("_carry", F.lag("_ends", 1, False).over(blocks)).select(
         "file",
         "block",
