@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import UNROLL_DIM, dot, sigmoid
 from .candidates import matrix, weighted_feature_sum
@@ -26,7 +27,7 @@ def score(df: DataFrame, w: Sequence[float]) -> DataFrame:
             margins = matrix(batch.column("feats"), dim) @ model
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(margins)], [*batch.schema.names, "z"])
 
-    return df.mapInArrow(run, df.schema.add("z", "double"))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("z", T.DoubleType())]))
 
 
 def losses(df: DataFrame, w: Sequence[float]) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import UNROLL_DIM, dot
 from .ranking import running_sums
@@ -50,7 +51,7 @@ def score(df: DataFrame, w: Sequence[float]) -> DataFrame:
                 scores = matrix(batch.column("feats"), dim) @ model
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
 
-        schema = df.schema.add("score", "double")
+        schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
         scored = df.mapInArrow(run, schema)
     return scored.withColumn("aug", F.col("score") + (F.lit(1.0) - F.col("iou")))
 
