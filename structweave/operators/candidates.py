@@ -35,10 +35,11 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
 
 
-def score(df: DataFrame, w: Sequence[float]) -> DataFrame:
+def score(df: DataFrame, w: Sequence[float], keep_feats: bool = True) -> DataFrame:
     """Add ``score`` = feats · w and ``aug`` = score + (1 - iou).
 
-    Narrow vectors are multiplied inside generated code, wide ones by BLAS on Arrow batches.
+    Narrow vectors are multiplied inside generated code, wide ones by BLAS on Arrow batches; without
+    ``keep_feats`` these do not travel back.
     """
     if len(w) <= UNROLL_DIM:
         scored = df.withColumn("score", dot(F.col("feats"), w))
@@ -49,9 +50,11 @@ def score(df: DataFrame, w: Sequence[float]) -> DataFrame:
         def run(batches):
             for batch in batches:
                 scores = matrix(batch.column("feats"), dim) @ model
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
+                columns = [*(batch.column(c) for c in kept), pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "score"])
 
-        schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
+        kept = [c for c in df.columns if keep_feats or c != "feats"]
+        schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("score", T.DoubleType())])
         scored = df.mapInArrow(run, schema)
     return scored.withColumn("aug", F.col("score") + (F.lit(1.0) - F.col("iou")))
 
@@ -84,12 +87,12 @@ def argmax(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
 
 def predict(df: DataFrame, w: Sequence[float]) -> DataFrame:
     """Predicted candidate per group: argmax of the raw score, with its iou."""
-    return argmax(score(df, w), "score", ("cand", "iou", "score"))
+    return argmax(score(df, w, False), "score", ("cand", "iou", "score"))
 
 
 def hinge(df: DataFrame, w: Sequence[float]) -> DataFrame:
     """Structural hinge per group: best augmented score minus that of the gold candidate."""
-    best = score(df, w).groupBy("group_id").agg(F.max("aug").alias("_best"), _first_by(["aug"], "iou").alias("_gold"))
+    best = score(df, w, False).groupBy("group_id").agg(F.max("aug").alias("_best"), _first_by(["aug"], "iou").alias("_gold"))
     return best.select("group_id", (F.col("_best") - F.col("_gold")).alias("hinge"))
 
 
@@ -120,7 +123,7 @@ def simplex_weights(ranked: DataFrame, mu: float, keys: Sequence[str] = ("group_
 
 def smoothed_hinge(df: DataFrame, w: Sequence[float], mu: float, k: int) -> DataFrame:
     """Per group: ``hinge`` on the top K, and ``smooth`` = Σ u_k s_k minus the gold score."""
-    scored = score(df, w)
+    scored = score(df, w, False)
     weighted = simplex_weights(top_k(scored.select("group_id", "cand", "aug"), k), mu)
     best = weighted.groupBy("group_id").agg(
         F.max("aug").alias("_best"), F.sum(F.col("weight") * F.col("aug")).alias("_smooth")

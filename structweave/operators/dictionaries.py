@@ -135,3 +135,15 @@ def encode_tags(
         missing = F.raise_error(F.concat(F.lit(f"unknown {kind} tag: "), F.coalesce(F.col(source), F.lit("null"))))
         encoded = encoded.withColumn(out, F.coalesce(F.col("_found"), missing.cast("bigint"))).drop("_found")
     return encoded
+
+
+def inverse(df: DataFrame, dictionary: DataFrame, name: str, column: str = "id") -> DataFrame:
+    """Names for ids: adds ``name`` (word or tag) by looking ``column`` up in a dictionary.
+
+    For tag dictionaries filter on the kind first. Aggregate by id before the look-up where that is possible.
+    """
+    entries = dictionary.select(F.col("id").alias("_id"), F.col(name).alias(f"_{name}"))
+    if entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        entries = F.broadcast(entries)
+    joined = df.join(entries, F.col(column) == F.col("_id"), "left").drop("_id")
+    return joined.drop(name).withColumnRenamed(f"_{name}", name)

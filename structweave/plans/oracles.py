@@ -65,6 +65,9 @@ union all select kind, tag, id, true from
   (select unnest(['pos', 'chunk', 'tag']) as kind) k, (values ('START', -1), ('STOP', -2)) v(tag, id)""",
     "encode_words": _ctes(LINES, TOKENS, VOCAB)
     + """select doc_id, line_no, pos, coalesce(id, 0) as word_id from tokens left join vocab using (word)""",
+    "inverse_words": _ctes(LINES, TOKENS, VOCAB)
+    + """select case when id is null then '<unk>' else word end as word, count(*) as n_tokens
+from tokens left join vocab using (word) group by 1""",
     "unknown_tags": _ctes(LINES, TOKENS)
     + """, affixed as (select doc_id, right(word, 2) as p, left(word, 1) as c, tag from tokens),
 stacked as (

@@ -100,6 +100,15 @@ def encode_words(spark, sf_dir):
     return encoded.select("doc_id", "line_no", "pos", "word_id")
 
 
+def inverse_words(spark, sf_dir):
+    """P5: back from ids to words; what the vocabulary lacks comes back as the unknown word."""
+    tokens = s.line_tokens(spark, sf_dir)
+    vocab = dictionaries.vocabulary(tokens, _line_order(), threshold=2)
+    encoded = dictionaries.encode_words(tokens, vocab, F.col("pos"))
+    counts = encoded.groupBy(F.col("word_id").alias("id")).agg(F.count(F.lit(1)).alias("n_tokens"))
+    return dictionaries.inverse(counts, dictionaries.with_reserved_words(vocab), "word").select("word", "n_tokens")
+
+
 def _affix_tokens(spark, sf_dir):
     """Tokens whose POS and chunk tags are word endings and beginnings, so that unseen tags occur."""
     tokens = s.line_tokens(spark, sf_dir)
@@ -109,7 +118,7 @@ def _affix_tokens(spark, sf_dir):
 def unknown_tags(spark, sf_dir):
     """Tags of all documents that the dictionary of the labelled ones lacks."""
     tokens = _affix_tokens(spark, sf_dir)
-    train = tokens.join(s.table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    train = tokens.where(F.col("split") == "train")
     return dictionaries.unknown_tags(tokens, dictionaries.tag_dictionary(train, _line_order()))
 
 
@@ -143,12 +152,8 @@ def encoded_sequences(spark, sf_dir):
 def shared_dictionary_load(spark, sf_dir):
     """Dictionaries of the labelled documents encode both these and the rest; coverage per split."""
     tokens = s.line_tokens(spark, sf_dir)
-    labelled = s.table(spark, sf_dir, "labels").select("doc_id").distinct()
-    marked = tokens.join(labelled.withColumn("train", F.lit(True)), "doc_id", "left").withColumn(
-        "split", F.when(F.col("train"), "train").otherwise("dev")
-    )
-    vocab = dictionaries.vocabulary(marked.where(F.col("split") == "train"), _line_order(), threshold=2)
-    encoded = dictionaries.encode_words(marked, vocab, F.col("pos"))
+    vocab = dictionaries.vocabulary(tokens.where(F.col("split") == "train"), _line_order(), threshold=2)
+    encoded = dictionaries.encode_words(tokens, vocab, F.col("pos"))
     return encoded.groupBy("split").agg(
         F.count(F.lit(1)).alias("n_tokens"),
         F.sum((F.col("word_id") == 0).cast("bigint")).alias("n_unknown"),
@@ -636,7 +641,7 @@ def sweep(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        corpus_scan, sentence_count, word_count, vocabulary, tag_dictionary, encode_words, unknown_tags,
+        corpus_scan, sentence_count, word_count, vocabulary, tag_dictionary, encode_words, inverse_words, unknown_tags,
         encoded_sequences, shared_dictionary_load, split_train_val, shuffled_rank,
         candidate_scores, candidate_truncate, candidate_gold, candidate_relevance, candidate_argmax,
         candidate_topk, simplex_weights, candidate_hinge, candidate_smoothed_hinge, candidate_batch_loss,

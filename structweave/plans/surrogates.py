@@ -96,19 +96,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of every document: (doc_id, line_no, line)."""
-    return documents(spark, sf_dir).select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    )
+    """Every line of every document: (doc_id, split, line_no, line).
+
+    ``split`` is train for labelled documents and dev for the rest, looked up before the text is taken apart.
+    """
+    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("_labelled", F.lit(True))
+    split = F.when(F.col("_labelled"), "train").otherwise("dev").alias("split")
+    marked = documents(spark, sf_dir).join(labelled, "doc_id", "left")
+    return marked.select("doc_id", split, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every document line as a tagged token; a line is a sequence."""
     words = F.filter(F.split("line", " "), lambda x: x != "")
-    lines = document_lines(spark, sf_dir).select("doc_id", "line_no", words.alias("words"))
-    tokens = lines.select(
-        "doc_id", "line_no", F.size("words").cast("bigint").alias("len"), F.posexplode("words").alias("pos", "word")
-    )
+    lines = document_lines(spark, sf_dir).select("doc_id", "split", "line_no", words.alias("words"))
+    size = F.size("words").cast("bigint").alias("len")
+    tokens = lines.select("doc_id", "split", "line_no", size, F.posexplode("words").alias("pos", "word"))
     word, pos = F.col("word"), F.col("pos")
     pos_tag = (
         F.when(word.rlike("^[0-9]"), "NUM").when(word.rlike("^[A-Z]"), "CAP").when(word.rlike("^[a-z]"), "LOW")
@@ -123,6 +126,7 @@ def line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return tokens.select(
         *LINE_KEYS,
+        "split",
         pos.cast("bigint").alias("pos"),
         "len",
         "word",
