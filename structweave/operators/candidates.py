@@ -23,10 +23,28 @@ GOLD_IOU = 0.5  # fixed value: relevance and accuracy threshold
 MAX_CANDIDATES = 1000  # fixed value: candidates kept per group at load time, and cells per group in the AP
 
 
+# Largest limit that Catalyst applies before the shuffle by default (windowGroupLimitThreshold).
+NATIVE_LIMIT = 1000
+SALTS = 64
+
+
+def _limit_per_group(df: DataFrame, order: Sequence[F.Column], limit: int, rank: str) -> DataFrame:
+    """The first ``limit`` rows of each group along ``order``, numbered 1.. in ``rank``.
+
+    Up to NATIVE_LIMIT Catalyst limits each group before the shuffle (WindowGroupLimit) as well as after it.
+    Beyond, groups are first limited in salted parts, so that a hot group is never ranked in one task whole.
+    """
+    if limit > NATIVE_LIMIT:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64("cand"), F.lit(SALTS)))
+        part = Window.partitionBy("group_id", "_salt").orderBy(*order)
+        df = salted.withColumn("_nth", F.row_number().over(part)).where(F.col("_nth") <= limit).drop("_salt", "_nth")
+    window = Window.partitionBy("group_id").orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= limit)
+
+
 def truncate(df: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
     """The first ``limit`` candidates of each group in stored order, with their number ``cand_id``."""
-    order = Window.partitionBy("group_id").orderBy("cand")
-    ranked = df.withColumn("cand_id", F.row_number().over(order)).where(F.col("cand_id") <= limit)
+    ranked = _limit_per_group(df, [F.col("cand").asc()], limit, "cand_id")
     return ranked.withColumn("cand_id", F.col("cand_id") - 1)
 
 
@@ -97,12 +115,8 @@ def hinge(df: DataFrame, w: Sequence[float]) -> DataFrame:
 
 
 def top_k(df: DataFrame, k: int, by: str = "aug") -> DataFrame:
-    """The K best candidates of each group with ``rank`` 1.., fewer when the group is smaller.
-
-    Catalyst limits each group before the shuffle (WindowGroupLimit) as well as after it.
-    """
-    order = Window.partitionBy("group_id").orderBy(F.col(by).desc(), F.col("cand").asc())
-    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The K best candidates of each group with ``rank`` 1.., fewer when the group is smaller."""
+    return _limit_per_group(df, [F.col(by).desc(), F.col("cand").asc()], k, "rank")
 
 
 def simplex_weights(ranked: DataFrame, mu: float, keys: Sequence[str] = ("group_id",), by: str = "aug") -> DataFrame:

@@ -92,6 +92,16 @@ def test_top_k_limits_before_the_shuffle(df):
     assert plan.count("WindowGroupLimit") == 2
 
 
+@pytest.mark.parametrize("limit", [5, 1000])
+def test_truncation_keeps_stored_order_with_and_without_salting(df, groups, monkeypatch, limit):
+    native = {(r.group_id, r.cand): r.cand_id for r in C.truncate(df, limit).collect()}
+    assert "WindowGroupLimit" in C.truncate(df, limit)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(C, "NATIVE_LIMIT", 1)
+    salted = {(r.group_id, r.cand): r.cand_id for r in C.truncate(df, limit).collect()}
+    expected = {(g, c): c for g, (ious, _) in enumerate(groups) for c in range(min(limit, len(ious)))}
+    assert native == salted == expected
+
+
 def test_wide_vectors_use_the_same_rules(spark):
     rng = np.random.default_rng(0)
     dim = 70

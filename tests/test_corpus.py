@@ -1,6 +1,7 @@
 """Reader rules on tiny files, also when a file is cut into many blocks."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from structweave.sources import corpus
 
@@ -34,23 +35,24 @@ def reference(text, strict=False):
 
 
 @pytest.mark.parametrize("block_bytes", [7, 23, 1 << 20])
-@pytest.mark.parametrize("name", list(FILES))
-def test_reader(spark, tmp_path, name, block_bytes):
-    path = tmp_path / f"{name}.txt"
-    path.write_text(FILES[name])
+def test_reader(spark, tmp_path, block_bytes):
+    for name, text in FILES.items():
+        (tmp_path / f"{name}.txt").write_text(text)
     spark.conf.set("spark.sql.files.maxPartitionBytes", block_bytes)
     spark.conf.set("spark.sql.files.openCostInBytes", 0)
     try:
-        numbered = corpus.number_sentences(corpus.scan_lines(spark, str(path)))
+        numbered = corpus.number_sentences(corpus.scan_lines(spark, str(tmp_path)))
+        closed = {r.file.split("/")[-1][:-4]: r.n for r in numbered.groupBy("file").agg(F.expr("count_if(is_break) as n")).collect()}
         for strict in (False, True):
-            tokens = corpus.sentence_tokens(numbered, strict).collect()
-            found = {}
-            for t in sorted(tokens, key=lambda t: (t.sent, t.pos)):
-                found.setdefault(t.sent, []).append((t.pos, t.word))
-            words, closed = reference(FILES[name], strict)
-            assert [[w for _, w in s] for s in found.values()] == words
-            assert all([p for p, _ in s] == list(range(len(s))) for s in found.values())
-        assert corpus.sentence_count(numbered).first()[0] == closed
+            found = {name: {} for name in FILES}
+            for t in sorted(corpus.sentence_tokens(numbered, strict).collect(), key=lambda t: (t.sent, t.pos)):
+                found[t.file.split("/")[-1][:-4]].setdefault(t.sent, []).append((t.pos, t.word))
+            for name, text in FILES.items():
+                words, n = reference(text, strict)
+                assert [[w for _, w in s] for s in found[name].values()] == words, name
+                assert all([p for p, _ in s] == list(range(len(s))) for s in found[name].values())
+                assert closed[name] == n
+        assert corpus.sentence_count(numbered).first()[0] == sum(closed.values())
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
