@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +22,12 @@ from ..session import materialize
 from .segments import SEGMENT, own_tokens, segments
 
 PIECE = "rank int, score double, entry bigint, path array<bigint>"
-SLICE_ITEMS = 200_000  # tokens, candidates or vectors a kernel works on at a time
+# How much a kernel works on at a time: tokens of sequences, feature values of packed candidates.
+SLICE = {"words": 100_000, "feats": 16_000_000}
 
 
 def slices(batches: Iterator[pa.RecordBatch], weigh: str | None = None) -> Iterator[pa.RecordBatch]:
-    """Non-empty batches cut so that the lengths of array column ``weigh`` add up to about SLICE_ITEMS."""
+    """Non-empty batches, cut so that the lengths of array column ``weigh`` add up to about its SLICE."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -34,7 +35,7 @@ def slices(batches: Iterator[pa.RecordBatch], weigh: str | None = None) -> Itera
             yield batch
             continue
         ends = np.cumsum(np.asarray(pc.list_value_length(batch.column(weigh)), dtype=np.int64))
-        cuts = np.flatnonzero(np.diff(ends // SLICE_ITEMS)) + 1
+        cuts = np.flatnonzero(np.diff(ends // SLICE[weigh])) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(a, b - a)
 
@@ -139,6 +140,12 @@ def edge_scores(table: SequenceTable, w: np.ndarray, use_loss: bool = False) ->
     return map_arrow(table.df, f"{table.key_fields()}, pos bigint, y1 bigint, y bigint, score double", run, "words")
 
 
+def k_largest(edges: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """The K largest cells of the (y1, y) table of each key, with ``rank`` 1..; ties in index order."""
+    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "y1", "y")
+    return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def feature_counts(table: SequenceTable, dim: int) -> DataFrame:
     """Feature vector of each sequence under its own tagging, in sparse rows (keys, idx, n)."""
     keys = table.keys
@@ -276,19 +283,21 @@ def batch_gradient(tb: kernel.TokenBatch, w: np.ndarray, n_tags: int, mu: float
     """Sum over the batch of Σ u_k Φ(x, y_k) - Φ(x, y); with no ``mu`` the best path alone counts."""
     dim = len(w)
     total = -np.bincount(kernel.gold_indices(tb, dim).ravel(), minlength=dim).astype(float)
+    _, indices, weights = _weighted_paths(tb, w, n_tags, mu, k)
+    return total + np.bincount(indices.ravel(), weights=np.repeat(weights, indices.shape[1]), minlength=dim)
+
+
+def _weighted_paths(tb, w, n_tags, mu, k):
+    """Tokens of all paths with a weight above zero: (segment, indices, weight) per token."""
     lattice = kernel.forward(tb, w, n_tags, k, True, np.full(len(tb.size), -1))
     scores, tags, ranks = kernel.best_ends(lattice, k)
     weights = np.ones((len(scores), 1)) if mu is None else kernel.simplex_weights(scores, mu)
-    for rank in range(weights.shape[1]):
-        rows = np.flatnonzero(weights[:, rank] > 0)
-        if not len(rows):
-            continue
-        flat = lattice.paths(rows, tags[rows, rank], ranks[rows, rank])
-        part = tb.pick(rows)
-        indices = kernel.path_indices(part, flat, np.full(len(rows), -1), dim)
-        spread = np.repeat(weights[rows, rank][part.owner], indices.shape[1])
-        total += np.bincount(indices.ravel(), weights=spread, minlength=dim)
-    return total
+    rows, rank = np.nonzero(weights > 0)
+    flat = lattice.paths(rows, tags[rows, rank], ranks[rows, rank])
+    part = tb.pick(rows)
+    indices = kernel.path_indices(part, flat, np.full(len(rows), -1), len(w))
+    owner = part.owner
+    return rows[owner], indices, weights[rows, rank][owner]
 
 
 def gradient_sum(table: SequenceTable, w: np.ndarray, mu: float | None = None, k: int = 5) -> DataFrame:
@@ -311,21 +320,12 @@ def gradient_rows(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The gradients of ``batch_gradient`` kept apart, as (row, idx, value) triples sorted by row."""
     dim = len(w)
-    lattice = kernel.forward(tb, w, n_tags, k, True, np.full(len(tb.size), -1))
-    scores, tags, ranks = kernel.best_ends(lattice, k)
-    weights = np.ones((len(scores), 1)) if mu is None else kernel.simplex_weights(scores, mu)
     gold = kernel.gold_indices(tb, dim)
-    cells, values = [(tb.owner[:, None] * dim + gold).ravel()], [np.full(gold.size, -1.0)]
-    for rank in range(weights.shape[1]):
-        rows = np.flatnonzero(weights[:, rank] > 0)
-        flat = lattice.paths(rows, tags[rows, rank], ranks[rows, rank])
-        part = tb.pick(rows)
-        indices = kernel.path_indices(part, flat, np.full(len(rows), -1), dim)
-        owner = rows[part.owner]
-        cells.append((owner[:, None] * dim + indices).ravel())
-        values.append(np.repeat(weights[owner, rank], indices.shape[1]))
-    found, where = np.unique(np.concatenate(cells), return_inverse=True)
-    return found // dim, found % dim, np.bincount(where, weights=np.concatenate(values), minlength=len(found))
+    owner, indices, weights = _weighted_paths(tb, w, n_tags, mu, k)
+    cells = np.concatenate([(tb.owner[:, None] * dim + gold).ravel(), (owner[:, None] * dim + indices).ravel()])
+    values = np.concatenate([np.full(gold.size, -1.0), np.repeat(weights, indices.shape[1])])
+    found, where = np.unique(cells, return_inverse=True)
+    return found // dim, found % dim, np.bincount(where, weights=values, minlength=len(found))
 
 
 def batch_minimizers(tb: kernel.TokenBatch, w: np.ndarray, n_tags: int):

@@ -146,6 +146,17 @@ class CandidateKernel(Kernel):
         spread[gold] -= 1
         return spread @ feats
 
+    def example_gradient(self, examples, i, w, mu):
+        feats, ious, bounds = examples
+        part = slice(bounds[i], bounds[i + 1])
+        x, iou = feats[part], ious[part]
+        aug = x @ w + (1 - iou)
+        gold = x[np.argmax(iou)]
+        if mu is None:
+            return x[np.argmax(aug)] - gold
+        best = np.argsort(-aug, kind="stable")[: self.k]
+        return decoding.simplex_weights(aug[best][None, :], mu)[0] @ x[best] - gold
+
     def support(self, examples, w, mu):
         feats = examples[0]
         best, weights, _, gold, _ = self._choose(examples, w, mu)

@@ -346,6 +346,10 @@ SEQUENCES = {
     "hashed_features": _ctes(EVENTS, GOLD) + "select user_id, d, pos, array_to_string(idx, ',') as idx from gold_idx",
     "sequence_feature_counts": _ctes(EVENTS, GOLD) + "select user_id, d, idx, n from gold_counts",
     "edge_scores": _ctes(EVENTS, _edges(1)) + "select user_id, d, pos, y1, y, score from edges",
+    "largest_edges": _ctes(EVENTS, _edges(0))
+    + """select user_id, d, pos, rank, y1, y, score from (
+  select *, row_number() over (partition by user_id, d, pos order by score desc, y1, y) as rank from edges)
+where rank <= 3""",
     "sequence_score": _ctes(EVENTS, GOLD) + "select user_id, d, gold as score from gold_score",
     "viterbi_path": _decoded(1, 1) + f"select user_id, d, score, {_PATH} from paths",
     "viterbi_topk": _decoded(1, 3) + f"select user_id, d, rank, score, {_PATH} from paths",

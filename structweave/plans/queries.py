@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import mix_hash, round9
 from ..operators import binary, candidates, dictionaries, features, metrics, ranking, segments, sequences
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import corpus
 from . import experiments, surrogates as s
 from .frank_wolfe import fit_frank_wolfe
@@ -24,6 +24,7 @@ MU = 0.5
 TOP = 5
 SEQUENCE_MU = 2.0
 SEQUENCE_TOP = 3
+TOP_CELLS = 3
 SPLIT_SEED = 1
 MARKER_LINES = "Licensed "  # document lines that become document markers in the corpus round trip
 
@@ -402,6 +403,13 @@ def edge_scores(spark, sf_dir):
     return _day(edges, "pos", "y1", "y", F.col("score").alias("score"))
 
 
+def largest_edges(spark, sf_dir):
+    """I8: the three largest cells of the (previous tag, tag) table at each position, with their indices."""
+    edges = sequences.edge_scores(_event_table(spark, sf_dir), s.SEQUENCE_W)
+    best = sequences.k_largest(edges, (*s.SEQUENCE_KEYS, "pos"), TOP_CELLS)
+    return _day(best, "pos", F.col("rank").cast("bigint").alias("rank"), "y1", "y", "score")
+
+
 def sequence_score(spark, sf_dir):
     """F6."""
     return _day(sequences.sequence_score(_event_table(spark, sf_dir), s.SEQUENCE_W), "score")
@@ -547,7 +555,8 @@ def fit_logistic(spark, sf_dir):
 
 def _split_candidates(spark, sf_dir):
     df = s.candidates(spark, sf_dir)
-    split = ranking.hash_split(df.select("group_id").distinct(), "group_id", SPLIT_SEED)
+    groups = materialize(df.select("group_id").distinct())
+    split = ranking.hash_split(groups, "group_id", SPLIT_SEED)
     joined = df.join(split, "group_id")
     parts = (joined.where(F.col("split") == name).drop("split") for name in ("train", "val"))
     return [CandidateLoss(part, 4, k=TOP) for part in parts]
@@ -649,7 +658,7 @@ QUERIES: dict[str, Query] = {
         candidate_mean_iou, candidate_accuracy, candidate_micro_ap,
         dense_examples, logistic_rows, logistic_loss, logistic_gradient, logistic_error, l2_penalty,
         objective, gradient_norm,
-        context_window, hashed_features, sequence_feature_counts, edge_scores, sequence_score,
+        context_window, hashed_features, sequence_feature_counts, edge_scores, largest_edges, sequence_score,
         viterbi_path, viterbi_topk, predict_tags, hamming, weighted_f1,
         sequence_hinge, sequence_smoothed_hinge, sequence_subgradient, sequence_smoothed_gradient, sequence_lmo,
         sample_draws, sgd_steps, svrg_steps, accelerated_svrg_steps, bcfw_steps,

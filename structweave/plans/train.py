@@ -139,7 +139,7 @@ def _inner_epochs(loss: TableLoss, steps, seeds, epoch: int):
     """Sequential inner epochs next to the rows, for all runs, averaged by row count.
 
     Rows are drawn uniformly with replacement within each slice of the
-    partition (SLICE_ITEMS tokens or feature values), as many draws as rows. The
+    partition (see ``operators.sequences.SLICE``), as many draws as rows. The
     generator is seeded by (seed, epoch, partition), so a task that runs again repeats itself.
     """
     kernel, dim, m = loss.kernel, loss.kernel.dim, len(steps)
