@@ -142,8 +142,8 @@ def smoothed_hinge(df: DataFrame, w: Sequence[float], mu: float, k: int) -> Data
     best = weighted.groupBy("group_id").agg(
         F.max("aug").alias("_best"), F.sum(F.col("weight") * F.col("aug")).alias("_smooth")
     )
-    reference = gold(scored, ("aug",)).withColumnRenamed("aug", "_gold")
-    return best.join(reference, "group_id").select(
+    reference = gold(scored, ("aug",)).select(F.col("group_id").alias("_group"), F.col("aug").alias("_gold"))
+    return best.join(reference, F.col("group_id").eqNullSafe(F.col("_group"))).select(
         "group_id",
         (F.col("_best") - F.col("_gold")).alias("hinge"),
         (F.col("_smooth") - F.col("_gold")).alias("smooth"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,11 +36,11 @@ def number_within(
     )
     local = Window.partitionBy(*keys, "_slice").orderBy(*order)
     ranked = sliced.withColumn("_local", F.row_number().over(local))
-    return (
-        ranked.join(offsets, [*keys, "_slice"])
-        .withColumn(out, (F.col("_before") + F.col("_local") - 1).cast("bigint"))
-        .drop("_slice", "_local", "_before")
-    )
+    # Null keys form groups too, so the offsets are matched null-safely.
+    renamed = offsets.select(*[F.col(c).alias(f"_k_{c}") for c in (*keys, "_slice")], "_before", total)
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, "_slice")]
+    number = (F.col("_before") + F.col("_local") - 1).cast("bigint")
+    return ranked.join(renamed, reduce(Column.__and__, same)).select(*df.columns, number.alias(out), total)
 
 
 def _range_scan(df: DataFrame, order: Sequence[Column]) -> DataFrame:

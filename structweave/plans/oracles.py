@@ -50,9 +50,10 @@ sentences as (
 
 CORPUS = {
     "corpus_scan": _ctes(LINES, MARKED)
-    + """select array_to_string(ws, ' ') as words, len(ws) as n_tokens,
-  len([x for x in ws if ends_with(x, '.')]) as n_end, count(*) as n
-from sentences where len(ws) > 0 group by 1, 2, 3""",
+    + """, placed as (select unnest(range(len(ws))) as pos, unnest(ws) as word from sentences)
+select pos, word, 'P' as pos_tag, 'C' as chunk_tag, case when ends_with(word, '.') then 'END' else 'O' end as tag,
+  count(*) as n
+from placed group by pos, word""",
     "sentence_count": _ctes(LINES, MARKED)
     + "select count(*) as n_sentences from sentences where not closed",
     "word_count": _ctes(LINES, TOKENS) + "select word, count(*) as n from tokens group by word",

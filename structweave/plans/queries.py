@@ -62,14 +62,7 @@ def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_scan(spark, sf_dir):
     """Write the documents as a column-format corpus, scan it back, segment it into sentences."""
     tokens = corpus.sentence_tokens(_round_trip(spark, sf_dir))
-    sentence = tokens.groupBy("file", "sent").agg(
-        F.count(F.lit(1)).alias("n_tokens"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x.word), " ").alias(
-            "words"
-        ),
-        F.sum((F.col("tag") == "END").cast("bigint")).alias("n_end"),
-    )
-    return sentence.groupBy("words", "n_tokens", "n_end").agg(F.count(F.lit(1)).alias("n"))
+    return tokens.groupBy("pos", "word", "pos_tag", "chunk_tag", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sentence_count(spark, sf_dir):

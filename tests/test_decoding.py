@@ -7,6 +7,11 @@ import pytest
 
 from structweave.operators import long_sequences
 from structweave.operators import sequences as Q
+from structweave.plans.frank_wolfe import fit_frank_wolfe
+from structweave.plans.losses import SequenceLoss
+from structweave.plans.schedules import L2Penalty
+from structweave.plans.solvers import Run
+from structweave.plans.train import fit
 from structweave.streaming import predict_stream
 
 N_TAGS, DIM = 3, 101
@@ -171,6 +176,25 @@ def test_gradient_is_the_derivative_of_the_smoothed_value(table, corpus):
     assert slope == pytest.approx(gradient @ direction, rel=1e-4)
 
 
+TRAINED = {}
+
+
+def test_training_does_not_depend_on_the_segment_size(table):
+    loss = SequenceLoss(table, DIM, k=3)
+    run = Run("svrg", [L2Penalty(0.1)], {"learning_rate": 0.1, "smoothing_coefficient": 1.0})
+    steps = fit(loss, run, num_passes=1, mode="minibatch", n_buckets=2, logging=False).w
+    blocks = fit_frank_wolfe(loss, Run("bcfw", [L2Penalty(0.1)]), num_passes=1, n_buckets=2, logging=False).w
+    value = loss.value_means([W])[0]
+    loss.release()
+    assert np.abs(steps).max() > 0 and np.abs(blocks).max() > 0
+    first = TRAINED.setdefault("first", (steps, blocks, value))
+    for a, b in zip(first, (steps, blocks, value)):
+        np.testing.assert_allclose(a, b, atol=1e-9)
+    if table.has_long:
+        with pytest.raises(ValueError, match="longer than a segment"):
+            fit(loss, run, num_passes=1)
+
+
 def test_prediction_on_a_stream(spark, table, corpus, tmp_path):
     if table.has_long:
         pytest.skip("streams carry one-segment rows")

@@ -7,7 +7,8 @@ from structweave.operators import ranking
 
 def test_number_within_with_a_hot_group(spark):
     rng = random.Random(1)
-    rows = [(0 if rng.random() < 0.5 else rng.randrange(50), rng.randrange(1000), i) for i in range(3000)]
+    groups = [None, *range(1, 50)]
+    rows = [(0 if rng.random() < 0.5 else rng.choice(groups), rng.randrange(1000), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "g int, t int, id int")
     found = ranking.number_within(df, ["g"], ["t", "id"], F.floor(F.col("t") / 100)).collect()
     groups = {}
