@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from .language_id import op10_language_id
+from .simhash import op1_simhash
 
-QUERIES = {"op10_language_id": op10_language_id}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op10_language_id": op10_language_id,
+}
 ORACLES: dict[str, str] = {}
