@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .language_id import op10_language_id
 from .simhash import op1_simhash
+from .suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
