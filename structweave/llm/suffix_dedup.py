@@ -44,7 +44,9 @@ def _powers() -> list[np.ndarray]:
         values = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
         n = PIECE + LENGTH + 1
         for base in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
-            _POWERS.append(np.cumprod(np.concatenate([[1], np.full(n, base, np.uint64)]).astype(np.uint64)))
+            factors = np.full(n, base, np.uint64)
+            factors[0] = 1
+            _POWERS.append(np.cumprod(factors, dtype=np.uint64))
         _POWERS.append(values)
     return _POWERS
 
