@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .decontaminate import op2_decontaminate
 from .language_id import op10_language_id
 from .simhash import op1_simhash
 from .suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_decontaminate": op2_decontaminate,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op10_language_id": op10_language_id,
 }
