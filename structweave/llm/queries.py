@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
 from .language_id import op10_language_id
+from .packing import op7_packing
 from .simhash import op1_simhash
 from .suffix_dedup import op4_suffix_dedup
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op7_packing": op7_packing,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
