@@ -182,13 +182,22 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, sim
     entries = classes.select("_key", F.explode(options).alias("o")).select("_key", "o.v", "o.k", "o.f")
     full = entries.groupBy("v", "k").agg(F.count("_key").alias("n"), F.min("_key").alias("hub")).where("n > 1").select("v", "k", "hub")
     members = entries.join(full, ["v", "k"])
-    beside = F.lag("_key").over(Window.partitionBy("v", "k").orderBy("f", "_key"))
-    pairs = members.select("_key", F.explode(F.array("hub", beside)).alias("other")).where("_key <> other")
+    beside = members.withColumn("beside", F.lag("_key").over(Window.partitionBy("v", "k").orderBy("f", "_key")))
+    pairs = beside.select("_key", F.explode(F.array("hub", "beside")).alias("other")).where("_key <> other")
     pairs = saved(pairs.select(F.least("_key", "other").alias("a"), F.greatest("_key", "other").alias("b")).distinct(), "near-pairs")
     wanted = pairs.select(F.col("a").alias("_key")).unionAll(pairs.select(F.col("b").alias("_key"))).distinct()
     sets = saved(shingle_sets(texts.join(wanted, "_key", "left_semi"), words).dropDuplicates(["_key"]), "near-sets")
-    full_pairs = pairs.join(sets.select(F.col("_key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_key").alias("b"), F.col("s").alias("sb")), "b")
-    links = full_pairs.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, similarity), "a bigint, b bigint")
+
+    def alike(some: DataFrame) -> DataFrame:
+        both = some.join(sets.select(F.col("_key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_key").alias("b"), F.col("s").alias("sb")), "b")
+        return both.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, similarity), "a bigint, b bigint")
+
+    # One partner of each class joins up most groups; then only pairs between different groups are left to compare.
+    links = saved(alike(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "near-links")
+    groups = saved(components(links), "near-groups")
+    of = {c: groups.select(F.col("node").alias(c), F.col("component").alias(f"g{c}")) for c in "ab"}
+    apart = pairs.join(of["a"], "a", "left").join(of["b"], "b", "left").where(~F.coalesce(F.col("ga") == F.col("gb"), F.lit(False))).select("a", "b")
+    links = links.unionAll(saved(alike(apart.join(links, ["a", "b"], "left_anti")), "near-links"))
     return marked.select("_id", "_key"), components(links)
 
 
