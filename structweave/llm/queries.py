@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
 from .language_id import op10_language_id
+from .license_scan import op6_license_scan
 from .packing import op7_packing
 from .simhash import op1_simhash
 from .suffix_dedup import op4_suffix_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_packing": op7_packing,
     "op10_language_id": op10_language_id,
 }
