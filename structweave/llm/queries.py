@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import CHAT_SQL, op3_chat_format
 from .decontaminate import op2_decontaminate
 from .language_id import op10_language_id
 from .license_scan import op6_license_scan
@@ -12,9 +13,10 @@ from .suffix_dedup import op4_suffix_dedup
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
+    "op3_chat_format": op3_chat_format,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_packing": op7_packing,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat_format": CHAT_SQL}
