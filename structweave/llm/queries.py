@@ -6,6 +6,7 @@ from .chat_format import CHAT_SQL, op3_chat_format
 from .decontaminate import op2_decontaminate
 from .language_id import op10_language_id
 from .license_scan import op6_license_scan
+from .merkle import op8_merkle
 from .packing import op7_packing
 from .simhash import op1_simhash
 from .suffix_dedup import op4_suffix_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_packing": op7_packing,
+    "op8_merkle": op8_merkle,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {"op3_chat_format": CHAT_SQL}
