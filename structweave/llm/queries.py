@@ -8,6 +8,7 @@ from .language_id import op10_language_id
 from .license_scan import op6_license_scan
 from .merkle import op8_merkle
 from .packing import op7_packing
+from .ppm import op9_ppm
 from .simhash import op1_simhash
 from .suffix_dedup import op4_suffix_dedup
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_packing": op7_packing,
     "op8_merkle": op8_merkle,
+    "op9_ppm": op9_ppm,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {"op3_chat_format": CHAT_SQL}
