@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import CHAT_SQL, op3_chat_format
 from .decontaminate import op2_decontaminate
+from .html_extract import op5_html_extract
 from .language_id import op10_language_id
 from .license_scan import op6_license_scan
 from .merkle import op8_merkle
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_html_extract": op5_html_extract,
     "op6_license_scan": op6_license_scan,
     "op7_packing": op7_packing,
     "op8_merkle": op8_merkle,
