@@ -284,7 +284,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])
 
-    schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "bigint")
+    schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
     return given.mapInArrow(run, schema)
 
 
