@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Widest vector for which scores and sums are written out term by term (whole-stage codegen);
@@ -36,6 +37,18 @@ def mix_hash(key: Column, seed: Column | int = 0) -> Column:
     return F.pmod(folded * MIX_SECOND, modulus)
 
 
+def drawn_row(step: Column, size: Column, seed: Column | int) -> Column:
+    """The row, of ``size`` numbered from 0, that a step of sampling with replacement draws."""
+    return F.pmod(mix_hash(step, seed), size)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same name; null keys match null keys, and the keys of ``left`` stay."""
+    other = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(Column.__and__, [left[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def round9(value: Column) -> Column:
     """Round to nine digits and drop the sign of zero."""
     return F.round(value, 9) + F.lit(0.0)

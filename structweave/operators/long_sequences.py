@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import decoding as kernel
+from ..functions.columns import null_safe_join
 from ..session import materialize
 from .candidates import simplex_weights
 from .sequences import PIECE, SequenceTable, _ragged, _record, map_arrow, sum_vectors
@@ -201,7 +202,7 @@ def decode_long(table: SequenceTable, w: np.ndarray, k: int, use_loss: bool) ->
     requests = _best_ends(levels[-1], table, k)
     for nodes in reversed(levels[:-1]):
         requests = _descend(requests, nodes, table, k)
-    asked = table.long.join(requests.withColumnRenamed("idx", "seg"), [*keys, "seg"])
+    asked = null_safe_join(table.long, requests.withColumnRenamed("idx", "seg"), [*keys, "seg"])
 
     def run(batches):
         for batch in batches:
@@ -241,7 +242,7 @@ def long_values(table: SequenceTable, w: np.ndarray, mu: float | None, k: int) -
     scores = weighted.groupBy(*table.keys).agg(
         F.max("score").alias("_best"), F.sum(F.col("score") * F.col("weight")).alias("_smooth")
     )
-    return scores.join(_gold_scores(table, w), list(table.keys)).select(
+    return null_safe_join(scores, _gold_scores(table, w), table.keys).select(
         *table.keys,
         (F.col("_best") - F.col("gold")).alias("hinge"),
         (F.col("_smooth") - F.col("gold")).alias("smooth"),
@@ -259,7 +260,7 @@ def long_gradient(table: SequenceTable, w: np.ndarray, mu: float | None, k: int)
     dim, keys = len(w), list(table.keys)
     best = materialize(decode_long(table, w, k, True))
     weights = _weighted(table, best, mu).where(F.col("weight") > 0).select(*keys, "rank", "weight")
-    pieces = table.long.join(best.join(weights, [*keys, "rank"]), [*keys, "seg"])
+    pieces = null_safe_join(table.long, null_safe_join(best, weights, [*keys, "rank"]), [*keys, "seg"])
 
     def paths(batch: pa.RecordBatch) -> np.ndarray:
         tb, _, indices = _path_indices(batch, dim)
@@ -276,7 +277,7 @@ def long_gradient(table: SequenceTable, w: np.ndarray, mu: float | None, k: int)
 def long_minimizers(table: SequenceTable, w: np.ndarray) -> DataFrame:
     """Φ(x, y) - Φ(x, ŷ) and Hamming loss per segment of the long sequences."""
     dim, keys = len(w), table.keys
-    pieces = table.long.join(decode_long(table, w, 1, True), [*keys, "seg"])
+    pieces = null_safe_join(table.long, decode_long(table, w, 1, True), [*keys, "seg"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tb, path, indices = _path_indices(batch, dim)

@@ -77,7 +77,8 @@ def global_index(df: DataFrame, order: Sequence[Column], out: str = "id", start:
 
 def _hash_buckets(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, DataFrame]:
     width = MIX_MODULUS // HASH_BUCKETS + 1
-    hashed = df.withColumn("_h", mix_hash(F.col(key), seed)).withColumn(
+    # A null key has a hash too: its rows are ranked and split like any other.
+    hashed = df.withColumn("_h", F.coalesce(mix_hash(F.col(key), seed), F.lit(0))).withColumn(
         "_bucket", F.floor(F.col("_h") / F.lit(float(width))).cast("int")
     )
     # At most HASH_BUCKETS rows: small enough for one task and for a broadcast, whatever the table size.

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import decoding as kernel
+from ..functions.columns import null_safe_join
 from ..session import materialize
 from .segments import SEGMENT, own_tokens, segments
 
@@ -205,7 +206,7 @@ def predict_tags(table: SequenceTable, w: np.ndarray) -> DataFrame:
     """Predicted tag of every token, decoded without the loss term: (keys, pos, tag, predicted)."""
     best = decode(table, w).select(*table.keys, "seg", "path")
     if table.has_long:
-        joined = table.df.join(best, [*table.keys, "seg"])
+        joined = null_safe_join(table.df, best, [*table.keys, "seg"])
     else:
         return _predict_narrow(table, w)
     return _token_rows(table, joined)
@@ -227,6 +228,8 @@ def decode_rows(df: DataFrame, keys: Sequence[str], key_fields: str, n_tags: int
     keys = tuple(keys)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if pc.any(pc.greater(batch.column("len"), batch.column("n"))).as_py():
+            raise ValueError("a row holds part of a long sequence, which cannot be decoded alone; use predict_tags")
         tb = kernel.token_batch(batch)
         lattice = kernel.forward(tb, w, n_tags, 1, False, np.full(len(tb.size), -1))
         _, tags, ranks = kernel.best_ends(lattice, 1)

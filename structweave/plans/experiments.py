@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,33 @@ DEFAULTS = {
     "decay_smoother": "const",
 }
 WARM_STARTS = {1: "prox-center", 2: "extrapolation", 3: "prev-iterate"}
-ALGORITHMS = ("sgd", "sgd_const", "csvrg", "csvrg_lr", "svrg", "pegasos", "bcfw")
+
+
+@dataclass(frozen=True)
+class Setup:
+    """How an algorithm name becomes a solver: fixed options, options read from run parameters, and the parameters that
+    tell two runs of it apart. ``smoothing`` and ``restart`` name those that count only for a smoothed run."""
+
+    solver: str
+    fixed: Mapping = field(default_factory=dict)
+    read: Mapping[str, str] = field(default_factory=dict)
+    rates: tuple[str, ...] = ("L",)
+    restart: tuple[str, ...] = ()
+
+
+_STEP = {"learning_rate": "lr"}
+_SGD = {"initial_learning_rate": "lr", "learning_rate_time_factor": "lr_t", "smoothing_coefficient": "smoother"}
+_SMOOTHED = {"initial_smoothing": "smoother", "smoothing_rule": "decay_smoother", "warm_start": "warm_start_name"}
+SETUPS = {
+    "sgd": Setup("sgd", {"learning_rate_scheme": "linear", "averaging": "weighted"}, _SGD, ("lr", "lr_t")),
+    "sgd_const": Setup("sgd_const", {"learning_rate_scheme": "const", "averaging": "weighted"}, _SGD, ("lr",)),
+    "csvrg": Setup("csvrg", {}, {"lipschitz": "L", **_SMOOTHED}, ("L",), ("warm_start",)),
+    "csvrg_lr": Setup("csvrg_lr", {}, {**_STEP, "initial_moreau": "moreau", **_SMOOTHED}, ("lr",), ("warm_start",)),
+    "svrg": Setup("svrg", {}, {**_STEP, "smoothing_coefficient": "smoother"}, ("lr",)),
+    "pegasos": Setup("pegasos", {"learning_rate_scheme": "pegasos", "averaging": "weighted"}, _SGD),
+    "bcfw": Setup("bcfw"),
+}
+ALGORITHMS = tuple(SETUPS)
 
 
 def grid(base: DataFrame, options: Mapping[str, Sequence]) -> DataFrame:
@@ -41,58 +68,31 @@ def grid(base: DataFrame, options: Mapping[str, Sequence]) -> DataFrame:
 
 
 def run_key(runs: DataFrame, size: str = "", out: str = "run_id") -> DataFrame:
-    """Key of a run from its parameters, usable as a partition value.
+    """Key of a run: the parameters that tell runs of its algorithm apart, usable as a partition value.
 
-    Smoothed runs also carry the decay rule, the coefficient and K, accelerated ones the warm start.
+    Parts that do not count for a run are null, and null parts leave no trace in the key.
     """
-
-    def text(name):
-        return F.col(name).cast("string")
-
-    rate = (
-        F.when(F.col("algorithm").isin("sgd_const", "svrg", "csvrg_lr"), text("lr"))
-        .when(F.col("algorithm") == "sgd", F.concat_ws("_", text("lr"), text("lr_t")))
-        .otherwise(text("L"))
-    )
-    decayed = F.when(F.col("decay_smoother") == "none", F.col("algorithm")).otherwise(
-        F.concat_ws("_", "algorithm", "decay_smoother")
-    )
     smooth = F.coalesce(F.col("smoother") > 0, F.lit(False))
-    common = [text("l2reg"), rate, F.lit(size), text("seed")]
-    plain = F.concat_ws("_", "algorithm", *common)
-    with_smoothing = F.concat_ws("_", decayed, *common, text("smoother"), text("K"))
-    accelerated = F.concat(with_smoothing, F.lit("_option"), text("warm_start"))
-    key = F.when(~smooth, plain).when(F.col("algorithm").isin("csvrg", "csvrg_lr"), accelerated).otherwise(with_smoothing)
-    return runs.withColumn(out, key)
+
+    def parts(name: str, setup: Setup) -> list:
+        decay = F.when(smooth & (F.col("decay_smoother") != "none"), F.col("decay_smoother"))
+        smoothing = [F.when(smooth, F.col(c).cast("string")) for c in ("smoother", "K")]
+        restart = [F.when(smooth, F.concat(F.lit("option"), F.col(c).cast("string"))) for c in setup.restart]
+        return [F.lit(name), decay, F.col("l2reg"), *map(F.col, setup.rates), F.lit(size), F.col("seed"), *smoothing, *restart]
+
+    keys = [F.when(F.col("algorithm") == n, F.concat_ws("_", *[p.cast("string") for p in parts(n, s)])) for n, s in SETUPS.items()]
+    return runs.withColumn(out, F.coalesce(*keys))
 
 
 def run_of(row: Mapping, n: int) -> Run:
     """Training run of one parameter row on ``n`` examples; the penalty is l2reg / n."""
-    p = {**DEFAULTS, **{k: v for k, v in dict(row).items() if v is not None}}
-    strength = p["l2reg"] / n
-    name = p["algorithm"]
-    smoothing = {"initial_smoothing": p["smoother"], "smoothing_rule": p["decay_smoother"]}
-    start = {"warm_start": WARM_STARTS[p["warm_start"]]}
-    if name in ("sgd", "sgd_const", "pegasos"):
-        scheme = {"sgd": "linear", "sgd_const": "const", "pegasos": "pegasos"}[name]
-        options = {
-            "learning_rate_scheme": scheme,
-            "initial_learning_rate": p["lr"],
-            "learning_rate_time_factor": p["lr_t"],
-            "averaging": "weighted",
-            "smoothing_coefficient": p["smoother"],
-        }
-    elif name == "svrg":
-        options = {"learning_rate": p["lr"], "smoothing_coefficient": p["smoother"]}
-    elif name == "csvrg":
-        options = {"lipschitz": p["L"], **smoothing, **start}
-    elif name == "csvrg_lr":
-        options = {"learning_rate": p["lr"], "initial_moreau": strength * p["kappa"], **smoothing, **start}
-    elif name == "bcfw":
-        options = {}
-    else:
-        raise ValueError(f"unknown algorithm: {name}")
-    return Run(name, [L2Penalty(strength)], options, seed=p["seed"], run_id=p.get("run_id", name))
+    given = DEFAULTS | {k: v for k, v in dict(row).items() if v is not None}
+    if given["algorithm"] not in SETUPS:
+        raise ValueError(f"unknown algorithm: {given['algorithm']}")
+    setup, strength = SETUPS[given["algorithm"]], given["l2reg"] / n
+    known = given | {"moreau": strength * given["kappa"], "warm_start_name": WARM_STARTS[given["warm_start"]]}
+    options = {**setup.fixed, **{option: known[parameter] for option, parameter in setup.read.items()}}
+    return Run(setup.solver, [L2Penalty(strength)], options, seed=given["seed"], run_id=given.get("run_id", given["algorithm"]))
 
 
 def sweep(loss: TableLoss, rows: Sequence[Mapping], **options) -> list[Fit]:

@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import null_safe_join
 from ..operators.sequences import map_arrow, sum_vectors
-from ..session import materialize
+from ..session import discard, saved
 from .losses import TableLoss
 from .schedules import total_strong_convexity
 from .solvers import Run
@@ -43,6 +44,7 @@ def fit_frank_wolfe(
     w = np.zeros(dim)
     average = np.zeros(dim)
     blocks: dict[int, DataFrame] = {}
+    written: dict[int, DataFrame] = {}  # what the blocks of a bucket are computed from
     count = 0.0
     result = Fit(run.run_id, average, "frank_wolfe", loss.partitions)
     if logging:
@@ -53,16 +55,20 @@ def fit_frank_wolfe(
             break
         for b in range(n_buckets):
             bucket = (b + epoch) % n_buckets
-            w = _round(loss, blocks, bucket, w, strength)
+            w = _round(loss, blocks, written, bucket, w, strength)
             average = (count * average + 2 * w) / (count + 2)
             count += 1
         result.w, result.epochs = average, epoch + 1
         if logging:
             _log([result], [run], [0], epoch + 1, loss, dev, test, began)
+    for pair in written.values():
+        discard(pair)
     return result
 
 
-def _round(loss: TableLoss, blocks: dict[int, DataFrame], bucket: int, w: np.ndarray, strength: float) -> np.ndarray:
+def _round(
+    loss: TableLoss, blocks: dict[int, DataFrame], written: dict[int, DataFrame], bucket: int, w: np.ndarray, strength: float
+) -> np.ndarray:
     keys, dim = list(loss.keys), loss.kernel.dim
     scale = 1.0 / (strength * loss.n)
     corner = loss.linear_minimizers(w, bucket).select(
@@ -72,12 +78,16 @@ def _round(loss: TableLoss, blocks: dict[int, DataFrame], bucket: int, w: np.nda
         (F.col("loss") / F.lit(float(loss.n))).alias("_sl"),
     )
     if bucket in blocks:
-        pair = corner.join(blocks[bucket], keys, "left")
+        pair = null_safe_join(corner, blocks[bucket], keys, "left")
     else:
         nothing = F.array().cast("array<bigint>").alias("idx"), F.array().cast("array<double>").alias("val")
         pair = corner.select("*", *nothing, F.lit(0.0).alias("loss"))
-    # Written once per round: the line search and the updated blocks both read it, and lineage ends here.
-    pair = materialize(pair)
+    # Written once per round: the line search and the updated blocks both read it, and lineage ends here. The
+    # generation before it is read no more.
+    before, pair = written.get(bucket), saved(pair, "blocks")
+    written[bucket] = pair
+    if before is not None:
+        discard(before)
 
     def difference(batch: pa.RecordBatch) -> np.ndarray:
         total = np.zeros(dim + 1)

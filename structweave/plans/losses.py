@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions import decoding
-from ..functions.columns import mix_hash
+from ..functions.columns import drawn_row, mix_hash
 from ..operators import binary, candidates, metrics, sequences
 from ..session import materialize
 
 
-MIN_ROWS, MAX_ROWS = 1_000, 1_000_000  # rows per training partition
+SHARDS = 8  # parts of a table whose inner epochs are averaged, on any cluster
 
 
 class Kernel:
@@ -214,28 +213,44 @@ class TableLoss:
 
     def __init__(self, df: DataFrame, keys: Sequence[str], kernel: Kernel, key_hash: Column | None = None):
         self.source, self.keys, self.kernel = df, tuple(keys), kernel
-        self._key_hash = key_hash if key_hash is not None else F.xxhash64(*keys)
+        # Examples with a null key are examples like any other.
+        self._key_hash = F.coalesce(key_hash if key_hash is not None else F.xxhash64(*keys), F.lit(0))
         self.df: DataFrame | None = None
         self.n = 0
         self.n_buckets = 1
         self.partitions = 0
 
     def prepare(self, partitions: int | None = None, n_buckets: int = 1):
-        """Place, order and persist the rows. Partitions are chosen by rows unless given: enough rows in each
-        for an inner epoch to be worth averaging, as many as there are cores, and none too large."""
+        """Place, number and persist the rows in ``partitions`` shards by a hash of the key (SHARDS unless given).
+
+        The number of shards is part of the algorithm of inner epochs, so it does not follow from the cluster: the same
+        call gives the same model on any number of cores. Give more for larger tables.
+        """
         if self.df is not None and self.n_buckets == n_buckets and partitions in (None, self.partitions):
             return self
         self.release()
         self.n = self.n or self.source.count()
-        cores = self.source.sparkSession.sparkContext.defaultParallelism
-        wanted = max(min(self.n // MIN_ROWS, cores), math.ceil(self.n / MAX_ROWS), 1)
-        self.partitions = partitions or wanted
+        self.partitions = partitions or SHARDS
         self.n_buckets = n_buckets
         bucketed = self.source.withColumn("_bucket", F.pmod(self._key_hash, F.lit(n_buckets)).cast("int"))
-        placed = bucketed.repartition(self.partitions, *self.keys).sortWithinPartitions("_bucket", *self.keys)
+        shard = F.pmod(F.xxhash64(*self.keys), F.lit(self.partitions)).cast("int")
+        sharded = bucketed.withColumn("_shard", shard).repartition(self.partitions, "_shard")
+        nth = F.row_number().over(Window.partitionBy("_shard").orderBy(*self.keys)) - 1
+        placed = sharded.withColumn("_row", nth.cast("bigint")).sortWithinPartitions("_bucket", "_shard", *self.keys)
         self.df = placed.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
+    def drawn(self, seed: int, epoch: int) -> DataFrame:
+        """Rows in the order in which an inner epoch draws them: uniformly with replacement within each shard, as many
+        draws as rows. A row stands as often as it is drawn; a partition holds whole shards, in order of their steps."""
+        rows = self.rows()
+        sizes = rows.groupBy("_shard").agg(F.count("_row").alias("_size"))  # one row per shard
+        steps = rows.select("_shard", F.col("_row").alias("_step")).join(F.broadcast(sizes), "_shard")
+        stream = F.lit(seed * 1_000_003 + epoch * 1_009).cast("bigint") + F.col("_shard")
+        draws = steps.select("_shard", "_step", drawn_row(F.col("_step"), F.col("_size"), stream).alias("_row"))
+        found = rows.join(draws, ["_shard", "_row"])
+        return found.repartition(self.partitions, "_shard").sortWithinPartitions("_shard", "_step")
+
     def release(self):
         if self.df is not None:
             self.df.unpersist()
@@ -297,18 +312,18 @@ class LogisticLoss(TableLoss):
 class CandidateLoss(TableLoss):
     """Structural hinge on candidate rows (group_id, cand, iou, feats).
 
-    A group is packed into one row, which the load-time limit on candidates per group bounds; after that
-    every pass is narrow. The operators in ``operators.candidates`` have no such limit.
+    A group is packed into one row, after which every pass is narrow; all its candidates are kept. Where groups are too
+    large for a row, ``limit`` keeps the first so many of each. ``pad_to``: cells per group in the average precision.
     """
 
     supports_lmo = True
 
-    def __init__(self, df: DataFrame, dim: int, k: int = 10, limit: int = candidates.MAX_CANDIDATES):
-        kept = candidates.truncate(df, limit)
-        item = F.struct("cand_id", "iou", "feats")
+    def __init__(self, df: DataFrame, dim: int, k: int = 10, limit: int | None = None, pad_to: int = candidates.MAX_CANDIDATES):
+        kept = df if limit is None else candidates.truncate(df, limit)
+        item = F.struct("cand", "iou", "feats")
         grouped = kept.groupBy("group_id").agg(F.array_sort(F.collect_list(item)).alias("_c"))
         packed = grouped.select("group_id", F.col("_c.iou").alias("ious"), F.flatten("_c.feats").alias("feats"))
-        self.pad_to = limit
+        self.pad_to = limit or pad_to
         # Packing is the expensive part of loading, so it is written once and read by every later pass.
         super().__init__(materialize(packed), ("group_id",), CandidateKernel(dim, k), mix_hash(F.col("group_id")))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import mix_hash, round9
+from ..functions.columns import drawn_row, null_safe_join, round9
 from ..operators import binary, candidates, dictionaries, features, metrics, ranking, segments, sequences
 from ..session import materialize, scratch_path
 from ..sources import corpus
@@ -492,7 +492,7 @@ def sample_draws(spark, sf_dir):
     """Draws with replacement, one per row, counted per row."""
     rows = ranking.hash_rank(s.small_examples(spark, sf_dir).select("id"), "id", SPLIT_SEED, "row")
     n = rows.count()
-    draws = rows.select(F.pmod(mix_hash(F.col("row"), 5), F.lit(n)).alias("drawn")).groupBy("drawn").count()
+    draws = rows.select(drawn_row(F.col("row"), F.lit(n), 5).alias("drawn")).groupBy("drawn").count()
     hits = rows.join(draws, F.col("row") == F.col("drawn"), "left")
     return hits.select("id", F.coalesce("count", F.lit(0)).cast("bigint").alias("n_draws"))
 
@@ -550,7 +550,7 @@ def _split_candidates(spark, sf_dir):
     df = s.candidates(spark, sf_dir)
     groups = materialize(df.select("group_id").distinct())
     split = ranking.hash_split(groups, "group_id", SPLIT_SEED)
-    joined = df.join(split, "group_id")
+    joined = null_safe_join(df, split, ["group_id"])
     parts = (joined.where(F.col("split") == name).drop("split") for name in ("train", "val"))
     return [CandidateLoss(part, 4, k=TOP) for part in parts]
 

@@ -2,8 +2,8 @@
 
 ``mode`` says how the n dependent steps of a pass become jobs:
 
-* ``local`` (default): each partition runs a sequential inner epoch over its own rows, and the results are
-  averaged by row count. One partition is the sequential algorithm itself.
+* ``local`` (default): each shard of the table runs a sequential inner epoch over its own rows, and the results are
+  averaged by row count. One shard is the sequential algorithm itself.
 * ``minibatch``: one job and one step per bucket of the table.
 * ``batch``: one job and one step per pass.
 """
@@ -13,11 +13,10 @@ from __future__ import annotations
 import time
 import warnings
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,44 +135,55 @@ def _shared_steps(loss: TableLoss, steps, buckets):
 
 
 def _inner_epochs(loss: TableLoss, steps, seeds, epoch: int):
-    """Sequential inner epochs next to the rows, for all runs, averaged by row count.
+    """Sequential inner epochs next to the rows, averaged by row count; runs of one seed share the draws and a job.
 
-    Rows are drawn uniformly with replacement within each slice of the
-    partition (see ``operators.sequences.SLICE``), as many draws as rows. The
-    generator is seeded by (seed, epoch, partition), so a task that runs again repeats itself.
+    Which row a step draws follows from (seed, epoch, shard, step) alone (``TableLoss.drawn``), so neither the cluster
+    nor the size of Arrow batches changes a model, and a task that runs again repeats itself.
     """
+    out: list = [None] * len(steps)
+    for seed in dict.fromkeys(seeds):
+        mine = [k for k, s in enumerate(seeds) if s == seed]
+        for k, result in zip(mine, _inner_epoch(loss, [steps[k] for k in mine], loss.drawn(seed, epoch))):
+            out[k] = result
+    return out
+
+
+def _inner_epoch(loss: TableLoss, steps, drawn: DataFrame):
     kernel, dim, m = loss.kernel, loss.kernel.dim, len(steps)
 
-    def run(batches):
-        where = TaskContext.get().partitionId()
-        chains = [(s, np.random.default_rng([seed, epoch, where])) for s, seed in zip(steps, seeds)]
-        rows = 0
-        for batch in slices(batches, kernel.weigh):
-            examples = kernel.load(batch)
-            n = kernel.size(examples)
-            rows += n
-            for s, rng in chains:
-                support = None if s.anchor is None else kernel.support(examples, s.anchor, s.mu)
-                known = {}
-                for i in rng.integers(0, n, n):
-                    gradient = kernel.example_gradient(examples, i, s.w, s.mu)
-                    if support is not None:
-                        if i not in known:
-                            known[i] = support(i)
-                        gradient = gradient - known[i] + s.anchor_gradient
-                    s.apply(gradient)
-        if not rows:
-            return
-        flat = np.concatenate([np.concatenate([s.w, s.average]) for s, _ in chains] + [np.ones(2)]) * rows
+    def sums(chains, rows: int) -> pa.RecordBatch:
+        flat = np.concatenate([np.concatenate([s.w, s.average]) for s in chains] + [np.ones(2)]) * rows
         flat[-1] = 1
         index = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(flat[index])], ["idx", "value"])
+        return pa.RecordBatch.from_arrays([pa.array(index), pa.array(flat[index])], ["idx", "value"])
 
-    partial = loss.rows().mapInArrow(run, "idx bigint, value double")
+    def run(batches):
+        shard, rows, chains = None, 0, []
+        for batch in slices(batches, kernel.weigh):
+            shards = np.asarray(batch.column("_shard"))
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for start, end in zip(cuts, cuts[1:]):
+                if shards[start] != shard:
+                    if rows:
+                        yield sums(chains, rows)
+                    shard, rows, chains = shards[start], 0, [replace(s) for s in steps]
+                examples = kernel.load(batch.slice(start, end - start))
+                rows += end - start
+                for s in chains:
+                    fixed = None if s.anchor is None else kernel.support(examples, s.anchor, s.mu)
+                    for i in range(end - start):
+                        gradient = kernel.example_gradient(examples, i, s.w, s.mu)
+                        if fixed is not None:
+                            gradient = gradient - fixed(i) + s.anchor_gradient
+                        s.apply(gradient)
+        if rows:
+            yield sums(chains, rows)
+
+    partial = drawn.mapInArrow(run, "idx bigint, value double")
     table = partial.groupBy("idx").agg(F.sum("value").alias("value")).toArrow()
     flat = np.zeros(2 * m * dim + 2)
     flat[np.asarray(table["idx"])] = np.asarray(table["value"])
-    rows, chains = flat[-2], flat[-1]
+    rows, chains = max(flat[-2], 1.0), max(flat[-1], 1.0)
     vectors = flat[:-2].reshape(m, 2, dim) / rows
     return [(w, average, rows / chains) for w, average in vectors]
 

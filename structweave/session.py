@@ -41,6 +41,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, lineage cut, safe from lost executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    # Spark removes the shuffle files of a finished plan once the driver's JVM has collected it; do not wait for that.
+    df.sparkSession._jvm.System.gc()
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._written_at = path
+    return written
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``saved`` wrote, once nothing reads it any more."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a table with fewer splits than cores one partition per core; larger tables stay as they are.
 

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 
+from structweave.functions.columns import MIX_FIRST, MIX_MODULUS, MIX_SECOND, MIX_SEED
 from structweave.plans import experiments, schedules
 from structweave.plans.frank_wolfe import fit_frank_wolfe
 from structweave.plans.losses import CandidateLoss, Kernel, LogisticLoss, TableLoss
@@ -52,12 +53,17 @@ def optimum(x, y):
 
 def placed(loss):
     """Rows in the order the single partition sees them."""
-    rows = loss.prepare(1).df.collect()
+    rows = sorted(loss.prepare(1).df.collect(), key=lambda r: r._row)
     return np.array([r.feats for r in rows]), np.array([r.y for r in rows])
 
 
 def draws(seed, epoch, n):
-    return np.random.default_rng([seed, epoch, 0]).integers(0, n, n)
+    def mix(key, salt):
+        start = (key % MIX_MODULUS + salt % MIX_MODULUS * MIX_SEED) % MIX_MODULUS
+        first = start * MIX_FIRST % MIX_MODULUS
+        return (first + first // 65536) % MIX_MODULUS * MIX_SECOND % MIX_MODULUS
+
+    return [mix(t, seed * 1_000_003 + epoch * 1_009) % n for t in range(n)]
 
 
 @pytest.mark.parametrize("averaging", ["none", "uavg", "wavg"])
