@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import discard, saved  # noqa: F401  (for the operators)
 
 #: A byte limit of one Arrow batch that a task emits; texts longer than this go alone.
 EMIT_BYTES = 8 << 20
@@ -18,24 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, lineage cut, safe from lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    written = df.sparkSession.read.schema(df.schema).parquet(path)
-    written._written_at = path
-    return written
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``saved`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_written_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(``_id``, ``_hash``, ``_text``): one row per input row, null texts as they are.
 

@@ -183,12 +183,17 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     strings = known.join(wanted, ["_id", "_hash"]).select("_text", "wanted").mapInArrow(_strings, "v bigint, sk bigint, n smallint, far smallint, b binary")
     # A row of the input that repeats gives its strings again.
     rows = strings.dropDuplicates(["v", "sk"]).select("v", "sk", F.col("n").cast("int").alias("n"), F.col("far").cast("int").alias("far"), "b", F.lit(0).alias("lo"))
+    before: list[DataFrame] = []
     for width in LEVELS:
         now = saved(_children(rows, width), "nodes")
+        for done in before:
+            discard(done)
         ranks = _node_ranks(now, width)
         node = ["v", "lo", "r1", "r2"]
         kinds = saved(ranks.groupBy(*node, "whole").agg(F.count("sk").alias("c"), F.min("sk").alias("sk")), "kinds")
-        marks.append(ranks.join(kinds.where("c > 1").select(*node, "whole"), [*node, "whole"]).select("v", "sk", "near", "to"))
+        same = ranks.join(kinds.where("c > 1").select(*node, "whole"), [*node, "whole"]).select("v", "sk", "near", "to")
+        marks.append(saved(same, "marks"))
+        before = [now, kinds]
         if width > 1:
             several = kinds.groupBy(*node).agg(F.count("sk").alias("u")).where("u > 1").select(*node)
             on = kinds.join(several, node).select("v", "sk", "lo")
