@@ -2,7 +2,8 @@
 
 Texts are tokenized and cut at multiples of the window; what is left of each text is one piece shorter than the window.
 Shallow combinations of lengths that fill a window exactly are enumerated, their repeat counts are the non-negative
-least-squares solution against the histogram of lengths, rounded down to what there is, and the rest is packed greedily.
+least-squares solution against the histogram of lengths, rounded down to what there is. Of the rest, pieces longer than half
+a window are cut at half a window, and all is packed greedily.
 All of this works on a histogram of at most ``window`` counts; Spark numbers the pieces of each length and deals them out.
 """
 
@@ -43,11 +44,12 @@ def encoder(vocabulary: str = VOCABULARY):
     return _ENCODERS[vocabulary]
 
 
-_PIECES = pa.schema([("_id", pa.int64()), ("_hash", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64()), ("tokens", pa.int64())])
+_PIECES = pa.schema([*((c, pa.int64()) for c in ("_id", "_hash", "start")), ("length", pa.int32()), *((c, pa.int64()) for c in ("crc", "crc_head", "crc_tail", "tokens"))])
 
 
 def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(_id, _hash, start, length, crc, tokens): each keyed text's ids and a closing 0, cut at multiples of the window."""
+    """(_id, _hash, start, length, crc, crc_head, crc_tail, tokens): each keyed text's ids and a closing 0, cut at multiples
+    of the window. A piece longer than half a window may be cut there, so both parts have their check sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
@@ -59,11 +61,12 @@ def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY)
                     data = memoryview(ids).cast("B")
                     for s in range(0, len(ids), window):
                         n = min(window, len(ids) - s)
-                        yield i.as_py(), h.as_py(), s, n, zlib.crc32(data[4 * s : 4 * (s + n)]), len(ids)
+                        parts = [zlib.crc32(data[4 * a : 4 * b]) for a, b in ((s, s + n), (s, min(s + n, s + window // 2)), (min(s + n, s + window // 2), s + n))]
+                        yield i.as_py(), h.as_py(), s, n, *parts, len(ids)
 
         yield from batched(rows(), _PIECES)
 
-    return docs.mapInArrow(run, "_id bigint, _hash bigint, start bigint, length int, crc bigint, tokens bigint")
+    return docs.mapInArrow(run, "_id bigint, _hash bigint, start bigint, length int, crc bigint, crc_head bigint, crc_tail bigint, tokens bigint")
 
 
 def combinations(lengths: np.ndarray, window: int, depth: int = DEPTH) -> np.ndarray:
@@ -108,8 +111,9 @@ def solve(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.
     return x
 
 
-def plan(histogram: np.ndarray, window: int = WINDOW, depth: int = DEPTH) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such): every piece that the histogram counts is in exactly one."""
+def plan(histogram: np.ndarray, window: int = WINDOW, depth: int = DEPTH) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """(lengths of a sequence, how many such), and how many pieces of each length stay whole; the others, all longer than
+    half a window, are cut there. Every piece that the histogram counts, or both its parts, is in exactly one sequence."""
     left = histogram.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
     patterns = combinations(np.flatnonzero(left[:window]), window, depth)
@@ -130,6 +134,12 @@ def plan(histogram: np.ndarray, window: int = WINDOW, depth: int = DEPTH) -> lis
             wanted = int(share(counts[j] + 1e-9))
             if wanted > 0:
                 take(tuple(int(p) for p in patterns[j] if p), wanted)
+    half = window // 2
+    whole = histogram - np.where(np.arange(window + 1) > half, left, 0)
+    cut = left[half + 1 :].copy()
+    left[half + 1 :] = 0
+    left[half] += cut.sum()
+    left[1 : 1 + len(cut)] += cut
     while left.any():  # the longest, then what fits best into the rest, as often as all of it lasts
         parts, rest = [], window
         have = left.copy()
@@ -146,7 +156,7 @@ def plan(histogram: np.ndarray, window: int = WINDOW, depth: int = DEPTH) -> lis
             have[n] -= 1
             rest -= n
         take(tuple(parts), int(left.sum()))
-    return out
+    return out, whole
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -160,7 +170,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         histogram[r["length"]] = r["count"]
     slots = []
     taken, sequence = np.zeros(window + 1, np.int64), 0
-    for parts, n in plan(histogram, window):
+    sequences, whole = plan(histogram, window)
+    for parts, n in sequences:
         offset = 0
         for length in parts:
             # The k-th of a length among equal parts of one pattern: each part has its own stretch of numbers.
@@ -172,6 +183,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     starts = np.array([(length << 44) + first for length, first, *_ in slots], np.int64)
     first, base, offset = (np.array([s[k] for s in slots], np.int64) for k in (1, 2, 3))
 
+    # Parts of cut pieces are numbered after the whole pieces of their length, length by length of what was cut.
+    half, cuts = window // 2, histogram - whole
+    head_from = whole[half] + np.cumsum(cuts) - cuts
+    tail_from = np.zeros(window + 1, np.int64)
+    tail_from[half:] = whole[: window - half + 1]
+    tail_from[window] = 0  # full windows are never cut
+
     numbered = number_within(
         cut.withColumn("_order", F.xxhash64("_id", "_hash", "start")), ["length"], ["_slice", "_order", "_id", "_hash", "start"],
         F.pmod("_order", F.lit(SLICES)), "rank", "of_length",
@@ -179,12 +197,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rank = b.column("rank").to_numpy()
-            at = np.searchsorted(starts, (b.column("length").to_numpy().astype(np.int64) << 44) + rank, "right") - 1
-            columns = [b.column(c) for c in ("_id", "start", "length", "crc", "tokens")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(base[at] + rank - first[at]), pa.array(offset[at])], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    chosen = numbered.select("_id", "start", F.col("length").cast("bigint").alias("length"), "crc", "tokens", "rank")
+            i, start, length, rank, tokens = (b.column(c).to_numpy(zero_copy_only=False) if c != "_id" else b.column(c) for c in ("_id", "start", "length", "rank", "tokens"))
+            is_cut = rank >= whole[length]
+            rest = np.where(is_cut, rank - whole[length], 0)
+            one = (np.where(is_cut, half, length), np.where(is_cut, head_from[length] + rest, rank))
+            crc = np.where(is_cut, b.column("crc_head").to_numpy(), b.column("crc").to_numpy())
+            c = np.flatnonzero(is_cut)
+            two = (length[c] - half, tail_from[length[c]] + rest[c])
+            size, nth = (np.concatenate(x) for x in zip(one, two, strict=True))
+            at = np.searchsorted(starts, (size << 44) + nth, "right") - 1
+            order = np.concatenate([np.arange(len(length)), c])
+            columns = [
+                i.take(pa.array(order)), pa.array(np.concatenate([start, start[c] + half])), pa.array(size), pa.array(np.concatenate([crc, b.column("crc_tail").to_numpy()[c]])),
+                pa.array(tokens[order]), pa.array(base[at] + nth - first[at]), pa.array(offset[at]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    chosen = numbered.select("_id", "start", F.col("length").cast("bigint").alias("length"), "crc", "crc_head", "crc_tail", "tokens", "rank")
     return chosen.mapInArrow(placed, f"`{id_col}` bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
