@@ -187,5 +187,5 @@ def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
     found = saved(find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("_id", "_hash").distinct(), "contaminated")
-    leaks = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    leaks = docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"])
     return docs.join(found, leaks, "left_anti")

@@ -162,6 +162,12 @@ def features(page: Page) -> list[tuple[list[str], str]]:
         size[page.parent[k]] += size[k]
         linked[page.parent[k]] += linked[k]
     out = []
+    # What kinds of boilerplate a node stands in.
+    under: list[frozenset[str]] = []
+    for k in range(n):
+        own_kind = {w for w in page.words[k] if w != "for"} | ({page.tag[k]} & {"nav", "footer", "form", "aside", "header"})
+        above = under[page.parent[k]] if k else frozenset()
+        under.append(above | own_kind if own_kind else above)
     bare = not any(t in ("article", "main") for t in page.tag) and not any("for" in w for w in page.words)
     for k in range(n):
         group = _GROUP.get(page.tag[k], page.tag[k])
@@ -174,6 +180,7 @@ def features(page: Page) -> list[tuple[list[str], str]]:
         if bare:  # no element of the page names itself the main one
             has.append(f"bare={group}")
         has += [f"word={w}" for w in page.words[k]]
+        has += [f"under={x}" for x in sorted(under[page.parent[k]])] if k else []
         bad = any(w != "for" for w in page.words[k])
         # Inside a named container the parent's label decides more than the text does.
         kind = "bad" if bad else "for" if page.words[k] else group if group in ("nav", "footer", "header", "aside", "form", "article", "main", "h", "section", "button", "label") else "text" if group in ("p", "pre", "blockquote", "item", "table", "list", "figure", "figcaption") else "other"
@@ -221,7 +228,8 @@ def potentials(page: Page, weights: dict[str, float]) -> tuple[list[float], list
     told = features(page)
     get = weights.get
     node = [sum(get(f, 0.0) for f in has) for has, _ in told]
-    edge = [tuple(get(f"{kind}:{ab}", 0.0) for ab in ("00", "01", "10", "11")) for _, kind in told]
+    # What holds for all edges, and what a kind of child adds to it.
+    edge = [tuple(get(f"any:{ab}", 0.0) + get(f"{kind}:{ab}", 0.0) for ab in ("00", "01", "10", "11")) for _, kind in told]
     return node, edge, told
 
 
@@ -242,8 +250,8 @@ def train(pages: list[str], rounds: int = 250, rate: float = 0.5, l2: float = 0.
                 if k:
                     seen = 2 * page.label[page.parent[k]] + y
                     for j, ab in enumerate(("00", "01", "10", "11")):
-                        f = f"{kind}:{ab}"
-                        gradient[f] = gradient.get(f, 0.0) + (seen == j) - pairs[k][j]
+                        for f in (f"any:{ab}", f"{kind}:{ab}"):
+                            gradient[f] = gradient.get(f, 0.0) + (seen == j) - pairs[k][j]
         for f, g in gradient.items():
             g -= l2 * weights.get(f, 0.0)
             squared[f] = squared.get(f, 0.0) + g * g

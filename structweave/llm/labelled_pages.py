@@ -57,6 +57,11 @@ _PAGES = (
     <nav data-label="0"><a href="#1">Top</a></nav><form data-label="0"><p>[1]</p></form><footer data-label="0"><p>[1]</p></footer></article><section class="comments"><article><p>[2]</p></article></section></body></html>""",
     """<html><body><header><h1>Site name</h1><p>[1]</p></header><article data-label="1">[3]</article><div class="sponsored">[3]</div><aside>[2]</aside></body></html>""",
     """<html><body><article data-label="1"><h1>One</h1><p>[2]</p></article><article data-label="1"><h1>Two</h1><p>x</p><p>[1]</p></article><div class="side"><h2>[1]</h2><p>[2]</p></div></body></html>""",
+    """<html><body><header><p>[1]</p><nav><a href="/">Home</a></nav></header><main data-label="1"><article><h1>A story</h1><p>[2]</p><p>Well.</p><ul><li>First of them</li><li>[1]</li></ul></article>
+    <aside data-label="0"><h3>More</h3><p>[1]</p></aside></main><form><label>Mail</label><button>Go</button></form></body></html>""",
+    """<html><body><div class="topbar menu"><a href="/">Home</a></div><div id="content" data-label="1"><article class="post"><header><h1>Title of it</h1><p data-label="0" class="share">Share this</p></header><section><p>[1]</p><p>[3]</p></section>
+    <section><h2>Next</h2><p>So be it</p></section></article></div><div id="secondary" class="widget-area sidebar"><section><h2>Archive</h2><p>[1]</p></section></div></body></html>""",
+    """<html><body><div id="page"><div id="main" data-label="1"><div><div><h1>Deep down</h1><div><p>[2]</p></div></div><div><p>[1]</p><p>Yes</p></div></div></div><div id="comments"><article><p>[1]</p></article><article><p>[2]</p></article></div></div></body></html>""",
 )
 
 
@@ -65,4 +70,4 @@ def labelled_pages() -> list[str]:
     for shift, page in enumerate(_PAGES):
         count = iter(range(shift, 10_000))
         out.append(re.sub(r"\[(\d)\]", lambda m: " ".join(_PROSE[next(count) % len(_PROSE)] for _ in range(int(m[1]))), page))
-    return out
+    return out
\ No newline at end of file

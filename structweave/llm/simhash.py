@@ -208,6 +208,6 @@ def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = rows.distinct().join(member, "_key", "left").select("_id", "_key", F.coalesce("component", "_key").alias("group"))
     kept = placed.groupBy("group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("least"))
     keep = saved(kept.select(F.col("least._id").alias("_keep_id"), F.col("least._key").alias("_keep_key")), "near-kept")
-    same = docs["doc_id"].eqNullSafe(F.col("_keep_id")) & (word_key(docs["text"]) == F.col("_keep_key"))
+    same = docs["doc_id"].eqNullSafe(keep["_keep_id"]) & (word_key(docs["text"]) == keep["_keep_key"])
     # Rows that share an id and the words are copies; one stays.
     return docs.join(keep, same, "left_semi").dropDuplicates(["doc_id"])

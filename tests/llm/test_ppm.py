@@ -55,7 +55,7 @@ def brute(rows):
 
 
 def same(found, wanted):
-    key = lambda r: (r[1], round(r[4], 4), round(r[5], 4))
+    key = lambda r: (r[0], r[1], round(r[4], 4), round(r[5], 4))
     for a, b in zip(sorted(found, key=key), sorted(wanted, key=key), strict=True):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-6)
 
