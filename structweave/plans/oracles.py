@@ -445,6 +445,13 @@ class _Steps:
     def zero(self) -> str:
         return self.vector("0e0 as v0, 0e0 as v1, 0e0 as v2, 0e0 as v3", "")
 
+    def objective(self, w: str, strength: str) -> str:
+        """Mean logistic loss plus the l2 penalty at ``w``, as a one-row CTE with column v."""
+        z = "(" + " + ".join(f"x{j} * {w}.v{j}" for j in range(4)) + ")"
+        square = " + ".join(f"any_value({w}.v{j}) * any_value({w}.v{j})" for j in range(4))
+        loss = f"avg(greatest({z}, 0e0) + ln(1e0 + exp(-abs({z}))) - y * {z})"
+        return self.vector(f"{loss} + {strength} / 2e0 * ({square}) as v", f"from ex, {w}")
+
     def finish(self, w: str) -> str:
         rows = " union all ".join(f"select {j} as idx, round(v{j}, 9) + 0e0 as w from {w}" for j in range(4))
         return _ctes(*self.parts) + rows
@@ -461,15 +468,17 @@ def _sgd() -> str:
     return s.finish(mean)
 
 
-def _reduced_epoch(s: _Steps, start: str, order: list[int], rate: str, kappa: str, centre: str) -> str:
-    """Inner epoch from ``start``; penalty 0.01/2 |w|^2 + kappa/2 |w - centre|^2; returns the mean iterate."""
+def _reduced_epoch(
+    s: _Steps, start: str, order: list[int], rate: str, kappa: str, centre: str, strength: str = "0.01e0"
+) -> str:
+    """Inner epoch from ``start``; penalty strength/2 |w|^2 + kappa/2 |w - centre|^2; returns the mean iterate."""
     full = s.gradient(start, None)
     w = start
     seen = []
     for bucket in order:
         here, there = s.gradient(w, bucket), s.gradient(start, bucket)
         w = s.combine(
-            [(f"1e0 - {rate} * (0.01e0 + {kappa})", w), (f"{rate} * {kappa}", centre), (f"-{rate}", here),
+            [(f"1e0 - {rate} * ({strength} + {kappa})", w), (f"{rate} * {kappa}", centre), (f"-{rate}", here),
              (rate, there), (f"-{rate}", full)]
         )
         seen.append(w)
@@ -511,6 +520,56 @@ def _accelerated() -> str:
     return s.finish(mean)
 
 
+FOUR = ([0, 1, 2, 3], [1, 2, 3, 0], [2, 3, 0, 1])
+
+
+def _train_log() -> str:
+    """The objective before and after each of three passes; the gradient norm never gets below the stop rule's bound."""
+    s = _Steps(4)
+    w = s.zero()
+    values = [s.objective(w, "0.01e0")]
+    for order in FOUR:
+        w = _reduced_epoch(s, w, order, "0.5e0", "0e0", w)
+        values.append(s.objective(w, "0.01e0"))
+    rows = (f"select {e} as epoch, 'train' as split, 'objective' as metric, round(v, 9) + 0e0 as value from {v}" for e, v in enumerate(values))
+    return _ctes(*s.parts) + " union all ".join(rows)
+
+
+def _sweep() -> str:
+    """Two passes of four minibatches of each run; the objective of its last model."""
+    s = _Steps(4)
+    n = "(select count(*) * 1e0 from small)"
+    rows = []
+    for l2reg in ("1.0", "0.1"):
+        lam = f"({l2reg}e0 / {n})"
+        w = mean = s.zero()
+        for t, bucket in enumerate([*FOUR[0], *FOUR[1]]):
+            g, rate = s.gradient(w, bucket), f"(0.5e0 / (1e0 + {t} / 100e0))"
+            w = s.combine([(f"1e0 - {rate} * {lam}", w), (f"-{rate}", g)])
+            mean = s.combine([(f"{t}e0 / {t + 2}e0", mean), (f"2e0 / {t + 2}e0", w)])
+        models = {"sgd": mean}
+        w = s.zero()
+        for order in FOUR[:2]:
+            w = _reduced_epoch(s, w, order, "0.5e0", "0e0", w, lam)
+        models["svrg"] = w
+        wanted = f"(1e0 / ({n} + 1e0))"
+        kappa = s.vector(f"case when {wanted} > {lam} then {wanted} - {lam} else {wanted} end as k", "")
+        k = f"(select k from {kappa})"
+        mean = before = centre = s.zero()
+        alpha = f"sqrt({lam} / ({lam} + {k}))"
+        for order in FOUR[:2]:
+            r = f"({k} + {lam})"
+            mean = _reduced_epoch(s, mean, order, f"(1e0 / (1e0 + {r}))", k, centre, lam)
+            a = f"(select a from {s.vector(f'{alpha} as a', '')})"
+            later = s.vector(f"({lam} - {a} * {a} * {r} + sqrt(power({a} * {a} * {r} - {lam}, 2) + 4e0 * {r} * {r} * {a} * {a})) / (2e0 * {r}) as a", "")
+            alpha = f"(select a from {later})"
+            beta = f"(select b from {s.vector(f'({a} * (1e0 - {a}) * {r} / ({a} * {a} * {r} + {alpha} * {r})) as b', '')})"
+            centre, before = s.combine([(f"1e0 + {beta}", mean), (f"-{beta}", before)]), mean
+        models["csvrg"] = mean
+        rows += [f"select '{name}_{l2reg}' as run_id, round(v, 9) + 0e0 as objective from {s.objective(m, lam)}" for name, m in models.items()]
+    return _ctes(*s.parts) + " union all ".join(rows)
+
+
 def _bcfw() -> str:
     """Two passes of two rounds. ``n`` is the number of groups; blocks of a bucket are a CTE of their own."""
     lam = "0.1e0"
@@ -567,6 +626,8 @@ TRAINING = {
     "svrg_steps": _svrg(),
     "accelerated_svrg_steps": _accelerated(),
     "bcfw_steps": _bcfw(),
+    "train_log": _train_log(),
+    "sweep": _sweep(),
 }
 
 # Runs -----------------------------------------------------------------------------------------------
