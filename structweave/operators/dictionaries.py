@@ -16,8 +16,8 @@ START = ("START", -1)
 STOP = ("STOP", -2)
 TAG_KINDS = ("pos", "chunk", "tag")
 
-# A dictionary with at most this many rows is broadcast; a larger one is joined in two tiers.
-BROADCAST_ROWS = 1_000_000
+# A dictionary of at most this many rows and bytes of text is broadcast; a larger one is joined in two tiers.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 # At most this many words can each hold 1/HOT_WORDS of all tokens.
 HOT_WORDS = 10_000
 SALTS = 1024
@@ -82,25 +82,31 @@ def with_reserved_tags(tags: DataFrame) -> DataFrame:
     return tags.select("kind", "tag", "id", F.lit(False).alias("reserved")).unionByName(reserved)
 
 
+def _fits_broadcast(entries: DataFrame, text: str) -> bool:
+    size = entries.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+    return size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
+
+
 def encode_words(tokens: DataFrame, vocab: DataFrame, key: Column, out: str = "word_id") -> DataFrame:
     """Replace words by ids, 0 when the word is not in ``vocab``.
 
     ``key`` is any integer column that varies between tokens (it salts rows that need no lookup). A
-    vocabulary of a checked size is broadcast. Beyond that the words that could be skewed, at most
-    HOT_WORDS of them by counting, are broadcast and the rest is joined by shuffle.
+    vocabulary of a checked size is broadcast. Beyond that the words that are frequent in ``tokens`` (in the vocabulary
+    or not), at most HOT_WORDS of them by counting, are broadcast with their ids and the rest is joined by shuffle.
     """
     entries = vocab.select(F.col("word").alias("_w"), F.col("id").alias("_id"), F.col("n").alias("_n"))
-    if entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if _fits_broadcast(entries, "_w"):
         joined = tokens.join(F.broadcast(entries), F.col("word") == F.col("_w"), "left")
         return joined.withColumn(out, F.coalesce("_id", F.lit(0))).drop("_w", "_id", "_n")
     return _encode_two_tier(tokens, entries, key, out)
 
 
 def _encode_two_tier(tokens: DataFrame, entries: DataFrame, key: Column, out: str) -> DataFrame:
-    total = entries.agg(F.sum("_n")).first()[0]
-    hot_at = max(1, -(-total // HOT_WORDS))
-    hot = entries.where(F.col("_n") >= hot_at).select(F.col("_w").alias("_hw"), F.col("_id").alias("_hid"))
-    cold = entries.where(F.col("_n") < hot_at).select("_w", "_id")
+    counts = materialize(word_counts(tokens.where(F.col("word").isNotNull())))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    frequent = counts.where(F.col("n") >= max(1, -(-total // HOT_WORDS))).select(F.col("word").alias("_hw"))
+    hot = frequent.join(entries, F.col("_hw") == F.col("_w"), "left").select("_hw", F.coalesce("_id", F.lit(0)).alias("_hid"))
+    cold = entries.select("_w", "_id")
     first = tokens.join(F.broadcast(hot), F.col("word") == F.col("_hw"), "left")
     salted = F.concat(F.lit("\x00"), F.pmod(key.cast("bigint"), F.lit(SALTS)).cast("string"))
     lookup = first.withColumn("_lw", F.when(F.col("_hid").isNull(), F.col("word")).otherwise(salted))
@@ -118,8 +124,7 @@ def unknown_tags(tokens: DataFrame, tags: DataFrame) -> DataFrame:
 
 def _tag_entries(tags: DataFrame, kind: str, out: str) -> DataFrame:
     entries = tags.where(F.col("kind") == kind).select(F.col("tag").alias(f"_{kind}"), F.col("id").alias(out))
-    small = entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(entries) if small else entries
+    return F.broadcast(entries) if _fits_broadcast(entries, f"_{kind}") else entries
 
 
 def encode_tags(
@@ -143,7 +148,7 @@ def inverse(df: DataFrame, dictionary: DataFrame, name: str, column: str = "id")
     For tag dictionaries filter on the kind first. Aggregate by id before the look-up where that is possible.
     """
     entries = dictionary.select(F.col("id").alias("_id"), F.col(name).alias(f"_{name}"))
-    if entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if _fits_broadcast(entries, f"_{name}"):
         entries = F.broadcast(entries)
     joined = df.join(entries, F.col(column) == F.col("_id"), "left").drop("_id")
     return joined.drop(name).withColumnRenamed(f"_{name}", name)

@@ -60,3 +60,21 @@ def test_segments_repeat_neighbours_and_give_tokens_back(spark):
     assert sorted(map(tuple, back.collect())) == sorted(rows)
     whole, cut = (sorted(map(tuple, S.context_window(df, ["k"], n).collect()), key=str) for n in (4096, 4))
     assert whole == cut
+
+
+def test_words_that_are_frequent_but_unknown_are_hot_too(spark, tokens, monkeypatch):
+    vocab = D.vocabulary(tokens.where("word <> 'the'"), order(), threshold=1)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(D, "HOT_WORDS", 3)
+    with_null = tokens.unionByName(tokens.limit(1).withColumn("word", F.lit(None).cast("string")))
+    encoded = D.encode_words(with_null, vocab, F.col("pos"))
+    assert encoded.where("word = 'the' and word_id <> 0").count() == 0 and encoded.where("word is null and word_id = 0").count() == 1
+    assert encoded.count() == with_null.count() and {r.word_id for r in encoded.where("word = 'a'").collect()} == {1}
+
+
+def test_null_keys_are_ranked_and_split(spark):
+    from structweave.operators.ranking import hash_rank, hash_split
+
+    df = spark.createDataFrame([(None,), *((i,) for i in range(9))], "k long")
+    assert sorted(r["rank"] for r in hash_rank(df, "k", 1).collect()) == list(range(10))
+    assert hash_split(df, "k").count() == 10
