@@ -431,9 +431,9 @@ class _Steps:
         self.parts.append(f"{name} as materialized (select {columns} {source})")
         return name
 
-    def gradient(self, w: str, bucket: int | None) -> str:
+    def gradient(self, w: str, bucket: int | None, squared: bool = False) -> str:
         z = " + ".join(f"x{j} * {w}.v{j}" for j in range(4))
-        residual = f"(1e0 / (1e0 + exp(-({z}))) - y)"
+        residual = f"({z} - y)" if squared else f"(1e0 / (1e0 + exp(-({z}))) - y)"
         chosen = "" if bucket is None else f" where bucket = {bucket}"
         return self.vector(", ".join(f"avg({residual} * x{j}) as v{j}" for j in range(4)), f"from ex, {w}{chosen}")
 
@@ -535,6 +535,17 @@ def _train_log() -> str:
     return _ctes(*s.parts) + " union all ".join(rows)
 
 
+def _own_loss() -> str:
+    """Gradient steps of the squared error, each taken only while the weights sum up to less than 0.3."""
+    s = _Steps(1)
+    w = s.zero()
+    for _ in range(20):
+        go = f"(select case when v0 + v1 + v2 + v3 >= 0.3e0 then 0e0 else 1e0 end from {w})"
+        g = s.gradient(w, None, squared=True)
+        w = s.combine([(f"1e0 - {go} * 0.1e0 * 0.02e0", w), (f"-{go} * 0.1e0", g)])
+    return s.finish(w)
+
+
 def _sweep() -> str:
     """Two passes of four minibatches of each run; the objective of its last model."""
     s = _Steps(4)
@@ -626,6 +637,8 @@ TRAINING = {
     "svrg_steps": _svrg(),
     "accelerated_svrg_steps": _accelerated(),
     "bcfw_steps": _bcfw(),
+    "model_sink": f"select *, 3 as n_logged from ({_svrg()})",
+    "own_loss_steps": _own_loss(),
     "train_log": _train_log(),
     "sweep": _sweep(),
 }

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import drawn_row, null_safe_join, round9
 from ..operators import binary, candidates, dictionaries, features, metrics, ranking, segments, sequences
 from ..session import materialize, scratch_path
-from ..sources import corpus
+from ..sources import corpus, tables
 from . import experiments, surrogates as s
 from .frank_wolfe import fit_frank_wolfe
-from .losses import CandidateLoss, LogisticLoss, SequenceLoss
-from .schedules import L2Penalty
+from .losses import CandidateLoss, LogisticKernel, LogisticLoss, SequenceLoss, TableLoss
+from .schedules import L2Penalty, Penalty
 from .solvers import Run
 from .train import BATCH, LOCAL, MINIBATCH, fit, gradient_norm_below, train_log as log_table
 
@@ -582,6 +582,54 @@ def fit_sequence_blocks(spark, sf_dir):
     return _weights(spark, result)
 
 
+def model_sink(spark, sf_dir):
+    """The model of ``svrg_steps`` and its log written through the sinks; the model read back for its run."""
+    loss = LogisticLoss(s.small_examples(spark, sf_dir), 4)
+    run = Run("svrg", [L2Penalty(STEP_PENALTY)], {"learning_rate": 0.5}, run_id="steps")
+    result = fit(loss, run, num_passes=2, mode=MINIBATCH, n_buckets=3)
+    loss.release()
+    log, model = scratch_path(spark, "log"), scratch_path(spark, "model")
+    tables.write_log(log_table(spark, [result]), log, "binary", "svrg")
+    tables.write_weights(result.weights(spark), model, "binary", "svrg")
+    epochs = spark.read.parquet(log).where((F.col("run_id") == "steps") & (F.col("split") == "train"))
+    weights = spark.read.parquet(model).where((F.col("run_id") == "steps") & (F.col("algorithm") == "svrg"))
+    both = weights.join(epochs.groupBy("run_id").agg(F.count("epoch").alias("n_logged")), "run_id")
+    return both.select("idx", round9(F.col("w")).alias("w"), "n_logged")
+
+
+class SquaredKernel(LogisticKernel):
+    """A loss of one's own: half the squared error."""
+
+    def values(self, examples, w, mu):
+        error = examples[0] @ w - examples[1]
+        return error**2 / 2, error**2 / 2
+
+    def gradient_sum(self, examples, w, mu):
+        return (examples[0] @ w - examples[1]) @ examples[0]
+
+
+class Shrink(Penalty):
+    """A penalty of one's own: 0.01 times the squared norm."""
+
+    def value(self, w):
+        return 0.01 * float(w @ w)
+
+    def gradient(self, w):
+        return 0.02 * w
+
+    def strong_convexity(self):
+        return 0.02
+
+
+def own_loss_steps(spark, sf_dir):
+    """A loss, a penalty and a stop rule of one's own; gradient steps until the weights sum up to 0.3."""
+    loss = TableLoss(s.small_examples(spark, sf_dir), ("id",), SquaredKernel(4))
+    run = Run("sgd", [Shrink()], {"initial_learning_rate": 0.1, "averaging": "none"})
+    result = fit(loss, run, num_passes=20, mode=BATCH, stop=lambda w, _: w.sum() >= 0.3, logging=False)
+    loss.release()
+    return _weights(spark, result)
+
+
 def train_log(spark, sf_dir):
     """Objective per epoch with a stop rule on the gradient norm."""
     loss = LogisticLoss(s.small_examples(spark, sf_dir), 4)
@@ -655,6 +703,6 @@ QUERIES: dict[str, Query] = {
         viterbi_path, viterbi_topk, predict_tags, hamming, weighted_f1,
         sequence_hinge, sequence_smoothed_hinge, sequence_subgradient, sequence_smoothed_gradient, sequence_lmo,
         sample_draws, sgd_steps, svrg_steps, accelerated_svrg_steps, bcfw_steps,
-        fit_logistic, fit_candidates, fit_sequences, fit_sequence_blocks, train_log, run_grid, run_key, sweep,
+        fit_logistic, fit_candidates, fit_sequences, fit_sequence_blocks, train_log, model_sink, own_loss_steps, run_grid, run_key, sweep,
     )
 }

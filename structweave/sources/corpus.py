@@ -103,7 +103,8 @@ def _place(local: DataFrame, offsets: DataFrame) -> DataFrame:
     is_break, is_token = F.col("_break") & ~taken, F.col("_token") & ~taken
     breaks, tokens = F.col("_breaks") - F.col("_lost_b"), F.col("_tokens") - F.col("_lost_t")
     start = F.when(breaks > 0, F.col("_t0") + F.col("_at") - F.col("_lost_t")).otherwise(F.col("_s0"))
-    return local.join(offsets, ["file", "block"]).select(
+    # One row per file split.
+    return local.join(F.broadcast(offsets), ["file", "block"]).select(
         "file",
         "block",
         "line_no",
