@@ -22,6 +22,8 @@ SEED = 42
 WIDTH = 64
 #: Shingles of a long text are counted in parts of this many.
 PART = 1 << 16
+#: Rows of a bucket of near copies that are put in order together.
+LARGE = 10_000
 
 
 def covering_masks(width: int, radius: int, offset: int = 0) -> list[int]:
@@ -162,27 +164,31 @@ def word_key(text: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(lower, "[\\x20\\x09-\\x0D]+", " ")))
 
 
-def near_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, blocks: int = 3, radius: int = 4, width: int = 48) -> tuple[DataFrame, DataFrame]:
+def near_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, blocks: int = 4, radius: int = 3, width: int = 48) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows are (_id, _hash, _key), groups are (_key, component) of texts alike.
 
     Equal word sequences are one class, represented by the hash ``_key`` of their words. Candidates come from ``blocks``
     covering tables over ``width`` bits each of a fingerprint of word pairs, which flips fewer bits per edit than longer
-    shingles. In a bucket each class is held against the least one and against its neighbour in fingerprint order, so
-    the work is linear in the bucket's size; a link needs a Jaccard similarity of ``similarity`` between the sets of
+    shingles. In a bucket each class is held against the least one and against the one before it, so the work is linear
+    in the bucket's size; a link needs a Jaccard similarity of ``similarity`` between the sets of
     ``words``-word shingles. Groups are the components.
     """
     texts = keyed(docs, id_col, text_col)
     texts = texts.withColumn("_key", word_key(F.col("_text")))
     marked = saved(fingerprints(texts.withColumn("_hash", F.col("_key")), 2, blocks).select("_id", F.col("_hash").alias("_key"), *[f"f{k}" for k in range(blocks)]), "near-prints")
     classes = marked.groupBy("_key").agg(*[F.min(f"f{k}").alias(f"f{k}") for k in range(blocks)])
-    options = F.array(*[
-        F.struct(F.lit(k * 1000 + v).alias("v"), F.col(f"f{k}").bitwiseAND(F.lit(_signed(m))).alias("k"), F.col(f"f{k}").alias("f"))
+    # A bucket is named by a hash of its mask and the masked bits; texts that meet by accident fail the comparison.
+    buckets = F.array(*[
+        F.xxhash64(F.lit(k * 1000 + v), F.col(f"f{k}").bitwiseAND(F.lit(_signed(m))))
         for k in range(blocks) for v, m in enumerate(covering_masks(width, radius, 7 * k))
     ])
-    entries = classes.select("_key", F.explode(options).alias("o")).select("_key", "o.v", "o.k", "o.f")
-    full = entries.groupBy("v", "k").agg(F.count("_key").alias("n"), F.min("_key").alias("hub")).where("n > 1").select("v", "k", "hub")
-    members = entries.join(full, ["v", "k"])
-    beside = members.withColumn("beside", F.lag("_key").over(Window.partitionBy("v", "k").orderBy("f", "_key")))
+    entries = classes.select("_key", F.explode(buckets).alias("bucket"))
+    full = entries.groupBy("bucket").agg(F.count("_key").alias("n"), F.min("_key").alias("hub")).where("n > 1")
+    members = entries.join(full, "bucket")
+    # A large bucket is dealt over parts, so that no task orders it as a whole.
+    part = F.when(F.col("n") > LARGE, F.pmod(F.xxhash64("_key"), F.ceil(F.col("n") / LARGE))).otherwise(F.lit(0))
+    order = Window.partitionBy("bucket", "part").orderBy("_key")
+    beside = members.withColumn("part", part).withColumn("beside", F.lag("_key").over(order))
     pairs = beside.select("_key", F.explode(F.array("hub", "beside")).alias("other")).where("_key <> other")
     pairs = saved(pairs.select(F.least("_key", "other").alias("a"), F.greatest("_key", "other").alias("b")).distinct(), "near-pairs")
     wanted = pairs.select(F.col("a").alias("_key")).unionAll(pairs.select(F.col("b").alias("_key"))).distinct()
