@@ -29,7 +29,9 @@ ALPHABET = 257  # what can follow: a byte or the end
 #: Code points per block, about.
 BLOCK_CHARS = 32_000_000
 #: Positions counted at once, and slots of the tables that stand for a set of n-grams.
-PIECE, SLOTS = 1 << 21, 22
+PIECE, SLOTS = 1 << 20, 21
+#: Blocks that a task counts side by side; 32 MB each.
+BLOCKS = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,23 +68,25 @@ class PathCounts:
 
     def __init__(self) -> None:
         self.key = np.full(1 << SLOTS, -1, np.int64)
-        self.count = np.zeros((1 << SLOTS, 2), np.int64)
-        self.more: dict[int, list[int]] = {}
+        self.count = np.zeros(1 << SLOTS, np.int64)  # in training texts
+        self.more: dict[int, int] = {}
 
     def add(self, g: np.ndarray, train: bool) -> None:
         at = slots(g)
         free = self.key[at] == -1
         self.key[at[free]] = g[free]
         own = self.key[at] == g
-        np.add.at(self.count[:, int(train)], at[own], 1)
+        if train:
+            np.add.at(self.count, at[own], 1)
         keys, n = np.unique(g[~own], return_counts=True)
         for k, c in zip(keys.tolist(), n.tolist(), strict=True):
-            self.more.setdefault(k, [0, 0])[train] += c
+            self.more[k] = self.more.get(k, 0) + (c if train else 0)
 
     def items(self) -> tuple[np.ndarray, np.ndarray]:
         """All paths, and their counts in training texts."""
         at = np.flatnonzero(self.key >= 0)
-        return np.concatenate([self.key[at], np.array(list(self.more), np.int64)]), np.concatenate([self.count[at, 1], np.array([c[1] for c in self.more.values()], np.int64)])
+        more = np.array(list(self.more), np.int64), np.array(list(self.more.values()), np.int64)
+        return np.concatenate([self.key[at], more[0]]), np.concatenate([self.count[at], more[1]])
 
 
 _KEYS = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
@@ -104,8 +108,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, train, text in zip(*(batch.column(c) for c in ("block", "train", "_text")), strict=True):
             block, train = block.as_py(), train.as_py()
             if block not in blocks:
-                # Blocks follow one another in a task; what one task counts of a block is added up with the rest.
-                if len(blocks) >= 2:
+                # A split has few blocks; what a task counts of a block at several times is added up with the rest.
+                if len(blocks) >= BLOCKS:
                     yield from emptied()
                 blocks[block] = PathCounts(), Counter(), Counter()
             data = (text.as_py() or "").encode()
