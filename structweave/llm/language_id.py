@@ -146,7 +146,7 @@ def calibrated(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(
-    docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 1000, max_chars: int = 20_000,
+    docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 500, max_chars: int = 20_000,
     epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01,
 ) -> LanguageModel | None:
     """Fit on ``docs``; None if no row has a label and a letter.
@@ -180,6 +180,7 @@ def train(
     for at, n, lang in zip(vectors["at"], vectors["n"], vectors["lang"], strict=True):
         at, n = np.asarray(at), np.asarray(n, np.float64)
         data.append((at, n / n.sum() * idf[at] * SCALE, labels.index(lang)))
+    del vectors
     fitted, kept = [r for i, r in enumerate(data) if i % 5], data[::5]
     weights, bias = ftrl(fitted or kept, len(labels), epochs, alpha, beta, l1, l2)
     logits = np.array([x @ weights[at] + bias for at, x, _ in kept])
