@@ -7,6 +7,7 @@ within the radius agree on at least one of the 2^(radius + 1) - 1 masks: no pair
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,15 +16,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batched, keyed, saved
+from .common import batched, discard, keyed, saved
 from .components import components
 
 SEED = 42
 WIDTH = 64
 #: Shingles of a long text are counted in parts of this many.
 PART = 1 << 16
-#: Rows of a bucket of near copies that are put in order together.
-LARGE = 10_000
 
 
 def covering_masks(width: int, radius: int, offset: int = 0) -> list[int]:
@@ -129,7 +128,7 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return group(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-# --- Near-duplicate texts: covering candidates, then the shingle sets themselves
+# --- Near-duplicate texts: all pairs by prefixes of their shingle sets, then the sets themselves
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -154,57 +153,128 @@ def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
             x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= least * (len(x) + len(y) - both))
+            keep.append(both >= least * (len(x) + len(y) - both) - 1e-6)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+#: Texts of one shingle that are held against one another in a task; more are dealt over pairs of blocks.
+BLOCK = 1_000
+#: One text of so many is read to learn which shingles are common, and so many of these are told apart.
+SAMPLED, COMMON = 16, 1 << 16
+#: Keys that a task remembers.
+SEEN = 1 << 18
+
+
 def word_key(text: Column) -> Column:
     """A hash of the lower-cased words; equal for texts that differ in case or white space only."""
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.xxhash64(F.trim(F.regexp_replace(lower, "[\\x20\\x09-\\x0D]+", " ")))
 
 
-def near_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, blocks: int = 4, radius: int = 3, width: int = 48) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): rows are (_id, _hash, _key), groups are (_key, component) of texts alike.
+def distinct_shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes."""
+    parts = list(shingle_hashes((text or "").encode(), words))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
+    """At most ``COMMON`` shingles, the most frequent last, of a sample of texts by their keys."""
+    schema = pa.schema([("h", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("_text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(distinct_shingles(t, words).view(np.int64))], schema=schema)
+
+    some = texts.where(F.pmod(F.xxhash64("_key", F.lit(5)), F.lit(SAMPLED)) == 0).dropDuplicates(["_key"])
+    counted = some.select("_text").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("h").alias("n")).where("n > 2")
+    found = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    return np.asarray(found["h"], np.int64)[::-1].view(np.uint64)
 
-    Equal word sequences are one class, represented by the hash ``_key`` of their words. Candidates come from ``blocks``
-    covering tables over ``width`` bits each of a fingerprint of word pairs, which flips fewer bits per edit than longer
-    shingles. In a bucket each class is held against the least one and against the one before it, so the work is linear
-    in the bucket's size; a link needs a Jaccard similarity of ``similarity`` between the sets of
-    ``words``-word shingles. Groups are the components.
+
+def prefix_entries(texts: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """(h, _key, size, pos): the first shingles of each text, in an order that is the same for all texts.
+
+    Sets of a Jaccard similarity of ``similarity`` share one of their first size - ceil(similarity size) + 1 shingles,
+    whatever the order (prefix filter); rare ones come first, so that few texts meet.
+    """
+    schema = pa.schema([("h", pa.int64()), ("_key", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
+    sent = texts.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_hash = np.argsort(sent.value)
+        known = sent.value[by_hash]
+        seen: set[int] = set()  # spares most of the work for copies; the rest go with the repeated entries
+        for batch in batches:
+            for k, t in zip(batch.column("_key").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                s = distinct_shingles(t, words) if k not in seen else ()
+                if not len(s):
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(k)
+                rank = np.zeros(len(s), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    rank = np.where(known[at] == s, by_hash[at] + 1, 0)
+                first = s[np.lexsort((s, rank))][: len(s) - math.ceil(similarity * len(s) - 1e-6) + 1]
+                n = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(n, k)), pa.array(np.full(n, len(s), np.int32)), pa.array(np.arange(n, dtype=np.int32))], schema=schema)
+
+    return texts.select("_key", "_text").mapInArrow(run, "h bigint, _key bigint, size int, pos int")
+
+
+def near_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): rows are (_id, _key), groups are (_key, component) of texts alike.
+
+    Equal word sequences are one class, represented by the hash ``_key`` of their words. Classes link if and only if the
+    sets of their ``words``-word shingles have a Jaccard similarity of ``similarity``; groups are the components. Every
+    such pair shares a shingle of its prefixes, at places that leave room for the overlap. First each class is held
+    against two others per shared shingle; then every pair of the remaining ones that lies in different groups.
     """
-    texts = keyed(docs, id_col, text_col)
-    texts = texts.withColumn("_key", word_key(F.col("_text")))
-    marked = saved(fingerprints(texts.withColumn("_hash", F.col("_key")), 2, blocks).select("_id", F.col("_hash").alias("_key"), *[f"f{k}" for k in range(blocks)]), "near-prints")
-    classes = marked.groupBy("_key").agg(*[F.min(f"f{k}").alias(f"f{k}") for k in range(blocks)])
-    # A bucket is named by a hash of its mask and the masked bits; texts that meet by accident fail the comparison.
-    buckets = F.array(*[
-        F.xxhash64(F.lit(k * 1000 + v), F.col(f"f{k}").bitwiseAND(F.lit(_signed(m))))
-        for k in range(blocks) for v, m in enumerate(covering_masks(width, radius, 7 * k))
-    ])
-    entries = classes.select("_key", F.explode(buckets).alias("bucket"))
-    full = entries.groupBy("bucket").agg(F.count("_key").alias("n"), F.min("_key").alias("hub")).where("n > 1")
-    members = entries.join(full, "bucket")
-    # A large bucket is dealt over parts, so that no task orders it as a whole.
-    part = F.when(F.col("n") > LARGE, F.pmod(F.xxhash64("_key"), F.ceil(F.col("n") / LARGE))).otherwise(F.lit(0))
-    order = Window.partitionBy("bucket", "part").orderBy("_key")
-    beside = members.withColumn("part", part).withColumn("beside", F.lag("_key").over(order))
-    pairs = beside.select("_key", F.explode(F.array("hub", "beside")).alias("other")).where("_key <> other")
-    pairs = saved(pairs.select(F.least("_key", "other").alias("a"), F.greatest("_key", "other").alias("b")).distinct(), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("_key")).unionAll(pairs.select(F.col("b").alias("_key"))).distinct()
-    sets = saved(shingle_sets(texts.join(wanted, "_key", "left_semi"), words).dropDuplicates(["_key"]), "near-sets")
-
-    def alike(some: DataFrame) -> DataFrame:
-        both = some.join(sets.select(F.col("_key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_key").alias("b"), F.col("s").alias("sb")), "b")
-        return both.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, similarity), "a bigint, b bigint")
-
-    # One partner of each class joins up most groups; then only pairs between different groups are left to compare.
-    links = saved(alike(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "near-links")
+    texts = keyed(docs, id_col, text_col).withColumn("_key", word_key(F.col("_text")))
+    rows = saved(texts.select("_id", "_key"), "near-rows")
+    entries = prefix_entries(texts, words, similarity, common_shingles(texts, words)).repartition("h").dropDuplicates(["h", "_key"])
+    same = Window.partitionBy("h")
+    numbered = entries.withColumn("n", F.count("h").over(same)).where("n > 1")
+    shared = saved(numbered, "near-shared")
+
+    def fits(x: str, y: str) -> Column:
+        """Whether two texts that share a shingle there can be similar, if it is the first they share."""
+        sx, sy, px, py = F.col(f"{x}.size"), F.col(f"{y}.size"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
+        return F.least(sx - px, sy - py) >= (sx + sy) * (similarity / (1 + similarity)) - 1e-6
+
+    def distinct_pairs(found: DataFrame) -> DataFrame:
+        one, two = F.col("x._key"), F.col("y._key")
+        return saved(found.where((one != two) & fits("x", "y")).select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct(), "near-pairs")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("_key")).unionAll(pairs.select(F.col("b").alias("_key"))).distinct()
+        sets = saved(shingle_sets(texts.join(wanted, "_key", "left_semi"), words).dropDuplicates(["_key"]), "near-sets")
+        both = pairs.join(sets.select(F.col("_key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_key").alias("b"), F.col("s").alias("sb")), "b")
+        links = saved(both.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, similarity), "a bigint, b bigint"), "near-links")
+        discard(sets)
+        return links
+
+    item = F.struct("_key", "size", "pos")
+    hubs = shared.groupBy("h").agg(F.min(item).alias("y"))
+    beside = shared.select(item.alias("x"), F.lag(item).over(same.orderBy("size", "_key")).alias("y")).where("y is not null")
+    some = distinct_pairs(shared.select("h", item.alias("x")).join(hubs, "h").select("x", "y").unionAll(beside))
+    links = alike(some)
     groups = saved(components(links), "near-groups")
-    of = {c: groups.select(F.col("node").alias(c), F.col("component").alias(f"g{c}")) for c in "ab"}
-    apart = pairs.join(of["a"], "a", "left").join(of["b"], "b", "left").where(~F.coalesce(F.col("ga") == F.col("gb"), F.lit(False))).select("a", "b")
-    links = links.unionAll(saved(alike(apart.join(links, ["a", "b"], "left_anti")), "near-links"))
-    return marked.select("_id", "_key"), components(links)
+
+    # Texts of a common shingle are dealt over pairs of blocks; every two meet in one of them.
+    placed = shared.join(groups.withColumnRenamed("node", "_key"), "_key", "left").withColumn("g", F.coalesce("component", "_key"))
+    split = placed.groupBy("h").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("h")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    mixed = placed.join(split, "h").select("h", F.struct("_key", "size", "pos", "g").alias("x"), F.pmod(F.xxhash64("_key", F.lit(3)), blocks).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("theirs"))
+    left = mixed.select("h", "x", F.col("mine").alias("p"), F.col("theirs").alias("q"))
+    right = mixed.select("h", F.col("x").alias("y"), F.col("mine").alias("q"), F.col("theirs").alias("p"))
+    apart = left.join(right, ["h", "p", "q"]).where((F.col("x._key") < F.col("y._key")) & (F.col("x.g") != F.col("y.g")))
+    rest = distinct_pairs(apart)
+    more = alike(rest.join(some, ["a", "b"], "left_anti"))
+    for t in (shared, some, rest):
+        discard(t)
+    return rows, components(links.unionAll(more))
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

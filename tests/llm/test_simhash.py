@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from structweave.llm.components import components
-from structweave.llm.simhash import covering_masks, group, links_within_two, near_duplicate_stage, op1_simhash
+from structweave.llm.simhash import covering_masks, group, links_within_two, near_duplicate_stage, near_groups, op1_simhash
 
 from .conftest import by_id, prose
 
@@ -98,3 +98,48 @@ def test_stage_keeps_one_of_near_copies_and_all_clean_rows(spark, edge_docs, no_
     edges = [r.doc_id for r in near_duplicate_stage(spark, edge_docs, "").collect()]
     assert edges.count(8) == 1 and 9 not in edges and 12 not in edges and {4, 5, 6, 7, 10, 11} <= set(edges)
     assert near_duplicate_stage(spark, no_docs, "").count() == 0
+
+
+def shingles(words, n=5):
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def alike_groups(texts, least=0.8):
+    """Groups of a {key: words} table by comparing every pair."""
+    sets = {k: shingles(w) for k, w in texts.items()}
+    keys, parent = list(sets), {k: k for k in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            both = len(sets[a] & sets[b])
+            if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {frozenset(k for k in keys if find(k) == r) for r in {find(k) for k in keys}}
+
+
+def found_groups(spark, texts):
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id bigint, text string")
+    rows, groups = near_groups(docs, "doc_id", "text")
+    placed = rows.join(groups.withColumnRenamed("node", "_key"), "_key", "left").selectExpr("_id", "coalesce(component, _key) g").collect()
+    out = {}
+    for r in placed:
+        out.setdefault(r.g, set()).add(r["_id"])
+    return {frozenset(x) for x in out.values()}
+
+
+def test_every_near_pair_among_thousands_of_one_template(spark, monkeypatch):
+    monkeypatch.setattr("structweave.llm.simhash.BLOCK", 50)
+    head, foot = prose(1, 75), prose(2, 75)
+    texts = {k: head + prose(1000 + k, 46) + foot for k in range(2_400)}
+    for k in range(0, 400, 2):  # every second of the first is a near copy of the one before
+        body = texts[k][75:-75]
+        texts[k + 1] = head + body[: k % 40] + ["changed"] + body[k % 40 + 1 :] + foot
+    expected = alike_groups(texts)
+    assert sum(len(g) > 1 for g in expected) == 200
+    assert found_groups(spark, texts) == expected
