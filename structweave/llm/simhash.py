@@ -278,12 +278,13 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, sim
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least id (of equal ids, one row)."""
+    """One document of each group of near copies stays: the one with the least id (of equal ids and words, one row)."""
     rows, groups = near_groups(docs, "doc_id", "text")
     member = groups.withColumnRenamed("node", "_key")
     placed = rows.distinct().join(member, "_key", "left").select("_id", "_key", F.coalesce("component", "_key").alias("group"))
     kept = placed.groupBy("group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("least"))
     keep = saved(kept.select(F.col("least._id").alias("_keep_id"), F.col("least._key").alias("_keep_key")), "near-kept")
     same = docs["doc_id"].eqNullSafe(keep["_keep_id"]) & (word_key(docs["text"]) == keep["_keep_key"])
-    # Rows that share an id and the words are copies; one stays.
-    return docs.join(keep, same, "left_semi").dropDuplicates(["doc_id"])
+    # Rows that share an id and the words are copies; one stays. Different texts under one id, or under none, all stay.
+    kept_rows = docs.join(keep, same, "left_semi").withColumn("_near_word_key", word_key(F.col("text")))
+    return kept_rows.dropDuplicates(["doc_id", "_near_word_key"]).drop("_near_word_key")

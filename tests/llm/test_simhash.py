@@ -143,3 +143,11 @@ def test_every_near_pair_among_thousands_of_one_template(spark, monkeypatch):
     expected = alike_groups(texts)
     assert sum(len(g) > 1 for g in expected) == 200
     assert found_groups(spark, texts) == expected
+
+
+def test_stage_keeps_different_texts_of_one_id_or_of_none(spark):
+    texts = [" ".join(prose(k, 60)) for k in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3].upper()), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = near_duplicate_stage(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in kept) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3])])
