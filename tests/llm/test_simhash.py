@@ -151,3 +151,14 @@ def test_stage_keeps_different_texts_of_one_id_or_of_none(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = near_duplicate_stage(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, r.text.lower()) for r in kept) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3])])
+
+
+def test_near_copies_with_many_edits(spark):
+    """Copies whose fingerprints differ in more bits than any of the former masks got past."""
+    texts = {}
+    for k in range(40):
+        words = prose(k, 250)
+        texts[2 * k] = words
+        texts[2 * k + 1] = [f"e{k}x{i}" if i in (40, 90, 140, 190, 240)[: 3 + k % 3] else w for i, w in enumerate(words)]
+    groups = found_groups(spark, texts)
+    assert groups == alike_groups(texts) and sum(len(g) == 2 for g in groups) >= 26
