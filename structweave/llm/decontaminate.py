@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .common import batched, keyed, saved
 from .words import word_hashes
 
-#: Kept positions of each mask. Whatever two of 13 aligned words are substituted, at least one mask has a hit.
-MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
+#: Kept positions of each mask. Whatever fifth (rounded down) of 13 to 25 aligned words is substituted, at least one mask
+#: has a hit. A longer stretch falls into parts of 13 to 25 words, of which one has no more than its fifth substituted.
+MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 3, 5, 6), (0, 1, 2, 6, 8, 9), (0, 1, 3, 7, 10, 11))
 OVERLAP = 13
 SIMILARITY = 0.8
 FILTER_BITS = 24
@@ -30,6 +31,16 @@ def uncovered(masks=MASKS, window: int = OVERLAP, substitutions: int = 2) -> lis
     return [c for c in combinations(range(window), substitutions) if not any(p.isdisjoint(c) for p in placed)]
 
 
+def short_masks(length: int) -> list[tuple[int, ...]]:
+    """Masks for an item of under ``OVERLAP`` words, first and last word equal.
+
+    The words between are dealt over one part more than may be substituted, so one part is free of substitutions.
+    """
+    parts = int(length * (1 - SIMILARITY) + 1e-9) + 1
+    inner = range(1, length - 1)
+    return sorted({tuple(sorted({0, length - 1, *inner[p::parts]})) for p in range(parts)})
+
+
 def seeds(words: np.ndarray, masks: list[tuple[int, ...]]) -> Iterator[tuple[int, np.ndarray]]:
     """(mask number, hash per start) for each mask that fits."""
     for k, mask in enumerate(masks):
@@ -64,8 +75,7 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def item_seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
-    """(k, h, item, offset, words). An item takes a mask of its whole length where it is too short for the fixed ones."""
-    longest = max(m[-1] for m in MASKS) + 1
+    """(k, h, item, offset, words). An item of under ``OVERLAP`` words takes the masks of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -73,7 +83,7 @@ def item_seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
                 for i, data in zip(b.column("item").to_pylist(), b.column("words").to_pylist(), strict=True):
                     w = np.frombuffer(data, np.uint64)
                     for k, h in seeds(w, masks):
-                        if k < len(MASKS) or len(masks[k]) == len(w) < longest:
+                        if (k < len(MASKS)) if len(w) >= OVERLAP else k >= len(MASKS) and masks[k][-1] + 1 == len(w):
                             for o, x in enumerate(h.view(np.int64).tolist()):
                                 yield k, x, i, o, data
 
@@ -103,21 +113,21 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
         return None
     equal = doc[low + diagonal : high + diagonal] == item[low:high]
     score = np.concatenate([[0.0], np.cumsum(equal - SIMILARITY)])
-    # The longest a..b with score[b] >= score[a]: from each a (lowest so far) to the last b that is high enough.
-    highest = np.maximum.accumulate(score[::-1])[::-1]
+    # The longest a..b that starts and ends with an equal word and has score[b] >= score[a]: from each a to the last b
+    # that is high enough, which moves on only.
+    ends = np.where(np.concatenate([[False], equal]), score, -np.inf)
+    highest = np.maximum.accumulate(ends[::-1])[::-1]
     best = (0, 0)
     b = 0
-    for a in range(len(equal)):
+    for a in np.flatnonzero(equal).tolist():
         b = max(b, a)
-        while b + 1 <= len(equal) and highest[b + 1] >= score[a] - 1e-9:
+        while b < len(equal) and highest[b + 1] >= score[a] - 1e-9:
             b += 1
-        if b - a > best[1] - best[0]:
+        # Only an end that is itself high enough counts; from a lower start before, b may lie too far on.
+        if b - a > best[1] - best[0] and ends[b] >= score[a] - 1e-9:
             best = (a, b)
-    inside = np.flatnonzero(equal[best[0] : best[1]])
-    if not len(inside):
-        return None
-    a, b = best[0] + int(inside[0]), best[0] + int(inside[-1]) + 1
-    if b - a < min(OVERLAP, len(item)):
+    a, b = best
+    if not b or b - a < min(OVERLAP, len(item)):
         return None
     return low + a, b - a, int(equal[a:b].sum())
 
@@ -146,13 +156,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(_id, _hash, item_id, first_word, n_words, n_equal): the best overlap of each text with each item it overlaps.
 
-    An overlap is a stretch of at least 13 aligned words (all words of a shorter item) of which 0.8 or more are equal;
+    An overlap is a stretch of at least 13 aligned words (all words of a shorter item) of which 0.8 or more are equal, the first and last among them;
     ``first_word`` counts the text's words from 0. Null and empty texts and items overlap nothing; equal rows give equal rows.
     """
-    longest = max(m[-1] for m in MASKS) + 1
     kept = saved(item_words(items, item_id, item_text), "items")
-    short = [r[0] for r in kept.select((F.length("words") / 8).cast("int").alias("n")).where(F.col("n") < longest).distinct().collect()]  # under eight lengths
-    masks = [*MASKS, *(tuple(range(n)) for n in sorted(short))]
+    short = [r[0] for r in kept.select((F.length("words") / 8).cast("int").alias("n")).where(F.col("n") < OVERLAP).distinct().collect()]  # at most twelve lengths
+    masks = [*MASKS, *(m for n in sorted(short) for m in short_masks(n))]
     test = saved(item_seeds(kept, masks), "item-seeds")
     passes = docs.sparkSession.sparkContext.broadcast(seed_filter(test))
     texts = keyed(docs, id_col, text_col)

@@ -1,8 +1,9 @@
 import re
+from itertools import combinations
 
 import numpy as np
 
-from structweave.llm.decontaminate import decontamination_stage, find_overlaps, op2_decontaminate, overlap, uncovered
+from structweave.llm.decontaminate import decontamination_stage, find_overlaps, op2_decontaminate, overlap, short_masks, uncovered
 from structweave.llm.words import PIECE, word_hashes
 
 from .conftest import prose
@@ -57,3 +58,34 @@ def test_words_of_long_texts_do_not_depend_on_pieces():
     assert (word_hashes(long)[-5_000:] == word_hashes(text)).all()
     assert len(word_hashes(b"")) == len(word_hashes(b" .,- ")) == 0
     assert (word_hashes(b"Ab 9") == word_hashes(b"aB, 9!")).all()
+
+
+def test_masks_get_past_every_fifth_word():
+    for length in range(13, 26):
+        assert uncovered(window=length, substitutions=length // 5) == []
+    for length in range(1, 13):
+        for c in combinations(range(1, length - 1), length // 5):
+            assert any(set(m).isdisjoint(c) for m in short_masks(length))
+
+
+def test_overlap_is_the_longest_that_starts_and_ends_equal():
+    r = np.random.default_rng(5)
+    for n in [*range(1, 40), *range(1, 40)]:
+        equal = r.random(n) < r.choice([0.6, 0.8, 0.9])
+        item = np.arange(n, dtype=np.uint64)
+        doc = np.where(equal, item, np.uint64(1000))
+        lengths = [b - a for a in range(n) for b in range(a + 1, n + 1) if equal[a] and equal[b - 1] and 5 * equal[a:b].sum() >= 4 * (b - a)]
+        longest = max(lengths, default=0)
+        found = overlap(doc, item, 0)
+        assert (found[1] if found else 0) == (longest if longest >= min(13, n) else 0)
+
+
+def test_substitutions_at_any_place_are_found(spark):
+    places = {15: (3, 7, 11), 20: (3, 7, 11, 15), 10: (3, 6), 8: (4,), 7: (3,), 5: (2,)}
+    docs, items = [], []
+    for n, changed in places.items():
+        words = prose(n, n)
+        items.append((n, " ".join(words)))
+        docs.append((n, " ".join([*prose(100 + n, 30), *("other" if k in changed else w for k, w in enumerate(words)), *prose(200 + n, 30)])))
+    found = find_overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["_id"], r.item_id) for r in found} == {(n, n) for n in places}
