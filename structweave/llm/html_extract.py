@@ -21,7 +21,9 @@ from .labelled_pages import labelled_pages
 
 # Element names of the HTML standard by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title object select video audio canvas".split())
+RAW = frozenset("script style noscript iframe textarea title".split())
+#: What can stand in a head; anything else closes it.
+HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
 BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li nav header footer aside form table thead tbody tfoot tr td th caption blockquote pre figure "
     "figcaption dl dt dd address fieldset legend details summary center hgroup menu dialog button label hr head".split()
@@ -75,8 +77,10 @@ def parse(source: str) -> Page:
     links, block, at = 0, 0, 0
 
     def text(piece: str):
-        if "head" in (stack[-1][0], stack[min(1, len(stack) - 1)][0]) or not piece:
+        if not piece or stack[-1][0] == "head" and not piece.strip():
             return
+        if stack[-1][0] == "head":  # its end tag may be left out
+            closed(len(stack) - 1)
         piece = html.unescape(piece)
         node = stack[-1][1]
         size = len(piece.strip())
@@ -112,9 +116,14 @@ def parse(source: str) -> Page:
                 if tag not in BLOCK and stack[k][0] in BLOCK:
                     break
             continue
+        if stack[-1][0] == "head" and tag not in HEAD and tag not in ("html", "head"):
+            closed(len(stack) - 1)
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = stop.end() if stop else len(source)
+            if attrs.endswith("/") and any(name in ("svg", "math") for name, _ in stack):
+                continue
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            if stop or tag != "noscript":  # as browsers do, but for a noscript, which holds ordinary markup
+                at = stop.end() if stop else len(source)
             continue
         if tag == "br":
             text(" ")
@@ -122,7 +131,7 @@ def parse(source: str) -> Page:
         if tag in VOID:
             block += tag == "hr"
             continue
-        if tag in ("html",):
+        if tag == "html" or tag == "head" and len(stack) > 1:
             continue
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in CLOSES.get(tag, ()):
@@ -137,7 +146,7 @@ def parse(source: str) -> Page:
                 found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
         named = " ".join(found.get(x, "") for x in ("class", "id", "role")).lower().strip()
         words = tuple(k for k, v in _WORDS.items() if v.search(named)) if named else ()
-        if "hidden" in found or found.get("aria-hidden") == "true":
+        if "hidden" in found or found.get("aria-hidden") == "true" or tag == "template":
             words = (*words, "notice") if "notice" not in words else words
         if tag in BLOCK or (words and words != ("for",)):
             node = page.add(tag, node, words, int(found["data-label"]) if found.get("data-label") in ("0", "1") else label)

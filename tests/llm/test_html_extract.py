@@ -72,3 +72,26 @@ def test_edges(spark):
     of = {r.page_id: r.text for r in out}
     assert of[1] == of[2] == of[4] == "" and len(of[5]) == 50_000 * 5 - 1
     assert extract(df.limit(0)).count() == 0 and features(parse(""))
+
+
+FIRST, SECOND = "The first paragraph of the article is long enough to be told.", "The second paragraph of it comes after and is just as long."
+
+
+@pytest.mark.parametrize("between", [
+    "<svg viewBox='0 0 1 1'/>", "<svg><title/><path d='M0 0'/></svg>", "<math/>", "<svg>", "<video src='x'>", "<audio>", "<canvas>", "<object data='x'>",
+    "<select><option>", "<noscript>", "<script>a</script >", "<script>a</script x>",
+])
+def test_no_element_swallows_the_article(between):
+    page = f"<html><head><title>No</title></head><body><article><p>{FIRST}</p><p>{between}</p><p>{SECOND}</p></article></body></html>"
+    assert main_text(page, WEIGHTS) == f"{FIRST}\n{SECOND}"
+
+
+def test_words_of_formulas_stay():
+    page = f"<body><article><p>{FIRST} Here <math><mi>x</mi> <mo>=</mo> <mn>42</mn></math> holds.</p></article></body>"
+    assert main_text(page, WEIGHTS) == f"{FIRST} Here x = 42 holds."
+
+
+@pytest.mark.parametrize("start", ["<html><head><title>No</title>", "<head><meta charset=utf-8><style>p {}</style>", "<!doctype html><head><link rel=x>"])
+def test_head_without_end_tag(start):
+    assert main_text(f"{start}<article><p>{FIRST}</p></article>", WEIGHTS) == FIRST
+    assert "".join(piece for *_, piece in parse(f"{start}\n{FIRST}").pieces).strip() == FIRST
