@@ -10,6 +10,7 @@ from .license_scan import op6_license_scan
 from .merkle import op8_merkle
 from .packing import op7_packing
 from .ppm import op9_ppm
+from .quality_rules import op13_quality_rules
 from .simhash import op1_simhash
 from .suffix_dedup import op4_suffix_dedup
 
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_merkle": op8_merkle,
     "op9_ppm": op9_ppm,
     "op10_language_id": op10_language_id,
+    "op13_quality_rules": op13_quality_rules,
 }
 ORACLES: dict[str, str] = {"op3_chat_format": CHAT_SQL}
