@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +38,11 @@ def mix_hash(key: Column, seed: Column | int = 0) -> Column:
     return F.pmod(folded * MIX_SECOND, modulus)
 
 
-def drawn_row(step: Column, size: Column, seed: Column | int) -> Column:
-    """The row, of ``size`` numbered from 0, that a step of sampling with replacement draws."""
-    return F.pmod(mix_hash(step, seed), size)
+def drawn_rows(size: int, seed: int) -> np.ndarray:
+    """The row, of ``size`` numbered from 0, that each step of sampling with replacement draws: ``mix_hash`` of the step."""
+    start = (np.arange(size, dtype=np.int64) % MIX_MODULUS + seed % MIX_MODULUS * MIX_SEED) % MIX_MODULUS
+    first = start * MIX_FIRST % MIX_MODULUS
+    return (first + first // 65536) % MIX_MODULUS * MIX_SECOND % MIX_MODULUS % max(size, 1)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from __future__ import annotations
-
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -144,6 +142,23 @@ class Lattice:
         return out
 
 
+def _step(table: np.ndarray, moves: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The K-best tables (rows, tags, K) after one position, with previous tag and rank of each entry.
+
+    ``moves`` (rows, previous tag, tag). A stable descending sort keeps the order of ties.
+    """
+    rows, n_tags, k = table.shape
+    if k == 1:
+        reached = table[:, :, 0][:, :, None] + moves
+        best = reached.argmax(axis=1)
+        score = np.take_along_axis(reached, best[:, None, :], axis=1)[:, 0, :]
+        return (score + node)[:, :, None], (best[:, :, None], np.zeros_like(best)[:, :, None])
+    reached = table[:, :, None, :] + moves[:, :, :, None]  # (rows, previous tag, tag, rank)
+    flat = reached.transpose(0, 2, 1, 3).reshape(rows, n_tags, n_tags * k)
+    best = np.argsort(-flat, axis=2, kind="stable")[:, :, :k]
+    return np.take_along_axis(flat, best, axis=2) + node[:, :, None], (best // k, best % k)
+
+
 def forward(batch: TokenBatch, w: np.ndarray, n_tags: int, k: int, use_loss: bool, entry: np.ndarray) -> Lattice:
     """K-best max-plus pass over all segments of the batch at once, one step per position.
 
@@ -164,28 +179,41 @@ def forward(batch: TokenBatch, w: np.ndarray, n_tags: int, k: int, use_loss: boo
         some = np.flatnonzero(size > 0)
         at = first[some]
         table[some, :, 0] = node[at] + arrive[at, entry[some] + 1][:, None] + link[entry[some] + 1]
-    live = len(size)
     for t in range(1, longest):
         live = int(np.searchsorted(-size, -t, side="left"))
         at = first[:live] + t
-        moves = arrive[at, 1:, None] + link[None, 1:, :]  # (live, previous tag, tag)
-        if k == 1:
-            reached = table[:live, :, 0][:, :, None] + moves
-            best = reached.argmax(axis=1)
-            score = np.take_along_axis(reached, best[:, None, :], axis=1)[:, 0, :]
-            table[:live, :, 0] = score + node[at]
-            steps.append((best[:, :, None], np.zeros_like(best)[:, :, None]))
-            continue
-        reached = table[:live, :, None, :] + moves[:, :, :, None]  # (live, previous tag, tag, rank)
-        flat = reached.transpose(0, 2, 1, 3).reshape(live, n_tags, n_tags * k)
-        best = np.argsort(-flat, axis=2, kind="stable")[:, :, :k]
-        table[:live] = np.take_along_axis(flat, best, axis=2) + node[at][:, :, None]
-        steps.append((best // k, best % k))
+        table[:live], back = _step(table[:live], arrive[at, 1:, None] + link[None, 1:, :], node[at])
+        steps.append(back)
     back = np.empty_like(table)
     back[order] = table
     return Lattice(back, steps, order, batch.size)
 
 
+def resume(batch: TokenBatch, w: np.ndarray, n_tags: int, use_loss: bool, before: np.ndarray) -> Lattice:
+    """The pass of ``forward`` over one segment, going on from the K-best table (1, tags, K) of the segment before it.
+
+    Its steps include the one into the first position, so ``paths_from`` also tells where a path enters.
+    """
+    node, arrive, link = potentials(batch.context, batch.has, w, n_tags)
+    if use_loss:
+        node = node + (np.arange(n_tags)[None, :] != batch.tags[:, None])
+    table, steps = before, []
+    for at in range(batch.first[0], batch.first[0] + batch.size[0]):
+        table, back = _step(table, arrive[at : at + 1, 1:, None] + link[None, 1:, :], node[at : at + 1])
+        steps.append(back)
+    return Lattice(table, steps, np.zeros(1, dtype=np.int64), batch.size)
+
+
+def paths_from(lattice: Lattice, tag: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Paths (paths, positions) of a resumed pass that end in (tag, rank), and the tag and rank they enter from."""
+    out = np.empty((len(tag), len(lattice.steps)), dtype=np.int64)
+    for t in range(len(lattice.steps) - 1, -1, -1):
+        out[:, t] = tag
+        back_tag, back_rank = lattice.steps[t]
+        tag, rank = back_tag[0, tag, rank], back_rank[0, tag, rank]
+    return out, tag, rank
+
+
 def best_ends(lattice: Lattice, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The K best (score, last tag, rank) of each segment, best first."""
     flat = lattice.table.reshape(len(lattice.table), -1)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import MIX_MODULUS, mix_hash
+from ..functions.columns import MIX_MODULUS, drawn_rows, mix_hash
 from ..session import materialize
 
 HASH_BUCKETS = 65536
@@ -75,6 +78,92 @@ def global_index(df: DataFrame, order: Sequence[Column], out: str = "id", start:
     return summed.drop("_one").withColumn(out, F.col(out) + F.lit(start - 1).cast("bigint"))
 
 
+def number_in_shards(
+    df: DataFrame, shard: str, order: Sequence[Column], first: Column, partitions: int, out: str = "_row", total: str = "_size"
+) -> DataFrame:
+    """Number the examples of each shard 0.. along ``order`` and add how many the shard has.
+
+    A row for which ``first`` holds opens an example; the rows after it belong to it. Rows are range-partitioned by (shard,
+    order), so a shard is as many blocks as its size asks for; a block is numbered in one pass and carries on from a table of
+    one row per (shard, partition). The result is placed and sorted like that.
+    """
+    opened = df.withColumn("_first", first.cast("int")).repartitionByRange(partitions, F.col(shard), *order)
+    blocks = materialize(opened.sortWithinPartitions(shard, *order).withColumn("_part", F.spark_partition_id()))
+    counts = blocks.groupBy(shard, "_part").agg(F.sum("_first").alias("_n"))
+    before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.select(
+        shard, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(shard)).alias(total),
+    )
+    placed = blocks.join(F.broadcast(carried), [shard, "_part"])
+    kept = [*df.columns, total]
+    schema = T.StructType([*(placed.schema[c] for c in kept), T.StructField(out, T.LongType())])
+
+    def run(batches):
+        at, count = None, 0
+        for batch in batches:
+            shards, opens = np.asarray(batch.column(shard)), np.asarray(batch.column("_first"), dtype=np.int64)
+            start = np.asarray(batch.column("_before"), dtype=np.int64)
+            number = np.empty(len(shards), dtype=np.int64)
+            for a, b in stretches(shards):
+                if shards[a] != at:
+                    at, count = shards[a], 0
+                number[a:b] = start[a] + count + np.cumsum(opens[a:b]) - 1
+                count += int(opens[a:b].sum())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(number)], [*kept, out])
+
+    return placed.mapInArrow(run, schema)
+
+
+class ShardDraws:
+    """Which steps of sampling with replacement draw a row, found where the row is: the inverse of ``drawn_rows``.
+
+    The draws of one shard are held at a time, 16 bytes a row of the shard.
+    """
+
+    def __init__(self, stream: int):
+        self.stream, self.shard = stream, None
+        self.steps = self.bounds = np.zeros(0, dtype=np.int64)
+
+    def of(self, shard: int, size: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into ``rows``, step) of all draws that hit these rows of a shard of ``size`` rows, row after row."""
+        if shard != self.shard:
+            drawn = drawn_rows(size, self.stream + shard)
+            self.shard, self.steps = shard, np.argsort(drawn, kind="stable")
+            self.bounds = np.concatenate([[0], np.cumsum(np.bincount(drawn, minlength=size))])
+        times = self.bounds[rows + 1] - self.bounds[rows]
+        at = np.repeat(np.arange(len(rows)), times)
+        within = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        return at, self.steps[self.bounds[rows[at]] + within]
+
+
+def draw_counts(df: DataFrame, row: str, total: str, stream: int, out: str = "n_draws") -> DataFrame:
+    """Add how often each row, numbered 0.. in ``row`` of ``total``, is drawn in ``total`` draws with replacement.
+
+    Rows are counted in place: nothing is joined or shuffled.
+    """
+    schema = T.StructType([*df.schema, T.StructField(out, T.LongType())])
+
+    def run(batches):
+        draws = ShardDraws(stream)
+        for batch in batches:
+            number = np.asarray(batch.column(row), dtype=np.int64)
+            size = batch.column(total)[0].as_py() if batch.num_rows else 0
+            at, _ = draws.of(0, size, number) if batch.num_rows else (number, number)
+            times = np.bincount(at, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(times)], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def stretches(values: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal values."""
+    if not len(values):
+        return []
+    cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+    return list(zip(cuts, cuts[1:]))
+
+
 def _hash_buckets(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, DataFrame]:
     width = MIX_MODULUS // HASH_BUCKETS + 1
     # A null key has a hash too: its rows are ranked and split like any other.
@@ -94,14 +183,14 @@ def _hash_buckets(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, DataFr
     return hashed, offsets
 
 
-def hash_rank(df: DataFrame, key: str, seed: int, out: str = "rank") -> DataFrame:
-    """Dense rank 0.. of rows shuffled by an arithmetic hash of a unique integer ``key``."""
+def hash_rank(df: DataFrame, key: str, seed: int, out: str = "rank", total: str | None = None) -> DataFrame:
+    """Dense rank 0.. of rows shuffled by an arithmetic hash of a unique integer ``key``, and how many there are."""
     hashed, offsets = _hash_buckets(df, key, seed)
     local = Window.partitionBy("_bucket").orderBy("_h", key)
     return (
         hashed.join(F.broadcast(offsets), "_bucket")
         .withColumn(out, F.col("_before") + F.row_number().over(local) - 1)
-        .select(*df.columns, out)
+        .select(*df.columns, out, *([F.col("_total").alias(total)] if total else []))
     )
 
 

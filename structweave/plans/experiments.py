@@ -12,7 +12,7 @@ from .frank_wolfe import fit_frank_wolfe
 from .losses import TableLoss
 from .schedules import L2Penalty
 from .solvers import Run
-from .train import Fit, fit_many
+from .train import LOCAL, MINIBATCH, Fit, fit_many
 
 # Defaults of the experiment parameters.
 DEFAULTS = {
@@ -100,7 +100,8 @@ def sweep(loss: TableLoss, rows: Sequence[Mapping], **options) -> list[Fit]:
 
     Stochastic runs share each pass; Frank-Wolfe runs keep their own block tables and follow one by one.
     """
-    loss.prepare(options.get("partitions"), options.get("n_buckets", 1) if options.get("mode") == "minibatch" else 1)
+    mode = options.get("mode", LOCAL)
+    loss.prepare(options.get("partitions"), options.get("n_buckets", 1) if mode == MINIBATCH else 1, mode == LOCAL)
     runs = [run_of(row, loss.n) for row in rows]
     shared = [r for r in runs if r.algorithm != "bcfw"]
     fits = {f.run_id: f for f in fit_many(loss, shared, **options)} if shared else {}

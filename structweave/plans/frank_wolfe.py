@@ -39,7 +39,7 @@ def fit_frank_wolfe(
     strength = total_strong_convexity(run.penalties)
     if strength <= 0:
         raise ValueError("block-coordinate Frank-Wolfe needs a strongly convex penalty")
-    loss.prepare(partitions, n_buckets)
+    loss.prepare(partitions, n_buckets, False)
     dim = loss.kernel.dim
     w = np.zeros(dim)
     average = np.zeros(dim)

@@ -7,17 +7,22 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from ..functions import decoding
-from ..functions.columns import drawn_row, mix_hash
+from ..functions.columns import mix_hash
+from ..functions.spans import SpannedGradient
 from ..operators import binary, candidates, metrics, sequences
-from ..session import materialize
+from ..operators.ranking import ShardDraws, number_in_shards, stretches
+from ..operators.segments import SEGMENT
+from ..session import materialize, spread
 
 
-SHARDS = 8  # parts of a table whose inner epochs are averaged, on any cluster
+SHARDS = 8  # fewest parts of a table whose inner epochs are averaged
+SHARD_ROWS = 1 << 17  # examples that a part has about, in tables with more than SHARDS times as many
 
 
 class Kernel:
@@ -30,6 +35,7 @@ class Kernel:
 
     dim: int
     weigh: str | None = None  # array column whose lengths tell how much a row weighs
+    sparse = False  # whether ``example_rows`` and ``support_rows`` give gradients as (idx, value)
 
     def load(self, batch: pa.RecordBatch):
         raise NotImplementedError
@@ -53,6 +59,14 @@ class Kernel:
         """Gradients at a fixed point, asked for example by example."""
         return lambda i: self.example_gradient(examples, i, w, mu)
 
+    def spans(self, batch: pa.RecordBatch) -> np.ndarray | None:
+        """How many rows each row's example is spread over; None if all are one row."""
+        return None
+
+    def spanned(self, w, mu: float | None):
+        """Collects the gradient of an example that is spread over rows: ``there`` and ``back`` take its rows."""
+        raise NotImplementedError
+
 
 class LogisticKernel(Kernel):
     """Logistic loss on (feats, y)."""
@@ -163,12 +177,13 @@ class CandidateKernel(Kernel):
 
 
 class SequenceKernel(Kernel):
-    """Structural hinge with Hamming loss on one-segment sequences."""
+    """Structural hinge with Hamming loss on segments of sequences."""
 
     weigh = "words"
+    sparse = True
 
-    def __init__(self, dim: int, n_tags: int, k: int):
-        self.dim, self.n_tags, self.k = dim, n_tags, k
+    def __init__(self, dim: int, n_tags: int, k: int, size: int = SEGMENT):
+        self.dim, self.n_tags, self.k, self.segment = dim, n_tags, k, size
 
     def load(self, batch):
         return decoding.token_batch(batch)
@@ -189,17 +204,33 @@ class SequenceKernel(Kernel):
         return sequences.batch_gradient(examples, w, self.n_tags, mu, self._k(mu))
 
     def support(self, examples, w, mu):
-        row, idx, value = sequences.gradient_rows(examples, w, self.n_tags, mu, self._k(mu))
-        bounds = np.searchsorted(row, np.arange(len(examples.size) + 1))
+        rows = self.support_rows(examples, w, mu)
 
         def at(i):
             out = np.zeros(self.dim)
-            part = slice(bounds[i], bounds[i + 1])
-            out[idx[part]] = value[part]
+            idx, value = rows(i)
+            out[idx] = value
             return out
 
         return at
 
+    def example_rows(self, examples, i, w, mu):
+        """The gradient of one example as (idx, value); ``w`` may be anything that is read by index."""
+        _, idx, value = sequences.gradient_rows(self.take(examples, i), w, self.n_tags, mu, self._k(mu))
+        return idx, value
+
+    def support_rows(self, examples, w, mu):
+        row, idx, value = sequences.gradient_rows(examples, w, self.n_tags, mu, self._k(mu))
+        bounds = np.searchsorted(row, np.arange(len(examples.size) + 1))
+        return lambda i: (idx[bounds[i] : bounds[i + 1]], value[bounds[i] : bounds[i + 1]])
+
+    def spans(self, batch):
+        length = np.asarray(batch.column("len"), dtype=np.int64)
+        return np.maximum(-(-length // self.segment), 1)
+
+    def spanned(self, w, mu):
+        return SpannedGradient(w, self.n_tags, mu, self.k)
+
 
 class TableLoss:
     """A loss over a persisted table, cut into buckets by an arithmetic hash of the example key.
@@ -219,37 +250,70 @@ class TableLoss:
         self.n = 0
         self.n_buckets = 1
         self.partitions = 0
-
-    def prepare(self, partitions: int | None = None, n_buckets: int = 1):
-        """Place, number and persist the rows in ``partitions`` shards by a hash of the key (SHARDS unless given).
-
-        The number of shards is part of the algorithm of inner epochs, so it does not follow from the cluster: the same
-        call gives the same model on any number of cores. Give more for larger tables.
+        self.numbered = False
+        # What an example is dealt to a shard by, and which of its rows is the first.
+        self._shard_by: list[Column] = [F.col(k) for k in keys]
+        self._opens = F.lit(True)
+
+    def prepare(self, partitions: int | None = None, n_buckets: int = 1, numbered: bool = True):
+        """Persist the rows; with ``numbered``, which inner epochs need, also place and number them within shards.
+
+        ``partitions`` is the number of shards, the parts whose inner epochs are averaged: SHARDS, and more in tables of
+        over SHARDS * SHARD_ROWS examples. It is part of the algorithm and follows from the table alone, so the same call
+        gives the same model on any cluster. Where rows are stored is another matter: they keep the partitions of their
+        source (one per core at least), and a shard is spread over as many of them as it fills.
         """
-        if self.df is not None and self.n_buckets == n_buckets and partitions in (None, self.partitions):
+        if self.df is not None and self.n_buckets == n_buckets and partitions in (None, self.partitions) and (self.numbered or not numbered):
             return self
         self.release()
         self.n = self.n or self.source.count()
-        self.partitions = partitions or SHARDS
-        self.n_buckets = n_buckets
-        bucketed = self.source.withColumn("_bucket", F.pmod(self._key_hash, F.lit(n_buckets)).cast("int"))
-        shard = F.pmod(F.xxhash64(*self.keys), F.lit(self.partitions)).cast("int")
-        sharded = bucketed.withColumn("_shard", shard).repartition(self.partitions, "_shard")
-        nth = F.row_number().over(Window.partitionBy("_shard").orderBy(*self.keys)) - 1
-        placed = sharded.withColumn("_row", nth.cast("bigint")).sortWithinPartitions("_bucket", "_shard", *self.keys)
-        self.df = placed.persist(StorageLevel.MEMORY_AND_DISK)
+        self.partitions = partitions or max(SHARDS, -(-self.n // SHARD_ROWS))
+        self.n_buckets, self.numbered = n_buckets, numbered
+        rows = self.source.withColumn("_bucket", F.pmod(self._key_hash, F.lit(n_buckets)).cast("int"))
+        if numbered:
+            shard = F.pmod(F.xxhash64(*self._shard_by), F.lit(self.partitions)).cast("int")
+            tasks = max(self.source.rdd.getNumPartitions(), self.source.sparkSession.sparkContext.defaultParallelism)
+            order = [F.col(k) for k in self.keys]
+            rows = number_in_shards(rows.withColumn("_shard", shard), "_shard", order, self._opens, tasks)
+            ordered = rows if n_buckets == 1 else rows.sortWithinPartitions("_bucket", "_shard", *self.keys)
+        else:
+            ordered = spread(rows, *self.keys).sortWithinPartitions("_bucket", *self.keys)
+        self.df = ordered.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
     def drawn(self, seed: int, epoch: int) -> DataFrame:
         """Rows in the order in which an inner epoch draws them: uniformly with replacement within each shard, as many
-        draws as rows. A row stands as often as it is drawn; a partition holds whole shards, in order of their steps."""
-        rows = self.rows()
-        sizes = rows.groupBy("_shard").agg(F.count("_row").alias("_size"))  # one row per shard
-        steps = rows.select("_shard", F.col("_row").alias("_step")).join(F.broadcast(sizes), "_shard")
-        stream = F.lit(seed * 1_000_003 + epoch * 1_009).cast("bigint") + F.col("_shard")
-        draws = steps.select("_shard", "_step", drawn_row(F.col("_step"), F.col("_size"), stream).alias("_row"))
-        found = rows.join(draws, ["_shard", "_row"])
-        return found.repartition(self.partitions, "_shard").sortWithinPartitions("_shard", "_step")
+        draws as examples. A row stands as often as it is drawn; a partition holds whole shards, in order of their steps.
+
+        Which steps draw a row follows from its number and the size of its shard, so rows are multiplied where they are
+        stored and only what is drawn moves, once. A task holds the draws of one shard, 16 bytes an example. An example
+        that is spread over rows is sent first to last and then last to first (``_order``).
+        """
+        kernel, rows = self.kernel, self.rows()
+        dropped = ("_bucket", "_size", "_row")
+        kept = [f for f in rows.schema if f.name not in dropped]
+        schema = T.StructType([*kept, T.StructField("_step", T.LongType()), T.StructField("_order", T.LongType())])
+
+        def run(batches):
+            draws = ShardDraws(seed * 1_000_003 + epoch * 1_009)
+            for batch in batches:
+                for a, b in stretches(np.asarray(batch.column("_shard"))):
+                    part = batch.slice(a, b - a)
+                    at, step = draws.of(part.column("_shard")[0].as_py(), part.column("_size")[0].as_py(), np.asarray(part.column("_row")))
+                    order = np.zeros(len(at), dtype=np.int64)
+                    spans = kernel.spans(part)
+                    if spans is not None and (spans[at] > 1).any():
+                        order = np.asarray(part.column("seg"), dtype=np.int64)[at]
+                        twice = np.flatnonzero(spans[at] > 1)
+                        order = np.concatenate([order, 2 * spans[at[twice]] - 1 - order[twice]])
+                        at, step = np.concatenate([at, at[twice]]), np.concatenate([step, step[twice]])
+                    moved = part.take(pa.array(at))
+                    columns = [*(moved.column(f.name) for f in kept), pa.array(step), pa.array(order)]
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+        lanes = min(self.partitions, max(SHARDS, 2 * rows.sparkSession.sparkContext.defaultParallelism))
+        found = rows.mapInArrow(run, schema).repartitionById(lanes, F.col("_shard") % lanes)
+        return found.sortWithinPartitions("_shard", "_step", "_order")
 
     def release(self):
         if self.df is not None:
@@ -258,7 +322,7 @@ class TableLoss:
 
     def rows(self, bucket: int | None = None) -> DataFrame:
         """All rows, or one bucket; sorted cache batches without the bucket are skipped."""
-        self.prepare(self.partitions or None, self.n_buckets)
+        self.prepare(self.partitions or None, self.n_buckets, self.numbered)
         return self.df if bucket is None else self.df.where(F.col("_bucket") == bucket)
 
     def gradient_means(self, points: Sequence[tuple[np.ndarray, float | None]], bucket: int | None = None) -> np.ndarray:
@@ -376,14 +440,16 @@ class CandidateLoss(TableLoss):
 
 
 class SequenceLoss(TableLoss):
-    """Structural hinge on a sequence table. Sequences longer than a segment take part in batch and
-    minibatch training and in evaluation; inner epochs need one-segment sequences."""
+    """Structural hinge on a sequence table. A sequence longer than a segment is one example: batch gradients and values
+    decode it as a tree of segments, inner epochs segment by segment within its step."""
 
     supports_lmo = True
 
     def __init__(self, table: sequences.SequenceTable, dim: int, k: int = 5, outside: int = 0):
         self.table, self.k, self.outside = table, k, outside
-        super().__init__(table.df, (*table.keys, "seg"), SequenceKernel(dim, table.n_tags, k), F.xxhash64(*table.keys))
+        super().__init__(table.df, (*table.keys, "seg"), SequenceKernel(dim, table.n_tags, k, table.size), F.xxhash64(*table.keys))
+        self._shard_by = [*(F.col(key) for key in table.keys), F.lit(0).cast("bigint")]
+        self._opens = F.col("seg") == 0
         self.has_long = table.has_long
         if self.has_long:
             self.n = table.df.where(F.col("seg") == 0).count()
@@ -396,7 +462,7 @@ class SequenceLoss(TableLoss):
         if not self.has_long:
             return super().gradient_means(points, bucket)
         part, dim = self._part(bucket), self.kernel.dim
-        n = part.df.where(F.col("seg") == 0).count()
+        n = self.n if bucket is None else part.df.where(F.col("seg") == 0).count()
         out = np.zeros((len(points), dim))
         for row, (w, mu) in enumerate(points):
             found = sequences.gradient_sum(part, w, mu, self.k).toArrow()

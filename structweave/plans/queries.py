@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import drawn_row, null_safe_join, round9
+from ..functions.columns import null_safe_join, round9
 from ..operators import binary, candidates, dictionaries, features, metrics, ranking, segments, sequences
 from ..session import materialize, scratch_path
 from ..sources import corpus, tables
@@ -490,11 +490,8 @@ def _weights(spark, result):
 
 def sample_draws(spark, sf_dir):
     """Draws with replacement, one per row, counted per row."""
-    rows = ranking.hash_rank(s.small_examples(spark, sf_dir).select("id"), "id", SPLIT_SEED, "row")
-    n = rows.count()
-    draws = rows.select(drawn_row(F.col("row"), F.lit(n), 5).alias("drawn")).groupBy("drawn").count()
-    hits = rows.join(draws, F.col("row") == F.col("drawn"), "left")
-    return hits.select("id", F.coalesce("count", F.lit(0)).cast("bigint").alias("n_draws"))
+    rows = ranking.hash_rank(s.small_examples(spark, sf_dir).select("id"), "id", SPLIT_SEED, "row", "size")
+    return ranking.draw_counts(rows, "row", "size", 5).select("id", "n_draws")
 
 
 def _small_steps(spark, sf_dir, algorithm, passes, n_buckets, **options):

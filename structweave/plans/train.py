@@ -13,14 +13,16 @@ from __future__ import annotations
 import time
 import warnings
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import stretches
 from ..operators.sequences import slices
+from .chains import DenseChain, LazyChain
 from .losses import TableLoss
 from .schedules import penalty_value
 from .solvers import Run, Solver, make_solver
@@ -84,9 +86,7 @@ def fit_many(
     """Train many models over one persisted table; each pass serves all of them in the same jobs."""
     if mode not in (LOCAL, MINIBATCH, BATCH):
         raise ValueError(f"unknown mode: {mode}")
-    if mode == LOCAL and getattr(loss, "has_long", False):
-        raise ValueError("sequences longer than a segment need mode 'batch' or 'minibatch'")
-    loss.prepare(partitions, n_buckets if mode == MINIBATCH else 1)
+    loss.prepare(partitions, n_buckets if mode == MINIBATCH else 1, mode == LOCAL)
     if mode == LOCAL and loss.partitions > 1 and loss.n / loss.partitions < FEW_ROWS:
         warnings.warn(f"only {loss.n / loss.partitions:.0f} rows per partition; averaging will be crude", stacklevel=2)
     solvers = [make_solver(run, loss.kernel.dim) for run in runs]
@@ -152,30 +152,28 @@ def _inner_epoch(loss: TableLoss, steps, drawn: DataFrame):
     kernel, dim, m = loss.kernel, loss.kernel.dim, len(steps)
 
     def sums(chains, rows: int) -> pa.RecordBatch:
-        flat = np.concatenate([np.concatenate([s.w, s.average]) for s in chains] + [np.ones(2)]) * rows
+        vectors = [v for chain in chains for v in chain.result()]
+        flat = np.concatenate([*vectors, np.ones(2)]) * rows
         flat[-1] = 1
         index = np.flatnonzero(flat)
         return pa.RecordBatch.from_arrays([pa.array(index), pa.array(flat[index])], ["idx", "value"])
 
     def run(batches):
-        shard, rows, chains = None, 0, []
+        shard, rows, chains, spanned = None, 0, [], []
         for batch in slices(batches, kernel.weigh):
-            shards = np.asarray(batch.column("_shard"))
-            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
-            for start, end in zip(cuts, cuts[1:]):
-                if shards[start] != shard:
+            for start, end in stretches(np.asarray(batch.column("_shard"))):
+                if (found := batch.column("_shard")[start].as_py()) != shard:
                     if rows:
                         yield sums(chains, rows)
-                    shard, rows, chains = shards[start], 0, [replace(s) for s in steps]
-                examples = kernel.load(batch.slice(start, end - start))
-                rows += end - start
-                for s in chains:
-                    fixed = None if s.anchor is None else kernel.support(examples, s.anchor, s.mu)
-                    for i in range(end - start):
-                        gradient = kernel.example_gradient(examples, i, s.w, s.mu)
-                        if fixed is not None:
-                            gradient = gradient - fixed(i) + s.anchor_gradient
-                        s.apply(gradient)
+                    shard, rows = found, 0
+                    chains = [LazyChain(s) if kernel.sparse and LazyChain.fits(s) else DenseChain(s) for s in steps]
+                part = batch.slice(start, end - start)
+                for whole, piece in _examples(kernel, part):
+                    if whole:
+                        rows += piece.num_rows
+                        _advance(kernel, chains, kernel.load(piece))
+                    else:
+                        rows += _advance_spanned(kernel, chains, spanned, piece)
         if rows:
             yield sums(chains, rows)
 
@@ -188,6 +186,47 @@ def _inner_epoch(loss: TableLoss, steps, drawn: DataFrame):
     return [(w, average, rows / chains) for w, average in vectors]
 
 
+def _examples(kernel, batch: pa.RecordBatch):
+    """(whole, rows): rows that are examples of their own together, rows of a spread example one by one."""
+    spans = kernel.spans(batch)
+    spread = np.zeros(batch.num_rows, dtype=bool) if spans is None else spans > 1
+    for a, b in stretches(spread):
+        if not spread[a]:
+            yield True, batch.slice(a, b - a)
+        else:
+            yield from ((False, batch.slice(i, 1)) for i in range(a, b))
+
+
+def _advance(kernel, chains, examples) -> None:
+    """One step of every chain per example."""
+    for chain in chains:
+        s = chain.steps
+        lazy = isinstance(chain, LazyChain)
+        support, one = (kernel.support_rows, kernel.example_rows) if lazy else (kernel.support, kernel.example_gradient)
+        fixed = None if s.anchor is None else support(examples, s.anchor, s.mu)
+        for i in range(kernel.size(examples)):
+            chain.step(one(examples, i, chain.w, s.mu), None if fixed is None else fixed(i))
+
+
+def _advance_spanned(kernel, chains, spanned: list, row: pa.RecordBatch) -> int:
+    """Take a row of an example that is spread over rows; the last one makes the step and counts as an example."""
+    order, n = row.column("_order")[0].as_py(), int(kernel.spans(row)[0])
+    if not order:
+        points = [[c.w] if c.steps.anchor is None else [c.w, c.steps.anchor] for c in chains]
+        spanned[:] = [[kernel.spanned(w, c.steps.mu) for w in ws] for ws, c in zip(points, chains)]
+    segment = kernel.load(row)
+    for gradient in (g for each in spanned for g in each):
+        (gradient.there if order < n else gradient.back)(segment)
+    if order < 2 * n - 1:
+        return 0
+    for chain, each in zip(chains, spanned):
+        parts = [g.gradient() for g in each]
+        if isinstance(chain, DenseChain):
+            parts = [np.bincount(idx, weights=value, minlength=kernel.dim) for idx, value in parts]
+        chain.step(*parts)
+    return 1
+
+
 def _log(fits, runs, active, epoch, loss, dev, test, began):
     """Objective on train (plain loss plus penalties) and, where given, objective and metrics elsewhere."""
     points = [fits[r].w for r in active]

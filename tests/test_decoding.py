@@ -185,15 +185,13 @@ def test_training_does_not_depend_on_the_segment_size(table):
     run = Run("svrg", [L2Penalty(0.1)], {"learning_rate": 0.1, "smoothing_coefficient": 1.0})
     steps = fit(loss, run, num_passes=1, mode="minibatch", n_buckets=2, logging=False).w
     blocks = fit_frank_wolfe(loss, Run("bcfw", [L2Penalty(0.1)]), num_passes=1, n_buckets=2, logging=False).w
+    inner = fit(loss, run, num_passes=2, partitions=2, logging=False).w
     value = loss.value_means([W])[0]
     loss.release()
-    assert np.abs(steps).max() > 0 and np.abs(blocks).max() > 0
-    first = TRAINED.setdefault("first", (steps, blocks, value))
-    for a, b in zip(first, (steps, blocks, value)):
+    assert all(np.abs(w).max() > 0 for w in (steps, blocks, inner))
+    first = TRAINED.setdefault("first", (steps, blocks, inner, value))
+    for a, b in zip(first, (steps, blocks, inner, value)):
         np.testing.assert_allclose(a, b, atol=1e-9)
-    if table.has_long:
-        with pytest.raises(ValueError, match="longer than a segment"):
-            fit(loss, run, num_passes=1)
 
 
 def test_prediction_on_a_stream(spark, table, corpus, tmp_path):
