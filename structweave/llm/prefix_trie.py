@@ -146,7 +146,7 @@ def burst(paths: DataFrame, limit: int = CONTAINER) -> tuple[DataFrame, DataFram
 
     A round per level of bursting; only paths of containers that burst are written again.
     """
-    active = paths.withColumn("cut", F.lit(0).cast("bigint")).withColumn("line", F.array().cast("array<string>")).withColumn("key", F.lit(""))
+    active = paths.withColumn("cut", F.lit(0).cast("bigint")).withColumn("line", F.array().cast("array<string>")).withColumn("key", F.substring("path", 1, 0))
     contained, ended, heads, written = [], [], [], []
     while True:
         crowded = saved(_crowded(active, limit), "trie-heads")
