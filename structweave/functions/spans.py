@@ -68,7 +68,7 @@ class SpannedGradient:
         values = np.bincount(where, weights=np.concatenate(self.values), minlength=len(cells))
         self.cells, self.values, self.held = [cells], [values], len(cells)
 
-    def gradient(self) -> tuple[np.ndarray, np.ndarray]:
-        """(idx, value) with distinct indices."""
+    def gradient(self, mu: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """(idx, value) with distinct indices; ``mu`` as given at the start."""
         self._merge()
         return self.cells[0], self.values[0]

@@ -7,7 +7,7 @@ window limit, both of which shrink a group before the shuffle, so a hot group st
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import decoding
 from ..functions.columns import UNROLL_DIM, dot
-from .ranking import running_sums
+from ..session import materialize
+from .ranking import number_in_shards, running_sums, stretches
 from .sequences import sum_vectors
 
 GOLD_IOU = 0.5  # fixed value: relevance and accuracy threshold
@@ -26,6 +28,11 @@ MAX_CANDIDATES = 1000  # fixed value: candidates kept per group at load time, an
 # Largest limit that Catalyst applies before the shuffle by default (windowGroupLimitThreshold).
 NATIVE_LIMIT = 1000
 SALTS = 64
+CHUNK = 4096  # candidates of a group that are packed into one row
+LANES = 64  # parts in which the best of a group are merged before they meet
+FEW_GROUPS = 100_000  # ids of so many groups are broadcast, 8 bytes each
+
+_BEST = "point int, group_id bigint, gold boolean, aug double, iou double, nth bigint, feats array<double>"
 
 
 def _limit_per_group(df: DataFrame, order: Sequence[F.Column], limit: int, rank: str) -> DataFrame:
@@ -200,6 +207,150 @@ def linear_minimizers(df: DataFrame, w: Sequence[float]) -> DataFrame:
     return pair.select("group_id", psi.alias("psi"), (F.lit(1.0) - F.col("_top.iou")).alias("loss"))
 
 
+def pack(df: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, bool]:
+    """(group_id, chunk, chunks, ious, feats) written once, candidates in order; and whether any group has several rows.
+
+    Groups of up to ``chunk`` candidates are gathered into a row. The rows of a larger one are range-partitioned by
+    candidate and numbered, so no task gathers more than ``chunk`` of them.
+    """
+    item = F.struct("cand", "iou", "feats")
+
+    def rows(parts: DataFrame, keys: Sequence[str], number: F.Column, of: F.Column) -> DataFrame:
+        grouped = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_c"))
+        return grouped.select(
+            "group_id", number.cast("bigint").alias("chunk"), of.cast("bigint").alias("chunks"),
+            F.col("_c.iou").alias("ious"), F.flatten("_c.feats").alias("feats"),
+        )
+
+    sizes = df.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk)
+    large = materialize(sizes.select(F.col("group_id").alias("_g")))
+    n_large = large.count()
+    if not n_large:
+        return materialize(rows(df, ["group_id"], F.lit(0), F.lit(1))), False
+    large = F.broadcast(large) if n_large <= FEW_GROUPS else large
+    same = F.col("group_id").eqNullSafe(F.col("_g"))
+    small = rows(df.join(large, same, "left_anti"), ["group_id"], F.lit(0), F.lit(1))
+    wide = df.join(large, same, "left_semi")
+    tasks = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+    numbered = number_in_shards(wide, "group_id", [F.col("cand")], F.lit(True), tasks, "_nth", "_n")
+    cut = numbered.withColumn("_chunk", F.floor(F.col("_nth") / F.lit(float(chunk)))).withColumn("_of", F.ceil(F.col("_n") / F.lit(float(chunk))))
+    return materialize(small.unionByName(rows(cut, ["group_id", "_chunk", "_of"], F.col("_chunk"), F.col("_of")))), True
+
+
+class Best:
+    """What counts of a candidate group, merged row by row: its K best by (augmented) score, its gold candidate.
+
+    Ties go to the first in order. At most K + 1 feature vectors are held.
+    """
+
+    def __init__(self, w: np.ndarray, k: int, mu: float | None = None, use_loss: bool = True):
+        self.w, self.k, self.mu, self.use_loss = w, k, mu, use_loss
+        self.seen = 0
+        self.top = self.top_iou = np.zeros(0)
+        self.top_nth, self.top_feats = np.zeros(0, dtype=np.int64), np.zeros((0, 0))
+        self.gold: tuple[float, int, float, np.ndarray] | None = None  # iou, number, score, feats
+
+    def there(self, examples) -> None:
+        """The group's next row, as loaded."""
+        feats, ious, _ = examples
+        self.add(feats, ious, self.seen + np.arange(len(ious)))
+        self.seen += len(ious)
+
+    def add(self, feats: np.ndarray, ious: np.ndarray, nth: np.ndarray) -> None:
+        score = feats @ self.w + (1 - ious if self.use_loss else 0.0)
+        at = np.lexsort((nth, -score))[: self.k]
+        g = np.lexsort((nth, -ious))[0]
+        self.merge(score[at], ious[at], nth[at], feats[at], (float(ious[g]), int(nth[g]), float(score[g]), feats[g]))
+
+    def merge(self, top, iou, nth, feats, gold) -> None:
+        if len(self.top):
+            top, iou, nth = (np.concatenate(pair) for pair in ((self.top, top), (self.top_iou, iou), (self.top_nth, nth)))
+            feats = np.concatenate([self.top_feats, feats])
+        at = np.lexsort((nth, -top))[: self.k]
+        self.top, self.top_iou, self.top_nth, self.top_feats = top[at], iou[at], nth[at], feats[at]
+        if gold is not None and (self.gold is None or (-gold[0], gold[1]) < (-self.gold[0], self.gold[1])):
+            self.gold = gold
+
+    def hinge(self) -> float:
+        return float(self.top[0] - self.gold[2])
+
+    def gradient(self, mu: float | None) -> np.ndarray:
+        weights = np.ones(1) if mu is None else decoding.simplex_weights(self.top[None, :], mu)[0]
+        return weights @ self.top_feats[: len(weights)] - self.gold[3]
+
+    def rows(self, point: int, group: int | None) -> list[tuple]:
+        found = [(point, group, False, *row) for row in zip(self.top.tolist(), self.top_iou.tolist(), self.top_nth.tolist(), self.top_feats)]
+        iou, nth, score, feats = self.gold
+        return [*found, (point, group, True, score, iou, nth, feats)]
+
+
+def _best_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [("point", pa.int32()), ("group_id", pa.int64()), ("gold", pa.bool_()), ("aug", pa.float64()), ("iou", pa.float64()), ("nth", pa.int64()), ("feats", pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], [n for n, _ in kinds])
+
+
+def _take(best: Best, part: pa.RecordBatch) -> None:
+    gold = np.asarray(part.column("gold"))
+    aug, iou, nth = (np.asarray(part.column(c)) for c in ("aug", "iou", "nth"))
+    feats = np.asarray(part.column("feats").flatten()).reshape(len(gold), -1)
+    found = np.flatnonzero(gold)
+    first = found[np.lexsort((nth[found], -iou[found]))[:1]]
+    one = (float(iou[first[0]]), int(nth[first[0]]), float(aug[first[0]]), feats[first[0]]) if len(first) else None
+    best.merge(aug[~gold], iou[~gold], nth[~gold], feats[~gold], one)
+
+
+def merged_best(rows: DataFrame, points: Sequence[np.ndarray], k: int, finish: Callable, schema: str, use_loss: bool = True) -> DataFrame:
+    """What ``finish`` makes of (point, group, Best) of every packed group at several models, as Arrow batches.
+
+    A task merges the rows of a group that it reads; what is left meets in LANES parts of a group, then per group, row after
+    row, so no task holds more than K + 1 candidates of a group.
+    """
+    dim = len(points[0])
+
+    def read(batches):
+        held: tuple = (None, [])
+        for batch in batches:
+            groups, chunks, sizes = (batch.column(c).to_pylist() for c in ("group_id", "chunk", "chunks"))
+            for i, group in enumerate(groups):
+                if held[1] and held[0] != (group,):
+                    yield _best_batch([row for p, best in enumerate(held[1]) for row in best.rows(p, held[0][0])])
+                    held = (None, [])
+                if not held[1]:
+                    held = ((group,), [Best(w, k, None, use_loss) for w in points])
+                ious = np.asarray(batch.column("ious")[i].values, dtype=np.float64)
+                feats = np.asarray(batch.column("feats")[i].values, dtype=np.float64).reshape(-1, dim)
+                # Chunks are numbered, and a number says where a chunk starts relative to the others.
+                nth = (chunks[i] << 32) + np.arange(len(ious))
+                for best in held[1]:
+                    best.add(feats, ious, nth)
+        if held[1]:
+            yield _best_batch([row for p, best in enumerate(held[1]) for row in best.rows(p, held[0][0])])
+
+    def merge(batches):
+        key, best = None, None
+        for batch in batches:
+            point, group = batch.column("point"), batch.column("group_id")
+            for a, b in stretches(point, group):
+                now = (point[a].as_py(), group[a].as_py())
+                if now != key:
+                    if best is not None:
+                        yield *key, best
+                    key, best = now, Best(np.zeros(0), k)
+                _take(best, batch.slice(a, b - a))
+        if best is not None:
+            yield *key, best
+
+    def partly(batches):
+        return (_best_batch(best.rows(point, group)) for point, group, best in merge(batches))
+
+    found = rows.select("group_id", "chunk", "chunks", "ious", "feats").mapInArrow(read, _BEST)
+    lane = F.pmod(F.spark_partition_id(), F.lit(LANES))
+    dealt = found.withColumn("_lane", lane).repartition("point", "group_id", "_lane").sortWithinPartitions("point", "group_id", "_lane").drop("_lane")
+    parts = dealt.mapInArrow(partly, _BEST)
+    met = parts.repartition("point", "group_id").sortWithinPartitions("point", "group_id")
+    return met.mapInArrow(lambda batches: finish(merge(batches)), schema)
+
+
 def mean_iou(predicted: DataFrame) -> DataFrame:
     """Mean iou of the predicted candidates."""
     return predicted.agg(F.avg("iou").alias("mean_iou"))

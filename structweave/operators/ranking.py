@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import MIX_MODULUS, drawn_rows, mix_hash
+from ..functions.columns import MIX_MODULUS, drawn_rows, mix_hash, null_safe_join
 from ..session import materialize
 
 HASH_BUCKETS = 65536
@@ -95,19 +95,19 @@ def number_in_shards(
         shard, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(shard)).alias(total),
     )
-    placed = blocks.join(F.broadcast(carried), [shard, "_part"])
+    placed = null_safe_join(blocks, F.broadcast(carried), [shard, "_part"])
     kept = [*df.columns, total]
     schema = T.StructType([*(placed.schema[c] for c in kept), T.StructField(out, T.LongType())])
 
     def run(batches):
-        at, count = None, 0
+        at, count = (), 0
         for batch in batches:
-            shards, opens = np.asarray(batch.column(shard)), np.asarray(batch.column("_first"), dtype=np.int64)
+            shards, opens = batch.column(shard), np.asarray(batch.column("_first"), dtype=np.int64)
             start = np.asarray(batch.column("_before"), dtype=np.int64)
             number = np.empty(len(shards), dtype=np.int64)
             for a, b in stretches(shards):
-                if shards[a] != at:
-                    at, count = shards[a], 0
+                if (found := shards[a].as_py()) != at:
+                    at, count = found, 0
                 number[a:b] = start[a] + count + np.cumsum(opens[a:b]) - 1
                 count += int(opens[a:b].sum())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(number)], [*kept, out])
@@ -156,12 +156,15 @@ def draw_counts(df: DataFrame, row: str, total: str, stream: int, out: str = "n_
     return df.mapInArrow(run, schema)
 
 
-def stretches(values: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of the runs of equal values."""
-    if not len(values):
-        return []
-    cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
-    return list(zip(cuts, cuts[1:]))
+def stretches(*columns: pa.Array | np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of rows that are equal in all columns; null equals null."""
+    changed = np.zeros(max(len(columns[0]) - 1, 0), dtype=bool)
+    for values in columns:
+        if isinstance(values, pa.Array):
+            values = np.asarray(values.dictionary_encode(null_encoding="encode").indices)
+        changed |= np.diff(values) != 0
+    cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(columns[0])]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
 def _hash_buckets(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, DataFrame]:

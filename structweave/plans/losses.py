@@ -16,6 +16,7 @@ from ..functions import decoding
 from ..functions.columns import mix_hash
 from ..functions.spans import SpannedGradient
 from ..operators import binary, candidates, metrics, sequences
+from ..operators.candidates import Best
 from ..operators.ranking import ShardDraws, number_in_shards, stretches
 from ..operators.segments import SEGMENT
 from ..session import materialize, spread
@@ -64,9 +65,12 @@ class Kernel:
         return None
 
     def spanned(self, w, mu: float | None):
-        """Collects the gradient of an example that is spread over rows: ``there`` and ``back`` take its rows."""
+        """Collects the gradient of an example that is spread over rows: ``there`` takes its rows in order, ``back`` takes
+        them again from last to first if ``returns``."""
         raise NotImplementedError
 
+    returns = False
+
 
 class LogisticKernel(Kernel):
     """Logistic loss on (feats, y)."""
@@ -175,12 +179,19 @@ class CandidateKernel(Kernel):
         best, weights, _, gold, _ = self._choose(examples, w, mu)
         return lambda i: weights[i] @ feats[best[i]] - feats[gold[i]]
 
+    def spans(self, batch):
+        return np.asarray(batch.column("chunks"), dtype=np.int64)
+
+    def spanned(self, w, mu):
+        return Best(w, 1 if mu is None else self.k, mu)
+
 
 class SequenceKernel(Kernel):
     """Structural hinge with Hamming loss on segments of sequences."""
 
     weigh = "words"
     sparse = True
+    returns = True
 
     def __init__(self, dim: int, n_tags: int, k: int, size: int = SEGMENT):
         self.dim, self.n_tags, self.k, self.segment = dim, n_tags, k, size
@@ -286,10 +297,11 @@ class TableLoss:
         draws as examples. A row stands as often as it is drawn; a partition holds whole shards, in order of their steps.
 
         Which steps draw a row follows from its number and the size of its shard, so rows are multiplied where they are
-        stored and only what is drawn moves, once. A task holds the draws of one shard, 16 bytes an example. An example
-        that is spread over rows is sent first to last and then last to first (``_order``).
+        stored and only what is drawn moves, once. A task holds the draws of one shard, 16 bytes an example. The rows
+        of an example that is spread over rows come in order, and once more from last to first if the kernel asks for it
+        (``_order``).
         """
-        kernel, rows = self.kernel, self.rows()
+        kernel, rows, nth = self.kernel, self.rows(), self.keys[-1]
         dropped = ("_bucket", "_size", "_row")
         kept = [f for f in rows.schema if f.name not in dropped]
         schema = T.StructType([*kept, T.StructField("_step", T.LongType()), T.StructField("_order", T.LongType())])
@@ -297,14 +309,14 @@ class TableLoss:
         def run(batches):
             draws = ShardDraws(seed * 1_000_003 + epoch * 1_009)
             for batch in batches:
-                for a, b in stretches(np.asarray(batch.column("_shard"))):
+                for a, b in stretches(batch.column("_shard")):
                     part = batch.slice(a, b - a)
                     at, step = draws.of(part.column("_shard")[0].as_py(), part.column("_size")[0].as_py(), np.asarray(part.column("_row")))
                     order = np.zeros(len(at), dtype=np.int64)
                     spans = kernel.spans(part)
                     if spans is not None and (spans[at] > 1).any():
-                        order = np.asarray(part.column("seg"), dtype=np.int64)[at]
-                        twice = np.flatnonzero(spans[at] > 1)
+                        order = np.asarray(part.column(nth), dtype=np.int64)[at]
+                        twice = np.flatnonzero(spans[at] > 1) if kernel.returns else np.zeros(0, dtype=np.int64)
                         order = np.concatenate([order, 2 * spans[at[twice]] - 1 - order[twice]])
                         at, step = np.concatenate([at, at[twice]]), np.concatenate([step, step[twice]])
                     moved = part.take(pa.array(at))
@@ -376,23 +388,70 @@ class LogisticLoss(TableLoss):
 class CandidateLoss(TableLoss):
     """Structural hinge on candidate rows (group_id, cand, iou, feats).
 
-    A group is packed into one row, after which every pass is narrow; all its candidates are kept. Where groups are too
-    large for a row, ``limit`` keeps the first so many of each. ``pad_to``: cells per group in the average precision.
+    A group is packed into one row, after which every pass is narrow. One of more than ``chunk`` candidates is cut into
+    rows of so many; what counts of it, its best candidates and the gold one, is merged over its rows, so a group of any
+    size trains whole. ``limit`` keeps the first so many of each group. ``pad_to``: cells per group in the average precision.
     """
 
     supports_lmo = True
 
-    def __init__(self, df: DataFrame, dim: int, k: int = 10, limit: int | None = None, pad_to: int = candidates.MAX_CANDIDATES):
+    def __init__(
+        self, df: DataFrame, dim: int, k: int = 10, limit: int | None = None, pad_to: int = candidates.MAX_CANDIDATES, chunk: int = candidates.CHUNK,
+    ):
         kept = df if limit is None else candidates.truncate(df, limit)
-        item = F.struct("cand", "iou", "feats")
-        grouped = kept.groupBy("group_id").agg(F.array_sort(F.collect_list(item)).alias("_c"))
-        packed = grouped.select("group_id", F.col("_c.iou").alias("ious"), F.flatten("_c.feats").alias("feats"))
         self.pad_to = limit or pad_to
         # Packing is the expensive part of loading, so it is written once and read by every later pass.
-        super().__init__(materialize(packed), ("group_id",), CandidateKernel(dim, k), mix_hash(F.col("group_id")))
+        packed, self.has_long = candidates.pack(kept.select("group_id", "cand", "iou", "feats"), chunk)
+        super().__init__(packed, ("group_id", "chunk"), CandidateKernel(dim, k), mix_hash(F.col("group_id")))
+        self._shard_by = [F.col("group_id")]
+        self._opens = F.col("chunk") == 0
+        if self.has_long:
+            self.n = packed.where("chunk = 0").count()
+
+    def _one_row(self, bucket: int | None = None) -> DataFrame:
+        rows = self.rows(bucket)
+        return rows.where("chunks = 1") if self.has_long else rows
+
+    def _merged(self, points: Sequence[np.ndarray], k: int, bucket: int | None, finish, schema: str, use_loss: bool = True) -> DataFrame:
+        return candidates.merged_best(self.rows(bucket).where("chunks > 1"), points, k, finish, schema, use_loss)
+
+    def _part_sums(self, points, bucket, width, one, long) -> np.ndarray:
+        """Sums of vectors of ``width`` per point over all groups, divided by the number of groups."""
+        kernel, m = self.kernel, len(points)
+
+        def narrow(batch: pa.RecordBatch) -> np.ndarray:
+            examples = kernel.load(batch)
+            return np.concatenate([*(one(examples, *point) for point in points), [kernel.size(examples)]])
+
+        def wide(found):
+            total = np.zeros(m * width + 1)
+            for at, _, best in found:
+                total[at * width : (at + 1) * width] += long(best, points[at][1])
+                total[-1] += at == 0
+            index = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(total[index])], ["idx", "value"])
+
+        sums = sequences.sum_vectors(self._one_row(bucket), m * width + 1, narrow, kernel.weigh)
+        if self.has_long:
+            k = kernel.k if any(mu is not None for _, mu in points) else 1
+            merged = self._merged([w for w, _ in points], k, bucket, wide, "idx bigint, value double")
+            sums = sums.unionByName(merged).groupBy("idx").agg(F.sum("value").alias("value"))
+        return self._means(sums, m, width)
+
+    def gradient_means(self, points, bucket=None):
+        if not self.has_long:
+            return super().gradient_means(points, bucket)
+        return self._part_sums(points, bucket, self.kernel.dim, self.kernel.gradient_sum, lambda best, mu: best.gradient(mu))
+
+    def value_means(self, points):
+        if not self.has_long:
+            return super().value_means(points)
+        kernel = self.kernel
+        one = lambda examples, w, mu: [kernel.values(examples, w, None)[0].sum()]
+        return self._part_sums([(w, None) for w in points], None, 1, one, lambda best, mu: best.hinge())[:, 0]
 
     def cells(self, w: np.ndarray) -> DataFrame:
-        """Scored candidates (group_id, iou, score, best): ``best`` marks the first with the highest score."""
+        """Scored candidates (group_id, iou, score, best): ``best`` marks the first with the highest score of its row."""
         kernel = self.kernel
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -401,15 +460,22 @@ class CandidateLoss(TableLoss):
             best = np.zeros(len(scores), dtype=bool)
             best[kernel.firsts(scores, bounds)] = True
             owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            group = batch.column("group_id").take(pa.array(owner))
-            columns = [group, pa.array(ious), pa.array(scores), pa.array(best)]
-            return pa.RecordBatch.from_arrays(columns, ["group_id", "iou", "score", "best"])
+            rows = batch.take(pa.array(owner))
+            columns = [rows.column("group_id"), rows.column("chunks"), pa.array(ious), pa.array(scores), pa.array(best)]
+            return pa.RecordBatch.from_arrays(columns, ["group_id", "chunks", "iou", "score", "best"])
 
-        return sequences.map_arrow(self.rows(), "group_id bigint, iou double, score double, best boolean", run, "feats")
+        return sequences.map_arrow(self.rows(), "group_id bigint, chunks bigint, iou double, score double, best boolean", run, "feats")
 
     def metrics(self, w):
         cells = self.cells(w)
-        best = cells.where("best").agg(
+        predicted = cells.where("best and chunks = 1").select("iou")
+        if self.has_long:
+
+            def best_iou(found):
+                yield pa.RecordBatch.from_arrays([pa.array([best.top_iou[0] for _, _, best in found], pa.float64())], ["iou"])
+
+            predicted = predicted.unionAll(self._merged([w], 1, None, best_iou, "iou double", False))
+        best = predicted.agg(
             F.avg("iou").alias("mean_iou"),
             F.avg((F.col("iou") >= candidates.GOLD_IOU).cast("double")).alias("accuracy"),
         )
@@ -418,25 +484,30 @@ class CandidateLoss(TableLoss):
 
     def linear_minimizers(self, w, bucket):
         kernel, dim = self.kernel, self.kernel.dim
+        names = ["group_id", "chunk", "idx", "val", "loss"]
+
+        def dense(group: pa.Array, psi: np.ndarray, loss: np.ndarray) -> pa.RecordBatch:
+            offsets = pa.array(np.arange(len(psi) + 1) * dim, pa.int32())
+            index = pa.ListArray.from_arrays(offsets, pa.array(np.tile(np.arange(dim), len(psi))))
+            first = pa.array(np.zeros(len(psi), dtype=np.int64))
+            return pa.RecordBatch.from_arrays([group, first, index, pa.ListArray.from_arrays(offsets, pa.array(psi.ravel())), pa.array(loss)], names)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             examples = kernel.load(batch)
             feats, ious, _ = examples
             best, _, _, gold, _ = kernel._choose(examples, w, None)
             best = best[:, 0]
-            psi = feats[gold] - feats[best]
-            offsets = pa.array(np.arange(len(best) + 1) * dim, pa.int32())
-            index = pa.array(np.tile(np.arange(dim), len(best)))
-            columns = [
-                batch.column("group_id"),
-                pa.ListArray.from_arrays(offsets, index),
-                pa.ListArray.from_arrays(offsets, pa.array(psi.ravel())),
-                pa.array(1 - ious[best]),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["group_id", "idx", "val", "loss"])
-
-        schema = "group_id bigint, idx array<bigint>, val array<double>, loss double"
-        return sequences.map_arrow(self.rows(bucket), schema, run, "feats")
+            return dense(batch.column("group_id"), feats[gold] - feats[best], 1 - ious[best])
+
+        def merged(found):
+            for _, group, best in found:
+                yield dense(pa.array([group], pa.int64()), -best.gradient(None)[None, :], np.array([1 - best.top_iou[0]]))
+
+        schema = "group_id bigint, chunk bigint, idx array<bigint>, val array<double>, loss double"
+        minima = sequences.map_arrow(self._one_row(bucket), schema, run, "feats")
+        if not self.has_long:
+            return minima
+        return minima.unionByName(self._merged([w], 1, bucket, merged, schema))
 
 
 class SequenceLoss(TableLoss):

@@ -161,7 +161,7 @@ def _inner_epoch(loss: TableLoss, steps, drawn: DataFrame):
     def run(batches):
         shard, rows, chains, spanned = None, 0, [], []
         for batch in slices(batches, kernel.weigh):
-            for start, end in stretches(np.asarray(batch.column("_shard"))):
+            for start, end in stretches(batch.column("_shard")):
                 if (found := batch.column("_shard")[start].as_py()) != shard:
                     if rows:
                         yield sums(chains, rows)
@@ -211,17 +211,18 @@ def _advance(kernel, chains, examples) -> None:
 def _advance_spanned(kernel, chains, spanned: list, row: pa.RecordBatch) -> int:
     """Take a row of an example that is spread over rows; the last one makes the step and counts as an example."""
     order, n = row.column("_order")[0].as_py(), int(kernel.spans(row)[0])
+    last = 2 * n - 1 if kernel.returns else n - 1
     if not order:
         points = [[c.w] if c.steps.anchor is None else [c.w, c.steps.anchor] for c in chains]
         spanned[:] = [[kernel.spanned(w, c.steps.mu) for w in ws] for ws, c in zip(points, chains)]
     segment = kernel.load(row)
     for gradient in (g for each in spanned for g in each):
         (gradient.there if order < n else gradient.back)(segment)
-    if order < 2 * n - 1:
+    if order < last:
         return 0
     for chain, each in zip(chains, spanned):
-        parts = [g.gradient() for g in each]
-        if isinstance(chain, DenseChain):
+        parts = [g.gradient(chain.steps.mu) for g in each]
+        if isinstance(chain, DenseChain) and kernel.sparse:
             parts = [np.bincount(idx, weights=value, minlength=kernel.dim) for idx, value in parts]
         chain.step(*parts)
     return 1
