@@ -217,3 +217,29 @@ def hash_split(df: DataFrame, key: str, seed: int = 1, parts: tuple[int, int] =
     )
     columns = [*df.columns, "split"]
     return sure.select(*columns).unionAll(edge.select(*columns))
+
+
+def hash_cut(df: DataFrame, key: str, seed: int = 1, parts: tuple[int, int] = (3, 4)) -> tuple[int, int | None] | None:
+    """Where ``hash_split`` cuts: hash and key of the first row of the second part, None if that part is empty.
+
+    With it a split is an expression on the key (``before_cut``), also on tables that repeat the keys. The driver sees the
+    counts of HASH_BUCKETS buckets and this one row.
+    """
+    hashed, _ = _hash_buckets(df.select(key), key, seed)
+    counts = dict(map(tuple, hashed.groupBy("_bucket").agg(F.count(F.lit(1))).collect()))
+    rest = sum(counts.values()) * parts[0] // parts[1]
+    for bucket in sorted(counts):
+        if rest < counts[bucket]:
+            found = hashed.where(F.col("_bucket") == bucket).orderBy("_h", key).offset(rest).limit(1).first()
+            return found["_h"], found[key]
+        rest -= counts[bucket]
+    return None
+
+
+def before_cut(key: Column, seed: int, cut: tuple[int, int | None] | None) -> Column:
+    """Whether a row belongs to the first part of the split that ``cut`` describes."""
+    if cut is None:
+        return F.lit(True)
+    h = F.coalesce(mix_hash(key, seed), F.lit(0))
+    lower = F.lit(False) if cut[1] is None else F.coalesce(key < F.lit(cut[1]), F.lit(True))
+    return (h < F.lit(cut[0])) | ((h == F.lit(cut[0])) & lower)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import null_safe_join
-from ..operators import dictionaries, ranking
+from ..operators import candidates, dictionaries, ranking
 from ..operators.segments import SEGMENT
 from ..operators.sequences import SequenceTable
 from ..session import materialize
@@ -55,7 +55,15 @@ def candidate_losses(labels: DataFrame, features: DataFrame, dim: int, k: int =
     Three quarters of the groups, by a hash of their id, are for training. Candidates without features are left out.
     """
     both = null_safe_join(labels, features, ["group_id", "cand"])
-    groups = materialize(labels.select("group_id").distinct())
-    split = ranking.hash_split(groups, "group_id", seed)
-    placed = null_safe_join(both, split, ["group_id"])
-    return {name: CandidateLoss(placed.where(F.col("split") == name).drop("split"), dim, k, limit) for name in ("train", "val")}
+    packed = candidates.pack(both if limit is None else candidates.truncate(both, limit))
+    cut = ranking.hash_cut(materialize(labels.select("group_id").distinct()), "group_id", seed)
+    return split_packed(packed, cut, seed, dim, k, limit)
+
+
+def split_packed(
+    packed: tuple[DataFrame, bool], cut: tuple[int, int | None] | None, seed: int, dim: int, k: int = 10, limit: int | None = None
+) -> dict[str, CandidateLoss]:
+    """``train`` and ``val`` losses from groups packed once: the split is a filter on the packed rows."""
+    rows, has_long = packed
+    first = ranking.before_cut(F.col("group_id"), seed, cut)
+    return {name: CandidateLoss.of_packed(rows.where(part), has_long, dim, k, limit) for name, part in (("train", first), ("val", ~first))}

@@ -399,13 +399,23 @@ class CandidateLoss(TableLoss):
         self, df: DataFrame, dim: int, k: int = 10, limit: int | None = None, pad_to: int = candidates.MAX_CANDIDATES, chunk: int = candidates.CHUNK,
     ):
         kept = df if limit is None else candidates.truncate(df, limit)
-        self.pad_to = limit or pad_to
         # Packing is the expensive part of loading, so it is written once and read by every later pass.
-        packed, self.has_long = candidates.pack(kept.select("group_id", "cand", "iou", "feats"), chunk)
-        super().__init__(packed, ("group_id", "chunk"), CandidateKernel(dim, k), mix_hash(F.col("group_id")))
+        packed, has_long = candidates.pack(kept.select("group_id", "cand", "iou", "feats"), chunk)
+        self._set(packed, has_long, dim, k, limit or pad_to)
+
+    @classmethod
+    def of_packed(cls, packed: DataFrame, has_long: bool, dim: int, k: int = 10, limit: int | None = None, pad_to: int = candidates.MAX_CANDIDATES):
+        """A loss over rows of ``candidates.pack``, or some of its groups."""
+        loss = cls.__new__(cls)
+        loss._set(packed, has_long, dim, k, limit or pad_to)
+        return loss
+
+    def _set(self, packed: DataFrame, has_long: bool, dim: int, k: int, pad_to: int) -> None:
+        TableLoss.__init__(self, packed, ("group_id", "chunk"), CandidateKernel(dim, k), mix_hash(F.col("group_id")))
+        self.has_long, self.pad_to = has_long, pad_to
         self._shard_by = [F.col("group_id")]
         self._opens = F.col("chunk") == 0
-        if self.has_long:
+        if has_long:
             self.n = packed.where("chunk = 0").count()
 
     def _one_row(self, bucket: int | None = None) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import null_safe_join, round9
+from ..functions.columns import round9
 from ..operators import binary, candidates, dictionaries, features, metrics, ranking, segments, sequences
-from ..session import materialize, scratch_path
+from ..session import scratch_path
 from ..sources import corpus, tables
 from . import experiments, surrogates as s
 from .frank_wolfe import fit_frank_wolfe
+from .loaders import split_packed
 from .losses import CandidateLoss, LogisticKernel, LogisticLoss, SequenceLoss, TableLoss
 from .schedules import L2Penalty, Penalty
 from .solvers import Run
@@ -544,12 +545,9 @@ def fit_logistic(spark, sf_dir):
 
 
 def _split_candidates(spark, sf_dir):
-    df = s.candidates(spark, sf_dir)
-    groups = materialize(df.select("group_id").distinct())
-    split = ranking.hash_split(groups, "group_id", SPLIT_SEED)
-    joined = null_safe_join(df, split, ["group_id"])
-    parts = (joined.where(F.col("split") == name).drop("split") for name in ("train", "val"))
-    return [CandidateLoss(part, 4, k=TOP) for part in parts]
+    packed = candidates.pack(s.candidates(spark, sf_dir))
+    cut = ranking.hash_cut(packed[0].where("chunk = 0"), "group_id", SPLIT_SEED)
+    return split_packed(packed, cut, SPLIT_SEED, 4, TOP).values()
 
 
 def fit_candidates(spark, sf_dir):

@@ -37,3 +37,16 @@ def test_hash_split_is_exact_and_agrees_with_the_rank(spark):
         assert sorted(ranks.values()) == list(range(n))
         split = {r.k: r.split for r in ranking.hash_split(df, "k", 3).collect()}
         assert split == {k: "train" if r < 3 * n // 4 else "val" for k, r in ranks.items()}
+
+
+def test_cut_equals_split(spark):
+    ids = spark.createDataFrame([(None,), *((i * 37 - 5000,) for i in range(1_001))], "id long")
+    split = {r.id: r.split for r in ranking.hash_split(ids, "id", 4).collect()}
+    cut = ranking.hash_cut(ids.repartition(5), "id", 4)
+    twice = ids.unionAll(ids).withColumn("first", ranking.before_cut(F.col("id"), 4, cut))
+    found = twice.collect()
+    assert len(found) == 2_004 and all(r.first == (split[r.id] == "train") for r in found)
+    assert sum(r.first for r in found) == 2 * (1_002 * 3 // 4)
+    assert ranking.hash_cut(ids.limit(0), "id", 4) is None
+    one = ids.where("id = 32")
+    assert not one.select(ranking.before_cut(F.col("id"), 4, ranking.hash_cut(one, "id", 4))).first()[0]
