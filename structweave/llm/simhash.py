@@ -223,13 +223,71 @@ def prefix_entries(texts: DataFrame, words: int, similarity: float, common: np.n
     return texts.select("_key", "_text").mapInArrow(run, "h bigint, _key bigint, size int, pos int")
 
 
+#: 64-bit words of a bitmap.
+BITMAP = 16
+
+
+def bitmaps(docs: DataFrame, words: int) -> DataFrame:
+    """(_key, bits): per text, for each of 1,024 cells, whether an odd number of its distinct shingles falls there.
+
+    A shingle that only one of two texts has changes one cell, so their sets differ in at least as many shingles as their
+    bitmaps in cells: what the bitmaps rule out is ruled out.
+    """
+    schema = pa.schema([("_key", pa.int64()), ("bits", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for k, t in zip(batch.column("_key").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                    cell = (distinct_shingles(t, words) >> np.uint64(54)).astype(np.int64)
+                    yield k, np.packbits(np.bincount(cell, minlength=64 * BITMAP) & 1).tobytes()
+
+        yield from batched(rows(), schema, lambda r: 8 * BITMAP + 64)
+
+    return docs.select("_key", "_text").mapInArrow(run, "_key bigint, bits binary").dropDuplicates(["_key"])
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of different groups within two blocks of a shingle that sizes, places and bitmaps leave open."""
+
+    def pairs(h, p, q, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, size, pos, g, mine = (np.concatenate([np.asarray(r.column(c)) for r in rows]) for c in ("_key", "size", "pos", "g", "mine"))
+        bits = np.frombuffer(b"".join(x for r in rows for x in r.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP)
+        left, right = (np.flatnonzero(mine == x) for x in (p, q))
+        for i in left:
+            j = right if p != q else right[right > i]
+            both = (size[i] + size[j]) * (similarity / (1 + similarity))
+            j = j[(g[i] != g[j]) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= both - 1e-6)]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            j = j[apart <= (size[i] + size[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6]
+            if len(j):
+                ends = np.stack([np.full(len(j), key[i]), key[j]])
+                yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=0)), pa.array(ends.max(axis=0))], ["a", "b"])
+
+    at, held = None, []
+    for batch in batches:
+        columns = [np.asarray(batch.column(c)) for c in ("h", "p", "q")]
+        cuts = [0, *(np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                now = tuple(int(c[a]) for c in columns)
+                if now != at:
+                    if held:
+                        yield from pairs(*at, held)
+                    at, held = now, []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield from pairs(*at, held)
+
+
 def near_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows are (_id, _key), groups are (_key, component) of texts alike.
 
     Equal word sequences are one class, represented by the hash ``_key`` of their words. Classes link if and only if the
     sets of their ``words``-word shingles have a Jaccard similarity of ``similarity``; groups are the components. Every
     such pair shares a shingle of its prefixes, at places that leave room for the overlap. First each class is held
-    against two others per shared shingle; then every pair of the remaining ones that lies in different groups.
+    against two others per shared shingle; then every pair of the remaining ones that lies in different groups, of which a
+    bitmap of each text rules out nearly all that are not similar before any row is made.
     """
     texts = keyed(docs, id_col, text_col).withColumn("_key", word_key(F.col("_text")))
     rows = saved(texts.select("_id", "_key"), "near-rows")
@@ -262,16 +320,21 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, sim
     links = alike(some)
     groups = saved(components(links), "near-groups")
 
-    # Texts of a common shingle are dealt over pairs of blocks; every two meet in one of them.
+    # Texts of a common shingle are dealt over pairs of blocks; every two meet in one of them. A task holds two blocks and
+    # sends on only the pairs that their bitmaps leave open, never all of them.
     placed = shared.join(groups.withColumnRenamed("node", "_key"), "_key", "left").withColumn("g", F.coalesce("component", "_key"))
     split = placed.groupBy("h").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("h")
+    mixed = saved(placed.join(split, "h").select("h", "_key", "size", "pos", "g", "n"), "near-mixed")
+    bits = saved(bitmaps(texts.join(mixed.select("_key").distinct(), "_key", "left_semi"), words), "near-bitmaps")
     blocks = F.ceil(F.col("n") / BLOCK)
-    mixed = placed.join(split, "h").select("h", F.struct("_key", "size", "pos", "g").alias("x"), F.pmod(F.xxhash64("_key", F.lit(3)), blocks).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("theirs"))
-    left = mixed.select("h", "x", F.col("mine").alias("p"), F.col("theirs").alias("q"))
-    right = mixed.select("h", F.col("x").alias("y"), F.col("mine").alias("q"), F.col("theirs").alias("p"))
-    apart = left.join(right, ["h", "p", "q"]).where((F.col("x._key") < F.col("y._key")) & (F.col("x.g") != F.col("y.g")))
-    rest = distinct_pairs(apart)
+    mine = F.pmod(F.xxhash64("_key", F.lit(3)), blocks).cast("int")
+    dealt = mixed.join(bits, "_key").withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    square = dealt.select("h", F.least("mine", "theirs").alias("p"), F.greatest("mine", "theirs").alias("q"), "mine", "_key", "size", "pos", "g", "bits")
+    ordered = square.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
+    rest = saved(ordered.mapInArrow(lambda it: _open_pairs(it, similarity), "a bigint, b bigint").distinct(), "near-pairs")
     more = alike(rest.join(some, ["a", "b"], "left_anti"))
+    for t in (mixed, bits):
+        discard(t)
     for t in (shared, some, rest):
         discard(t)
     return rows, components(links.unionAll(more))

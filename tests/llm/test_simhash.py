@@ -162,3 +162,33 @@ def test_near_copies_with_many_edits(spark):
         texts[2 * k + 1] = [f"e{k}x{i}" if i in (40, 90, 140, 190, 240)[: 3 + k % 3] else w for i, w in enumerate(words)]
     groups = found_groups(spark, texts)
     assert groups == alike_groups(texts) and sum(len(g) == 2 for g in groups) >= 26
+
+
+def test_border_cluster_makes_few_rows(spark, monkeypatch):
+    """Thousands of texts of one template, on both sides of the similarity: groups as by all pairs, and no row for most pairs."""
+    from structweave.llm import simhash
+
+    monkeypatch.setattr(simhash, "BLOCK", 200)
+    base = prose(5, 300)
+    texts = {}
+    for k in range(1_500):
+        words = list(base)
+        for place in np.random.default_rng(k).choice(300, 4 + k % 14, replace=False):
+            words[place] = f"n{k}x{place}"
+        texts[k] = words
+    seen = []
+    monkeypatch.setattr(simhash, "saved", lambda df, label, keep=simhash.saved: (out := keep(df, label), seen.append((label, out.count())))[0])
+    assert found_groups(spark, texts) == alike_groups(texts)
+    pairs = [n for label, n in seen if label == "near-pairs"]
+    assert len(pairs) == 2 and pairs[1] < 0.1 * 1_500 * 1_499 / 2
+
+
+def test_bitmaps_bound_the_difference(spark):
+    from structweave.llm.simhash import bitmaps
+
+    texts = {k: prose(1, 40 + k) + prose(k, k) for k in range(60)}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "_key bigint, _text string")
+    bits = {r._key: int.from_bytes(r.bits, "big") for r in bitmaps(df, 5).collect()}
+    for a in texts:
+        for b in texts:
+            assert (bits[a] ^ bits[b]).bit_count() <= len(shingles(texts[a]) ^ shingles(texts[b]))
