@@ -21,6 +21,8 @@ BITS = 17
 ORDERS = 3
 #: Code points handled at once; longer texts go in pieces, with the n-grams across the seams kept.
 PIECE = 1 << 20
+#: Texts that a label learns from if it has only long ones, and parts in which the rows of a label are limited first.
+FEW, SALTS = 10, 64
 UNDETERMINED = "und"
 SCALE = 20.0
 
@@ -92,15 +94,16 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))])
+    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("t", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))])
 
     def rows():
         for batch in batches:
-            for lang, h, text in zip(batch.column("lang").to_pylist(), batch.column("_h").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("lang", "_h", "_t", "_text"))
+            for lang, h, t, text in zip(*columns, strict=True):
                 at, n = np.unique(np.concatenate(list(ngram_buckets(text))), return_counts=True)
-                yield lang, h, at.astype(np.int32), n.astype(np.float32)
+                yield lang, h, t, at.astype(np.int32), n.astype(np.float32)
 
-    yield from batched(rows(), schema, lambda r: 8 * len(r[2]))
+    yield from batched(rows(), schema, lambda r: 8 * len(r[3]))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -145,17 +148,33 @@ def calibrated(logits: np.ndarray, y: np.ndarray) -> float:
     return math.exp((lo + hi) / 2)
 
 
+def _chosen(rows: DataFrame, per_label: int, max_chars: int) -> DataFrame:
+    """(lang, _h, _t) of the rows to train on; limited in salted parts first, so that no label is ranked in one task whole."""
+    length = F.length("_text")
+    over = F.when(length > max_chars, length).otherwise(0).alias("_over")
+    narrow = rows.select("lang", "_h", "_t", over).distinct()
+    order = ["_over", "_h", "_t"]
+    part = Window.partitionBy("lang", "_salt").orderBy(*order)
+    salted = narrow.withColumn("_salt", F.pmod(F.xxhash64("_h", "_t"), F.lit(SALTS)))
+    first = salted.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= per_label).drop("_rank")
+    ranked = first.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    return ranked.where((F.col("_rank") <= per_label) & ((F.col("_over") == 0) | (F.col("_rank") <= FEW))).select("lang", "_h", "_t")
+
+
 def train(
     docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 500, max_chars: int = 20_000,
     epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01,
 ) -> LanguageModel | None:
     """Fit on ``docs``; None if no row has a label and a letter.
 
-    Document frequencies count every labelled row. The weights are fitted on at most ``per_label`` rows per label, the
-    first by a hash of the key among texts of up to ``max_chars`` code points; every fifth of these only calibrates.
+    Document frequencies count every labelled row. The weights are fitted on at most ``per_label`` different rows (of an
+    id and a text) per label, the first by a hash among texts of up to ``max_chars`` code points; every fifth of these only
+    calibrates. A label with fewer than FEW such texts also learns from its shortest longer ones, whole, up to FEW in all.
     """
     # Training text is chosen by its hash, never by position; labelled rows without a letter teach nothing.
-    rows = docs.select(F.col(text).cast("string").alias("_text"), F.col(label).cast("string").alias("lang"), F.xxhash64(F.col(key), F.lit(11)).alias("_h"))
+    rows = docs.select(
+        F.col(text).cast("string").alias("_text"), F.col(label).cast("string").alias("lang"), F.xxhash64(F.col(key), F.lit(11)).alias("_h"), F.xxhash64(F.col(text)).alias("_t"),
+    )
     rows = rows.where(F.col("lang").isNotNull() & F.col("_text").rlike(r"\p{L}"))
     counted = rows.select("_text").mapInArrow(_frequencies, "bucket int, df bigint").groupBy("bucket").agg(F.sum("df").alias("df"))
     found = counted.toPandas()  # at most one row per bucket
@@ -167,12 +186,12 @@ def train(
     df[known["bucket"].to_numpy()] = known["df"].to_numpy()
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    order = Window.partitionBy("lang").orderBy("_h")
-    chosen = rows.where(F.length("_text") <= max_chars).select("lang", "_h").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label)
-    chosen = F.broadcast(chosen.select("lang", "_h").distinct())  # at most per_label rows per language
-    sample = rows.where(F.length("_text") <= max_chars).join(chosen, ["lang", "_h"]).select("lang", "_h", "_text")
-    vectors = sample.mapInArrow(_vectors, "lang string, h bigint, at array<int>, n array<float>").toPandas()
-    vectors = vectors.sort_values("h", kind="stable").reset_index(drop=True)
+    chosen = F.broadcast(_chosen(rows, per_label, max_chars))  # at most per_label rows per language
+    drawn = rows.join(chosen, ["lang", "_h", "_t"])
+    # Copies of a row are one example, however many there are.
+    sample = drawn.groupBy("lang", "_h", "_t").agg(F.any_value("_text").alias("_text")).select("lang", "_h", "_t", "_text")
+    vectors = sample.mapInArrow(_vectors, "lang string, h bigint, t bigint, at array<int>, n array<float>").toPandas()
+    vectors = vectors.sort_values(["h", "t"], kind="stable").reset_index(drop=True)
     labels = sorted(set(vectors["lang"]))
     if not labels:
         return None

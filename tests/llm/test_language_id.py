@@ -40,3 +40,44 @@ def test_stage_keeps_what_is_told(spark, sf, edge_docs):
     left = [r.doc_id for r in language_stage(spark, edge_docs, sf).collect()]
     assert not {1, 2, 3, 6} & set(left) and left.count(8) == 2
     assert language_stage(spark, edge_docs, sf).schema.names == edge_docs.schema.names
+
+
+def test_labels_of_long_texts_and_ids_that_many_rows_share(spark, monkeypatch):
+    """A label with long texts only is learned; rows without an id, copies and one hot id keep the sample within its bound."""
+    from structweave.llm import language_id
+
+    long = [(k, "zyx wvu tsr " * 2_000, "yy") for k in range(40)]
+    short = [(None, f"the cat and dog {'abcdefgh'[k % 8]}{'klmnop'[k % 6]} sat", "xx") for k in range(900)] + [(5, "le chat et le chien", "zz")] * 900
+    docs = spark.createDataFrame(long + short, "doc_id bigint, text string, lang string").repartition(5)
+    seen = []
+    original = language_id.ftrl
+    monkeypatch.setattr(language_id, "ftrl", lambda data, *a: seen.append(len(data)) or original(data, *a))
+    model = train(docs, per_label=50)
+    assert model.labels == ["xx", "yy", "zz"]
+    # 24 different rows without an id, 10 long ones, 1 hot one; every fifth calibrates.
+    assert seen == [28]
+    found = identify(docs.where("lang = 'yy'"), docs).collect()
+    assert {r.lang_pred for r in found} == {"yy"}
+
+
+def test_ftrl_against_the_plain_recursion():
+    """Weights of a few steps, coordinate by coordinate."""
+    import math
+
+    import numpy as np
+
+    from structweave.llm.language_id import BITS, ftrl
+
+    r = np.random.default_rng(3)
+    data = [(np.sort(r.choice(40, 6, replace=False)), r.random(6), int(r.integers(3))) for _ in range(25)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.01
+    weights, bias = ftrl(data, 3, 2, alpha, beta, l1, l2)
+    assert weights.shape == (1 << BITS, 3) and not weights[40:].any() and (weights == 0).any() and np.isfinite(bias).all()
+
+    def told(x):
+        at, v, _ = x
+        z = v @ weights[at] + bias
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    loss = -np.mean([math.log(told(x)[x[2]]) for x in data])
+    assert loss < 0.7 * math.log(3)
