@@ -11,13 +11,14 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled_pages import labelled_pages
+from .labelled_pages import generated_pages, labelled_pages
 
 # Element names of the HTML standard by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,9 +45,8 @@ WORDS = {
     "for": r"content|main|article|post|entry|story|body|text|body-text|article-body",
 }
 _WORDS = {k: re.compile(rf"(?:^|[\s_-])(?:{v})(?=$|[\s_-])") for k, v in WORDS.items()}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?][^>]*>", re.S
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_EDGE = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""(class|id|role|data-label|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PLAIN = re.compile(r"class|id|role|data-label|hidden", re.I)
 
@@ -70,11 +70,65 @@ class Page:
         return len(self.tag) - 1
 
 
+class Tags:
+    """The tags of a page in order: (start, end, closing, name, attributes); name None for comments and declarations.
+
+    A quote in a tag hides a ">" up to the next such quote; a quote that is never closed hides nothing. What was once found
+    to lead to the end of the page is not read again, so a page is read in time linear in its length.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = {c: source.rfind(c) for c in ">\"'"}
+        self.hopeless: set[int] = set()
+
+    def _end(self, at: int) -> int:
+        k, opened = at, []
+        while m := _EDGE.search(self.source, k):
+            if m[0] == ">":
+                return m.start()
+            opened.append(m.start())
+            if m.start() in self.hopeless or m.start() == self.last[m[0]]:
+                break
+            k = self.source.find(m[0], m.end()) + 1
+        self.hopeless.update(opened)
+        return self.source.find(">", at)
+
+    def after(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """The next tag from ``at`` on."""
+        source = self.source
+        while (at := source.find("<", at)) >= 0:
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4)
+                return at, len(source) if end < 0 else end + 3, False, None, ""
+            if at > self.last[">"]:
+                return None
+            if source[at + 1] in "!?":
+                return at, source.find(">", at) + 1, False, None, ""
+            closing = source[at + 1] == "/"
+            name = _NAME.match(source, at + 1 + closing)
+            if name and name.end() <= self.last[">"]:
+                end = self._end(name.end())
+                return at, end + 1, closing, name[0].lower(), source[name.end() : end]
+            at += 1
+        return None
+
+    def raw_end(self, tag: str, at: int) -> int | None:
+        """Where the end tag of an element of raw text ends."""
+        found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(self.source, at) if at <= self.last[">"] else None
+        return found.end() if found else None
+
+
 def parse(source: str) -> Page:
     page = Page()
     root = page.add("html", -1, (), 0)
     stack: list[tuple[str, int]] = [("html", root)]  # open elements and the node that holds their text
-    links, block, at = 0, 0, 0
+    # Where elements of a name, of the kinds that end a search, and blocks stand in the stack.
+    places: dict[str, list[int]] = defaultdict(list)
+    scopes, blocks = [0], [0]
+    links, block, at, from_here = 0, 0, 0, 0
+    no_end: set[str] = set()
+    tags = Tags(source)
 
     def text(piece: str):
         if not piece or stack[-1][0] == "head" and not piece.strip():
@@ -91,39 +145,44 @@ def parse(source: str) -> Page:
             page.stops[node] = piece.rstrip()[-1] in ".!?…:;\"'”"
         page.pieces.append((node, block, piece))
 
+    def opened(tag: str, node: int):
+        for kind in (places[tag], *([scopes] if tag in SCOPE else []), *([blocks] if tag in BLOCK else [])):
+            kind.append(len(stack))
+        stack.append((tag, node))
+
     def closed(down_to: int):
         nonlocal links, block
         while len(stack) > down_to:
             name, _ = stack.pop()
+            for kind in (places[name], scopes, blocks):
+                if kind and kind[-1] == len(stack):
+                    kind.pop()
             if name == "a":
                 links -= 1
             elif name in BLOCK:
                 block += 1
 
-    while match := _TOKEN.search(source, at):
-        if match.start() > at:
-            text(source[at : match.start()])
-        at = match.end()
-        tag = match["tag"] or match["tag2"]
+    while found_tag := tags.after(from_here):
+        start, from_here, closing, tag, attrs = found_tag
+        if start > at:
+            text(source[at:start])
+        at = from_here
         if not tag:
             continue
-        tag, attrs = tag.lower(), match["attrs"] or match["attrs2"] or ""
-        if match["end"] or match["end2"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    closed(k)
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break
+        if closing:
+            if places[tag] and (tag in BLOCK or places[tag][-1] > blocks[-1]):
+                closed(places[tag][-1])
             continue
         if stack[-1][0] == "head" and tag not in HEAD and tag not in ("html", "head"):
             closed(len(stack) - 1)
         if tag in RAW:
-            if attrs.endswith("/") and any(name in ("svg", "math") for name, _ in stack):
+            if attrs.endswith("/") and (places["svg"] or places["math"]):
                 continue
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            stop = None if tag in no_end else tags.raw_end(tag, at)
+            if stop is None:
+                no_end.add(tag)
             if stop or tag != "noscript":  # as browsers do, but for a noscript, which holds ordinary markup
-                at = stop.end() if stop else len(source)
+                at = from_here = stop or len(source)
             continue
         if tag == "br":
             text(" ")
@@ -131,14 +190,13 @@ def parse(source: str) -> Page:
         if tag in VOID:
             block += tag == "hr"
             continue
+        if tag == "html" and (given := re.search(r'data-label="([01])"', attrs)):
+            page.label[root] = int(given[1])
         if tag == "html" or tag == "head" and len(stack) > 1:
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in CLOSES.get(tag, ()):
-                closed(k)
-                break
-            if stack[k][0] in SCOPE:
-                break
+        ends = max((places[name][-1] for name in CLOSES.get(tag, ()) if places[name]), default=0)
+        if ends and ends >= scopes[-1]:
+            closed(ends)
         node, label = stack[-1][1], page.label[stack[-1][1]]
         found: dict[str, str] = {}
         if attrs and _PLAIN.search(attrs):
@@ -152,7 +210,7 @@ def parse(source: str) -> Page:
             node = page.add(tag, node, words, int(found["data-label"]) if found.get("data-label") in ("0", "1") else label)
         links += tag == "a"
         block += tag in BLOCK
-        stack.append((tag, node))
+        opened(tag, node)
         if attrs.endswith("/") and tag not in BLOCK:
             closed(len(stack) - 1)
     if at < len(source):
@@ -173,7 +231,9 @@ def features(page: Page) -> list[tuple[list[str], str]]:
     out = []
     # What kinds of boilerplate a node stands in.
     under: list[frozenset[str]] = []
+    inside: list[bool] = []  # an article, a main or what names itself so
     for k in range(n):
+        inside.append(page.tag[k] in ("article", "main") or "for" in page.words[k] or (inside[page.parent[k]] if k else False))
         own_kind = {w for w in page.words[k] if w != "for"} | ({page.tag[k]} & {"nav", "footer", "form", "aside", "header"})
         above = under[page.parent[k]] if k else frozenset()
         under.append(above | own_kind if own_kind else above)
@@ -188,6 +248,10 @@ def features(page: Page) -> list[tuple[list[str], str]]:
             has.append("stops")
         if bare:  # no element of the page names itself the main one
             has.append(f"bare={group}")
+        if k and inside[page.parent[k]] and not under[page.parent[k]]:  # of the main part, and of nothing that is set apart in it
+            has += ["in main", f"in main={group}", "in main, " + has[3]]
+        if not k or page.tag[k] == "body":
+            has.append("text of the page" if own else "no text of the page")
         has += [f"word={w}" for w in page.words[k]]
         has += [f"under={x}" for x in sorted(under[page.parent[k]])] if k else []
         bad = any(w != "for" for w in page.words[k])
@@ -242,7 +306,7 @@ def potentials(page: Page, weights: dict[str, float]) -> tuple[list[float], list
     return node, edge, told
 
 
-def train(pages: list[str], rounds: int = 250, rate: float = 0.5, l2: float = 0.005) -> dict[str, float]:
+def train(pages: list[str], rounds: int = 80, rate: float = 0.5, l2: float = 0.005) -> dict[str, float]:
     """Weights of most likelihood of the pages' labels, by gradient ascent with adaptive steps."""
     parsed = [parse(p) for p in pages]
     weights: dict[str, float] = {}
@@ -288,11 +352,11 @@ def main_text(source: str, weights: dict[str, float], least: float = 0.5) -> str
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), labelled: list[str] | None = None) -> DataFrame:
     """``keep`` columns with ``text`` and ``n_chars``: the main text of each page's whole html.
 
-    ``labelled``: pages to train on (a bounded list; the built-in ones if not given). Null and empty pages have an empty
+    ``labelled``: pages to train on (a bounded list; the written and the generated ones if not given). Null and empty pages have an empty
     text; tags that do not close, and what is no HTML at all, are read as browsers do: unknown tags are inline, stray
     text belongs to the body. Rows that repeat give equal rows.
     """
-    weights = train(labelled_pages() if labelled is None else labelled)
+    weights = train([*labelled_pages(), *generated_pages()] if labelled is None else labelled)
     given = pages.select(*keep, F.col(html_col).cast("string").alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

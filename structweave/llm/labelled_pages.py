@@ -6,6 +6,7 @@ at 0. Bracketed numbers stand for prose of so many sentences, so that texts of m
 
 from __future__ import annotations
 
+import random
 import re
 
 _PROSE = (
@@ -70,4 +71,63 @@ def labelled_pages() -> list[str]:
     for shift, page in enumerate(_PAGES):
         count = iter(range(shift, 10_000))
         out.append(re.sub(r"\[(\d)\]", lambda m: " ".join(_PROSE[next(count) % len(_PROSE)] for _ in range(int(m[1]))), page))
-    return out
\ No newline at end of file
+    return out
+
+
+#: Parts of generated pages; a number in brackets stands for so many sentences, {links} for a list of links.
+_TOPS = (
+    '<header><a href="/">The Herald</a><nav>{links}</nav></header>', "<nav>{links}</nav>", '<div class="menu">{links}</div>', '<div id="top-nav"><a href="/">Home</a> <a href="/n">News</a></div>',
+    '<header><h1>Our paper</h1><p>[1]</p></header>', '<div class="site-header"><p>News since 1901.</p></div>', "",
+)
+_NOTICES = ('<div class="cookie-consent"><p>[1]</p><button>Accept</button></div>', '<div id="gdpr-banner">We use cookies. <a href="/c">More</a></div>', '<div class="notice">[1]</div>', "", "", "")
+#: Where the main text stands. {main} stands for its parts.
+_MAINS = (
+    '<article data-label="1">{main}</article>', '<article data-label="1">{main}</article>', '<main data-label="1">{main}</main>', '<main data-label="1"><article>{main}</article></main>',
+    '<div class="content" data-label="1">{main}</div>', '<div id="story" data-label="1">{main}</div>', '<div class="post-body" data-label="1">{main}</div>', '<div data-label="1">{main}</div>',
+    '<div class="wrapper"><div class="entry" data-label="1">{main}</div></div>', '<section><article class="post" data-label="1"><div class="text">{main}</div></article></section>',
+)
+_PARTS = (
+    "<p>[2]</p>", "<p>[1]</p>", "<p>[4]</p>", "<p>So it was.</p>", "<h2>What came next</h2><p>[3]</p>", "<ul><li>[1]</li><li>Bread and milk</li></ul>", "{links}", "<p>[2]</p>{links}<p>[1]</p>",
+    "<h3>Sources</h3>{links}", "<p>See also</p>{links}", "<blockquote><p>[1]</p></blockquote>", "<table><tr><td>Flour</td><td>[1]</td></tr></table>", '<p><a href="/s">[1]</a></p>',
+    '<div class="warning"><p>[1]</p></div>', '<div class="text-header"><p>[1]</p></div>', '<div class="article-header"><h2>A part</h2><p>[1]</p></div>', "[2]", "<div>[2]</div>", "<pre>run it\nagain</pre>",
+    '<p class="lead-text">[1]</p>', "<figure><img src='x'><figcaption>The bridge.</figcaption></figure>", "<ol><li><a href='/1'>First part</a> of it</li><li>[1]</li></ol>",
+)
+_INSERTS = (
+    '<div data-label="0" class="ad">[1]</div>', '<aside data-label="0" class="related"><h3>Related</h3>{links}</aside>', '<div data-label="0" class="share">Share this <a href="#">now</a></div>',
+    '<form data-label="0"><p>[1]</p><button>Send</button></form>', '<div data-label="0" class="newsletter-signup"><p>[1]</p></div>', '<nav data-label="0">{links}</nav>', '<div data-label="0" class="promo-box"><p>[2]</p></div>',
+    '<aside data-label="0"><p>[2]</p></aside>', '<footer data-label="0"><p>[1]</p></footer>', "", "", "", "",
+)
+_SIDES = ('<aside><h3>More</h3>{links}<p>[1]</p></aside>', '<div class="sidebar"><h4>Popular</h4>{links}</div>', '<div id="widget-2"><p>[2]</p></div>', '<div class="advert">[2]</div>', "", "")
+_COMMENTS = (
+    '<section class="comments"><h2>Comments</h2><p>[1]</p><div><p>[2]</p></div></section>', '<div id="comments"><ul><li>[1]</li><li>Thanks.</li></ul></div>', '<div class="comment-list"><article><p>[2]</p></article></div>', "", "", "",
+)
+_ENDS = ("<footer>&copy; The Herald. [1]</footer>", '<footer>{links}<p>[2]</p></footer>', '<div class="footer"><a href="/t">Terms</a> [1]</div>', '<div id="footer-links">{links}</div>', "")
+_TITLES = ("<h1>Water in the valley</h1>", "<h1>Ok</h1>", '<h1><a href="/self">A linked title</a></h1>', "<header><h1>The title</h1><p>[1]</p></header>", "")
+
+
+def generated_pages(count: int = 200, seed: int = 7) -> list[str]:
+    """``count`` labelled pages put together from parts by a seeded generator; about one in eight has text outside any element
+    that could be the main one: in the body between other things, or nothing but text."""
+    r = random.Random(seed)
+
+    def filled(page: str) -> str:
+        page = re.sub(r"\{links\}", lambda _: "<ul>" + "".join(f"<li><a href='/{k}'>{r.choice(_PROSE).rsplit(' ', r.randrange(3, 12))[0]}</a></li>" for k in range(r.randrange(2, 7))) + "</ul>", page)
+        return re.sub(r"\[(\d)\]", lambda m: " ".join(r.choice(_PROSE) for _ in range(int(m[1]))), page)
+
+    def part() -> str:
+        return r.choice(_PARTS) + r.choice(_INSERTS)
+
+    out = []
+    for _ in range(count):
+        kind = r.randrange(16)
+        if kind == 0:
+            page = '<html data-label="1">' + r.choice(("[1]", "[3]", "[2]\n\n[2]"))
+        elif kind == 1:
+            page = '<html><body data-label="1">' + r.choice(("", '<nav data-label="0">{links}</nav>', '<div class="ad" data-label="0">[1]</div>')) + "[2]" + "".join(r.choice(_PARTS[:6]) for _ in range(r.randrange(4)))
+            page += r.choice(("", '<footer data-label="0">[1]</footer>')) + "</body></html>"
+        else:
+            main = r.choice(_TITLES) + "".join(part() for _ in range(r.choice((1, 2, 3, 5, 8))))
+            body = r.choice(_TOPS) + r.choice(_NOTICES) + r.choice(_SIDES) * (r.random() < 0.3) + r.choice(_MAINS).replace("{main}", main)
+            page = f"<html><head><title>No</title></head><body>{body}{r.choice(_SIDES)}{r.choice(_COMMENTS)}{r.choice(_ENDS)}</body></html>"
+        out.append(filled(page))
+    return out
