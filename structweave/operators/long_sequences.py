@@ -72,44 +72,54 @@ def multiply(left: Node, right: Node) -> tuple[Node, tuple[np.ndarray, np.ndarra
     return Node(scores, _dense_places(keys, np.isfinite(scores))), trace
 
 
-def _forward(batch: pa.RecordBatch, w, n_tags, k, use_loss):
-    """Forward pass of one segment from every possible tag before it; rows of the lattice are entries."""
-    tb = kernel.token_batch(batch)
-    entries = np.arange(-1, n_tags)
-    many = tb.pick(np.zeros(len(entries), dtype=np.int64))
-    return kernel.forward(many, w, n_tags, k, use_loss, entries)
-
-
-def _leaf(batch: pa.RecordBatch, w, n_tags, k, use_loss) -> Node:
-    lattice = _forward(batch, w, n_tags, k, use_loss)
-    scores = lattice.table.copy()
-    if batch.column("seg")[0].as_py() == 0:
-        scores[1:] = kernel.MISSING
-    else:
-        scores[0] = kernel.MISSING
-    found = np.isfinite(scores)
-    rows, tags, ranks = np.nonzero(found)
-    size = int(lattice.size[0])
-    paths = lattice.paths(rows, tags, ranks).reshape(len(rows), size)[:, ::-1]
-    place = np.zeros(scores.shape, dtype=np.int64)
-    for tag in range(n_tags):
-        here = tags == tag
-        if here.any():
-            _, inverse = np.unique(paths[here], axis=0, return_inverse=True)
-            place[rows[here], tag, ranks[here]] = inverse.ravel()
-    return Node(scores, place)
+#: Bytes of back-pointers that a task holds at a time, when it decodes segments from every tag before them.
+POINTERS = 1 << 26
+
+
+def _places(lattice: kernel.Lattice, found: np.ndarray) -> np.ndarray:
+    """Dense ranks of the paths (segments, entries, tags, K), read backwards, for each segment and last tag."""
+    _, entries, n_tags, k = found.shape
+    segment, entry, tag, rank = np.nonzero(found)
+    row = segment * entries + entry
+    size = lattice.size[row]
+    flat = lattice.paths(row, tag, rank)
+    read = np.full((len(row), 2 + int(size.max(initial=0))), -1)
+    read[:, 0], read[:, 1] = segment, tag
+    owner = np.repeat(np.arange(len(row)), size)
+    ends = np.cumsum(size)
+    read[owner, 1 + ends[owner] - np.arange(len(flat))] = flat
+    ordered, inverse = np.unique(read, axis=0, return_inverse=True)
+    inverse = inverse.ravel()
+    first = np.full((found.shape[0], n_tags), len(ordered))
+    np.minimum.at(first, (ordered[:, 0], ordered[:, 1]), np.arange(len(ordered)))
+    place = np.zeros(found.shape, dtype=np.int64)
+    place[segment, entry, tag, rank] = inverse - first[segment, tag]
+    return place
 
 
 def _leaves(table: SequenceTable, w, k, use_loss) -> DataFrame:
+    """Nodes of all segments: one pass of the kernel decodes many segments from every tag before them."""
     keys, n_tags = table.keys, table.n_tags
+    at_once = max(1, POINTERS // (table.size * (n_tags + 1) * n_tags * k * 16))
+
+    def nodes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tb = kernel.token_batch(batch)
+        n, entries = batch.num_rows, np.arange(-1, n_tags)
+        many = tb.pick(np.repeat(np.arange(n), len(entries)))
+        lattice = kernel.forward(many, w, n_tags, k, use_loss, np.tile(entries, n))
+        scores = lattice.table.reshape(n, len(entries), n_tags, k).copy()
+        start = np.asarray(batch.column("seg")) == 0
+        scores[start, 1:] = kernel.MISSING
+        scores[~start, 0] = kernel.MISSING
+        place = _places(lattice, np.isfinite(scores))
+        offsets = pa.array(np.arange(n + 1) * scores[0].size, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (scores, place)]
+        return _record(batch, keys, None, idx=batch.column("seg"), scores=lists[0], place=lists[1])
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                node = _leaf(row, w, n_tags, k, use_loss)
-                flat = pa.array([node.scores.ravel()]), pa.array([node.place.ravel()])
-                yield _record(row, keys, None, idx=row.column("seg"), scores=flat[0], place=flat[1])
+            for a in range(0, batch.num_rows, at_once):
+                yield nodes(batch.slice(a, at_once))
 
     return table.long.mapInArrow(run, f"{table.key_fields()}, {NODE}")
 
@@ -204,17 +214,15 @@ def decode_long(table: SequenceTable, w: np.ndarray, k: int, use_loss: bool) ->
         requests = _descend(requests, nodes, table, k)
     asked = null_safe_join(table.long, requests.withColumnRenamed("idx", "seg"), [*keys, "seg"])
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                lattice = _forward(row, w, n_tags, k, use_loss)
-                entry, last_tag, nth = (np.array([row.column(c)[0].as_py()]) for c in ("entry", "exit", "nth"))
-                path = lattice.paths(entry + 1, last_tag, nth)
-                columns = {c: row.column(c) for c in ("rank", "score", "entry")}
-                yield _record(row, (*keys, "seg"), None, **columns, path=_ragged(path, np.array([len(path)])))
-
-    return asked.mapInArrow(run, f"{table.key_fields()}, seg bigint, {PIECE}")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tb = kernel.token_batch(batch)
+        entry, last_tag, nth = (np.asarray(batch.column(c), dtype=np.int64) for c in ("entry", "exit", "nth"))
+        lattice = kernel.forward(tb, w, n_tags, k, use_loss, entry)
+        path = lattice.paths(np.arange(batch.num_rows), last_tag, nth)
+        columns = {c: batch.column(c) for c in ("rank", "score", "entry")}
+        return _record(batch, (*keys, "seg"), None, **columns, path=_ragged(path, tb.size))
+
+    return map_arrow(asked, f"{table.key_fields()}, seg bigint, {PIECE}", run, "words")
 
 
 def _gold_scores(table: SequenceTable, w: np.ndarray) -> DataFrame:

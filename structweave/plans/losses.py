@@ -93,14 +93,15 @@ class LogisticKernel(Kernel):
         loss = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))) - y * z
         return loss, loss
 
-    def _residual(self, examples, w):
+    def _residual(self, examples, w, mu):
+        """What each row's features are weighted by in its gradient; all that another loss of a linear score changes."""
         return binary.stable_sigmoid(examples[0] @ w) - examples[1]
 
     def gradient_sum(self, examples, w, mu):
-        return self._residual(examples, w) @ examples[0]
+        return self._residual(examples, w, mu) @ examples[0]
 
     def support(self, examples, w, mu):
-        residual = self._residual(examples, w)
+        residual = self._residual(examples, w, mu)
         return lambda i: residual[i] * examples[0][i]
 
 

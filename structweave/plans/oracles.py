@@ -56,6 +56,8 @@ select pos, word, 'P' as pos_tag, 'C' as chunk_tag, case when ends_with(word, '.
 from placed group by pos, word""",
     "sentence_count": _ctes(LINES, MARKED)
     + "select count(*) as n_sentences from sentences where not closed",
+    "sentence_lengths": _ctes(LINES, MARKED)
+    + "select len(ws) as n_tokens, count(*) as n_sentences from sentences where len(ws) > 0 group by 1",
     "word_count": _ctes(LINES, TOKENS) + "select word, count(*) as n from tokens group by word",
     "vocabulary": _ctes(LINES, TOKENS, VOCAB)
     + """select word, id, n, false as reserved from vocab
@@ -424,6 +426,7 @@ class _Steps:
     def __init__(self, buckets: int):
         self.parts = [SMALL, f"ex as materialized (select *, ({_mix('id', 0)}) % {buckets} as bucket from small)"]
         self.fresh = 0
+        self.residual = "(1e0 / (1e0 + exp(-({z}))) - y)"  # what a row's features are weighted by in the gradient
 
     def vector(self, columns: str, source: str) -> str:
         self.fresh += 1
@@ -433,7 +436,7 @@ class _Steps:
 
     def gradient(self, w: str, bucket: int | None, squared: bool = False) -> str:
         z = " + ".join(f"x{j} * {w}.v{j}" for j in range(4))
-        residual = f"({z} - y)" if squared else f"(1e0 / (1e0 + exp(-({z}))) - y)"
+        residual = f"({z} - y)" if squared else self.residual.format(z=z)
         chosen = "" if bucket is None else f" where bucket = {bucket}"
         return self.vector(", ".join(f"avg({residual} * x{j}) as v{j}" for j in range(4)), f"from ex, {w}{chosen}")
 
@@ -546,6 +549,23 @@ def _own_loss() -> str:
     return s.finish(w)
 
 
+def _own_smoothed() -> str:
+    """Three outer steps of a smoothed absolute error, whose coefficient falls from step to step; one inner step each."""
+    s = _Steps(1)
+    lam, kappa, r = "0.02e0", "0.05e0", "0.07e0"
+    mean = before = centre = s.zero()
+    alpha = f"sqrt({lam} / {r})"
+    for epoch in range(3):
+        s.residual = f"greatest(-1e0, least(1e0, ({{z}} - y) / (2e0 / {epoch + 1}e0)))"
+        mean = _reduced_epoch(s, centre, [None], f"(1e0 / (1e0 + {r}))", kappa, centre, lam)
+        a = f"(select a from {s.vector(f'{alpha} as a', '')})"
+        later = s.vector(f"({lam} - {a} * {a} * {r} + sqrt(power({a} * {a} * {r} - {lam}, 2) + 4e0 * {r} * {r} * {a} * {a})) / (2e0 * {r}) as a", "")
+        alpha = f"(select a from {later})"
+        beta = f"(select b from {s.vector(f'({a} * (1e0 - {a}) * {r} / ({a} * {a} * {r} + {alpha} * {r})) as b', '')})"
+        centre, before = s.combine([(f"1e0 + {beta}", mean), (f"-{beta}", before)]), mean
+    return f"select *, true as refused from ({s.finish(mean)})"
+
+
 def _sweep() -> str:
     """Two passes of four minibatches of each run; the objective of its last model."""
     s = _Steps(4)
@@ -639,6 +659,7 @@ TRAINING = {
     "bcfw_steps": _bcfw(),
     "model_sink": f"select *, 3 as n_logged from ({_svrg()})",
     "own_loss_steps": _own_loss(),
+    "own_smoothed_steps": _own_smoothed(),
     "train_log": _train_log(),
     "sweep": _sweep(),
 }

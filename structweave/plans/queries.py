@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,13 @@ def sentence_count(spark, sf_dir):
     return corpus.sentence_count(_round_trip(spark, sf_dir))
 
 
+def sentence_lengths(spark, sf_dir):
+    """The sentences themselves, as how many there are of each number of tokens."""
+    tokens = corpus.sentence_tokens(_round_trip(spark, sf_dir))
+    sizes = tokens.groupBy("file", "sent").agg(F.count(F.lit(1)).alias("n_tokens"))
+    return sizes.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_sentences"))
+
+
 def word_count(spark, sf_dir):
     """P1."""
     return dictionaries.word_counts(s.line_tokens(spark, sf_dir))
@@ -599,8 +607,8 @@ class SquaredKernel(LogisticKernel):
         error = examples[0] @ w - examples[1]
         return error**2 / 2, error**2 / 2
 
-    def gradient_sum(self, examples, w, mu):
-        return (examples[0] @ w - examples[1]) @ examples[0]
+    def _residual(self, examples, w, mu):
+        return examples[0] @ w - examples[1]
 
 
 class Shrink(Penalty):
@@ -617,7 +625,7 @@ class Shrink(Penalty):
 
 
 def own_loss_steps(spark, sf_dir):
-    """A loss, a penalty and a stop rule of one's own; gradient steps until the weights sum up to 0.3."""
+    """A loss, a penalty and a stop rule of one's own; gradient steps until the weights sum up to 0.3."""
     loss = TableLoss(s.small_examples(spark, sf_dir), ("id",), SquaredKernel(4))
     run = Run("sgd", [Shrink()], {"initial_learning_rate": 0.1, "averaging": "none"})
     result = fit(loss, run, num_passes=20, mode=BATCH, stop=lambda w, _: w.sum() >= 0.3, logging=False)
@@ -625,6 +633,34 @@ def own_loss_steps(spark, sf_dir):
     return _weights(spark, result)
 
 
+class AbsoluteKernel(LogisticKernel):
+    """A smoothed loss of one's own: the absolute error, rounded off where it is within ``mu``."""
+
+    def values(self, examples, w, mu):
+        error = np.abs(examples[0] @ w - examples[1])
+        if mu is None:
+            return error, error
+        return error, np.where(error <= mu, error**2 / (2 * mu), error - mu / 2)
+
+    def _residual(self, examples, w, mu):
+        error = examples[0] @ w - examples[1]
+        return np.sign(error) if mu is None else np.clip(error / mu, -1, 1)
+
+
+def own_smoothed_steps(spark, sf_dir):
+    """A smoothed loss of one's own, its coefficient falling by the schedule; block steps are refused to it."""
+    loss = TableLoss(s.small_examples(spark, sf_dir), ("id",), AbsoluteKernel(4))
+    options = {"lipschitz": 1.0, "initial_moreau": 0.05, "initial_smoothing": 2.0, "smoothing_rule": "linear"}
+    result = fit(loss, Run("csvrg", [Shrink()], options), num_passes=3, mode=BATCH, logging=False)
+    try:
+        fit_frank_wolfe(loss, Run("bcfw", [Shrink()]), num_passes=1)
+        refused = False
+    except TypeError:
+        refused = True
+    loss.release()
+    return _weights(spark, result).withColumn("refused", F.lit(refused))
+
+
 def train_log(spark, sf_dir):
     """Objective per epoch with a stop rule on the gradient norm."""
     loss = LogisticLoss(s.small_examples(spark, sf_dir), 4)
@@ -686,7 +722,7 @@ def sweep(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        corpus_scan, sentence_count, word_count, vocabulary, tag_dictionary, encode_words, inverse_words, unknown_tags,
+        corpus_scan, sentence_count, sentence_lengths, word_count, vocabulary, tag_dictionary, encode_words, inverse_words, unknown_tags,
         encoded_sequences, shared_dictionary_load, split_train_val, shuffled_rank,
         candidate_scores, candidate_truncate, candidate_gold, candidate_relevance, candidate_argmax,
         candidate_topk, simplex_weights, candidate_hinge, candidate_smoothed_hinge, candidate_batch_loss,
@@ -698,6 +734,6 @@ QUERIES: dict[str, Query] = {
         viterbi_path, viterbi_topk, predict_tags, hamming, weighted_f1,
         sequence_hinge, sequence_smoothed_hinge, sequence_subgradient, sequence_smoothed_gradient, sequence_lmo,
         sample_draws, sgd_steps, svrg_steps, accelerated_svrg_steps, bcfw_steps,
-        fit_logistic, fit_candidates, fit_sequences, fit_sequence_blocks, train_log, model_sink, own_loss_steps, run_grid, run_key, sweep,
+        fit_logistic, fit_candidates, fit_sequences, fit_sequence_blocks, train_log, model_sink, own_loss_steps, own_smoothed_steps, run_grid, run_key, sweep,
     )
 }

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..operators.ranking import stretches
 
 # Fixed value: the line prefix that opens a document.
 DOCUMENT_MARKER = "-DOCSTART-"
@@ -16,7 +20,7 @@ _SPACE = r"[\s\x1c-\x1f]"
 def scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of splittable text files with a total order: (file, block, line_no).
 
-    A block is one file split, so no task ever holds a whole file.
+    A block is one file split (a whole file where it cannot be split); its lines come in order from one task.
     """
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -30,47 +34,94 @@ def _blank(line: Column) -> Column:
     return line.rlike(f"(?U)^{_SPACE}*$")
 
 
+class _Block:
+    """What a file split says of its lines, read in order: flags, and counts of breaks and tokens so far."""
+
+    def __init__(self, carry: bool = False):
+        self.after, self.breaks, self.tokens, self.last = carry, 0, 0, -1
+
+    def take(self, marker: np.ndarray, blank: np.ndarray):
+        """(break, token, breaks so far, tokens so far, tokens at the last break or -1) for the next lines."""
+        after = np.concatenate([[self.after], marker[:-1]])
+        is_break, is_token = ~marker & ~after & blank, ~marker & ~after & ~blank
+        breaks, tokens = self.breaks + np.cumsum(is_break), self.tokens + np.cumsum(is_token)
+        last = np.maximum.accumulate(np.concatenate([[self.last], np.where(is_break, tokens, -1)]))[1:]
+        self.after, self.breaks, self.tokens, self.last = bool(marker[-1]), int(breaks[-1]), int(tokens[-1]), int(last[-1])
+        return is_break, is_token, breaks, tokens, last
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """(opens a block, lines of one block), in order."""
+    at = None
+    for batch in batches:
+        for a, b in stretches(batch.column("file"), batch.column("block")):
+            part = batch.slice(a, b - a)
+            now = part.column("file")[0].as_py(), part.column("block")[0].as_py()
+            yield now != at, part
+            at = now
+
+
+def _flags(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(part.column("_marker")), np.asarray(part.column("_blank"))
+
+
 def number_sentences(lines: DataFrame, marker: str = DOCUMENT_MARKER) -> DataFrame:
-    """Mark every line of (file, block, line_no, line) as token or break and number the sentences.
+    """Mark every line of ``scan_lines`` as token or break and number the sentences.
 
-    A line that starts with ``marker`` and the single line after it are skipped. Any other
-    whitespace line closes a sentence. Lines are counted inside their block, as if no marker ended the
-    block before; that result is written once. One summary row per block then carries counts forward, and
-    a block whose predecessor did end on a marker takes its first line back.
+    A line that starts with ``marker`` and the single line after it are skipped. Any other whitespace line closes a
+    sentence. A scan task holds a file split whole and in order, so lines are numbered where they are read and never move:
+    a first pass over their flags alone gives one summary row per split, these carry counts from split to split, and a
+    second pass numbers the lines. A split whose predecessor ended on a marker gives up its first line.
     """
-    by_line = Window.partitionBy("file", "block").orderBy("line_no")
-    upto = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_marker = F.col("line").startswith(marker)
-    after = F.lag(is_marker).over(by_line)
-    flagged = lines.select(
-        "*", is_marker.alias("_marker"), F.coalesce(after, F.lit(False)).alias("_after"), after.isNull().alias("_first")
-    ).select(
-        "*",
-        (~F.col("_marker") & ~F.col("_after") & _blank(F.col("line"))).alias("_break"),
-        (~F.col("_marker") & ~F.col("_after") & ~_blank(F.col("line"))).alias("_token"),
-    )
-    counted = flagged.select(
-        "*",
-        F.sum(F.col("_break").cast("bigint")).over(upto).alias("_breaks"),
-        F.sum(F.col("_token").cast("bigint")).over(upto).alias("_tokens"),
-    )
-    local = counted.withColumn("_at", F.max(F.when(F.col("_break"), F.col("_tokens"))).over(upto)).drop("_after")
-    local = materialize(local)
-    return _place(local, _block_offsets(local))
+    flagged = lines.withColumn("_marker", F.col("line").startswith(marker)).withColumn("_blank", _blank(F.col("line")))
+    schema = "file string, block bigint, _nb bigint, _nt bigint, _last bigint, _ends boolean, _fb boolean, _ft boolean"
+
+    def summaries(batches):
+        block, row = None, None
+        for opens, part in _by_block(batches):
+            if opens:
+                if block is not None:
+                    yield _summary(block, row)
+                block, row = _Block(), None
+            is_break, is_token, *_ = block.take(*_flags(part))
+            row = row or (part.column("file")[0].as_py(), part.column("block")[0].as_py(), bool(is_break[0]), bool(is_token[0]))
+        if block is not None:
+            yield _summary(block, row)
+
+    offsets = _block_offsets(flagged.select("file", "block", "_marker", "_blank").mapInArrow(summaries, schema))
+    kept = ["file", "block", "line_no", "line"]
+    out = [*kept, "is_break", "is_token", "sent", "pos", "n_breaks"]
+
+    def number(batches):
+        block = None
+        for opens, part in _by_block(batches):
+            carry, b0, t0, s0 = (part.column(c)[0].as_py() for c in ("_carry", "_b0", "_t0", "_s0"))
+            if opens:
+                block = _Block(carry)
+            is_break, is_token, breaks, tokens, last = block.take(*_flags(part))
+            pos = t0 + tokens - np.where(last >= 0, t0 + last, s0) - 1
+            columns = [is_break, is_token, b0 + breaks - is_break, pos]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *map(pa.array, columns), part.column("n_breaks")], out)
+
+    # One row per file split.
+    placed = flagged.join(F.broadcast(offsets), ["file", "block"])
+    fields = "file string, block bigint, line_no bigint, line string, is_break boolean, is_token boolean, sent bigint, pos bigint, n_breaks bigint"
+    return placed.mapInArrow(number, fields)
 
 
-def _block_offsets(local: DataFrame) -> DataFrame:
+def _summary(block: _Block, row: tuple) -> pa.RecordBatch:
+    file, at, first_break, first_token = row
+    names = ["file", "block", "_nb", "_nt", "_last", "_ends", "_fb", "_ft"]
+    last = None if block.last < 0 else block.last
+    values = [file, at, block.breaks, block.tokens, last, block.after, first_break, first_token]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names)
+
+
+def _block_offsets(summary: DataFrame) -> DataFrame:
     """One row per block: whether its first line falls to a marker before it, and what precedes it."""
     blocks = Window.partitionBy("file").orderBy("block")
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    summary = local.groupBy("file", "block").agg(
-        F.max("_breaks").alias("_nb"),
-        F.max("_tokens").alias("_nt"),
-        F.max("_at").alias("_last"),
-        F.max_by("_marker", "line_no").alias("_ends"),
-        F.bool_or(F.col("_first") & F.col("_break")).alias("_fb"),
-        F.bool_or(F.col("_first") & F.col("_token")).alias("_ft"),
-    )
     # Whether a line is a marker does not depend on what comes before it, so the carry never chains.
     carried = summary.withColumn("_carry", F.lag("_ends", 1, False).over(blocks)).select(
         "file",
@@ -95,26 +146,7 @@ def _block_offsets(local: DataFrame) -> DataFrame:
         F.sum("_net_b").over(Window.partitionBy("file")).alias("n_breaks"),
     )
     start = F.coalesce(F.max(F.col("_t0") + F.col("_net_at")).over(earlier), F.lit(0))
-    return before.select("file", "block", "_carry", "_lost_b", "_lost_t", "_b0", "_t0", "n_breaks", start.alias("_s0"))
-
-
-def _place(local: DataFrame, offsets: DataFrame) -> DataFrame:
-    taken = F.col("_carry") & F.col("_first")
-    is_break, is_token = F.col("_break") & ~taken, F.col("_token") & ~taken
-    breaks, tokens = F.col("_breaks") - F.col("_lost_b"), F.col("_tokens") - F.col("_lost_t")
-    start = F.when(breaks > 0, F.col("_t0") + F.col("_at") - F.col("_lost_t")).otherwise(F.col("_s0"))
-    # One row per file split.
-    return local.join(F.broadcast(offsets), ["file", "block"]).select(
-        "file",
-        "block",
-        "line_no",
-        "line",
-        is_break.alias("is_break"),
-        is_token.alias("is_token"),
-        (F.col("_b0") + breaks - is_break.cast("bigint")).alias("sent"),
-        (F.col("_t0") + tokens - start - 1).alias("pos"),
-        "n_breaks",
-    )
+    return before.select("file", "block", "_carry", "_b0", "_t0", "n_breaks", start.alias("_s0"))
 
 
 def sentence_tokens(numbered: DataFrame, strict_reference: bool = False) -> DataFrame:
