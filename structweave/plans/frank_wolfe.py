@@ -1,25 +1,22 @@
 """Block-coordinate Frank-Wolfe with many blocks per round.
 
-Every example (or segment of one) owns a sparse point and a loss; the model is the sum of the points. A
-round takes one bucket of the table: linear minimisation on its rows, one line search for their joint
-direction, one keyed update. A pass visits every bucket once. With one example per bucket this is the
-sequential algorithm.
+Every example (or segment of one) owns a point and a loss; the model is the sum of the points. A round takes one bucket of
+the table: linear minimisation on its rows, then one line search for their joint direction. All points of a bucket move
+towards their corners by the same step, so their sum moves by that step towards the sum of the corners: the state of a
+bucket is one vector and one loss, and nothing is stored per example. A pass visits every bucket once. With one example per
+bucket this is the sequential algorithm.
 """
 
 from __future__ import annotations
 
 import time
+from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.columns import null_safe_join
-from ..operators.sequences import map_arrow, sum_vectors
-from ..session import discard, saved
+from ..operators.sequences import sum_vectors
 from .losses import TableLoss
 from .schedules import total_strong_convexity
 from .solvers import Run
@@ -43,8 +40,8 @@ def fit_frank_wolfe(
     dim = loss.kernel.dim
     w = np.zeros(dim)
     average = np.zeros(dim)
-    blocks: dict[int, DataFrame] = {}
-    written: dict[int, DataFrame] = {}  # what the blocks of a bucket are computed from
+    # A bucket's blocks take the same steps, so what a round needs of them is their sum: a vector and a loss per bucket.
+    blocks = defaultdict(lambda: np.zeros(dim + 1))
     count = 0.0
     result = Fit(run.run_id, average, "frank_wolfe", loss.partitions)
     if logging:
@@ -55,85 +52,38 @@ def fit_frank_wolfe(
             break
         for b in range(n_buckets):
             bucket = (b + epoch) % n_buckets
-            w = _round(loss, blocks, written, bucket, w, strength)
+            corner = _corner_sums(loss, w, bucket) / loss.n
+            corner[:-1] /= strength
+            gamma = _step(blocks[bucket], corner, w, strength)
+            w = w - gamma * (blocks[bucket] - corner)[:-1]
+            blocks[bucket] = (1 - gamma) * blocks[bucket] + gamma * corner
             average = (count * average + 2 * w) / (count + 2)
             count += 1
         result.w, result.epochs = average, epoch + 1
         if logging:
             _log([result], [run], [0], epoch + 1, loss, dev, test, began)
-    for pair in written.values():
-        discard(pair)
     return result
 
 
-def _round(
-    loss: TableLoss, blocks: dict[int, DataFrame], written: dict[int, DataFrame], bucket: int, w: np.ndarray, strength: float
-) -> np.ndarray:
-    keys, dim = list(loss.keys), loss.kernel.dim
-    scale = 1.0 / (strength * loss.n)
-    corner = loss.linear_minimizers(w, bucket).select(
-        *keys,
-        F.col("idx").alias("_si"),
-        F.transform("val", lambda x: x * F.lit(scale)).alias("_sv"),
-        (F.col("loss") / F.lit(float(loss.n))).alias("_sl"),
-    )
-    if bucket in blocks:
-        pair = null_safe_join(corner, blocks[bucket], keys, "left")
-    else:
-        nothing = F.array().cast("array<bigint>").alias("idx"), F.array().cast("array<double>").alias("val")
-        pair = corner.select("*", *nothing, F.lit(0.0).alias("loss"))
-    # Written once per round: the line search and the updated blocks both read it, and lineage ends here. The
-    # generation before it is read no more.
-    before, pair = written.get(bucket), saved(pair, "blocks")
-    written[bucket] = pair
-    if before is not None:
-        discard(before)
+def _corner_sums(loss: TableLoss, w: np.ndarray, bucket: int) -> np.ndarray:
+    """Sum over a bucket of the corners' vectors, and of their losses, in one narrow pass."""
+    dim = loss.kernel.dim
 
-    def difference(batch: pa.RecordBatch) -> np.ndarray:
-        total = np.zeros(dim + 1)
-        for name, sign in (("idx", 1.0), ("_si", -1.0)):
-            values = np.asarray(batch.column("val" if name == "idx" else "_sv").flatten(), dtype=np.float64)
-            index = np.asarray(batch.column(name).flatten(), dtype=np.int64)
-            total[:dim] += sign * np.bincount(index, weights=values, minlength=dim)
-        losses = np.asarray(batch.column("loss")) - np.asarray(batch.column("_sl"))
-        total[dim] = losses.sum()
-        return total
+    def sums(batch: pa.RecordBatch) -> np.ndarray:
+        values = np.asarray(batch.column("val").flatten(), dtype=np.float64)
+        index = np.asarray(batch.column("idx").flatten(), dtype=np.int64)
+        return np.append(np.bincount(index, weights=values, minlength=dim), np.asarray(batch.column("loss")).sum())
 
-    table = sum_vectors(pair, dim + 1, difference).toArrow()
+    table = sum_vectors(loss.linear_minimizers(w, bucket).select("idx", "val", "loss"), dim + 1, sums).toArrow()
     flat = np.zeros(dim + 1)
     flat[np.asarray(table["idx"])] = np.asarray(table["value"])
-    direction, loss_gap = flat[:dim], flat[dim]
-    length = float(direction @ direction)
-    if length <= TINY:
-        gamma = 0.0
-    else:
-        gamma = min(1.0, max(0.0, (strength * float(w @ direction) - loss_gap) / (strength * length)))
-    blocks[bucket] = _move(pair, keys, gamma, dim)
-    return w - gamma * direction
-
+    return flat
 
-def _move(pair: DataFrame, keys: list[str], gamma: float, dim: int) -> DataFrame:
-    """(1 - γ) block + γ corner for every row, as sparse rows."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pair.select(*keys).schema)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cells, values = [], []
-        for index, value, factor in (("idx", "val", 1 - gamma), ("_si", "_sv", gamma)):
-            size = np.asarray(pc.list_value_length(batch.column(index)), dtype=np.int64)
-            owner = np.repeat(np.arange(batch.num_rows), size)
-            cells.append(owner * dim + np.asarray(batch.column(index).flatten(), dtype=np.int64))
-            values.append(factor * np.asarray(batch.column(value).flatten(), dtype=np.float64))
-        merged, where = np.unique(np.concatenate(cells), return_inverse=True)
-        total = np.bincount(where, weights=np.concatenate(values), minlength=len(merged))
-        merged, total = merged[total != 0], total[total != 0]
-        sizes = np.bincount(merged // dim, minlength=batch.num_rows)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-        old = np.asarray(batch.column("loss"))
-        columns = [batch.column(k) for k in keys] + [
-            pa.ListArray.from_arrays(offsets, pa.array(merged % dim)),
-            pa.ListArray.from_arrays(offsets, pa.array(total)),
-            pa.array((1 - gamma) * old + gamma * np.asarray(batch.column("_sl"))),
-        ]
-        return pa.RecordBatch.from_arrays(columns, [*keys, "idx", "val", "loss"])
-
-    return map_arrow(pair, f"{fields}, idx array<bigint>, val array<double>, loss double", run)
+def _step(block: np.ndarray, corner: np.ndarray, w: np.ndarray, strength: float) -> float:
+    """The best step of a bucket's blocks towards their corners, between 0 and 1."""
+    direction, loss_gap = block[:-1] - corner[:-1], block[-1] - corner[-1]
+    length = float(direction @ direction)
+    if length <= TINY:
+        return 0.0
+    return min(1.0, max(0.0, (strength * float(w @ direction) - loss_gap) / (strength * length)))
