@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,14 @@ def weighted_f1(predicted: DataFrame, outside: int) -> DataFrame:
 
     One aggregate over the tokens leaves at most T² counts; the rest works on those.
     """
-    pairs = predicted.groupBy("tag", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    return f1_of_counts(predicted.groupBy("tag", "predicted").agg(F.count(F.lit(1)).alias("n")), outside)
+
+
+def f1_of_counts(pairs: DataFrame, outside: int, by: Sequence[str] = ()) -> DataFrame:
+    """``weighted_f1`` from counts (by, tag, predicted, n), for each value of ``by``."""
     hit = F.when(F.col("tag") == F.col("predicted"), F.col("n")).otherwise(0)
     sides = pairs.select(
+        *by,
         F.inline(
             F.array(
                 F.struct(F.col("tag").alias("t"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("claimed"), hit.alias("hits")),
@@ -23,10 +30,10 @@ def weighted_f1(predicted: DataFrame, outside: int) -> DataFrame:
     )
     per_tag = (
         sides.where(F.col("t") != outside)
-        .groupBy("t")
+        .groupBy(*by, "t")
         .agg(F.sum("support").alias("support"), F.sum("claimed").alias("claimed"), F.sum("hits").alias("hits"))
     )
     both = F.col("support") + F.col("claimed")
     f1 = F.when(both > 0, F.lit(2.0) * F.col("hits") / both).otherwise(F.lit(0.0))
     weighted = F.sum(f1 * F.col("support")) / F.sum("support")
-    return per_tag.agg(F.when(F.sum("support") > 0, weighted).otherwise(F.lit(0.0)).alias("weighted_f1"))
+    return per_tag.groupBy(*by).agg(F.when(F.sum("support") > 0, weighted).otherwise(F.lit(0.0)).alias("weighted_f1"))

@@ -245,6 +245,27 @@ def _predict_narrow(table: SequenceTable, w: np.ndarray) -> DataFrame:
     return decode_rows(table.df, table.keys, table.key_fields(), table.n_tags, w)
 
 
+def confusion(table: SequenceTable, points: Sequence[np.ndarray]) -> DataFrame:
+    """Tokens per (run, tag, predicted) at several models, decoded without the loss term in one pass: (.., n)."""
+    n_tags = table.n_tags
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tb = kernel.token_batch(batch)
+        rows = np.arange(len(tb.size))
+        counts = []
+        for w in points:
+            lattice = kernel.forward(tb, w, n_tags, 1, False, np.full(len(rows), -1))
+            _, tags, ranks = kernel.best_ends(lattice, 1)
+            cell = tb.tags[tb.own] * n_tags + lattice.paths(rows, tags[:, 0], ranks[:, 0])
+            counts.append(np.bincount(cell, minlength=n_tags**2))
+        found = np.array(counts).reshape(len(points), n_tags, n_tags)
+        at = np.nonzero(found)
+        return pa.RecordBatch.from_arrays([*map(pa.array, at), pa.array(found[at])], ["run", "tag", "predicted", "n"])
+
+    parts = map_arrow(table.df, "run bigint, tag bigint, predicted bigint, n bigint", run, "words")
+    return parts.groupBy("run", "tag", "predicted").agg(F.sum("n").alias("n"))
+
+
 def hamming(predicted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Number of positions where the prediction differs: (keys, distance)."""
     return predicted.groupBy(*keys).agg(F.sum((F.col("tag") != F.col("predicted")).cast("bigint")).alias("distance"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -14,6 +14,9 @@ from .schedules import L2Penalty
 from .solvers import Run
 from .train import LOCAL, MINIBATCH, Fit, fit_many
 
+# Bytes of the models that are trained at once, and the vectors that a run keeps.
+BLOCK_BYTES, VECTORS = 1 << 26, 8
+
 # Defaults of the experiment parameters.
 DEFAULTS = {
     "l2reg": 0.1,
@@ -85,11 +88,11 @@ def run_key(runs: DataFrame, size: str = "", out: str = "run_id") -> DataFrame:
 
 
 def run_of(row: Mapping, n: int) -> Run:
-    """Training run of one parameter row on ``n`` examples; the penalty is l2reg / n."""
+    """Training run of one parameter row on ``n`` examples, or as many as the row's own ``n``; the penalty is l2reg / n."""
     given = DEFAULTS | {k: v for k, v in dict(row).items() if v is not None}
     if given["algorithm"] not in SETUPS:
         raise ValueError(f"unknown algorithm: {given['algorithm']}")
-    setup, strength = SETUPS[given["algorithm"]], given["l2reg"] / n
+    setup, strength = SETUPS[given["algorithm"]], given["l2reg"] / given.get("n", n)
     known = given | {"moreau": strength * given["kappa"], "warm_start_name": WARM_STARTS[given["warm_start"]]}
     options = {**setup.fixed, **{option: known[parameter] for option, parameter in setup.read.items()}}
     return Run(setup.solver, [L2Penalty(strength)], options, seed=given["seed"], run_id=given.get("run_id", given["algorithm"]))
@@ -110,3 +113,20 @@ def sweep(loss: TableLoss, rows: Sequence[Mapping], **options) -> list[Fit]:
         if run.algorithm == "bcfw":
             fits[run.run_id] = fit_frank_wolfe(loss, run, **kept)
     return [fits[run.run_id] for run in runs]
+
+
+def sweep_table(loss: TableLoss, runs: DataFrame, **options) -> Iterator[list[Fit]]:
+    """Train every row of a run table on one persisted table, in blocks whose models fit into BLOCK_BYTES.
+
+    The runs of a block share every pass. What tasks and driver hold is the models of one block, however many runs there are,
+    so take what is wanted of each block (``train_log``, ``Fit.weights``) before the next.
+    """
+    at_once = max(1, BLOCK_BYTES // (VECTORS * 8 * loss.kernel.dim))
+    block: list[dict] = []
+    for row in runs.toLocalIterator():
+        block.append(row.asDict())
+        if len(block) == at_once:
+            yield sweep(loss, block, **options)
+            block = []
+    if block:
+        yield sweep(loss, block, **options)

@@ -371,6 +371,10 @@ class TableLoss:
         """Evaluation metrics; a loss may have none."""
         return {}
 
+    def metrics_many(self, points: Sequence[np.ndarray]) -> list[dict[str, float]]:
+        """Metrics at several models; losses that can, count for all of them in one job."""
+        return [self.metrics(w) for w in points]
+
     def linear_minimizers(self, w: np.ndarray, bucket: int) -> DataFrame:
         """(keys, idx array, val array, loss) of one bucket, for losses that support it."""
         raise TypeError(f"{type(self).__name__} has no linear minimisation")
@@ -383,7 +387,17 @@ class LogisticLoss(TableLoss):
         super().__init__(df.select("id", "feats", "y"), ("id",), LogisticKernel(dim), mix_hash(F.col("id")))
 
     def metrics(self, w):
-        return binary.error(self.rows(), w).first().asDict()
+        return self.metrics_many([w])[0]
+
+    def metrics_many(self, points):
+        kernel, m = self.kernel, len(points)
+
+        def misses(batch: pa.RecordBatch) -> np.ndarray:
+            x, y = kernel.load(batch)
+            return np.array([*(np.abs((1 + np.sign(x @ w)) / 2 - y).sum() for w in points), len(y)])
+
+        sums = sequences.sum_vectors(self.rows(), m + 1, misses, kernel.weigh)
+        return [{"error": float(e)} for e in self._means(sums, m, 1)[:, 0]]
 
 
 class CandidateLoss(TableLoss):
@@ -561,6 +575,13 @@ class SequenceLoss(TableLoss):
         predicted = sequences.predict_tags(self._part(None), w)
         return metrics.weighted_f1(predicted, self.outside).first().asDict()
 
+    def metrics_many(self, points):
+        if self.has_long:
+            return super().metrics_many(points)
+        counted = metrics.f1_of_counts(sequences.confusion(self._part(None), points), self.outside, ("run",)).collect()
+        found = {r["run"]: r["weighted_f1"] for r in counted}
+        return [{"weighted_f1": found.get(k, 0.0)} for k in range(len(points))]
+
     def linear_minimizers(self, w, bucket):
         return sequences.linear_minimizers(self._part(bucket), w)
 

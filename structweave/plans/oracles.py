@@ -566,39 +566,76 @@ def _own_smoothed() -> str:
     return f"select *, true as refused from ({s.finish(mean)})"
 
 
+RUNS = """classes as (select source, count(*) as n from documents group by source),
+runs as (
+  select source, n, algorithm, l2reg, seed
+  from classes, (select unnest(['sgd', 'sgd_const', 'csvrg', 'csvrg_lr', 'svrg', 'pegasos', 'bcfw']) as algorithm) a,
+    (select unnest([1e0, 1e-1, 1e-2]) as l2reg) b, (select unnest([0, 1, 2]) as seed) c)"""
+
+
+class _RunSteps(_Steps):
+    """The same for many runs at once: a vector has a row per ``run`` and ``p`` has the parameters of its run."""
+
+    def __init__(self, buckets: int, group: str):
+        super().__init__(buckets)
+        self.group = group
+        positive = "1e0 / (1e0 + exp(-abs({z})))"
+        self.residual = f"(case when ({{z}}) >= 0e0 then {positive} else 1e0 - {positive} end - y)"
+
+    def gradient(self, w: str, bucket: int | None, squared: bool = False) -> str:
+        residual = self.residual.format(z="(" + " + ".join(f"x{j} * w.v{j}" for j in range(4)) + ")")
+        chosen = "" if bucket is None else f" where bucket = {bucket}"
+        return self.vector("w.run, " + ", ".join(f"avg({residual} * x{j}) as v{j}" for j in range(4)), f"from ex, {w} w{chosen} group by w.run")
+
+    def combine(self, terms: list[tuple[str, str]]) -> str:
+        columns = ", ".join(" + ".join(f"({c}) * {v}.v{j}" for c, v in terms) + f" as v{j}" for j in range(4))
+        joined = " ".join(f"join {v} using (run)" for v in dict.fromkeys(v for _, v in terms))
+        return self.vector(f"run, {columns}", f"from {self.group} p {joined}")
+
+    def zero(self) -> str:
+        return self.vector("run, 0e0 as v0, 0e0 as v1, 0e0 as v2, 0e0 as v3", f"from {self.group}")
+
+    def objectives(self, w: str) -> str:
+        z = "(" + " + ".join(f"x{j} * w.v{j}" for j in range(4)) + ")"
+        square = " + ".join(f"any_value(w.v{j}) * any_value(w.v{j})" for j in range(4))
+        loss = f"avg(greatest({z}, 0e0) + ln(1e0 + exp(-abs({z}))) - y * {z})"
+        return f"select run, {loss} + any_value(p.lam) / 2e0 * ({square}) as v from ex, {w} w join {self.group} p using (run) group by run"
+
+
 def _sweep() -> str:
-    """Two passes of four minibatches of each run; the objective of its last model."""
-    s = _Steps(4)
-    n = "(select count(*) * 1e0 from small)"
+    """Two passes of four minibatches of every run of the run table; the objective of its last model."""
+    s = _RunSteps(4, "")
+    s.parts[0:0] = [RUNS, """params as materialized (select *, l2reg / n as lam, row_number() over (order by source, algorithm, l2reg, seed) as run,
+  32e0 / ((select count(*) from documents d join labels l on d.doc_id = l.doc_id) + 1e0) as wanted from runs)"""]
     rows = []
-    for l2reg in ("1.0", "0.1"):
-        lam = f"({l2reg}e0 / {n})"
-        w = mean = s.zero()
+
+    def start(name: str) -> str:
+        s.group = f"p_{name}"
+        s.parts.append(f"p_{name} as materialized (select *, case when wanted > lam then wanted - lam else wanted end as kappa from params where algorithm = '{name}')")
+        return s.zero()
+
+    for name, rate in (("sgd", "(0.02e0 / (1e0 + {t} / 150000e0))"), ("sgd_const", "0.02e0"), ("pegasos", "(1e0 / (p.lam * ({t} + 1e0)))")):
+        w = mean = start(name)
         for t, bucket in enumerate([*FOUR[0], *FOUR[1]]):
-            g, rate = s.gradient(w, bucket), f"(0.5e0 / (1e0 + {t} / 100e0))"
-            w = s.combine([(f"1e0 - {rate} * {lam}", w), (f"-{rate}", g)])
+            step = rate.format(t=t)
+            w = s.combine([(f"1e0 - {step} * p.lam", w), (f"-{step}", s.gradient(w, bucket))])
             mean = s.combine([(f"{t}e0 / {t + 2}e0", mean), (f"2e0 / {t + 2}e0", w)])
-        models = {"sgd": mean}
-        w = s.zero()
-        for order in FOUR[:2]:
-            w = _reduced_epoch(s, w, order, "0.5e0", "0e0", w, lam)
-        models["svrg"] = w
-        wanted = f"(1e0 / ({n} + 1e0))"
-        kappa = s.vector(f"case when {wanted} > {lam} then {wanted} - {lam} else {wanted} end as k", "")
-        k = f"(select k from {kappa})"
-        mean = before = centre = s.zero()
-        alpha = f"sqrt({lam} / ({lam} + {k}))"
-        for order in FOUR[:2]:
-            r = f"({k} + {lam})"
-            mean = _reduced_epoch(s, mean, order, f"(1e0 / (1e0 + {r}))", k, centre, lam)
-            a = f"(select a from {s.vector(f'{alpha} as a', '')})"
-            later = s.vector(f"({lam} - {a} * {a} * {r} + sqrt(power({a} * {a} * {r} - {lam}, 2) + 4e0 * {r} * {r} * {a} * {a})) / (2e0 * {r}) as a", "")
-            alpha = f"(select a from {later})"
-            beta = f"(select b from {s.vector(f'({a} * (1e0 - {a}) * {r} / ({a} * {a} * {r} + {alpha} * {r})) as b', '')})"
-            centre, before = s.combine([(f"1e0 + {beta}", mean), (f"-{beta}", before)]), mean
-        models["csvrg"] = mean
-        rows += [f"select '{name}_{l2reg}' as run_id, round(v, 9) + 0e0 as objective from {s.objective(m, lam)}" for name, m in models.items()]
-    return _ctes(*s.parts) + " union all ".join(rows)
+        rows.append(s.objectives(mean))
+    w = start("svrg")
+    for order in FOUR[:2]:
+        w = _reduced_epoch(s, w, order, "0.02e0", "0e0", w, "p.lam")
+    rows.append(s.objectives(w))
+    for name, rate, kappa in (("csvrg", "(1e0 / (32e0 + p.lam + p.kappa))", "p.kappa"), ("csvrg_lr", "0.02e0", "p.lam")):
+        zero = start(name)
+        mean = _reduced_epoch(s, zero, FOUR[0], rate, kappa, zero, "p.lam")
+        r, a = f"(p.lam + {kappa})", f"sqrt(p.lam / (p.lam + {kappa}))"
+        later = f"((p.lam - {a} * {a} * {r} + sqrt(power({a} * {a} * {r} - p.lam, 2) + 4e0 * {r} * {r} * {a} * {a})) / (2e0 * {r}))"
+        centre = s.combine([(f"1e0 + {a} * (1e0 - {a}) * {r} / ({a} * {a} * {r} + {later} * {r})", mean)])
+        again = mean if name == "csvrg" else s.combine([("1e0", mean), (f"{kappa} / {r}", centre)])
+        mean = _reduced_epoch(s, again, FOUR[1], rate, kappa, centre, "p.lam")
+        rows.append(s.objectives(mean))
+    found = " union all ".join(rows)
+    return _ctes(*s.parts) + f"select source, algorithm, l2reg, seed, round(v, 9) + 0e0 as objective from ({found}) join params using (run)"
 
 
 def _bcfw() -> str:
@@ -666,12 +703,6 @@ TRAINING = {
 
 # Runs -----------------------------------------------------------------------------------------------
 
-RUNS = """classes as (select source, count(*) as n from documents group by source),
-runs as (
-  select source, n, algorithm, l2reg, seed
-  from classes, (select unnest(['sgd', 'sgd_const', 'csvrg', 'csvrg_lr', 'svrg', 'pegasos', 'bcfw']) as algorithm) a,
-    (select unnest([1e0, 1e-1, 1e-2]) as l2reg) b, (select unnest([0, 1, 2]) as seed) c)"""
-
 RUN_TABLES = {
     "run_grid": _ctes(RUNS)
     + "select source, algorithm, l2reg, seed, n, round(l2reg / n, 12) as penalty from runs",

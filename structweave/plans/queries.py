@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -706,17 +707,14 @@ def run_key(spark, sf_dir):
 
 
 def sweep(spark, sf_dir):
-    """Six runs share every pass over one persisted table; last objective per run."""
+    """Every run of the run table that needs no blocks, over one persisted table; last objective per run."""
+    key = ("source", "algorithm", "l2reg", "seed")
+    runs = _runs(spark, sf_dir).where(F.col("algorithm") != "bcfw").withColumn("run_id", F.concat_ws("/", *[F.col(c).cast("string") for c in key]))
     loss = LogisticLoss(s.small_examples(spark, sf_dir), 4)
-    rows = [
-        {"algorithm": a, "l2reg": reg, "lr": 0.5, "lr_t": 100.0, "run_id": f"{a}_{reg}"}
-        for a in ("sgd", "svrg", "csvrg")
-        for reg in (1.0, 0.1)
-    ]
-    fits = experiments.sweep(loss, rows, num_passes=2, mode=MINIBATCH, n_buckets=4)
+    logs = [log_table(spark, fits) for fits in experiments.sweep_table(loss, runs, num_passes=2, mode=MINIBATCH, n_buckets=4)]
     loss.release()
-    log = log_table(spark, fits)
-    return log.groupBy("run_id").agg(round9(F.max_by("value", "epoch")).alias("objective"))
+    last = reduce(DataFrame.unionAll, logs).groupBy("run_id").agg(round9(F.max_by("value", "epoch")).alias("objective"))
+    return runs.join(last, "run_id").select("source", "algorithm", "l2reg", F.col("seed").cast("bigint").alias("seed"), "objective")
 
 
 QUERIES: dict[str, Query] = {

@@ -237,10 +237,10 @@ def _log(fits, runs, active, epoch, loss, dev, test, began):
         if part is None:
             continue
         values = part.value_means(points)
-        for r, w, value, penalty in zip(active, points, values, penalties):
+        told = [{}] * len(points) if split == "train" else part.metrics_many(points)
+        for r, value, penalty, found in zip(active, values, penalties, told):
             rows.append((r, split, "objective", float(value + penalty)))
-            if split != "train":
-                rows.extend((r, split, name, float(x)) for name, x in part.metrics(w).items())
+            rows.extend((r, split, name, float(x)) for name, x in found.items())
     seconds = time.time() - began
     for r, split, metric, value in rows:
         fits[r].log.append((runs[r].run_id, epoch, split, metric, value, seconds))

@@ -265,3 +265,32 @@ def test_experiment_rows_become_runs():
     assert experiments.run_of({"algorithm": "sgd_const"}, 1).options["learning_rate_scheme"] == "const"
     with pytest.raises(ValueError):
         experiments.run_of({"algorithm": "adam"}, 1)
+
+
+def test_metrics_of_many_models_in_one_job(spark, loss, data):
+    from structweave.operators.sequences import SequenceTable
+    from structweave.plans.losses import SequenceLoss
+
+    x, y = data
+    points = [np.zeros(DIM), np.ones(DIM), -np.ones(DIM)]
+    found = loss.metrics_many(points)
+    assert [m["error"] for m in found] == pytest.approx([np.mean(np.abs((1 + np.sign(x @ w)) / 2 - y)) for w in points])
+    rng = np.random.default_rng(1)
+    rows = [(k, p, n, *map(int, rng.integers(3, size=4))) for k, n in enumerate(rng.integers(1, 9, 40).tolist()) for p in range(n)]
+    tokens = spark.createDataFrame(rows, "k int, pos bigint, len bigint, word bigint, pos_tag bigint, chunk bigint, tag bigint")
+    tagged = SequenceLoss(SequenceTable.from_tokens(tokens, ["k"], 3), 50)
+    points = [rng.normal(size=50) for _ in range(3)]
+    assert [m["weighted_f1"] for m in tagged.metrics_many(points)] == pytest.approx([tagged.metrics(w)["weighted_f1"] for w in points])
+    tagged.release()
+
+
+def test_sweep_in_blocks(spark, loss, monkeypatch):
+    """A run table trained in blocks of two gives the models of one block."""
+    runs = spark.createDataFrame([(a, r, 0.2, f"{a}{r}") for a in ("sgd", "svrg", "pegasos") for r in (1.0, 2.0)][:5], "algorithm string, l2reg double, lr double, run_id string")
+    options = {"num_passes": 1, "mode": "minibatch", "n_buckets": 2, "logging": False}
+    whole = [f for block in experiments.sweep_table(loss, runs, **options) for f in block]
+    monkeypatch.setattr(experiments, "BLOCK_BYTES", 2 * experiments.VECTORS * 8 * DIM)
+    blocks = list(experiments.sweep_table(loss, runs, **options))
+    assert [len(b) for b in blocks] == [2, 2, 1]
+    for a, b in zip(whole, [f for block in blocks for f in block]):
+        assert a.run_id == b.run_id and (a.w == b.w).all()
