@@ -71,3 +71,20 @@ def test_several_files_are_numbered_apart(spark, tmp_path):
     tokens = corpus.file_numbers(corpus.read_corpus(spark, str(tmp_path)))
     rows = {(r.file_no, r.sent, r.pos): r.word for r in tokens.collect()}
     assert len(rows) == 6 and {k[0] for k in rows} == {0, 1}
+
+
+def test_compressed_files_and_plan(spark, tmp_path):
+    """A file that cannot be split is one block; lines are numbered without being shuffled or sorted."""
+    import gzip
+
+    text = "".join(FILES.values()) * 20
+    with gzip.open(tmp_path / "x.txt.gz", "wt") as out:
+        out.write(text)
+    numbered = corpus.number_sentences(corpus.scan_lines(spark, str(tmp_path)))
+    words, closed = reference(text)
+    found = {}
+    for t in sorted(corpus.sentence_tokens(numbered).collect(), key=lambda t: (t.sent, t.pos)):
+        found.setdefault(t.sent, []).append(t.word)
+    assert list(found.values()) == words and corpus.sentence_count(numbered).first()[0] == closed
+    plan = corpus.sentence_tokens(numbered)._jdf.queryExecution().executedPlan().toString()
+    assert not any("line#" in line and "Exchange" in line for line in plan.splitlines())
