@@ -223,12 +223,12 @@ def prefix_entries(texts: DataFrame, words: int, similarity: float, common: np.n
     return texts.select("_key", "_text").mapInArrow(run, "h bigint, _key bigint, size int, pos int")
 
 
-#: 64-bit words of a bitmap.
-BITMAP = 16
+#: 64-bit words of a bitmap, and of the folded one that is looked at first.
+BITMAP, FOLDED = 64, 16
 
 
 def bitmaps(docs: DataFrame, words: int) -> DataFrame:
-    """(_key, bits): per text, for each of 1,024 cells, whether an odd number of its distinct shingles falls there.
+    """(_key, bits): per text, for each of 4,096 cells, whether an odd number of its distinct shingles falls there.
 
     A shingle that only one of two texts has changes one cell, so their sets differ in at least as many shingles as their
     bitmaps in cells: what the bitmaps rule out is ruled out.
@@ -239,7 +239,7 @@ def bitmaps(docs: DataFrame, words: int) -> DataFrame:
         def rows():
             for batch in batches:
                 for k, t in zip(batch.column("_key").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                    cell = (distinct_shingles(t, words) >> np.uint64(54)).astype(np.int64)
+                    cell = (distinct_shingles(t, words) >> np.uint64(52)).astype(np.int64)
                     yield k, np.packbits(np.bincount(cell, minlength=64 * BITMAP) & 1).tobytes()
 
         yield from batched(rows(), schema, lambda r: 8 * BITMAP + 64)
@@ -253,13 +253,15 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
     def pairs(h, p, q, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, size, pos, g, mine = (np.concatenate([np.asarray(r.column(c)) for r in rows]) for c in ("_key", "size", "pos", "g", "mine"))
         bits = np.frombuffer(b"".join(x for r in rows for x in r.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP)
+        coarse = np.bitwise_xor.reduce(bits.reshape(len(bits), -1, FOLDED), axis=1)  # cells joined: a bound as well
         left, right = (np.flatnonzero(mine == x) for x in (p, q))
         for i in left:
             j = right if p != q else right[right > i]
             both = (size[i] + size[j]) * (similarity / (1 + similarity))
             j = j[(g[i] != g[j]) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= both - 1e-6)]
-            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-            j = j[apart <= (size[i] + size[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6]
+            for cells in (coarse, bits):
+                apart = np.bitwise_count(cells[i] ^ cells[j]).sum(axis=1, dtype=np.int64)
+                j = j[apart <= (size[i] + size[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6]
             if len(j):
                 ends = np.stack([np.full(len(j), key[i]), key[j]])
                 yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=0)), pa.array(ends.max(axis=0))], ["a", "b"])
