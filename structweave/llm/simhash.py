@@ -128,7 +128,45 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return group(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-# --- Near-duplicate texts: all pairs by prefixes of their shingle sets, then the sets themselves
+# --- Near-duplicate texts: fingerprints first, then all pairs by prefixes of shingle sets; the sets themselves decide
+
+
+def word_key(text: str | None) -> int:
+    """A hash of the lower-cased words; equal for texts that differ in case or white space only."""
+    return _signed(xxhash.xxh64_intdigest(b" ".join((text or "").encode().lower().split()), SEED))
+
+
+def near_rows(texts: DataFrame) -> DataFrame:
+    """(_id, _hash, _key, f) per row of a keyed table: the hash of its words and its SimHash fingerprint."""
+    schema = pa.schema([(c, pa.int64()) for c in ("_id", "_hash", "_key", "f")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            seen: dict[int, int] = {}  # copies are counted once
+            for batch in batches:
+                for i, h, t in zip(*(batch.column(c).to_pylist() for c in ("_id", "_hash", "_text")), strict=True):
+                    key = word_key(t)
+                    f = seen.get(key)
+                    if f is None:
+                        f = _signed(fingerprint((t or "").encode(), SIMHASH_WORDS)[0])
+                        if len(seen) < SEEN:
+                            seen[key] = f
+                    yield i, h, key, f
+
+        yield from batched(rows(), schema)
+
+    return texts.mapInArrow(run, "_id bigint, _hash bigint, _key bigint, f bigint")
+
+
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of keys that join all classes whose fingerprints are within two bits, as ``group`` links them."""
+    prints = rows.select("_key", "f").distinct()
+    classes = saved(prints.groupBy("f").agg(F.min("_key").alias("first")), "simhash-classes")
+    equal = prints.join(classes, "f").select(F.col("first").alias("a"), F.col("_key").alias("b"))
+    ends = [classes.select(F.col("f").alias(x), F.col("first").alias(f"k{x}")) for x in ("a", "b")]
+    near = links_within_two(classes.select("f")).join(ends[0], "a").join(ends[1], "b").select("ka", "kb")
+    both = equal.unionAll(near).where("a <> b")
+    return saved(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -144,33 +182,33 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
         yield from batched(rows(), schema, lambda r: len(r[1]) + 64)
 
-    return docs.select("_key", "_text").mapInArrow(run, "_key bigint, s binary")
+    return docs.select("_key", "_text").mapInArrow(run, "_key bigint, s binary").dropDuplicates(["_key"])
+
+
+def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both) - 1e-6
 
 
 def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-            x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= least * (len(x) + len(y) - both) - 1e-6)
+        sets = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
+        keep = [_alike(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), least) for a, b in sets]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+#: Words of a shingle under the fingerprints, as ``group`` takes them.
+SIMHASH_WORDS = 3
 #: Texts of one shingle that are held against one another in a task; more are dealt over pairs of blocks.
 BLOCK = 1_000
+#: Shingles that a block of them has in all.
+BLOCK_SHINGLES = 4_000_000
 #: One text of so many is read to learn which shingles are common, and so many of these are told apart.
 SAMPLED, COMMON = 16, 1 << 16
 #: Keys that a task remembers.
 SEEN = 1 << 18
 
 
-def word_key(text: Column) -> Column:
-    """A hash of the lower-cased words; equal for texts that differ in case or white space only."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.xxhash64(F.trim(F.regexp_replace(lower, "[\\x20\\x09-\\x0D]+", " ")))
-
-
 def distinct_shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes."""
     parts = list(shingle_hashes((text or "").encode(), words))
@@ -178,7 +216,7 @@ def distinct_shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
-    """At most ``COMMON`` shingles, the most frequent last, of a sample of texts by their keys."""
+    """At most ``COMMON`` shingles, the most frequent last, of a sample of texts by their hashes."""
     schema = pa.schema([("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +224,7 @@ def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
             for t in batch.column("_text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(distinct_shingles(t, words).view(np.int64))], schema=schema)
 
-    some = texts.where(F.pmod(F.xxhash64("_key", F.lit(5)), F.lit(SAMPLED)) == 0).dropDuplicates(["_key"])
+    some = texts.where(F.pmod(F.xxhash64("_hash", F.lit(5)), F.lit(SAMPLED)) == 0).dropDuplicates(["_hash"])
     counted = some.select("_text").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("h").alias("n")).where("n > 2")
     found = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     return np.asarray(found["h"], np.int64)[::-1].view(np.uint64)
@@ -206,7 +244,8 @@ def prefix_entries(texts: DataFrame, words: int, similarity: float, common: np.n
         known = sent.value[by_hash]
         seen: set[int] = set()  # spares most of the work for copies; the rest go with the repeated entries
         for batch in batches:
-            for k, t in zip(batch.column("_key").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+            for t in batch.column("_text").to_pylist():
+                k = word_key(t)
                 s = distinct_shingles(t, words) if k not in seen else ()
                 if not len(s):
                     continue
@@ -220,13 +259,17 @@ def prefix_entries(texts: DataFrame, words: int, similarity: float, common: np.n
                 n = len(first)
                 yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(n, k)), pa.array(np.full(n, len(s), np.int32)), pa.array(np.arange(n, dtype=np.int32))], schema=schema)
 
-    return texts.select("_key", "_text").mapInArrow(run, "h bigint, _key bigint, size int, pos int")
+    return texts.select("_text").mapInArrow(run, "h bigint, _key bigint, size int, pos int")
 
 
 #: 64-bit words of a bitmap, and of the folded one that is looked at first.
 BITMAP, FOLDED = 64, 16
 
 
+def bitmap(cell: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount(cell, minlength=64 * BITMAP) & 1)
+
+
 def bitmaps(docs: DataFrame, words: int) -> DataFrame:
     """(_key, bits): per text, for each of 4,096 cells, whether an odd number of its distinct shingles falls there.
 
@@ -240,32 +283,43 @@ def bitmaps(docs: DataFrame, words: int) -> DataFrame:
             for batch in batches:
                 for k, t in zip(batch.column("_key").to_pylist(), batch.column("_text").to_pylist(), strict=True):
                     cell = (distinct_shingles(t, words) >> np.uint64(52)).astype(np.int64)
-                    yield k, np.packbits(np.bincount(cell, minlength=64 * BITMAP) & 1).tobytes()
+                    yield k, bitmap(cell).tobytes()
 
         yield from batched(rows(), schema, lambda r: 8 * BITMAP + 64)
 
     return docs.select("_key", "_text").mapInArrow(run, "_key bigint, bits binary").dropDuplicates(["_key"])
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of different groups within two blocks of a shingle that sizes, places and bitmaps leave open."""
+class _Blocks:
+    """The texts of one shingle in two blocks, and their pairs that sizes, places and bitmaps leave open."""
 
-    def pairs(h, p, q, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, size, pos, g, mine = (np.concatenate([np.asarray(r.column(c)) for r in rows]) for c in ("_key", "size", "pos", "g", "mine"))
-        bits = np.frombuffer(b"".join(x for r in rows for x in r.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP)
-        coarse = np.bitwise_xor.reduce(bits.reshape(len(bits), -1, FOLDED), axis=1)  # cells joined: a bound as well
-        left, right = (np.flatnonzero(mine == x) for x in (p, q))
-        for i in left:
-            j = right if p != q else right[right > i]
-            both = (size[i] + size[j]) * (similarity / (1 + similarity))
-            j = j[(g[i] != g[j]) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= both - 1e-6)]
-            for cells in (coarse, bits):
-                apart = np.bitwise_count(cells[i] ^ cells[j]).sum(axis=1, dtype=np.int64)
-                j = j[apart <= (size[i] + size[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6]
-            if len(j):
-                ends = np.stack([np.full(len(j), key[i]), key[j]])
-                yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=0)), pa.array(ends.max(axis=0))], ["a", "b"])
+    def __init__(self, p: int, q: int, rows: list[pa.RecordBatch], similarity: float):
+        self.key, self.size, self.pos, self.g, mine = (
+            np.concatenate([np.asarray(r.column(c)) for r in rows]) for c in ("_key", "size", "pos", "g", "mine")
+        )
+        self.similarity = similarity
+        self.p, self.q = p, q
+        self.left, self.right = (np.flatnonzero(mine == x) for x in (p, q))
 
+    def see(self, bits: np.ndarray) -> None:
+        coarse = np.bitwise_xor.reduce(bits.reshape(len(bits), -1, FOLDED), axis=1)  # cells joined: a bound as well
+        self.cells = coarse, bits
+
+    def open(self, i: int, group: np.ndarray) -> np.ndarray:
+        """What text ``i`` may be similar to among the later ones that ``group`` sets apart from it."""
+        size, pos, similarity = self.size, self.pos, self.similarity
+        j = self.right if self.p != self.q else self.right[self.right > i]
+        j = j[group[i] != group[j]]
+        both = (size[i] + size[j]) * (similarity / (1 + similarity))
+        j = j[np.minimum(size[i] - pos[i], size[j] - pos[j]) >= both - 1e-6]
+        for cells in self.cells:
+            apart = np.bitwise_count(cells[i] ^ cells[j]).sum(axis=1, dtype=np.int64)
+            j = j[apart <= (size[i] + size[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6]
+        return j
+
+
+def _by_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[pa.RecordBatch]]]:
+    """((h, p, q), its rows), in order."""
     at, held = None, []
     for batch in batches:
         columns = [np.asarray(batch.column(c)) for c in ("h", "p", "q")]
@@ -275,27 +329,104 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
                 now = tuple(int(c[a]) for c in columns)
                 if now != at:
                     if held:
-                        yield from pairs(*at, held)
+                        yield at, held
                     at, held = now, []
                 held.append(batch.slice(a, b - a))
     if held:
-        yield from pairs(*at, held)
+        yield at, held
+
+
+PLACED = ["h", "p", "q", "mine", "_key", "size", "pos", "g"]
+
+
+def _open_texts(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """The texts that have an open pair, no more rows than came in; ``partner`` makes a forest that spans these pairs."""
+    for (_, p, q), rows in _by_blocks(batches):
+        blocks = _Blocks(p, q, rows, similarity)
+        blocks.see(np.frombuffer(b"".join(x for r in rows for x in r.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP))
+        tree, is_open, held = blocks.g.copy(), np.zeros(len(blocks.g), bool), []
+        for i in blocks.left:
+            j = blocks.open(i, blocks.g)
+            if not len(j):
+                continue
+            is_open[i], is_open[j] = True, True
+            others, at = np.unique(tree[j], return_index=True)
+            at, others = at[others != tree[i]], others[others != tree[i]]
+            if len(others):
+                held.append(np.stack([np.full(len(at), i), j[at]]))
+                tree[np.isin(tree, others)] = tree[i]
+        if held:
+            # Each of these pairs joins two trees, so they are fewer than the open texts: one goes beside each text.
+            ends = np.concatenate(held, axis=1)
+            listed = np.flatnonzero(is_open)
+            one, two = np.zeros((2, len(listed)), np.int64)
+            one[: ends.shape[1]], two[: ends.shape[1]] = blocks.key[ends[0]], blocks.key[ends[1]]
+            whole = pa.Table.from_batches([r.select(PLACED) for r in rows]).take(pa.array(listed)).combine_chunks()
+            none = pa.array(np.arange(len(listed)) >= ends.shape[1])
+            pair = [pa.array(np.minimum(one, two), mask=np.asarray(none)), pa.array(np.maximum(one, two), mask=np.asarray(none))]
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in whole.columns), *pair], [*PLACED, "a", "b"])
+
+
+def _spanning_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join the similar texts of two blocks by their sets: fewer than the rows that came in."""
+    for (_, p, q), rows in _by_blocks(batches):
+        blocks = _Blocks(p, q, rows, similarity)
+        sets = [np.frombuffer(x, np.uint32) for r in rows for x in r.column("s").to_pylist()]
+        blocks.see(np.stack([bitmap(s >> np.uint32(20)) for s in sets]).view(np.uint64))
+        tree, ends = blocks.g.copy(), []
+        for i in blocks.left:
+            for j in blocks.open(i, tree):
+                if tree[i] != tree[j] and _alike(sets[i], sets[j], similarity):
+                    ends.append(sorted((int(blocks.key[i]), int(blocks.key[j]))))
+                    tree[tree == tree[j]] = tree[i]
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*ends)], ["a", "b"])
 
 
 def near_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): rows are (_id, _key), groups are (_key, component) of texts alike.
+    """(rows, groups): rows are (_id, _hash, _key, f), groups are (_key, component) of texts alike.
 
     Equal word sequences are one class, represented by the hash ``_key`` of their words. Classes link if and only if the
-    sets of their ``words``-word shingles have a Jaccard similarity of ``similarity``; groups are the components. Every
-    such pair shares a shingle of its prefixes, at places that leave room for the overlap. First each class is held
-    against two others per shared shingle; then every pair of the remaining ones that lies in different groups, of which a
-    bitmap of each text rules out nearly all that are not similar before any row is made.
+    sets of their ``words``-word shingles have a Jaccard similarity of ``similarity``; groups are the components.
+
+    SimHash comes first: classes whose fingerprints are within two bits are held against one another and make the first
+    groups. Fingerprints of similar texts may differ in more bits, so the others are found by prefixes: every such pair
+    shares a shingle of them, at places that leave room for the overlap. Each class is held against two others per shared
+    shingle that lie in other groups, then every pair that still lies in different groups. A bitmap of each text rules out
+    nearly all that are not similar; a forest of what is left is verified, and where that leaves different groups the sets
+    themselves are compared in the task, which sends on one link per two groups joined, never all pairs.
     """
-    texts = keyed(docs, id_col, text_col).withColumn("_key", word_key(F.col("_text")))
-    rows = saved(texts.select("_id", "_key"), "near-rows")
+    texts = keyed(docs, id_col, text_col)
+    rows = saved(near_rows(texts), "near-rows")
+    one_text = rows.groupBy("_key").agg(F.min("_hash").alias("_hash"))
+
+    def texts_of(keys: DataFrame) -> DataFrame:
+        return texts.join(keys.join(one_text, "_key").select("_key", "_hash"), "_hash").select("_key", "_text")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("_key")).unionAll(pairs.select(F.col("b").alias("_key"))).distinct()
+        sets = saved(shingle_sets(texts_of(wanted), words), "near-sets")
+        both = pairs.join(sets.select(F.col("_key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_key").alias("b"), F.col("s").alias("sb")), "b")
+        links = saved(both.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, similarity), "a bigint, b bigint"), "near-links")
+        discard(sets)
+        return links
+
+    def grouped(df: DataFrame, groups: DataFrame, key: str, out: str) -> DataFrame:
+        member = groups.select(F.col("node").alias(key), F.col("component").alias("_component"))
+        return df.join(member, key, "left").withColumn(out, F.coalesce("_component", key)).drop("_component")
+
+    def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+        """Groups that links join; each goes in as a star, so few steps are left."""
+        return saved(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)), "near-groups")
+
+    by_print = fingerprint_pairs(rows)
+    groups = saved(components(alike(by_print)), "near-groups")
+
     entries = prefix_entries(texts, words, similarity, common_shingles(texts, words)).repartition("h").dropDuplicates(["h", "_key"])
     same = Window.partitionBy("h")
-    numbered = entries.withColumn("n", F.count("h").over(same)).where("n > 1")
+    n = F.count("h").over(same)
+    blocks = F.ceil(F.greatest(n / BLOCK, F.sum("size").over(same) / BLOCK_SHINGLES)).cast("int")
+    numbered = entries.withColumn("n", n).withColumn("blocks", blocks).where("n > 1").drop("n")
     shared = saved(numbered, "near-shared")
 
     def fits(x: str, y: str) -> Column:
@@ -305,51 +436,55 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, sim
 
     def distinct_pairs(found: DataFrame) -> DataFrame:
         one, two = F.col("x._key"), F.col("y._key")
-        return saved(found.where((one != two) & fits("x", "y")).select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct(), "near-pairs")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("_key")).unionAll(pairs.select(F.col("b").alias("_key"))).distinct()
-        sets = saved(shingle_sets(texts.join(wanted, "_key", "left_semi"), words).dropDuplicates(["_key"]), "near-sets")
-        both = pairs.join(sets.select(F.col("_key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_key").alias("b"), F.col("s").alias("sb")), "b")
-        links = saved(both.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, similarity), "a bigint, b bigint"), "near-links")
-        discard(sets)
-        return links
+        pairs = found.where((one != two) & fits("x", "y")).select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+        apart = grouped(grouped(pairs, groups, "a", "ga"), groups, "b", "gb").where("ga <> gb")
+        return saved(apart.select("a", "b").join(by_print, ["a", "b"], "left_anti"), "near-pairs")
 
     item = F.struct("_key", "size", "pos")
     hubs = shared.groupBy("h").agg(F.min(item).alias("y"))
     beside = shared.select(item.alias("x"), F.lag(item).over(same.orderBy("size", "_key")).alias("y")).where("y is not null")
     some = distinct_pairs(shared.select("h", item.alias("x")).join(hubs, "h").select("x", "y").unionAll(beside))
-    links = alike(some)
-    groups = saved(components(links), "near-groups")
+    groups = joined(groups, alike(some))
 
-    # Texts of a common shingle are dealt over pairs of blocks; every two meet in one of them. A task holds two blocks and
-    # sends on only the pairs that their bitmaps leave open, never all of them.
-    placed = shared.join(groups.withColumnRenamed("node", "_key"), "_key", "left").withColumn("g", F.coalesce("component", "_key"))
+    # Texts of a common shingle are dealt over pairs of blocks; every two meet in one of them. A task holds two blocks.
+    placed = grouped(shared, groups, "_key", "g")
     split = placed.groupBy("h").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("h")
-    mixed = saved(placed.join(split, "h").select("h", "_key", "size", "pos", "g", "n"), "near-mixed")
-    bits = saved(bitmaps(texts.join(mixed.select("_key").distinct(), "_key", "left_semi"), words), "near-bitmaps")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    mine = F.pmod(F.xxhash64("_key", F.lit(3)), blocks).cast("int")
-    dealt = mixed.join(bits, "_key").withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    mixed = saved(placed.join(split, "h").select("h", "_key", "size", "pos", "g", "blocks"), "near-mixed")
+    bits = saved(bitmaps(texts_of(mixed.select("_key").distinct()), words), "near-bitmaps")
+    mine = F.pmod(F.xxhash64("_key", F.lit(3)), F.col("blocks")).cast("int")
+    dealt = mixed.join(bits, "_key").withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     square = dealt.select("h", F.least("mine", "theirs").alias("p"), F.greatest("mine", "theirs").alias("q"), "mine", "_key", "size", "pos", "g", "bits")
-    ordered = square.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
-    rest = saved(ordered.mapInArrow(lambda it: _open_pairs(it, similarity), "a bigint, b bigint").distinct(), "near-pairs")
-    more = alike(rest.join(some, ["a", "b"], "left_anti"))
-    for t in (mixed, bits):
+    kinds = "h bigint, p int, q int, mine int, _key bigint, size int, pos int, g bigint, a bigint, b bigint"
+    opened = saved(in_blocks(square).mapInArrow(lambda it: _open_texts(it, similarity), kinds), "near-open")
+    for t in (mixed, bits, shared):
         discard(t)
-    for t in (shared, some, rest):
+    forest = saved(opened.where("a is not null").select("a", "b").distinct().join(some, ["a", "b"], "left_anti"), "near-pairs")
+    groups = joined(groups, alike(forest))
+
+    # Where the forest had pairs that are not similar, others of its texts may be: their sets are compared in place.
+    again = grouped(opened.drop("g", "a", "b"), groups, "_key", "g")
+    apart = again.groupBy("h", "p", "q").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("h", "p", "q")
+    rest = saved(again.join(apart, ["h", "p", "q"]), "near-rest")
+    sets = saved(shingle_sets(texts_of(rest.select("_key").distinct()), words), "near-sets")
+    held = in_blocks(rest.join(sets, "_key")).select(*PLACED, "s")
+    more = saved(held.mapInArrow(lambda it: _spanning_links(it, similarity), "a bigint, b bigint").distinct(), "near-links")
+    for t in (opened, rest, sets, some, forest, by_print):
         discard(t)
-    return rows, components(links.unionAll(more))
+    return rows, joined(groups, more)
+
+
+def in_blocks(placed: DataFrame) -> DataFrame:
+    return placed.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the least id (of equal ids and words, one row)."""
     rows, groups = near_groups(docs, "doc_id", "text")
     member = groups.withColumnRenamed("node", "_key")
-    placed = rows.distinct().join(member, "_key", "left").select("_id", "_key", F.coalesce("component", "_key").alias("group"))
-    kept = placed.groupBy("group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("least"))
-    keep = saved(kept.select(F.col("least._id").alias("_keep_id"), F.col("least._key").alias("_keep_key")), "near-kept")
-    same = docs["doc_id"].eqNullSafe(keep["_keep_id"]) & (word_key(docs["text"]) == keep["_keep_key"])
+    placed = rows.join(member, "_key", "left").select("_id", "_key", "_hash", F.coalesce("component", "_key").alias("group"))
+    kept = placed.groupBy("group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key", "_hash")).alias("least"))
+    keep = saved(kept.select(F.col("least._id").alias("_keep_id"), F.col("least._hash").alias("_keep_hash")), "near-kept")
+    hashed = docs.withColumn("_near_hash", F.xxhash64(F.col("text").cast("string")))
+    same = hashed["doc_id"].cast("bigint").eqNullSafe(keep["_keep_id"]) & (hashed["_near_hash"] == keep["_keep_hash"])
     # Rows that share an id and the words are copies; one stays. Different texts under one id, or under none, all stay.
-    kept_rows = docs.join(keep, same, "left_semi").withColumn("_near_word_key", word_key(F.col("text")))
-    return kept_rows.dropDuplicates(["doc_id", "_near_word_key"]).drop("_near_word_key")
+    return hashed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_near_hash"]).drop("_near_hash")

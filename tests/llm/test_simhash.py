@@ -192,3 +192,24 @@ def test_bitmaps_bound_the_difference(spark):
     for a in texts:
         for b in texts:
             assert (bits[a] ^ bits[b]).bit_count() <= len(shingles(texts[a]) ^ shingles(texts[b]))
+
+
+def test_fingerprints_come_first_and_a_cluster_makes_no_more_rows_than_texts(spark, monkeypatch):
+    """Hundreds of texts alike in most pairs: the pairs that are tried grow with the texts, not with their square."""
+    from structweave.llm import simhash
+
+    monkeypatch.setattr(simhash, "BLOCK", 60)
+    base = prose(5, 300)
+    texts = {}
+    for k in range(240):
+        words = list(base)
+        for place in np.random.default_rng(k).choice(300, 3 + k % 5, replace=False):
+            words[place] = f"n{k}x{place}"
+        texts[k] = words
+    texts[240] = [*texts[0][:-1], "last"]
+    seen = {}
+    monkeypatch.setattr(simhash, "saved", lambda df, label, keep=simhash.saved: (out := keep(df, label), seen.setdefault(label, []).append(out.count()))[0])
+    assert found_groups(spark, texts) == alike_groups(texts)
+    assert seen["simhash-pairs"][0] > 0
+    blocks = -(-len(texts) // 60)
+    assert seen["near-open"][0] <= seen["near-mixed"][0] * blocks and seen["near-pairs"][1] < blocks * len(texts)
