@@ -31,7 +31,18 @@ def scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _blank(line: Column) -> Column:
-    return line.rlike(f"(?U)^{_SPACE}*$")
+    """Whether a line is white space only; its first character settles most lines without a regular expression."""
+    written = F.ascii(F.substring(line, 1, 1)).between(33, 126)
+    return F.when(written, False).when(line == "", True).otherwise(line.rlike(f"(?U)^{_SPACE}*$"))
+
+
+def _fields(line: Column) -> Column:
+    """The fields of a token line; lines of ASCII with single spaces need no regular expression."""
+    plain = (F.octet_length(line) == F.char_length(line)) & ~line.contains("  ") & ~line.startswith(" ")
+    for other in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f":
+        plain = plain & ~line.contains(other)
+    spaced = F.split(F.regexp_replace(line, f"(?U)^{_SPACE}+", ""), f"(?U){_SPACE}+")
+    return F.when(plain, F.split(line, " ")).otherwise(spaced)
 
 
 class _Block:
@@ -50,21 +61,6 @@ class _Block:
         return is_break, is_token, breaks, tokens, last
 
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
-    """(opens a block, lines of one block), in order."""
-    at = None
-    for batch in batches:
-        for a, b in stretches(batch.column("file"), batch.column("block")):
-            part = batch.slice(a, b - a)
-            now = part.column("file")[0].as_py(), part.column("block")[0].as_py()
-            yield now != at, part
-            at = now
-
-
-def _flags(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return np.asarray(part.column("_marker")), np.asarray(part.column("_blank"))
-
-
 def number_sentences(lines: DataFrame, marker: str = DOCUMENT_MARKER) -> DataFrame:
     """Mark every line of ``scan_lines`` as token or break and number the sentences.
 
@@ -74,57 +70,70 @@ def number_sentences(lines: DataFrame, marker: str = DOCUMENT_MARKER) -> DataFra
     second pass numbers the lines. A split whose predecessor ended on a marker gives up its first line.
     """
     flagged = lines.withColumn("_marker", F.col("line").startswith(marker)).withColumn("_blank", _blank(F.col("line")))
-    schema = "file string, block bigint, _nb bigint, _nt bigint, _last bigint, _ends boolean, _fb boolean, _ft boolean"
+    named = flagged.withColumn("_file", F.xxhash64("file"))  # the name itself is long, and would go along with every line
+    schema = "_file bigint, block bigint, _nb bigint, _nt bigint, _last bigint, _ends boolean, _fb boolean, _ft boolean"
 
     def summaries(batches):
-        block, row = None, None
-        for opens, part in _by_block(batches):
-            if opens:
-                if block is not None:
-                    yield _summary(block, row)
-                block, row = _Block(), None
-            is_break, is_token, *_ = block.take(*_flags(part))
-            row = row or (part.column("file")[0].as_py(), part.column("block")[0].as_py(), bool(is_break[0]), bool(is_token[0]))
+        at, block, row = None, None, None
+        for batch in batches:
+            files, starts = np.asarray(batch.column("_file")), np.asarray(batch.column("block"))
+            for a, b in stretches(files, starts):
+                now = int(files[a]), int(starts[a])
+                if now != at:
+                    if block is not None:
+                        yield _summary(block, row)
+                    at, block, row = now, _Block(), None
+                is_break, is_token, *_ = block.take(*(np.asarray(batch.column(c).slice(a, b - a)) for c in ("_marker", "_blank")))
+                row = row or (*now, bool(is_break[0]), bool(is_token[0]))
         if block is not None:
             yield _summary(block, row)
 
-    offsets = _block_offsets(flagged.select("file", "block", "_marker", "_blank").mapInArrow(summaries, schema))
-    kept = ["file", "block", "line_no", "line"]
-    out = [*kept, "is_break", "is_token", "sent", "pos", "n_breaks"]
+    offsets = _block_offsets(named.select("_file", "block", "_marker", "_blank").mapInArrow(summaries, schema))
+    numbers = "struct<is_break: boolean, is_token: boolean, sent: bigint, pos: bigint>"
+
+    def number(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        at, block = None, None
+        for columns in batches:
+            marker, blank, *before = columns[2:]
+            files, starts = np.asarray(columns[0]), np.asarray(columns[1])
+            parts = []
+            for a, b in stretches(files, starts):
+                now = int(files[a]), int(starts[a])
+                carry, b0, t0, s0 = (c[a].as_py() for c in before)
+                if now != at:
+                    at, block = now, _Block(carry)
+                is_break, is_token, breaks, tokens, last = block.take(*(np.asarray(c.slice(a, b - a)) for c in (marker, blank)))
+                parts.append((is_break, is_token, b0 + breaks - is_break, t0 + tokens - np.where(last >= 0, t0 + last, s0) - 1))
+            whole = [pa.array(np.concatenate(c)) for c in zip(*parts)] if parts else [pa.array([], t) for t in _NUMBERS]
+            yield pa.StructArray.from_arrays(whole, ["is_break", "is_token", "sent", "pos"])
 
-    def number(batches):
-        block = None
-        for opens, part in _by_block(batches):
-            carry, b0, t0, s0 = (part.column(c)[0].as_py() for c in ("_carry", "_b0", "_t0", "_s0"))
-            if opens:
-                block = _Block(carry)
-            is_break, is_token, breaks, tokens, last = block.take(*_flags(part))
-            pos = t0 + tokens - np.where(last >= 0, t0 + last, s0) - 1
-            columns = [is_break, is_token, b0 + breaks - is_break, pos]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *map(pa.array, columns), part.column("n_breaks")], out)
+    # Only flags and offsets go to Python, lines stay. One row per file split is broadcast. What a line gets depends on the
+    # lines before it, so no filter may be moved below.
+    running = F.arrow_udf(number, numbers).asNondeterministic()
+    placed = named.join(F.broadcast(offsets), ["_file", "block"])
+    told = placed.withColumn("_told", running("_file", "block", "_marker", "_blank", "_carry", "_b0", "_t0", "_s0"))
+    return told.select("file", "block", "line_no", "line", *[F.col(f"_told.{c}").alias(c) for c in ("is_break", "is_token", "sent", "pos")], "n_breaks")
 
-    # One row per file split.
-    placed = flagged.join(F.broadcast(offsets), ["file", "block"])
-    fields = "file string, block bigint, line_no bigint, line string, is_break boolean, is_token boolean, sent bigint, pos bigint, n_breaks bigint"
-    return placed.mapInArrow(number, fields)
+
+_NUMBERS = (pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
 
 
 def _summary(block: _Block, row: tuple) -> pa.RecordBatch:
     file, at, first_break, first_token = row
-    names = ["file", "block", "_nb", "_nt", "_last", "_ends", "_fb", "_ft"]
+    names = ["_file", "block", "_nb", "_nt", "_last", "_ends", "_fb", "_ft"]
     last = None if block.last < 0 else block.last
     values = [file, at, block.breaks, block.tokens, last, block.after, first_break, first_token]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names)
 
 
 def _block_offsets(summary: DataFrame) -> DataFrame:
     """One row per block: whether its first line falls to a marker before it, and what precedes it."""
-    blocks = Window.partitionBy("file").orderBy("block")
+    blocks = Window.partitionBy("_file").orderBy("block")
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
     # Whether a line is a marker does not depend on what comes before it, so the carry never chains.
     carried = summary.withColumn("_carry", F.lag("_ends", 1, False).over(blocks)).select(
-        "file",
+        "_file",
         "block",
         "_carry",
         (F.col("_carry") & F.col("_fb")).cast("bigint").alias("_lost_b"),
@@ -143,10 +152,10 @@ def _block_offsets(summary: DataFrame) -> DataFrame:
         "*",
         F.coalesce(F.sum("_net_b").over(earlier), F.lit(0)).alias("_b0"),
         F.coalesce(F.sum("_net_t").over(earlier), F.lit(0)).alias("_t0"),
-        F.sum("_net_b").over(Window.partitionBy("file")).alias("n_breaks"),
+        F.sum("_net_b").over(Window.partitionBy("_file")).alias("n_breaks"),
     )
     start = F.coalesce(F.max(F.col("_t0") + F.col("_net_at")).over(earlier), F.lit(0))
-    return before.select("file", "block", "_carry", "_b0", "_t0", "n_breaks", start.alias("_s0"))
+    return before.select("_file", "block", "_carry", "_b0", "_t0", "n_breaks", start.alias("_s0"))
 
 
 def sentence_tokens(numbered: DataFrame, strict_reference: bool = False) -> DataFrame:
@@ -157,7 +166,7 @@ def sentence_tokens(numbered: DataFrame, strict_reference: bool = False) -> Data
     rows = numbered.where("is_token")
     if strict_reference:
         rows = rows.where(F.col("sent") < F.col("n_breaks"))
-    fields = F.split(F.regexp_replace("line", f"(?U)^{_SPACE}+", ""), f"(?U){_SPACE}+")
+    fields = _fields(F.col("line"))
     return rows.select(
         "file",
         "sent",

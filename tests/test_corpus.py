@@ -88,3 +88,17 @@ def test_compressed_files_and_plan(spark, tmp_path):
     assert list(found.values()) == words and corpus.sentence_count(numbered).first()[0] == closed
     plan = corpus.sentence_tokens(numbered)._jdf.queryExecution().executedPlan().toString()
     assert not any("line#" in line and "Exchange" in line for line in plan.splitlines())
+
+
+def test_lines_and_file_names_do_not_go_to_python(spark, tmp_path):
+    """Fields are split as by the regular expression, and lines stay in Spark while sentences are numbered."""
+    odd = ["a\tb c d", "  x NN  B O", "x NN B O ", "w P C T", "　q P C T", "é P C T", "a\x1cb c d", "only", " ", "\x1f \t", " "]
+    (tmp_path / "x.txt").write_text("\n".join(odd) + "\n", encoding="utf-8")
+    numbered = corpus.number_sentences(corpus.scan_lines(spark, str(tmp_path)))
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("MapInArrow" in row and "line#" in row for row in plan.splitlines())
+    space, blank = r"(?U)[\s\x1c-\x1f]+", r"(?U)^[\s\x1c-\x1f]*$"
+    lines = numbered.select("line", "is_token", corpus._fields(F.col("line")).alias("got"))
+    wanted = F.split(F.regexp_replace("line", "(?U)^[\\s\\x1c-\\x1f]+", ""), space)
+    rows = lines.select("*", wanted.alias("want"), F.col("line").rlike(blank).alias("blank")).collect()
+    assert len(rows) == len(odd) and all(r.got == r.want and r.is_token != r.blank for r in rows)
