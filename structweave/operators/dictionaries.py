@@ -18,9 +18,8 @@ TAG_KINDS = ("pos", "chunk", "tag")
 
 # A dictionary of at most this many rows and bytes of text is broadcast; a larger one is joined in two tiers.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
-# At most this many words can each hold 1/HOT_WORDS of all tokens.
+# Of the words that are not among the broadcast ones of the vocabulary, so many are looked up in place too.
 HOT_WORDS = 10_000
-SALTS = 1024
 
 
 def order_key(major: Column, middle: Column, minor: Column) -> Column:
@@ -90,28 +89,52 @@ def _fits_broadcast(entries: DataFrame, text: str) -> bool:
 def encode_words(tokens: DataFrame, vocab: DataFrame, key: Column, out: str = "word_id") -> DataFrame:
     """Replace words by ids, 0 when the word is not in ``vocab``.
 
-    ``key`` is any integer column that varies between tokens (it salts rows that need no lookup). A
-    vocabulary of a checked size is broadcast. Beyond that the words that are frequent in ``tokens`` (in the vocabulary
-    or not), at most HOT_WORDS of them by counting, are broadcast with their ids and the rest is joined by shuffle.
+    A vocabulary of a checked size is broadcast. Beyond that its most frequent words, as many as may be broadcast, and
+    what else is frequent in ``tokens`` (in the vocabulary or not), at most HOT_WORDS words by counting, are looked up where
+    the tokens are; only tokens of the other words are joined by shuffle. ``key`` is any integer column; it used to salt the
+    tokens that need no lookup and is not read, since these stay in place.
     """
     entries = vocab.select(F.col("word").alias("_w"), F.col("id").alias("_id"), F.col("n").alias("_n"))
     if _fits_broadcast(entries, "_w"):
         joined = tokens.join(F.broadcast(entries), F.col("word") == F.col("_w"), "left")
         return joined.withColumn(out, F.coalesce("_id", F.lit(0))).drop("_w", "_id", "_n")
-    return _encode_two_tier(tokens, entries, key, out)
+    return _encode_two_tier(tokens, entries, out)
 
 
-def _encode_two_tier(tokens: DataFrame, entries: DataFrame, key: Column, out: str) -> DataFrame:
-    counts = materialize(word_counts(tokens.where(F.col("word").isNotNull())))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = counts.where(F.col("n") >= max(1, -(-total // HOT_WORDS))).select(F.col("word").alias("_hw"))
-    hot = frequent.join(entries, F.col("_hw") == F.col("_w"), "left").select("_hw", F.coalesce("_id", F.lit(0)).alias("_hid"))
-    cold = entries.select("_w", "_id")
+def _most_frequent(entries: DataFrame) -> DataFrame:
+    """The words with the highest counts that may be broadcast together; words of about the same count go together."""
+    level = F.floor(4 * F.log2(F.greatest("_n", F.lit(1))))
+    sizes = entries.groupBy(level.alias("level")).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("_w")), F.lit(0)).alias("bytes")
+    )
+    rows = size = 0
+    least = None
+    for at in sorted(sizes.collect(), key=lambda r: -r["level"]):
+        rows, size = rows + at["rows"], size + at["bytes"]
+        if rows > BROADCAST_ROWS or size > BROADCAST_BYTES:
+            break
+        least = at["level"]
+    return entries.where(F.lit(False) if least is None else level >= F.lit(least))
+
+
+def _hot_words(tokens: DataFrame, entries: DataFrame) -> DataFrame:
+    """Words that are looked up in place, with their ids: (_hw, _hid). Written, so that all who read it see the same words."""
+    top = _most_frequent(entries).select(F.col("_w").alias("_hw"), F.col("_id").alias("_hid"))
+    others = tokens.where(F.col("word").isNotNull()).join(F.broadcast(top), F.col("word") == F.col("_hw"), "left_anti")
+    frequent = materialize(word_counts(others).orderBy(F.col("n").desc(), "word").limit(HOT_WORDS).select(F.col("word").alias("_hw")))
+    known = entries.join(F.broadcast(frequent), F.col("_hw") == F.col("_w")).select("_w", F.col("_id").alias("_hid"))
+    ids = frequent.join(F.broadcast(known), F.col("_hw") == F.col("_w"), "left").select("_hw", F.coalesce("_hid", F.lit(0)).alias("_hid"))
+    return materialize(top.unionByName(ids))
+
+
+def _encode_two_tier(tokens: DataFrame, entries: DataFrame, out: str) -> DataFrame:
+    hot = _hot_words(tokens, entries)
     first = tokens.join(F.broadcast(hot), F.col("word") == F.col("_hw"), "left")
-    salted = F.concat(F.lit("\x00"), F.pmod(key.cast("bigint"), F.lit(SALTS)).cast("string"))
-    lookup = first.withColumn("_lw", F.when(F.col("_hid").isNull(), F.col("word")).otherwise(salted))
-    joined = lookup.join(cold, F.col("_lw") == F.col("_w"), "left")
-    return joined.withColumn(out, F.coalesce("_hid", "_id", F.lit(0))).drop("_hw", "_hid", "_lw", "_w", "_id")
+    settled = F.col("_hw").isNotNull() | F.col("word").isNull()
+    here = first.where(settled).withColumn(out, F.coalesce("_hid", F.lit(0))).drop("_hw", "_hid")
+    rest = first.where(~settled).drop("_hw", "_hid")
+    joined = rest.join(entries.select("_w", "_id"), F.col("word") == F.col("_w"), "left")
+    return here.unionAll(joined.withColumn(out, F.coalesce("_id", F.lit(0))).drop("_w", "_id"))
 
 
 def unknown_tags(tokens: DataFrame, tags: DataFrame) -> DataFrame:

@@ -78,3 +78,17 @@ def test_null_keys_are_ranked_and_split(spark):
     df = spark.createDataFrame([(None,), *((i,) for i in range(9))], "k long")
     assert sorted(r["rank"] for r in hash_rank(df, "k", 1).collect()) == list(range(10))
     assert hash_split(df, "k").count() == 10
+
+
+def test_tokens_of_frequent_words_are_not_shuffled(spark, monkeypatch):
+    rows = [(i, "often" if i % 10 else f"rare{i}") for i in range(400)]
+    tokens = spark.createDataFrame(rows, "pos long, word string").repartition(4, "pos")
+    vocab = spark.createDataFrame([("often", 1, 360), *((f"rare{i}", i + 2, 1) for i in range(0, 200, 10))], "word string, id long, n long")
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(D, "HOT_WORDS", 1)
+    encoded = D.encode_words(tokens, vocab, F.col("pos"))
+    place = tokens.select("pos", F.spark_partition_id().alias("before"))
+    moved = encoded.withColumn("after", F.spark_partition_id()).join(place, "pos").where("word = 'often' and before <> after")
+    assert moved.count() == 0
+    found = {r.pos: r.word_id for r in encoded.collect()}
+    assert found == {i: 1 if i % 10 else (i + 2 if i < 200 else 0) for i in range(400)}
