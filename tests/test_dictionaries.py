@@ -92,3 +92,13 @@ def test_tokens_of_frequent_words_are_not_shuffled(spark, monkeypatch):
     assert moved.count() == 0
     found = {r.pos: r.word_id for r in encoded.collect()}
     assert found == {i: 1 if i % 10 else (i + 2 if i < 200 else 0) for i in range(400)}
+
+
+def test_segments_of_tokens_that_stand_together_are_the_same(spark):
+    rows = [("s", i, 11, i * 10, i, i + 1, i % 2) for i in range(11)] + [(None, i, 3, 5 - i, 5, 5, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, pos long, len long, word long, pos_tag long, chunk long, tag long")
+    for source in (df.coalesce(1), df.repartition(4, "pos"), df.orderBy(F.col("pos").desc())):
+        plain, put = (sorted(map(tuple, S.segments(source, ["k"], 4, t).collect()), key=str) for t in (False, True))
+        assert plain == put and len(put) == 4
+    tokens = df.where("k = 's'").unionByName(df.where("k = 's'"))  # equal rows stay as often as they come
+    assert sorted(map(tuple, S.segments(tokens, ["k"], 11, True).collect())) == sorted(map(tuple, S.segments(tokens, ["k"], 11).collect()))
