@@ -7,7 +7,7 @@ import pytest
 from structweave.functions import decoding
 from structweave.operators import sequences
 from structweave.plans.chains import ScaledVector
-from structweave.plans.losses import SequenceKernel
+from structweave.plans.losses import CandidateKernel, SequenceKernel
 
 DIM, TAGS = 101, 4
 
@@ -43,3 +43,19 @@ def test_features_are_hashed_by_the_batch(examples, monkeypatch):
     for i in range(len(examples.size)):
         kernel.example_rows(examples, i, w, 2.0)
     assert len(calls) == 1
+
+
+def test_candidate_steps_project_one_group_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes, kernel = [1, 2, 3, 7, 6] * 10, CandidateKernel(3, 5)
+    columns = {"ious": [rng.random(n).tolist() for n in sizes], "feats": [rng.normal(size=3 * n).tolist() for n in sizes]}
+    examples, w = kernel.load(pa.RecordBatch.from_pydict(columns)), rng.normal(size=3)
+    for mu in (0.05, 0.5, 20.0):
+        expected = [kernel.gradient_sum(kernel.take(examples, i), w, mu) for i in range(len(sizes))]
+        with monkeypatch.context() as only:
+            only.setattr(decoding, "simplex_weights", None)  # the kernel of whole batches, slow on one row
+            found = [kernel.example_gradient(examples, i, w, mu) for i in range(len(sizes))]
+        np.testing.assert_allclose(found, expected, atol=1e-12)
+    scores = np.array([3.0, 2.5, 2.5, -np.inf])
+    for mu in (0.1, 1.0, 10.0):
+        assert decoding.mixture(scores.tolist(), mu) == decoding.simplex_weights(scores[None, :], mu)[0].tolist()
