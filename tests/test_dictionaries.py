@@ -102,3 +102,17 @@ def test_segments_of_tokens_that_stand_together_are_the_same(spark):
         assert plain == put and len(put) == 4
     tokens = df.where("k = 's'").unionByName(df.where("k = 's'"))  # equal rows stay as often as they come
     assert sorted(map(tuple, S.segments(tokens, ["k"], 11, True).collect())) == sorted(map(tuple, S.segments(tokens, ["k"], 11).collect()))
+
+
+def test_frequent_words_that_a_shared_dictionary_lacks_are_not_shuffled(spark, monkeypatch):
+    rows = [(i, "train" if i < 100 else "dev", "known" if i < 100 else "unseen" if i % 10 else f"rare{i}") for i in range(400)]
+    tokens = spark.createDataFrame(rows, "pos long, split string, word string").repartition(4, "pos")
+    vocab = D.vocabulary(tokens.where("split = 'train'"), F.col("pos").cast("decimal(38,0)"), threshold=2)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(D, "HOT_WORDS", 2)
+    encoded = D.encode_words(tokens, vocab, F.col("pos"))
+    place = tokens.select("pos", F.spark_partition_id().alias("before"))
+    moved = encoded.withColumn("after", F.spark_partition_id()).join(place, "pos").where("before <> after")
+    assert moved.where("word in ('known', 'unseen')").count() == 0
+    found = {(r.split, r.word_id): r["count"] for r in encoded.groupBy("split", "word_id").count().collect()}
+    assert found == {("train", 1): 100, ("dev", 0): 300}
