@@ -20,6 +20,8 @@ TAG_KINDS = ("pos", "chunk", "tag")
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 # Of the words that are not among the broadcast ones of the vocabulary, so many are looked up in place too.
 HOT_WORDS = 10_000
+# The other words of the vocabulary mark one bit each; so many rows of 64 bits are broadcast at most.
+MARK_ROWS = 1 << 20
 
 
 def order_key(major: Column, middle: Column, minor: Column) -> Column:
@@ -90,9 +92,10 @@ def encode_words(tokens: DataFrame, vocab: DataFrame, key: Column, out: str = "w
     """Replace words by ids, 0 when the word is not in ``vocab``.
 
     A vocabulary of a checked size is broadcast. Beyond that its most frequent words, as many as may be broadcast, and
-    what else is frequent in ``tokens`` (in the vocabulary or not), at most HOT_WORDS words by counting, are looked up where
-    the tokens are; only tokens of the other words are joined by shuffle. ``key`` is any integer column; it used to salt the
-    tokens that need no lookup and is not read, since these stay in place.
+    what else of it is frequent in ``tokens``, at most HOT_WORDS words by counting, are looked up where the tokens are. A
+    word whose bit no word of the vocabulary has marked is known to be missing there, too; only tokens of the words that are
+    left are joined by shuffle. ``key`` is any integer column; it used to salt the tokens that need no lookup and is not
+    read, since these stay in place.
     """
     entries = vocab.select(F.col("word").alias("_w"), F.col("id").alias("_id"), F.col("n").alias("_n"))
     if _fits_broadcast(entries, "_w"):
@@ -101,8 +104,8 @@ def encode_words(tokens: DataFrame, vocab: DataFrame, key: Column, out: str = "w
     return _encode_two_tier(tokens, entries, out)
 
 
-def _most_frequent(entries: DataFrame) -> DataFrame:
-    """The words with the highest counts that may be broadcast together; words of about the same count go together."""
+def _by_frequency(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The words with the highest counts that may be broadcast together, and the others; words of about the same count go together."""
     level = F.floor(4 * F.log2(F.greatest("_n", F.lit(1))))
     sizes = entries.groupBy(level.alias("level")).agg(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("_w")), F.lit(0)).alias("bytes")
@@ -114,13 +117,38 @@ def _most_frequent(entries: DataFrame) -> DataFrame:
         if rows > BROADCAST_ROWS or size > BROADCAST_BYTES:
             break
         least = at["level"]
-    return entries.where(F.lit(False) if least is None else level >= F.lit(least))
+    top = F.lit(False) if least is None else level >= F.lit(least)
+    return entries.where(top), entries.where(~top)
 
 
-def _hot_words(tokens: DataFrame, entries: DataFrame) -> DataFrame:
+def _mark(word: str) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(64 * MARK_ROWS))
+
+
+def _marks(entries: DataFrame) -> DataFrame:
+    """The bits that the words mark: (_row, _bits). Written, as it is read with every pass over the tokens."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("_at", F.lit(64)).cast("int"))
+    marked = entries.select(_mark("_w").alias("_at"))
+    return materialize(marked.groupBy(F.shiftright("_at", 6).alias("_row")).agg(F.bit_or(bit).alias("_bits")))
+
+
+def _look_up(tokens: DataFrame, known: DataFrame, marks: DataFrame) -> tuple[DataFrame, Column, list[str]]:
+    """``tokens`` with what ``known`` (_hw, _hid) has of them, whether a token's word is open, and the columns to drop.
+
+    Open is a word that is not in ``known`` and whose bit is marked: it may be another word of the vocabulary.
+    """
+    found = tokens.join(F.broadcast(known), F.col("word") == F.col("_hw"), "left")
+    placed = found.withColumn("_at", F.when(F.col("_hw").isNull() & F.col("word").isNotNull(), _mark("word")))
+    marked = placed.join(F.broadcast(marks), F.shiftright("_at", 6) == F.col("_row"), "left")
+    is_open = F.coalesce(F.getbit("_bits", F.pmod("_at", F.lit(64)).cast("int")) == 1, F.lit(False))
+    return marked, is_open, ["_hw", "_hid", "_at", "_row", "_bits"]
+
+
+def _hot_words(tokens: DataFrame, entries: DataFrame, top: DataFrame, marks: DataFrame) -> DataFrame:
     """Words that are looked up in place, with their ids: (_hw, _hid). Written, so that all who read it see the same words."""
-    top = _most_frequent(entries).select(F.col("_w").alias("_hw"), F.col("_id").alias("_hid"))
-    others = tokens.where(F.col("word").isNotNull()).join(F.broadcast(top), F.col("word") == F.col("_hw"), "left_anti")
+    top = top.select(F.col("_w").alias("_hw"), F.col("_id").alias("_hid"))
+    looked_up, is_open, _ = _look_up(tokens, top, marks)
+    others = looked_up.where(is_open)
     frequent = materialize(word_counts(others).orderBy(F.col("n").desc(), "word").limit(HOT_WORDS).select(F.col("word").alias("_hw")))
     known = entries.join(F.broadcast(frequent), F.col("_hw") == F.col("_w")).select("_w", F.col("_id").alias("_hid"))
     ids = frequent.join(F.broadcast(known), F.col("_hw") == F.col("_w"), "left").select("_hw", F.coalesce("_hid", F.lit(0)).alias("_hid"))
@@ -128,12 +156,12 @@ def _hot_words(tokens: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def _encode_two_tier(tokens: DataFrame, entries: DataFrame, out: str) -> DataFrame:
-    hot = _hot_words(tokens, entries)
-    first = tokens.join(F.broadcast(hot), F.col("word") == F.col("_hw"), "left")
-    settled = F.col("_hw").isNotNull() | F.col("word").isNull()
-    here = first.where(settled).withColumn(out, F.coalesce("_hid", F.lit(0))).drop("_hw", "_hid")
-    rest = first.where(~settled).drop("_hw", "_hid")
-    joined = rest.join(entries.select("_w", "_id"), F.col("word") == F.col("_w"), "left")
+    top, others = _by_frequency(entries)
+    marks = _marks(others)
+    first, is_open, added = _look_up(tokens, _hot_words(tokens, entries, top, marks), marks)
+    here = first.where(~is_open).withColumn(out, F.coalesce("_hid", F.lit(0))).drop(*added)
+    rest = first.where(is_open).drop(*added)
+    joined = rest.join(others.select("_w", "_id"), F.col("word") == F.col("_w"), "left")
     return here.unionAll(joined.withColumn(out, F.coalesce("_id", F.lit(0))).drop("_w", "_id"))
 
 

@@ -115,7 +115,7 @@ def inverse_words(spark, sf_dir):
 
 def _affix_tokens(spark, sf_dir):
     """Tokens whose POS and chunk tags are word endings and beginnings, so that unseen tags occur."""
-    tokens = s.line_tokens(spark, sf_dir)
+    tokens = s.line_tokens(spark, sf_dir, s.split_documents(spark, sf_dir))
     return tokens.withColumn("pos_tag", F.expr("right(word, 2)")).withColumn("chunk_tag", F.expr("left(word, 1)"))
 
 
@@ -155,7 +155,7 @@ def encoded_sequences(spark, sf_dir):
 
 def shared_dictionary_load(spark, sf_dir):
     """Dictionaries of the labelled documents encode both these and the rest; coverage per split."""
-    tokens = s.line_tokens(spark, sf_dir)
+    tokens = s.line_tokens(spark, sf_dir, s.split_documents(spark, sf_dir))
     vocab = dictionaries.vocabulary(tokens.where(F.col("split") == "train"), _line_order(), threshold=2)
     encoded = dictionaries.encode_words(tokens, vocab, F.col("pos"))
     return encoded.groupBy("split").agg(

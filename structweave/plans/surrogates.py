@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import number_within
-from ..session import spread
+from ..session import saved, spread
 
 # Test weights of the registered queries.
 CANDIDATE_W = (0.7, 0.3, -0.2, 0.1)
@@ -18,6 +18,8 @@ SEQUENCE_W = np.array([((i * 37) % 101 - 50) / 64.0 for i in range(SEQUENCE_DIM)
 SEQUENCE_TAGS = 5
 SEQUENCE_KEYS = ("user_id", "d")
 LINE_KEYS = ("doc_id", "line_no")
+# Ids of labelled documents that may be broadcast; they take some 60 bytes each.
+LABEL_ROWS = 4_000_000
 CAND_FIELDS = ("linenumber", "partkey", "suppkey", "ship", "price", "discount")
 
 
@@ -95,21 +97,42 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
-def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("_labelled", F.lit(True))
+
+
+def _mark_split(texts: DataFrame, labelled: DataFrame) -> DataFrame:
+    split = F.when(F.col("_labelled"), "train").otherwise("dev").alias("split")
+    return texts.join(labelled, "doc_id", "left").select("doc_id", "text", split)
+
+
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their split, for queries that tell splits apart: (doc_id, text, split).
+
+    The ids of labelled documents are broadcast once their number is checked, so texts stay where they are read. If there
+    are more, texts are joined by shuffle and written, so that they move once however often they are read.
+    """
+    texts, labelled = documents(spark, sf_dir), _labelled(spark, sf_dir)
+    if labelled.count() <= LABEL_ROWS:
+        return _mark_split(texts, F.broadcast(labelled))
+    return saved(_mark_split(texts, labelled), "split")
+
+
+def document_lines(spark: SparkSession, sf_dir: str, marked: DataFrame | None = None) -> DataFrame:
     """Every line of every document: (doc_id, split, line_no, line).
 
-    ``split`` is train for labelled documents and dev for the rest, looked up before the text is taken apart.
+    ``split`` is train for labelled documents and dev for the rest, looked up before the text is taken apart, or that of
+    ``marked`` documents.
     """
-    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("_labelled", F.lit(True))
-    split = F.when(F.col("_labelled"), "train").otherwise("dev").alias("split")
-    marked = documents(spark, sf_dir).join(labelled, "doc_id", "left")
-    return marked.select("doc_id", split, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    if marked is None:
+        marked = _mark_split(documents(spark, sf_dir), _labelled(spark, sf_dir))
+    return marked.select("doc_id", "split", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of every document line as a tagged token; a line is a sequence."""
+def line_tokens(spark: SparkSession, sf_dir: str, marked: DataFrame | None = None) -> DataFrame:
+    """Every word of every document line (of ``marked`` documents, if given) as a tagged token; a line is a sequence."""
     words = F.filter(F.split("line", " "), lambda x: x != "")
-    lines = document_lines(spark, sf_dir).select("doc_id", "split", "line_no", words.alias("words"))
+    lines = document_lines(spark, sf_dir, marked).select("doc_id", "split", "line_no", words.alias("words"))
     size = F.size("words").cast("bigint").alias("len")
     tokens = lines.select("doc_id", "split", "line_no", size, F.posexplode("words").alias("pos", "word"))
     word, pos = F.col("word"), F.col("pos")

@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from structweave.operators import dictionaries as D
 from structweave.operators import segments as S
+from structweave.plans import queries as Q
+from structweave.plans import surrogates as V
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +126,65 @@ def test_frequent_words_that_a_shared_dictionary_lacks_are_not_shuffled(spark, m
     assert len(often) == 370 and all(r.after == before[r.pos] for r in often)
     found = {(r.split, r.word_id): r["count"] for r in encoded.groupBy("split", "word_id").count().collect()}
     assert found == {("train", 1): 100, ("dev", 0): 300}
+
+
+@pytest.fixture
+def plain_joins(spark):
+    """Only what asks for a broadcast is broadcast."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rare_words_that_the_vocabulary_lacks_are_not_shuffled(spark, monkeypatch, plain_joins):
+    rows = [(i, f"known{i // 4}" if i < 200 else None if i == 200 else f"unseen{i}") for i in range(600)]
+    tokens = spark.createDataFrame(rows, "pos long, word string").repartition(4, "pos")
+    vocab = spark.createDataFrame([(f"known{i}", i + 1, 4) for i in range(50)], "word string, id long, n long")
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(D, "HOT_WORDS", 1)
+    placed = D.encode_words(tokens, vocab, F.col("pos")).withColumn("after", F.spark_partition_id()).collect()
+    before = {r.pos: r.before for r in tokens.select("pos", F.spark_partition_id().alias("before")).collect()}
+    # The bits are a fixed hash: none of these words falls on a bit of the vocabulary's.
+    assert all(r.after == before[r.pos] for r in placed if r.pos >= 200)
+    assert {r.pos: r.word_id for r in placed} == {i: i // 4 + 1 if i < 200 else 0 for i in range(600)}
+
+
+@pytest.mark.parametrize("rows_of_marks", [1, 2])
+def test_words_that_share_a_bit_with_the_vocabulary_are_told_apart(spark, monkeypatch, rows_of_marks):
+    words = [f"w{i}" for i in range(400)]
+    tokens = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "pos long, word string")
+    vocab = spark.createDataFrame([(w, i + 1, 1) for i, w in enumerate(words) if i % 2], "word string, id long, n long")
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(D, "HOT_WORDS", 10)
+    monkeypatch.setattr(D, "MARK_ROWS", rows_of_marks)
+    found = {r.pos: r.word_id for r in D.encode_words(tokens, vocab, F.col("pos")).collect()}
+    assert found == {i: i + 1 if i % 2 else 0 for i in range(400)}
+
+
+@pytest.fixture
+def labelled_texts(spark, tmp_path):
+    texts = [(i, f"the word w{i}\nthe end. {i}") for i in range(20)] + [(None, "the lost"), (3, "the third"), (5, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 0) for i in range(0, 20, 3)] + [(3, 1), (None, 1), (99, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_texts_are_not_shuffled_to_tell_their_split(spark, plain_joins, labelled_texts):
+    plan = Q.shared_dictionary_load(spark, labelled_texts)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert "BroadcastHashJoin [doc_id" in plan
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 0])
+def test_splits_are_the_same_whether_labels_are_broadcast_or_not(spark, monkeypatch, labelled_texts, limit):
+    monkeypatch.setattr(V, "LABEL_ROWS", limit)
+    found = V.line_tokens(spark, labelled_texts, V.split_documents(spark, labelled_texts))
+    plain = V.line_tokens(spark, labelled_texts)
+    assert found.columns == plain.columns
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    counted = {r.split: (r.n_tokens, r.n_unknown) for r in Q.shared_dictionary_load(spark, labelled_texts).collect()}
+    # In the labelled texts "the" comes 15 times, "word" and "end." 7 times, every other word less than three times.
+    assert counted == {"train": (7 * 6 + 2, 7 * 2 + 1), "dev": (13 * 6 + 2, 13 * 2 + 1)}
