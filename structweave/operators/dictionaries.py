@@ -132,24 +132,35 @@ def _marks(entries: DataFrame) -> DataFrame:
     return materialize(marked.groupBy(F.shiftright("_at", 6).alias("_row")).agg(F.bit_or(bit).alias("_bits")))
 
 
-def _look_up(tokens: DataFrame, known: DataFrame, marks: DataFrame) -> tuple[DataFrame, Column, list[str]]:
-    """``tokens`` with what ``known`` (_hw, _hid) has of them, whether a token's word is open, and the columns to drop.
+def _with_bits(tokens: DataFrame, marks: DataFrame, at: Column, how: str) -> tuple[DataFrame, Column]:
+    """``tokens`` joined with the row of bit ``at`` (null: none), and whether that bit is marked."""
+    joined = tokens.withColumn("_at", at).join(F.broadcast(marks), F.shiftright("_at", 6) == F.col("_row"), how)
+    return joined, F.coalesce(F.getbit("_bits", F.pmod("_at", F.lit(64)).cast("int")) == 1, F.lit(False))
 
-    Open is a word that is not in ``known`` and whose bit is marked: it may be another word of the vocabulary.
+
+def _open(tokens: DataFrame, known: DataFrame, marks: DataFrame) -> DataFrame:
+    """Tokens whose word may be in the vocabulary though it is not in ``known`` (_hw, _hid): its bit is marked.
+
+    The bits come first: they leave few words to look up. An outer join keeps that order, an anti join would be moved below.
     """
+    joined, marked = _with_bits(tokens.where(F.col("word").isNotNull()), marks, _mark("word"), "inner")
+    looked_up = joined.where(marked).join(F.broadcast(known), F.col("word") == F.col("_hw"), "left")
+    return looked_up.where(F.col("_hw").isNull()).select(*tokens.columns)
+
+
+def _settled(tokens: DataFrame, known: DataFrame, marks: DataFrame) -> DataFrame:
+    """The tokens that ``_open`` leaves out, with ``_hid``, null for words that the vocabulary lacks."""
     found = tokens.join(F.broadcast(known), F.col("word") == F.col("_hw"), "left")
-    placed = found.withColumn("_at", F.when(F.col("_hw").isNull() & F.col("word").isNotNull(), _mark("word")))
-    marked = placed.join(F.broadcast(marks), F.shiftright("_at", 6) == F.col("_row"), "left")
-    is_open = F.coalesce(F.getbit("_bits", F.pmod("_at", F.lit(64)).cast("int")) == 1, F.lit(False))
-    return marked, is_open, ["_hw", "_hid", "_at", "_row", "_bits"]
+    missed = F.when(F.col("_hw").isNull() & F.col("word").isNotNull(), _mark("word"))
+    joined, marked = _with_bits(found, marks, missed, "left")
+    return joined.where(~marked).select(*tokens.columns, "_hid")
 
 
 def _hot_words(tokens: DataFrame, entries: DataFrame, top: DataFrame, marks: DataFrame) -> DataFrame:
     """Words that are looked up in place, with their ids: (_hw, _hid). Written, so that all who read it see the same words."""
     top = top.select(F.col("_w").alias("_hw"), F.col("_id").alias("_hid"))
-    looked_up, is_open, _ = _look_up(tokens, top, marks)
-    others = looked_up.where(is_open)
-    frequent = materialize(word_counts(others).orderBy(F.col("n").desc(), "word").limit(HOT_WORDS).select(F.col("word").alias("_hw")))
+    counts = word_counts(_open(tokens, top, marks))
+    frequent = materialize(counts.orderBy(F.col("n").desc(), "word").limit(HOT_WORDS).select(F.col("word").alias("_hw")))
     known = entries.join(F.broadcast(frequent), F.col("_hw") == F.col("_w")).select("_w", F.col("_id").alias("_hid"))
     ids = frequent.join(F.broadcast(known), F.col("_hw") == F.col("_w"), "left").select("_hw", F.coalesce("_hid", F.lit(0)).alias("_hid"))
     return materialize(top.unionByName(ids))
@@ -158,9 +169,9 @@ def _hot_words(tokens: DataFrame, entries: DataFrame, top: DataFrame, marks: Dat
 def _encode_two_tier(tokens: DataFrame, entries: DataFrame, out: str) -> DataFrame:
     top, others = _by_frequency(entries)
     marks = _marks(others)
-    first, is_open, added = _look_up(tokens, _hot_words(tokens, entries, top, marks), marks)
-    here = first.where(~is_open).withColumn(out, F.coalesce("_hid", F.lit(0))).drop(*added)
-    rest = first.where(is_open).drop(*added)
+    hot = _hot_words(tokens, entries, top, marks)
+    here = _settled(tokens, hot, marks).withColumn(out, F.coalesce("_hid", F.lit(0))).drop("_hid")
+    rest = _open(tokens, hot, marks)
     joined = rest.join(others.select("_w", "_id"), F.col("word") == F.col("_w"), "left")
     return here.unionAll(joined.withColumn(out, F.coalesce("_id", F.lit(0))).drop("_w", "_id"))
 
