@@ -416,8 +416,12 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, sim
         return df.join(member, key, "left").withColumn(out, F.coalesce("_component", key)).drop("_component")
 
     def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
-        """Groups that links join; each goes in as a star, so few steps are left."""
-        return saved(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)), "near-groups")
+        """Groups that links join. Steps run over links between groups, not over their members."""
+        between = grouped(grouped(links, groups, "a", "ga"), groups, "b", "gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+        met = components(between)
+        least = met.select(F.col("node").alias("component"), F.col("component").alias("_least"))
+        moved = groups.join(least, "component", "left").select("node", F.coalesce("_least", "component").alias("component"))
+        return saved(moved.unionAll(met.join(groups, "node", "left_anti")), "near-groups")
 
     by_print = fingerprint_pairs(rows)
     groups = saved(components(alike(by_print)), "near-groups")
@@ -447,9 +451,7 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, sim
     groups = joined(groups, alike(some))
 
     # Texts of a common shingle are dealt over pairs of blocks; every two meet in one of them. A task holds two blocks.
-    placed = grouped(shared, groups, "_key", "g")
-    split = placed.groupBy("h").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("h")
-    mixed = saved(placed.join(split, "h").select("h", "_key", "size", "pos", "g", "blocks"), "near-mixed")
+    mixed = saved(distinct_buckets(grouped(shared, groups, "_key", "g")), "near-mixed")
     bits = saved(bitmaps(texts_of(mixed.select("_key").distinct()), words), "near-bitmaps")
     mine = F.pmod(F.xxhash64("_key", F.lit(3)), F.col("blocks")).cast("int")
     dealt = mixed.join(bits, "_key").withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -463,8 +465,7 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, sim
 
     # Where the forest had pairs that are not similar, others of its texts may be: their sets are compared in place.
     again = grouped(opened.drop("g", "a", "b"), groups, "_key", "g")
-    apart = again.groupBy("h", "p", "q").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("h", "p", "q")
-    rest = saved(again.join(apart, ["h", "p", "q"]), "near-rest")
+    rest = saved(distinct_buckets(again, "p", "q"), "near-rest")
     sets = saved(shingle_sets(texts_of(rest.select("_key").distinct()), words), "near-sets")
     held = in_blocks(rest.join(sets, "_key")).select(*PLACED, "s")
     more = saved(held.mapInArrow(lambda it: _spanning_links(it, similarity), "a bigint, b bigint").distinct(), "near-links")
@@ -473,6 +474,21 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, sim
     return rows, joined(groups, more)
 
 
+def distinct_buckets(placed: DataFrame, *block: str) -> DataFrame:
+    """The rows of shingles (or blocks of them) whose texts lie in two groups or more; of those that hold the same texts, one.
+
+    A passage that texts share gives as many shingles as it has words, all with the same texts. The one that comes first
+    for all stays, where each text has its first place among them; so no pair is lost.
+    """
+    at = ["h", *block]
+    row = [c for c in placed.columns if c not in (*at, "pos")]
+    same = [F.bit_xor(F.xxhash64(*row, F.lit(k))).alias(f"same{k}") for k in (1, 2)]
+    sums = [F.min("g").alias("g1"), F.max("g").alias("g2"), F.count("g").alias("n"), F.sum("pos").alias("first"), *same]
+    mixed = placed.groupBy(*at).agg(*sums).where("g1 <> g2")
+    kept = mixed.groupBy(*block, "n", "same1", "same2").agg(F.min_by("h", "first").alias("h"))
+    return placed.join(kept.select(*at), at, "left_semi")
+
+
 def in_blocks(placed: DataFrame) -> DataFrame:
     return placed.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
 

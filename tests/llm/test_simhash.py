@@ -213,3 +213,39 @@ def test_fingerprints_come_first_and_a_cluster_makes_no_more_rows_than_texts(spa
     assert seen["simhash-pairs"][0] > 0
     blocks = -(-len(texts) // 60)
     assert seen["near-open"][0] <= seen["near-mixed"][0] * blocks and seen["near-pairs"][1] < blocks * len(texts)
+
+
+def test_shingles_of_the_same_texts_make_one_bucket(spark, monkeypatch):
+    """A passage that texts share has many shingles with the same texts: they are compared, and sent, once."""
+    from structweave.llm import simhash
+
+    passage, texts = prose(1, 80), {}
+    for k in range(12):
+        texts[k] = prose(100 + k, 40 if k % 2 else 11 + k) + passage
+    seen = {}
+    monkeypatch.setattr(simhash, "saved", lambda df, label, keep=simhash.saved: (out := keep(df, label), seen.setdefault(label, []).append(out.collect()))[0])
+    assert found_groups(spark, texts) == alike_groups(texts)
+    buckets = {}
+    for r in seen["near-mixed"][0]:
+        buckets.setdefault(r.h, set()).add(r._key)
+    assert buckets and len({frozenset(x) for x in buckets.values()}) == len(buckets)
+
+
+def test_the_first_shingle_of_the_same_texts_stays(spark):
+    from structweave.llm.simhash import distinct_buckets
+
+    rows = [(h, key, 50, 10 * h + key, key % g, mine) for h, keys, g, mine in (
+        (1, (1, 2, 3), 2, 0), (2, (1, 2, 3), 2, 0), (3, (1, 2), 2, 0), (4, (1, 3), 2, 0), (5, (1, 2), 1, 0), (6, (1, 2, 3), 2, 1)) for key in keys]
+    df = spark.createDataFrame(rows, "h bigint, _key bigint, size int, pos int, g bigint, mine int")
+    kept = {(r.h, r._key, r.pos) for r in distinct_buckets(df).collect()}
+    assert kept == {(h, k, 10 * h + k) for h, keys in ((1, (1, 2, 3)), (3, (1, 2)), (6, (1, 2, 3))) for k in keys}
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    from structweave.session import CLEAN, saved
+
+    on_disk = lambda: {str(f) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toList().mkString("\n").split("\n") if "shuffle_" in f}
+    before, conf = on_disk(), spark.conf.get(CLEAN)
+    out = saved(spark.range(50_000, numPartitions=4).groupBy("id").count(), "test")
+    assert not on_disk() - before and spark.conf.get(CLEAN) == conf
+    assert out.count() == 50_000
