@@ -1,7 +1,9 @@
 """Shards spread over partitions, draws in place, lazy steps, and examples that are spread over rows."""
 
+import math
 from collections import Counter
 from dataclasses import replace
+from datetime import datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +16,11 @@ from structweave.functions.spans import SpannedGradient
 from structweave.operators import ranking, sequences
 from structweave.operators.segments import segments
 from structweave.operators.sequences import SequenceTable
-from structweave.plans import losses
+from structweave.plans import losses, queries
 from structweave.plans.chains import DenseChain, LazyChain
 from structweave.plans.losses import LogisticLoss, SequenceLoss
 from structweave.plans.schedules import L2Penalty, LearningRate
-from structweave.plans.solvers import Run, Steps
+from structweave.plans.solvers import AcceleratedSVRG, Run, Steps
 from structweave.plans.train import fit
 
 KEYS = ("user", "day")
@@ -176,3 +178,40 @@ def test_long_sequences_in_inner_epochs(spark, algorithm, options):
         loss.release()
     np.testing.assert_allclose(found[0], found[1], atol=1e-9)
     assert np.abs(found[0]).max() > 1e-3
+
+
+@pytest.mark.parametrize("size", [4096, 8])
+def test_bits_of_a_sequence_model_do_not_depend_on_partitions_or_batches(spark, size):
+    """With little smoothing, what one sum rounds otherwise is another model some passes later."""
+    rows, found = tokens(spark, 4).persist(), []
+    options = {"learning_rate": 0.05, "initial_moreau": 0.01, "initial_smoothing": 0.5, "smoothing_rule": "expo"}
+    for n, batch in ((1, 10_000), (5, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        table = SequenceTable.from_tokens(rows, KEYS, 3, size)
+        spread = SequenceTable(table.df.repartition(n), table.keys, table.n_tags, table.size, table.has_long)
+        loss = SequenceLoss(spread, 31, k=3)
+        found.append(fit(loss, Run("csvrg_lr", [L2Penalty(0.01)], options), num_passes=4, partitions=3, logging=False).w)
+        loss.release()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows.unpersist()
+    assert np.array_equal(*found) and np.abs(found[0]).max() > 1e-3
+
+
+def test_fit_sequences_runs_its_smoothing_schedule(spark, tmp_path, monkeypatch):
+    """The coefficient falls from pass to pass through the whole budget, in the steps that train the model."""
+    at, kinds = datetime(2024, 1, 1), ["click", "error", "purchase", "signup", "view"]
+    rows = [(i, i % 4, at + timedelta(hours=7 * i), kinds[i * i % 5], float(i * 37 % 200)) for i in range(60)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp, event_type string, value double")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    begun, begin = [], AcceleratedSVRG.begin
+
+    def recorded(self, *args):
+        begun.append(begin(self, *args))
+        return begun[-1]
+
+    monkeypatch.setattr(AcceleratedSVRG, "begin", recorded)
+    found = queries.fit_sequences(spark, str(tmp_path)).toPandas().set_index("idx")["w"]
+    factor = math.sqrt(1 - math.sqrt(0.5) / 2)
+    assert [steps.mu for steps in begun] == pytest.approx([2 * factor**t for t in range(50)])
+    assert not begun[0].w.any() and all((a.w != b.w).any() for a, b in zip(begun, begun[1:]))
+    assert len(found) == 997 and np.isfinite(found).all() and (found != 0).any()
